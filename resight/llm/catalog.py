@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from resight.llm import quality_rules
+from resight.llm import packing, quality_rules, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_simhash": simhash.op2_simhash,
+        "op3_packing": packing.op3_packing,
         "op4_quality_rules": quality_rules.op4_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
+    """Missing: op2 (XXH64) and op3 (a tokenizer, a linear program) can't be expressed; tests hold them against brute force."""
     return {
         "op4_quality_rules": quality_rules.OP4_SQL,
     }
