@@ -6,19 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from resight.llm import packing, quality_rules, simhash
+from resight.llm import chat, language, packing, quality_model, quality_rules, simhash, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat": chat.op1_chat,
         "op2_simhash": simhash.op2_simhash,
         "op3_packing": packing.op3_packing,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op5_url_filter": url_filter.op5_url_filter,
+        "op8_toxicity": toxicity.op8_toxicity,
+        "op9_language": language.op9_language,
+        "op10_quality": quality_model.op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Missing: op2 (XXH64) and op3 (a tokenizer, a linear program) can't be expressed; tests hold them against brute force."""
     return {
+        "op1_chat": chat.OP1_SQL,
         "op4_quality_rules": quality_rules.OP4_SQL,
+        "op5_url_filter": url_filter.OP5_SQL,
     }
