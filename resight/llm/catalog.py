@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from resight.llm import chat, language, packing, quality_model, quality_rules, simhash, toxicity, url_filter
+from resight.llm import chat, decontamination, language, packing, quality_model, quality_rules, simhash, token_counts, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": packing.op3_packing,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_url_filter": url_filter.op5_url_filter,
+        "op6_decontamination": decontamination.op6_decontamination,
+        "op7_token_counts": token_counts.op7_token_counts,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_language": language.op9_language,
         "op10_quality": quality_model.op10_quality,

@@ -30,7 +30,7 @@ HALF = 1
 #: Words in a shingle of op2's contract, and in the pipeline's stage.
 SHINGLE, STAGE_SHINGLE = 3, 5
 #: Independent fingerprints (seeds) of the pipeline's stage; sharing either kind of link is enough.
-STAGE_SEEDS = (42, 43)
+STAGE_SEEDS = (42, 43, 44, 45)
 SEED = 42
 MAX_ROUNDS = 60
 _LANES = np.uint64(0x0101010101010101)

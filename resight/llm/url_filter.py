@@ -175,7 +175,7 @@ def judge(pages: DataFrame, listed: DataFrame, labels: int, rules: tuple[tuple[s
             return pa.array(sums[ends[1:]] > sums[ends[:-1]])
 
         own = names_of(F.col("host"), labels)
-        parsed = parsed.withColumn("bad", any_listed(*[F.transform(own, lambda k, i=i: _hashes(k)[i]) for i in (0, 1)]))
+        parsed = parsed.withColumn("bad", any_listed(F.transform(own, lambda k: _hashes(k)[0]), F.transform(own, lambda k: _hashes(k)[1])))
     return parsed.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
 
 
