@@ -17,13 +17,13 @@ rows are judged row by row; an empty benchmark finds nothing; further columns ar
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -51,7 +51,7 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _hash(value: str) -> int:
-    return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+    return xxhash.xxh64_intdigest(value.encode("utf-8", "replace"), 7)
 
 
 _SLOTS = {k: _hash(f"\0{k}") for k in (NUMBER, UNIT, NAME)}
@@ -62,54 +62,78 @@ def tokens_of(word: str) -> list[tuple[int, str, bool]]:
     core = word.strip(_EDGES)
     if not core:
         return []
-    if _NUMBER.fullmatch(core):
-        return [(NUMBER, core, False)]
-    if glued := _GLUED.match(core):
-        if glued[2].lower() in UNITS:
+    if not core.isalpha():
+        if _NUMBER.fullmatch(core):
+            return [(NUMBER, core, False)]
+        if (glued := _GLUED.match(core)) and glued[2].lower() in UNITS:
             return [(NUMBER, glued[1], False), (UNIT, glued[2].lower(), False)]
-    low = core.lower()
-    return [(LITERAL, low, core[:1].isupper() and core[1:].islower())]
+    return [(LITERAL, core.lower(), core[:1].isupper() and core[1:].islower())]
+
+
+class _Ids(dict):
+    """Row numbers of words; a word that is missing is added."""
+
+    def __init__(self, add):
+        super().__init__()
+        self.add = add
+
+    def __missing__(self, word: bytes) -> int:
+        return self.add(word)
 
 
 class Canon:
-    """Canonical tokens of words, remembered by each worker."""
+    """Canonical tokens of words, remembered by each worker in columns, so that texts are gathered by whole arrays."""
 
     def __init__(self, most: int = MOST_WORDS):
-        self.most, self.known = most, {}
-
-    def __call__(self, word: bytes) -> tuple[tuple[int, int, int, bool], ...]:
-        """(kind, hash of the canonical token, hash of the value, capital) for each token."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            found = tuple((kind, _hash(value) if kind == LITERAL else _SLOTS[kind], _hash(value), capital) for kind, value, capital in tokens_of(word.decode("utf-8", "replace")))
-            self.known[word] = found
-        return found
+        self.most = most
+        self._reset(1 << 12)
+
+    def _reset(self, room: int) -> None:
+        self.ids, self.used = _Ids(self._add), 0
+        self.start, self.count, self.ends = np.zeros(room, np.int64), np.zeros(room, np.int64), np.zeros(room, bool)
+        self.kind, self.canonical, self.value, self.capital = np.zeros(room, np.int8), np.zeros(room, np.uint64), np.zeros(room, np.uint64), np.zeros(room, bool)
+
+    def _add(self, word: bytes) -> int:
+        found = tokens_of(word.decode("utf-8", "replace"))
+        row = len(self.ids)
+        if row >= len(self.start):
+            self.start, self.count, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.ends))
+        if self.used + len(found) > len(self.kind):
+            self.kind, self.canonical, self.value, self.capital = (np.concatenate([x, np.zeros(len(x) + len(found), x.dtype)]) for x in (self.kind, self.canonical, self.value, self.capital))
+        self.start[row], self.count[row], self.ends[row] = self.used, len(found), word[-1:] in b".!?:"
+        for kind, value, capital in found:
+            h = _hash(value)
+            self.kind[self.used], self.canonical[self.used], self.value[self.used], self.capital[self.used] = kind, h if kind == LITERAL else _SLOTS[kind], h, capital
+            self.used += 1
+        self.ids[word] = row
+        return row
 
     def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(kind, canonical, value) arrays of a text. A unit needs a number before it, a name a word before it that
         ends no sentence; otherwise both are literals."""
         words = text.split()
-        known = self.known.get
-        rows, capitals, opens = [], [], []
-        start = True
-        for w in words:
-            for k, row in enumerate(known(w) or self(w)):
-                rows.append(row[:3])
-                capitals.append(row[3])
-                opens.append(start and k == 0)
-            start = w[-1:] in b".!?:"
-        if not rows:
-            e = np.zeros(0, np.uint64)
-            return np.zeros(0, np.int8), e, e
-        kind, canonical, value = (np.array(x, t) for x, t in zip(zip(*rows, strict=True), (np.int8, np.uint64, np.uint64), strict=True))
-        named = np.array(capitals) & ~np.array(opens)
-        after = np.concatenate([[False], kind[:-1] == NUMBER])
-        unit = (kind == LITERAL) & after & np.isin(value, _UNIT_HASHES)
-        for where, as_kind in ((named, NAME), (unit, UNIT)):
-            kind[where] = as_kind
-            canonical[where] = np.uint64(_SLOTS[as_kind])
+        if len(self.ids) >= self.most:
+            self._reset(1 << 12)
+        row = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        begins = np.ones(len(row), bool)
+        begins[1:] = self.ends[row[:-1]]
+        at, count = self.start[row], self.count[row]
+        if not (count == 1).all():
+            shift = np.cumsum(count) - count
+            first = np.zeros(int(count.sum()), bool)
+            first[shift[count > 0]] = True
+            begins = np.repeat(begins, count) & first
+            at = np.repeat(at - shift, count) + np.arange(len(begins))
+        kind, canonical, value = self.kind[at], self.canonical[at], self.value[at]
+        named = self.capital[at] & ~begins
+        if named.any():
+            kind[named] = NAME
+            canonical[named] = np.uint64(_SLOTS[NAME])
+        after = np.flatnonzero(kind[:-1] == NUMBER) + 1
+        after = after[kind[after] == LITERAL]
+        if len(after) and len(after := after[np.isin(value[after], _UNIT_HASHES)]):
+            kind[after] = UNIT
+            canonical[after] = np.uint64(_SLOTS[UNIT])
         return kind, canonical, value
 
 
@@ -128,14 +152,19 @@ def windows(canonical: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def agree(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bool:
-    """Same kinds and literals, and a one-to-one map between the slots' values."""
+Slots = tuple[dict, dict]
+
+
+def agree(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray], slots: Slots) -> bool:
+    """Same kinds and literals, and a one-to-one map between the slots' values, which `slots` keeps over windows."""
     if not (np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1])):
         return False
     there, back = {}, {}
     for k, x, y in zip(a[0].tolist(), a[2].tolist(), b[2].tolist(), strict=True):
-        if k != LITERAL and (there.setdefault((k, x), y) != y or back.setdefault((k, y), x) != x):
+        if k != LITERAL and (slots[0].get((k, x), there.setdefault((k, x), y)) != y or slots[1].get((k, y), back.setdefault((k, y), x)) != x or there[k, x] != y or back[k, y] != x):
             return False
+    slots[0].update(there)
+    slots[1].update(back)
     return True
 
 
@@ -180,6 +209,7 @@ class Items:
         """By item, its tokens that the text's windows cover."""
         made = canon.of(text)
         covered: dict[int, set[int]] = {}
+        slots: dict[tuple[int, int], Slots] = {}  # by item and shift: windows of one copy of a question share their slots
         for size, own in self.hashes.items():
             h = windows(made[1], size)
             maybe = np.flatnonzero(self.coarse[size][(h & np.uint64(len(self.coarse[size]) - 1)).astype(np.int64)])
@@ -188,7 +218,7 @@ class Items:
             low, high = np.searchsorted(own, h[maybe], "left"), np.searchsorted(own, h[maybe], "right")
             for i, a, b in zip(maybe.tolist(), low.tolist(), high.tolist(), strict=True):
                 for item, at in self.where[size][a:b].tolist():
-                    if agree(tuple(x[at : at + size] for x in self.tokens[item]), tuple(x[i : i + size] for x in made)):
+                    if agree(tuple(x[at : at + size] for x in self.tokens[item]), tuple(x[i : i + size] for x in made), slots.setdefault((item, i - at), ({}, {}))):
                         covered.setdefault(item, set()).update(range(at, at + size))
         return covered
 

@@ -29,8 +29,8 @@ BITS = 64
 HALF = 1
 #: Words in a shingle of op2's contract, and in the pipeline's stage.
 SHINGLE, STAGE_SHINGLE = 3, 5
-#: Independent fingerprints (seeds) of the pipeline's stage; sharing either kind of link is enough.
-STAGE_SEEDS = (42, 43, 44, 45)
+#: Independent fingerprints of the pipeline's stage; a link by any of them is enough.
+STAGE_FAMILIES = 4
 SEED = 42
 MAX_ROUNDS = 60
 _LANES = np.uint64(0x0101010101010101)
@@ -47,26 +47,45 @@ def bit_sums(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """A bit is 1 if it is set in over half of the shingles' XXH64, repeats included; no words: 0."""
+def shingle_hashes(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each run of words, space-joined; of the whole sequence if it is shorter; none without words."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     grams = map(join, zip(*(words[i : i + n] for i in range(shingle)), strict=False)) if len(words) >= shingle else [join(words)]
-    hashes = np.fromiter((digest(g, seed) for g in grams), np.uint64, n)
-    return int(np.packbits(bit_sums(hashes) * 2 > n, bitorder="little").view(np.uint64)[0])
+    return np.fromiter((digest(g, seed) for g in grams), np.uint64, n)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes, repeats included; no hashes: 0."""
+    if not len(hashes):
+        return 0
+    return int(np.packbits(bit_sums(hashes) * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def family(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of independent hashes that follow from one; the first is the hash itself."""
+    if k:
+        hashes = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        hashes = hashes ^ (hashes >> np.uint64(31))
+    return hashes
 
 
-def fingerprints(docs: DataFrame, doc_id: str, text: str, shingle: int, seeds: tuple[int, ...]) -> DataFrame:
-    """doc_id and one signed 64-bit fingerprint f0, f1... for each seed, a row for each row of docs."""
+def fingerprints(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int, families: int = 1) -> DataFrame:
+    """doc_id and signed 64-bit fingerprints f0, f1... by independent hashes, a row for each row of docs."""
 
     def kernel(texts: list[bytes]) -> dict[str, object]:
-        rows = [[fingerprint(w, shingle, s) for s in seeds] for w in (t.lower().split() for t in texts)]
-        made = np.array(rows, np.uint64).reshape(len(texts), len(seeds)).view(np.int64)
-        return {f"f{i}": pa.array(made[:, i]) for i in range(len(seeds))}
+        rows = []
+        for t in texts:
+            hashes = shingle_hashes(t.lower().split(), shingle, seed)
+            rows.append([fingerprint(family(hashes, k)) for k in range(families)])
+        made = np.array(rows, np.uint64).reshape(len(texts), families).view(np.int64)
+        return {f"f{i}": pa.array(made[:, i]) for i in range(families)}
 
-    return map_text(docs, text, {"doc_id": F.col(doc_id)}, kernel, ", ".join(f"f{i} long" for i in range(len(seeds))))
+    return map_text(docs, text, {"doc_id": F.col(doc_id)}, kernel, ", ".join(f"f{i} long" for i in range(families)))
 
 
 def ball_links(distinct: DataFrame, fp: str = "fp", half: int = HALF) -> DataFrame:
@@ -118,19 +137,19 @@ def with_components(prints: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: a row for each row of docs."""
-    prints = materialize(fingerprints(docs, doc_id, text, shingle, (seed,)), "prints")
+    prints = materialize(fingerprints(docs, doc_id, text, shingle, seed), "prints")
     return with_components(prints).select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = STAGE_SHINGLE, seeds: tuple[int, ...] = STAGE_SEEDS) -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = STAGE_SHINGLE, families: int = STAGE_FAMILIES) -> DataFrame:
     """The rows of docs with the smallest doc_id of each group; rows that repeat an id count as one document, of which
     one row stays. Rows with a null id stay, as nothing names them.
 
-    Documents are grouped if their fingerprints by any of the seeds are within two bits, directly or through others.
+    Documents are grouped if any of their fingerprints are within two bits, directly or through others.
     """
-    prints = materialize(fingerprints(docs, doc_id, text, shingle, seeds), "prints")
-    cols = [f"f{i}" for i in range(len(seeds))]
-    # equal texts have equal fingerprints by all seeds: one class each, named by f0 alone where that is one class
+    prints = materialize(fingerprints(docs, doc_id, text, shingle, SEED, families), "prints")
+    cols = [f"f{i}" for i in range(families)]
+    # equal texts have equal fingerprints: one class each
     classes = materialize(prints.groupBy(cols).agg(F.min("doc_id").alias("head")).withColumn("cls", F.xxhash64(*cols)), "classes")
     links = None
     for c in cols:
