@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resight.functions import scalars as S
@@ -16,10 +16,20 @@ def catalog(features: DataFrame, splits: DataFrame, registry: DataFrame) -> Data
     return features.join(own, "frame_id").join(registry.select("frame_id", "md5"), "frame_id", "left")
 
 
+def session_name(individual: str = "individual_id", date: str = "date", session: str = "session") -> Column:
+    """One name for an individual's session."""
+    return F.concat_ws("|", F.col(individual).cast("string"), S.session_key(date, session))
+
+
 def session_of(catalog: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, frame_id: all frames of the individual's session that a query's frame belongs to. queries: query_id, frame_id."""
-    keyed = catalog.select("frame_id", "individual_id", S.session_key("date", "session").alias("k"))
-    return queries.join(keyed, "frame_id").select("query_id", "individual_id", "k").join(keyed, ["individual_id", "k"]).select("query_id", "frame_id")
+    keyed = catalog.select("frame_id", session_name().alias("k"))
+    return queries.join(keyed, "frame_id").select("query_id", "k").join(keyed, "k").select("query_id", "frame_id")
+
+
+def with_own_session(queries: DataFrame, catalog: DataFrame) -> DataFrame:
+    """queries (query_id, frame_id or null, ...) with own_session: that of the frame they come from, null for new photos."""
+    return queries.join(catalog.select("frame_id", session_name().alias("own_session")), "frame_id", "left")
 
 
 def frames_for_digest(catalog: DataFrame, uploads: DataFrame) -> DataFrame:
@@ -27,33 +37,22 @@ def frames_for_digest(catalog: DataFrame, uploads: DataFrame) -> DataFrame:
     return uploads.select("query_id", F.md5("content").alias("md5")).join(catalog.select("md5", "frame_id"), "md5").select("query_id", "frame_id")
 
 
-def scores(queries: DataFrame, catalog: DataFrame, excluded: DataFrame | None = None, payload: str = "emb", **scoring: object) -> DataFrame:
-    """query_id, individual_id, score, frame_id (the evidence). queries: query_id and payload.
+def scores(queries: DataFrame, catalog: DataFrame, exclude_own_session: bool, payload: str = "emb", **scoring: object) -> DataFrame:
+    """query_id, individual_id, score, frame_id (the evidence). queries: query_id, payload, and own_session if its frames
+    are not to be met. Whether they are is asked for each time, as a default would hide it."""
+    own = F.col("own_session") if exclude_own_session else F.lit(None).cast("string")
+    q = queries.select(F.col("query_id").cast(catalog.schema["frame_id"].dataType).alias("frame_id"), F.lit(None).cast(catalog.schema["individual_id"].dataType).alias("individual_id"), F.lit(None).cast("long").alias("tkey"), F.col(payload).alias("emb"), own.alias("own"))
+    c = catalog.select("frame_id", "individual_id", F.lit(None).cast("long").alias("tkey"), F.col(payload).alias("emb"), (session_name() if exclude_own_session else F.lit(None).cast("string")).alias("own"))
+    found = pooled(q, c, strictly_earlier=False, apart="own" if exclude_own_session else None, **scoring)
+    return found.select(F.col("probe_id").alias("query_id"), "individual_id", "score", F.col("ref_id").alias("frame_id"))
 
-    excluded (query_id, frame_id): frames a query must not meet. Queries with exclusions are few and each drops one
-    session, so their individuals' rows are scored again without those frames rather than all pairs being kept.
-    """
-    q = queries.select(F.col("query_id").alias("frame_id"), F.lit(None).cast(catalog.schema["individual_id"].dataType).alias("individual_id"), F.lit(None).cast("long").alias("tkey"), F.col(payload).alias("emb"))
-    q = q.withColumn("frame_id", F.col("frame_id").cast(catalog.schema["frame_id"].dataType))
-    c = catalog.select("frame_id", "individual_id", F.lit(None).cast("long").alias("tkey"), F.col(payload).alias("emb"))
-    found = pooled(q, c, strictly_earlier=False, **scoring).select(F.col("probe_id").alias("query_id"), "individual_id", "score", F.col("ref_id").alias("frame_id"))
-    if excluded is None:
-        return found
-    own = excluded.join(catalog.select("frame_id", "individual_id"), "frame_id").select("query_id", "frame_id", "individual_id")
-    touched = own.select("query_id", "individual_id").distinct()
-    rest = touched.join(c.drop("tkey"), "individual_id").join(own.select("query_id", "frame_id"), ["query_id", "frame_id"], "left_anti")
-    vectors = queries.select("query_id", F.col(payload).alias("q"))
-    again = rest.join(vectors, "query_id").withColumn("score", F.round(S.cosine(S.normalised("q"), S.normalised("emb")), 6))
-    again = again.groupBy("query_id", "individual_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "frame_id")).alias("b")).select("query_id", "individual_id", (-F.col("b.s")).alias("score"), F.col("b.frame_id").alias("frame_id"))
-    return found.join(touched, ["query_id", "individual_id"], "left_anti").unionByName(again)
-
-
-def identify(queries: DataFrame, catalog: DataFrame, k: int = 5, lo: float = 0.0, hi: float = 1.0, excluded: DataFrame | None = None, **scoring: object) -> DataFrame:
+
+def identify(queries: DataFrame, catalog: DataFrame, k: int = 5, lo: float = 0.0, hi: float = 1.0, exclude_own_session: bool = False, **scoring: object) -> DataFrame:
     """query_id, rank, individual_id, score, confidence, frame_id, n_photos: the k best individuals of each query.
 
-    n_photos counts the whole catalog, excluded frames too.
+    n_photos counts the whole catalog, frames of the own session too.
     """
-    best = ranked(scores(queries, catalog, excluded, **scoring), "query_id").filter(F.col("rank") <= k)
+    best = ranked(scores(queries, catalog, exclude_own_session, **scoring), "query_id").filter(F.col("rank") <= k)
     photos = catalog.groupBy("individual_id").agg(F.count("*").alias("n_photos"))
     return best.join(photos, "individual_id").select("query_id", "rank", "individual_id", "score", S.confidence("score", lo, hi).alias("confidence"), "frame_id", "n_photos")
 

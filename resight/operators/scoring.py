@@ -39,22 +39,23 @@ def pairwise(score: Callable[[object, object], float]) -> ScoreBlock:
     return lambda p, r: np.array([[score(a, b) for b in r["payload"]] for a in p["payload"]], np.float64).reshape(len(p), len(r))
 
 
-def _blocks(df: DataFrame, prefix: str, frame: str, individual: str, time: str, payload: str, group: str | None, rows: int, block: int) -> DataFrame:
+def _blocks(df: DataFrame, prefix: str, frame: str, individual: str, time: str, payload: str, group: str | None, own: str | None, rows: int, block: int) -> DataFrame:
     n = max(1, -(-rows // block))
-    item = F.struct(F.col(frame).alias("id"), F.col(individual).alias("individual"), F.col(time).cast("long").alias("time"), F.col(payload).alias("payload"))
+    item = F.struct(F.col(frame).alias("id"), F.col(individual).alias("individual"), F.col(time).cast("long").alias("time"), F.col(payload).alias("payload"), (F.col(own) if own else F.lit(None)).cast("string").alias("own"))
     key = F.col(group) if group else F.lit(0)
     return df.groupBy(key.alias("g"), F.pmod(F.xxhash64(frame), F.lit(n)).alias(f"{prefix}_block")).agg(F.collect_list(item).alias(prefix))
 
 
 def pooled(
     probes: DataFrame, refs: DataFrame, payload: str = "emb", frame: str = "frame_id", individual: str = "individual_id", time: str = "tkey", group: str | None = None,
-    strictly_earlier: bool = True, score: ScoreBlock = cosine_block, block: int = BLOCK, decimals: int = DECIMALS,
+    strictly_earlier: bool = True, apart: str | None = None, score: ScoreBlock = cosine_block, block: int = BLOCK, decimals: int = DECIMALS,
 ) -> DataFrame:
     """probe_id, truth, individual_id, score, ref_id: for each probe and individual its best reference (highest score,
-    then smallest id). References with null time are never earlier. group: compare within its values only."""
+    then smallest id). References with null time are never earlier. group: compare within its values only. apart: a column of both;
+    rows with the same value of it are not compared."""
     n_left, n_right = probes.count(), refs.count()
-    left = _blocks(probes, "p", frame, individual, time, payload, group, n_left, block)
-    right = _blocks(refs, "r", frame, individual, time, payload, group, n_right, block)
+    left = _blocks(probes, "p", frame, individual, time, payload, group, apart, n_left, block)
+    right = _blocks(refs, "r", frame, individual, time, payload, group, apart, n_right, block)
     # each block is sent to its counterparts: pairs of blocks are spread over all tasks, whatever a group's share
     left = left.withColumn("r_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, -(-n_right // block) - 1)).cast("long"))))
     right = right.withColumn("p_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, -(-n_left // block) - 1)).cast("long"))))
@@ -72,6 +73,10 @@ def pooled(
                     pt, rt = (x["time"].to_numpy(np.float64, na_value=np.nan) for x in (p, r))
                     with np.errstate(invalid="ignore"):
                         allowed &= rt[None, :] < pt[:, None]
+                if apart:
+                    codes = pd.factorize(pd.concat([p["own"], r["own"]]))[0]
+                    left_own, right_own = codes[: len(p)], codes[len(p) :]
+                    allowed &= (left_own[:, None] != right_own[None, :]) | (left_own[:, None] < 0)
                 r = r.reset_index(drop=True)
                 out = []
                 order = np.argsort(r["id"].to_numpy(), kind="stable")

@@ -149,11 +149,10 @@ def random_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.random_baseline(vectors(spark, sf_dir))
 
 
-def _catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(queries, catalog, excluded): every vector asks against all vectors outside its own session of its individual."""
+def _catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(queries, catalog): every vector asks against all vectors outside its own session of its individual."""
     v = vectors(spark, sf_dir).withColumns({"date": F.col("tkey").cast("string"), "session": F.lit(None).cast("string")})
-    asks = v.select(F.col("frame_id").alias("query_id"), "frame_id", "emb")
-    return asks, v, catalog.session_of(v, asks.select("query_id", "frame_id"))
+    return catalog.with_own_session(v.select(F.col("frame_id").alias("query_id"), "frame_id", "emb"), v), v
 
 
 _ASKED = f"WITH {VECTORS_SQL}, {pooled_sql('TRUE', 'TRUE', 'NOT (r.individual_id = p.individual_id AND r.tkey = p.tkey)')}"
@@ -162,8 +161,8 @@ _CONF = "least(greatest(({} / 1000000.0 - 0.1) / 0.4, 0) * 100, 99)"
 
 @query(f"{_ASKED} SELECT probe_id AS query_id, CAST(rank AS INTEGER) AS rank, p.individual_id, score, ref_id AS frame_id, (SELECT count(*) FROM v WHERE v.individual_id = p.individual_id) AS n_photos FROM pooled_ranked p WHERE rank <= 5")
 def session_exclusion_identify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asks, own, excluded = _catalog(spark, sf_dir)
-    found = catalog.identify(asks, own, 5, 0.1, 0.5, excluded)
+    asks, own = _catalog(spark, sf_dir)
+    found = catalog.identify(asks, own, 5, 0.1, 0.5, exclude_own_session=True)
     return found.select("query_id", "rank", "individual_id", _micro(), "frame_id", "n_photos")
 
 
@@ -173,8 +172,8 @@ def session_exclusion_identify(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT query_id, best, round(c1, 6) AS confidence, CASE WHEN c1 < 40 THEN 'new' WHEN c1 >= 70 AND round(c1 - coalesce(c2, 0), 1) >= 8 THEN 'known' ELSE 'review' END AS verdict FROM c"""
 )
 def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asks, own, excluded = _catalog(spark, sf_dir)
-    out = catalog.verdicts(asks, catalog.scores(asks, own, excluded), 0.1, 0.5)
+    asks, own = _catalog(spark, sf_dir)
+    out = catalog.verdicts(asks, catalog.scores(asks, own, True), 0.1, 0.5)
     return out.select("query_id", "best", F.round("confidence", 6).alias("confidence"), "verdict")
 
 
