@@ -117,7 +117,7 @@ def interval_bin(days: ColumnOrName) -> Column:
 
 def valid_date(date: ColumnOrName, years: tuple[int, int] = (2024, 2026)) -> Column:
     """True for 'YYYY-MM[-...]' in the years with a month of 1 to 12; null is no date and so not invalid."""
-    year, month = (F.split(_c(date), "-").getItem(i).try_cast("int") for i in (0, 1))
+    year, month = (F.get(F.split(_c(date), "-"), i).try_cast("int") for i in (0, 1))
     return F.coalesce(year.between(*years) & month.between(1, 12), F.lit(False))
 
 

@@ -16,8 +16,8 @@ def wilson(hits: Column, n: Column, z: float = Z95) -> Column:
     scale = 1 + z * z / n_
     middle = (p + z * z / (2 * n_)) / scale
     half = z * F.sqrt(p * (1 - p) / n_ + z * z / (4 * n_ * n_)) / scale
-    zero = F.lit(0.0)
-    return F.struct(F.coalesce(p, zero).alias("p"), F.coalesce(F.greatest(middle - half, zero), zero).alias("lo"), F.coalesce(F.least(middle + half, F.lit(1.0)), zero).alias("hi"))
+    some = [F.when(n > 0, x).otherwise(0.0) for x in (p, F.greatest(middle - half, F.lit(0.0)), F.least(middle + half, F.lit(1.0)))]
+    return F.struct(*[x.alias(name) for x, name in zip(some, ("p", "lo", "hi"), strict=True)])
 
 
 def mcnemar(b: Column, c: Column) -> Column:

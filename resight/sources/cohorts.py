@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from resight.functions import scalars as S
 
-_PATH = F.col("path_rel")
-
 
 def _folder(depth: int) -> Column:
     """The depth-th folder of the path, null if the path is shorter."""

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import IntegerType, StructField, StructType
+
 from resight.schema import IMAGE_TYPES, SKIPPED_NAMES
 
 
@@ -52,7 +54,7 @@ def dimensions(data: bytes | None) -> tuple[int, int]:
     return 0, 0
 
 
-@F.pandas_udf("width int, height int")
+@F.pandas_udf(StructType([StructField("width", IntegerType()), StructField("height", IntegerType())]))
 def image_size(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([dimensions(c) for c in content], columns=["width", "height"])
 

@@ -38,13 +38,18 @@ def consistency(frames: DataFrame, watermark: str = "7 days") -> DataFrame:
     return frames.withWatermark("ts", watermark).groupBy("individual_id").applyInPandasWithState(_update, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def _timed(events: DataFrame, ts: str) -> DataFrame:
+    """Event time as an instant; times without a zone count in the session's zone."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour", user: str = "user_id", ts: str = "ts") -> DataFrame:
     """Sessions of a stream of sightings: user, start, end, n."""
     w = F.session_window(ts, gap)
-    return events.withWatermark(ts, watermark).groupBy(user, w.alias("w")).agg(F.count("*").alias("n")).select(user, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return _timed(events, ts).withWatermark(ts, watermark).groupBy(user, w.alias("w")).agg(F.count("*").alias("n")).select(user, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def sightings(events: DataFrame, width: str = "1 day", slide: str | None = None, watermark: str = "2 days", by: str = "event_type", ts: str = "ts") -> DataFrame:
     """Counts in windows; late rows within the watermark count."""
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
-    return events.withWatermark(ts, watermark).groupBy(w.alias("w"), by).agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("users")).select(F.col("w.start").alias("start"), by, "n", "users")
+    return _timed(events, ts).withWatermark(ts, watermark).groupBy(w.alias("w"), by).agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("users")).select(F.col("w.start").alias("start"), by, "n", "users")
