@@ -70,7 +70,7 @@ def _hashes(key: Column) -> list[Column]:
 
 
 def _mixed(x: np.ndarray, level: int) -> np.ndarray:
-    x = x.astype(np.int64).view(np.uint64) + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15)
+    x = x.astype(np.int64).view(np.uint64) + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
