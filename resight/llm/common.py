@@ -103,6 +103,13 @@ def map_text(df: DataFrame, text: str, keep: dict[str, Column], kernel: Callable
     return made.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], *fields)
 
 
+def sampled(rows: DataFrame, by: Column, share: Column | float, most: int) -> DataFrame:
+    """The rows whose hash `by` falls in a share of all hashes, to be broadcast if they are no more than twice `most`,
+    as a share meant to leave `most` rows does; the check keeps it so if hashes are uneven."""
+    part = rows.filter(F.pmod(by, F.lit(1 << 20)) < (share if isinstance(share, Column) else F.lit(share)) * (1 << 20))
+    return F.broadcast(part) if part.limit(2 * most + 1).count() <= 2 * most else part
+
+
 def by_share(left: DataFrame, right: DataFrame, key: str, size: str, flags: list[str]) -> DataFrame:
     """Left-join `flags` of right (one row per key, with that key's number of left rows in `size`) to left.
 

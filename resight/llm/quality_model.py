@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resight.llm.common import fold, free_name, map_text, materialize, table, utf8
+from resight.llm.common import fold, free_name, map_text, materialize, sampled, table, utf8
 from resight.llm.doc_stats import NAMES, statistics
 
 #: Shares of the pooled covariance, and then of the scaled identity, in a class covariance.
 TO_POOLED, TO_IDENTITY = 0.5, 0.1
 #: Log density ratios beyond this count as this.
 MOST_LOGIT = 30.0
+#: Labelled documents that the pipeline's stage learns from.
+MOST_LABELS = 30_000
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 
 
@@ -131,14 +133,17 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     return made.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD, most: int = MOST_LABELS) -> DataFrame:
     """The rows of docs that score at least the threshold, with their columns as they are.
 
-    The statistics of labelled documents are taken first, for the fit, and those of all documents as they pass:
-    that costs less than a copy of all texts, as labels cover a part.
+    The fit takes about `most` labelled documents at most, by a hash of the id, so that no text is shuffled; all
+    documents are scored as they pass.
     """
-    known = labels.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias(key := free_name(docs, "labelled"))).distinct()
-    model = fit(with_statistics(docs.join(known, F.col(doc_id) == F.col(key), "left_semi"), doc_id, text), labels, doc_id)
+    known = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & (fold(doc_id, FOLDS) != HELD_OUT))
+    some = known.select(F.col(doc_id).alias(key := free_name(docs, "labelled"))).distinct()
+    n = some.count()
+    some = sampled(some, F.xxhash64(key), min(1.0, most / n) if n else 1.0, most)
+    model = fit(with_statistics(docs.join(some, F.col(doc_id) == F.col(key), "left_semi"), doc_id, text), labels, doc_id, label)
 
     @F.arrow_udf("boolean")
     def good(texts: pa.Array) -> pa.Array:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resight.llm.common import fold, map_text, materialize, slices, table, utf8
+from resight.llm.common import fold, map_text, materialize, sampled, slices, table, utf8
 
 #: Labelled documents of each class to learn from, and terms of the lexicon.
 MOST_DOCS, MOST_TERMS = 10_000, 200
@@ -229,7 +229,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     if len(docs_of) < 2:
         return Model([], [], constant=float(1 in docs_of))
     share = {k: min(1.0, most / n) for k, n in docs_of.items()}
-    some = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.when(F.col("label") == 1, share[1]).otherwise(share[0]) * (1 << 20))
+    some = sampled(known, F.xxhash64("id"), F.when(F.col("label") == 1, share[1]).otherwise(share[0]), 2 * most)
     sample = materialize(docs.select(F.col(doc_id).alias("id"), utf8(text).alias("t")).join(some, "id").select("label", "t"), "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
