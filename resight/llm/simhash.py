@@ -97,8 +97,11 @@ def ball_links(distinct: DataFrame, fp: str = "fp", half: int = HALF) -> DataFra
     if half != 1:
         raise ValueError("only a half radius of one bit is supported")
     masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(BITS)])
-    variants = distinct.select(F.col(fp).alias("b"), F.explode(masks).alias("mask")).select("b", F.col("b").bitwiseXOR(F.col("mask")).alias("variant"))
-    met = variants.withColumn("a", F.min("b").over(Window.partitionBy("variant"))).filter("a < b")
+    flipped = distinct.select(F.col(fp), F.posexplode(masks).alias("k", "mask"))
+    # the flipped bit's number is shuffled instead of the fingerprint, which follows from it: it is small and compresses
+    variants = flipped.select(F.col(fp).bitwiseXOR(F.col("mask")).alias("variant"), F.col("k").cast("byte").alias("k")).repartition("variant")
+    met = variants.select("variant", F.expr("if(k = 0, variant, variant ^ shiftleft(1L, k - 1))").alias("b"))
+    met = met.withColumn("a", F.min("b").over(Window.partitionBy("variant"))).filter("a < b")
     return met.select("a", "b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2 * half).distinct()
 
 
