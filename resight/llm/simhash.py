@@ -30,7 +30,7 @@ HALF = 1
 #: Words in a shingle of op2's contract, and in the pipeline's stage.
 SHINGLE, STAGE_SHINGLE = 3, 5
 #: Independent fingerprints of the pipeline's stage; a link by any of them is enough.
-STAGE_FAMILIES = 4
+STAGE_FAMILIES = 6
 SEED = 42
 MAX_ROUNDS = 60
 _LANES = np.uint64(0x0101010101010101)
