@@ -27,10 +27,10 @@ from resight.llm.common import free_name, map_text, materialize, table
 BITS = 64
 #: Fingerprints within twice this many bits are linked.
 HALF = 1
-#: Words in a shingle of op2's contract, and in the pipeline's stage.
-SHINGLE, STAGE_SHINGLE = 3, 5
+#: Words in a shingle, of the query and of the pipeline's stage.
+SHINGLE = 3
 #: Independent fingerprints of the pipeline's stage; a link by any of them is enough.
-STAGE_FAMILIES = 6
+STAGE_FAMILIES = 8
 SEED = 42
 MAX_ROUNDS = 60
 _LANES = np.uint64(0x0101010101010101)
@@ -144,7 +144,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return with_components(prints).select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = STAGE_SHINGLE, families: int = STAGE_FAMILIES) -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, families: int = STAGE_FAMILIES) -> DataFrame:
     """The rows of docs with the smallest doc_id of each group; rows that repeat an id count as one document, of which
     one row stays. Rows with a null id stay, as nothing names them.
 

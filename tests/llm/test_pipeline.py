@@ -29,7 +29,7 @@ def test_stages(spark, small):
 
     prints = []
     for t in kept.text:
-        h = simhash.shingle_hashes(t.encode().lower().split(), simhash.STAGE_SHINGLE)
+        h = simhash.shingle_hashes(t.encode().lower().split(), simhash.SHINGLE)
         prints.append([simhash.fingerprint(simhash.family(h, k)) for k in range(simhash.STAGE_FAMILIES)])
     root = list(range(len(prints)))
 
