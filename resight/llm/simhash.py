@@ -7,6 +7,9 @@ radius of one, 65 variants are emitted, a variant is met by at most 65 fingerpri
 two bits of each other: so the star of links loses no link between components, whatever the groups' sizes.
 Copies collapse before that, since only distinct fingerprints take part.
 
+Fingerprints of near copies at a similarity of 0.8 differ in about ten bits, which no ball of two bits reaches. So
+the pipeline's stage takes its candidates from bands of least hashes and computes the similarity of their texts.
+
 Components come from alternating large-star and small-star steps over the links, in tables.
 
 Defined results: null and empty texts have fingerprint zero, which links like any other; a text of fewer words
@@ -22,19 +25,25 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from resight.llm.common import free_name, map_text, materialize, table
+from resight.llm.common import by_share, free_name, map_text, materialize, table, utf8
 
 BITS = 64
 #: Fingerprints within twice this many bits are linked.
 HALF = 1
 #: Words in a shingle, of the query and of the pipeline's stage.
-SHINGLE = 3
-#: Independent fingerprints of the pipeline's stage; a link by any of them is enough.
+SHINGLE, STAGE_SHINGLE = 3, 5
+#: Independent fingerprints with which tests measure what fingerprints alone link.
 STAGE_FAMILIES = 8
+#: The stage's least similarity, as a fraction in whole numbers.
+SIMILAR = (4, 5)
+#: The stage's bands, the least hashes in each, and the members that are compared at once.
+BANDS, BAND, BLOCK = 80, 8, 512
 SEED = 42
 MAX_ROUNDS = 60
 _LANES = np.uint64(0x0101010101010101)
 _BLOCK = 255
+_ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND), np.uint64)
+_ORDERS[0] |= np.uint64(1)
 
 
 def bit_sums(hashes: np.ndarray) -> np.ndarray:
@@ -144,27 +153,110 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return with_components(prints).select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, families: int = STAGE_FAMILIES) -> DataFrame:
+def set_hash(hashes: np.ndarray) -> int:
+    """Names the set of shingle hashes; repeats don't count."""
+    return xxhash.xxh64_intdigest(np.unique(hashes).tobytes(), SEED)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of BAND least hashes, by BANDS * BAND orders of the shingles; texts of equal keys meet."""
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max)
+    for i in range(0, len(hashes), 128):
+        least = np.minimum(least, (hashes[i : i + 128, None] * _ORDERS[0] + _ORDERS[1]).min(0))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND).T:
+        keys = family(keys ^ column, 1)
+    return keys
+
+
+def shingle_sets(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """doc_id, cls (equal for equal sets of shingles) and the keys of the bands, a row for each row of docs."""
+
+    def kernel(texts: list[bytes]) -> dict[str, object]:
+        cls, keys = np.empty(len(texts), np.uint64), np.empty((len(texts), BANDS), np.uint64)
+        for i, t in enumerate(texts):
+            hashes = np.unique(shingle_hashes(t.lower().split(), shingle))
+            cls[i], keys[i] = set_hash(hashes), band_keys(hashes)
+        return {"cls": pa.array(cls.view(np.int64)), "keys": pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1).view(np.int64)))}
+
+    return map_text(docs, text, {"doc_id": F.col(doc_id)}, kernel, "cls long, keys array<long>")
+
+
+def similar(sets: list[np.ndarray], group: np.ndarray) -> np.ndarray:
+    """For each set the number of the first that it reaches within its group by steps of Jaccard similarity SIMILAR or more."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    column = np.cumsum(often > 1)[column[shared]] - 1
+    owner, n = owner[shared], int((often > 1).sum())
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, n, 4096):
+        a, b = np.searchsorted(column, [start, start + 4096])
+        part = np.zeros((len(sets), min(4096, n - start)), np.float32)
+        part[owner[a:b], column[a:b] - start] = 1
+        common += part @ part.T
+    above, below = SIMILAR
+    linked = (above + below) * common >= above * (sizes[:, None] + sizes)
+    linked &= group[:, None] == group
+    np.fill_diagonal(linked, True)
+    label = np.arange(len(sets))
+    while True:
+        now = np.where(linked, label, len(sets)).min(1)
+        if (now == label).all():
+            return label
+        label = now
+
+
+def similar_links(members: DataFrame, shingle: int) -> DataFrame:
+    """Links (a, b) that join what is SIMILAR among members (cls, blob, t) of each blob.
+
+    Blobs are dealt into blocks of about BLOCK members, and all pairs of a blob's blocks are compared, each in one
+    matrix product; blobs of one block share a task's products.
+    """
+    sizes = members.groupBy("blob").agg(F.count("*").alias("size"))
+    rows = members.join(sizes, "blob").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    small = max(1, -(-members.count() // BLOCK))
+    # a blob of one block goes with others, one of more has a group for each pair of blocks
+    key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("blob"), F.lit(small))).otherwise(F.col("blob"))
+    rows = rows.select("cls", "blob", "t", (F.col("blocks") == 1).alias("one"), key.alias("part"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def compare(data: pa.Table) -> pa.Table:
+        cls = data.column("cls").to_numpy()
+        label = similar([np.unique(shingle_hashes(t.lower().split(), shingle)) for t in data.column("t").to_pylist()], data.column("blob").to_numpy())
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": pa.array(cls[label[moved]]), "b": pa.array(cls[moved])})
+
+    return rows.groupBy("one", "part", "low", "high").applyInArrow(compare, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = STAGE_SHINGLE) -> DataFrame:
     """The rows of docs with the smallest doc_id of each group; rows that repeat an id count as one document, of which
     one row stays. Rows with a null id stay, as nothing names them.
 
-    Documents are grouped if any of their fingerprints are within two bits, directly or through others.
+    Documents are grouped if the Jaccard similarity of their sets of shingles is SIMILAR or more, directly or through
+    others. Texts that share a band's key are compared; at 0.8 all bands miss once in two million pairs.
     """
-    prints = materialize(fingerprints(docs, doc_id, text, shingle, SEED, families), "prints")
-    cols = [f"f{i}" for i in range(families)]
-    # equal texts have equal fingerprints: one class each
-    classes = materialize(prints.groupBy(cols).agg(F.min("doc_id").alias("head")).withColumn("cls", F.xxhash64(*cols)), "classes")
-    links = None
-    for c in cols:
-        distinct = classes.groupBy(c).agg(F.min("cls").alias("a"))
-        same = classes.join(distinct, c).filter("cls <> a").select("a", F.col("cls").alias("b"))
-        near = ball_links(distinct.select(F.col(c).alias("fp"))).join(distinct.select(F.col(c).alias("a"), F.col("a").alias("ca")), "a").join(distinct.select(F.col(c).alias("b"), F.col("a").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        links = near.unionAll(same) if links is None else links.unionAll(near).unionAll(same)
-    roots = components(links)
+    prints = materialize(shingle_sets(docs, doc_id, text, shingle), "prints")
+    classes = materialize(prints.groupBy("cls").agg(F.min("doc_id").alias("head")), "classes")
+    keys = prints.dropDuplicates(["cls"]).select("cls", F.explode("keys").alias("key"))
+    keys = materialize(keys, "keys")
+    met = materialize(keys.groupBy("key").agg(F.min("cls").alias("least"), F.count("*").alias("size")).filter("size > 1"), "met")
+    blobs = components(by_share(keys, met, "key", "size", ["least"]).filter("least < cls").select("least", "cls"), "least", "cls")
+    blobs = materialize(blobs.select(F.col("node").alias("cls"), F.col("root").alias("blob")), "blobs")
+    key = free_name(docs, "head")
+    # one text of each set in a blob: that of its smallest id
+    some = classes.join(blobs, "cls").filter("head is not null").select(F.col("head").alias(key)).distinct()
+    texts = docs.join(some, F.col(doc_id) == F.col(key), "left_semi").unionByName(docs.filter(F.col(doc_id).isNull())).select(utf8(text).alias("t"))
+    texts = texts.select(_set_of(shingle)("t").alias("cls"), "t")
+    members = materialize(texts.join(blobs, "cls").groupBy("cls").agg(F.first("blob").alias("blob"), F.first("t").alias("t")), "members")
+    roots = components(similar_links(members, shingle))
     # classes that aren't the one with their component's smallest document go
     named = materialize(classes.join(roots, classes.cls == roots.node, "left").select("cls", "head", F.coalesce("root", "cls").alias("root")), "named")
     heads = named.groupBy("root").agg(F.min("head").alias("head")).select("head")
-    key = free_name(docs, "head")
     kept = docs.filter(F.col(doc_id).isNotNull()).join(heads.filter("head is not null").withColumnRenamed("head", key), F.col(doc_id) == F.col(key), "left_semi")
     twice = prints.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias(key))
     if not twice.isEmpty():
@@ -172,5 +264,13 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     return kept.unionByName(docs.filter(F.col(doc_id).isNull()))
 
 
+def _set_of(shingle: int):
+    @F.arrow_udf("long")
+    def cls(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([set_hash(shingle_hashes(t.lower().split(), shingle)) for t in texts.to_pylist()], np.uint64).view(np.int64))
+
+    return cls
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -129,6 +129,38 @@ def test_simhash_odd(odd, clashing, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
+def test_stage_equals_brute_force_similarity(spark, larger):
+    docs = pd.read_parquet(f"{larger}/documents.parquet")
+    sets = [set(zip(*(t.lower().encode().split()[i:] for i in range(5)))) or {tuple(t.lower().encode().split())} for t in docs.text]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(sets[i] & sets[j]) if 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j])) else 0
+            if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
+                pairs += sets[i] != sets[j]
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert pairs >= 10
+    expected = docs.groupby([find(i) for i in range(len(sets))]).doc_id.min()
+    kept = simhash.one_of_each(spark.read.parquet(f"{larger}/documents.parquet")).toPandas()
+    assert sorted(kept.doc_id) == sorted(expected)
+
+
+def test_stage_deals_large_groups_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(k, " ".join(base[: 5 * k] + ["x"] + base[5 * k + 1 :])) for k in range(20)] + [(50, " ".join(base)), (51, " ".join(base[:60])), (52, "other " * 3)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == {0, 51, 52}
+
+
 # ---- 3 packing
 
 
