@@ -6,11 +6,11 @@ are run on the trie together: a state is the set of (node, edits) that a word's
 when first met and kept, so that nearly all words leave the automaton after a few letters.
 
 Each hit is judged in a window of words: inside quotation marks, or beside a word of reporting, it counts as
-quoted. A logistic model over the sums of hits (words, which count less if misspelled; beginnings; quoted ones apart)
-gives the score.
+quoted. A logistic model over the sums of hits (words, which count less if misspelled; beginnings; quoted ones
+apart; misspelled ones once more, so that the weight of an edit is learned) gives the score.
 
 Learned from at most about MOST_DOCS labelled documents of each class, with the intercept set for the classes'
-true shares. The lexicon has at most MOST_TERMS terms, so what is sent to tasks has a fixed bound.
+true shares. The lexicon has at most 2 * MOST_TERMS terms, so what is sent to tasks has a fixed bound.
 
 Defined results: null and empty texts have no hits and get the score of that; several labels of a document each
 count; without labels of both classes every score is the share of toxic labels (0 without labels); repeated rows
@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 
 from resight.llm.common import fold, map_text, materialize, sampled, slices, table, utf8
 
-#: Labelled documents of each class to learn from, and terms of the lexicon.
+#: Labelled documents of each class to learn from, and terms of the lexicon; words whose beginning is a term come beside, as many at most.
 MOST_DOCS, MOST_TERMS = 10_000, 200
 #: A term is in the lexicon from so many toxic documents of the sample, and such log odds of toxic to other ones.
 LEAST_DOCS, LEAST_ODDS = 5, 2.5
-#: Terms may be misspelled whose log odds are within this of the largest; each edit takes this share of a letter's worth.
-STRONG, PER_EDIT = 1.5, 1.5
+#: Each edit takes this share of a letter's worth.
+PER_EDIT = 1.5
 #: Letters of the beginnings that are tried, and of terms that may have one or two edits.
 STEMS, MIN_ONE, MIN_TWO = (5, 6, 7, 8), 5, 8
 #: Words to either side of a hit.
@@ -48,7 +48,7 @@ QUOTES = PAIRED + "‘’"
 #: Words that a worker remembers.
 MOST_WORDS = 300_000
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
-FEATURES = ["word", "stem", "quoted", "close", "any", "density"]
+FEATURES = ["word", "stem", "quoted", "close", "edited", "any", "density"]
 _EDGES = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + QUOTES + "¡¿…–—"
 
 
@@ -60,10 +60,9 @@ def bare(word: str) -> str:
 class Automaton:
     """Finds the lexicon term that a word is, begins with (terms ending in *), or misspells."""
 
-    def __init__(self, terms: list[str], strong: list[bool] | None = None):
-        """strong: whether a term may be misspelled; all, if not given."""
+    def __init__(self, terms: list[str]):
         self.terms = terms
-        self.most = [0 if t.endswith("*") or (strong and not strong[k]) else 2 if len(t) >= MIN_TWO else 1 if len(t) >= MIN_ONE else 0 for k, t in enumerate(terms)]
+        self.most = [0 if t.endswith("*") else 2 if len(t) >= MIN_TWO else 1 if len(t) >= MIN_ONE else 0 for t in terms]
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[int] = [-1]
         self.stems: list[int] = [-1]
@@ -154,7 +153,7 @@ class Model:
         """For a word as it stands in a text."""
         if word not in self._known:
             if self._automaton is None:
-                self._automaton = Automaton(self.terms, [w >= max(self.weights) - STRONG for w in self.weights])
+                self._automaton = Automaton(self.terms)
             if len(self._known) >= MOST_WORDS:
                 self._known.clear()
             self._known[word] = self._automaton.find(bare(word))
@@ -173,11 +172,13 @@ class Model:
             inside = opened is not None and (opened[i] % 2 == 1 or any(c in QUOTES for c in words[i]))
             quoted = inside or any(bare(w) in REPORTING for w in near)
             kind = "quoted" if quoted else "stem" if self.terms[term].endswith("*") else "word"
-            sums[kind] += self.weights[term] * (1 - PER_EDIT * edits / len(self.terms[term]))
+            worth = self.weights[term] * (1 - PER_EDIT * edits / len(self.terms[term]))
+            sums[kind] += worth
+            sums["edited"] += worth * (edits > 0)
             sums["close"] += i - last <= 4 * WINDOW and not quoted
             last = i
         sums["any"] = float(bool(hits))
-        return [*(math.log1p(sums[k]) for k in FEATURES[:4]), sums["any"], math.log1p(100.0 * len(hits) / (len(words) + 20))]
+        return [*(math.log1p(sums[k]) for k in FEATURES[:5]), sums["any"], math.log1p(100.0 * len(hits) / (len(words) + 20))]
 
     def score(self, text: bytes) -> float:
         if self.constant is not None:
@@ -206,7 +207,9 @@ def candidates(words: set[str]) -> set[str]:
 
 
 def choose(found: list[tuple[str, int, int]], docs: list[int], most: int = MOST_TERMS) -> tuple[list[str], list[float]]:
-    """Terms and their log odds from (term, other documents, toxic documents); a term whose own beginning says no less is left out."""
+    """Terms and their log odds from (term, other documents, toxic documents); a beginning that a kept term covers or
+    has is left out. Words stay beside their own beginning, as only they may be misspelled; they take no other term's place."""
+    beside: dict[str, float] = {}
     kept: dict[str, float] = {}
     rated = []
     for term, other, toxic in found:
@@ -214,12 +217,13 @@ def choose(found: list[tuple[str, int, int]], docs: list[int], most: int = MOST_
         if toxic >= LEAST_DOCS and odds >= LEAST_ODDS:
             rated.append((odds * math.sqrt(toxic), not term.endswith("*"), term, odds))
     for _, _, term, odds in sorted(rated, reverse=True):
-        if len(kept) >= most:
-            break
         whole = term.rstrip("*")
-        if not any(f"{whole[:k]}*" in kept for k in STEMS if k <= len(whole)) and not (term.endswith("*") and any(k.startswith(whole) for k in kept)):
+        if any(f"{whole[:k]}*" in kept for k in STEMS if k <= len(whole)):
+            if not term.endswith("*") and len(beside) < most:
+                beside[term] = odds
+        elif len(kept) < most and not (term.endswith("*") and any(k.startswith(whole) for k in kept)):
             kept[term] = odds
-    return list(kept), list(kept.values())
+    return [*kept, *beside], [*kept.values(), *beside.values()]
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_DOCS) -> Model:

@@ -419,6 +419,16 @@ def test_toxicity_odd(clashing, empty, labels):
     assert toxicity.scored(empty, toxicity.learn(empty, labels)).count() == 0
 
 
+def test_misspelled_terms_of_a_skewed_lexicon(spark):
+    toxic = ["you are pathetic"] * 100 + ["you are pathetik"] * 5 + ["you are worthless"] * 8
+    rows = [(i, t, 1) for i, t in enumerate(t for t in toxic for _ in range(2))] + [(1000 + i, PLAIN, 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    for word in ("pathetic", "pahtetic", "pathatic", "pathetics", "worthless", "wortless"):
+        assert model.hit(word) is not None and model.score(f"you are {word}".encode()) > 0.5, word
+    assert model.hit("quick") is None and model.score(PLAIN.encode()) < 0.5
+
+
 # ---- 9 language
 
 
