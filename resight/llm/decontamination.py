@@ -4,8 +4,9 @@ Words become canonical tokens: numbers, units of measure and names turn into typ
 case and the signs around them. Windows of WINDOW tokens are hashed and joined with those of the benchmark, so a
 question whose numbers, names or units were exchanged meets its original. Each meeting is then checked: the
 literals must agree, and the slots' values must map one to one (what stood for 3 twice stands for one value
-twice). An item is found in a document if the windows that pass cover LEAST_TOKENS of its tokens, or LEAST_SHARE
-of them in a shorter item.
+twice). Windows of equal values meet as well, whatever their kinds and however few literals they have: so a verbatim
+copy is found if it is all numbers, or if what is before it makes a name of its first word. An item is found in a
+document if the windows that pass cover LEAST_TOKENS of its tokens, or LEAST_SHARE of them in a shorter item.
 
 The benchmark is the small side: its windows, in a hash table behind a bitmap, are sent to the tasks, which is a
 broadcast hash join. Its words are counted first; beyond MOST_WINDOWS it is dealt into blocks of at most that many,
@@ -170,33 +171,37 @@ def agree(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.
 
 @dataclass
 class Items:
-    """The benchmark: by window size, sorted window hashes with the item and place of each."""
+    """The benchmark: by window size, for canonical tokens and for values, sorted window hashes with the item and place of each."""
 
     ids: list
     tokens: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     sizes: list[int]
-    hashes: dict[int, np.ndarray] = field(default_factory=dict)
-    where: dict[int, np.ndarray] = field(default_factory=dict)
-    coarse: dict[int, np.ndarray] = field(default_factory=dict)
+    hashes: dict[tuple[int, bool], np.ndarray] = field(default_factory=dict)
+    where: dict[tuple[int, bool], np.ndarray] = field(default_factory=dict)
+    coarse: dict[tuple[int, bool], np.ndarray] = field(default_factory=dict)
 
     @classmethod
     def build(cls, rows: list[tuple[object, bytes]]) -> Items:
         canon = Canon()
         ids, tokens, sizes = [], [], []
-        found: dict[int, list[tuple[int, int, int]]] = {}
+        found: dict[tuple[int, bool], list[tuple[int, int, int]]] = {}
         for item, text in rows:
             made = canon.of(text)
             if not len(made[0]):
                 continue
             size = min(WINDOW, len(made[0]))
-            for at, h in enumerate(windows(made[1], size).tolist()):
+            for at, (h, exact) in enumerate(zip(windows(made[1], size).tolist(), windows(made[2], size).tolist(), strict=True)):
+                found.setdefault((size, True), []).append((exact, len(ids), at))
                 if (made[0][at : at + size] == LITERAL).sum() >= min(LEAST_LITERALS, size):
-                    found.setdefault(size, []).append((h, len(ids), at))
+                    found.setdefault((size, False), []).append((h, len(ids), at))
+                    if at == 0 and made[0][0] == LITERAL:  # within a text, the first word may look like a name
+                        named = np.concatenate([[np.uint64(_SLOTS[NAME])], made[1][1:size]])
+                        found[size, False].append((int(windows(named, size)[0]), len(ids), 0))
             ids.append(item)
             tokens.append(made)
             sizes.append(size)
         out = cls(ids, tokens, sizes)
-        for size, rows_ in found.items():
+        for size, rows_ in sorted(found.items(), key=lambda x: x[0][::-1]):  # slots are filled before values are compared
             rows_.sort()
             out.hashes[size] = np.array([r[0] for r in rows_], np.uint64)
             out.where[size] = np.array([r[1:] for r in rows_], np.int64)
@@ -210,15 +215,22 @@ class Items:
         made = canon.of(text)
         covered: dict[int, set[int]] = {}
         slots: dict[tuple[int, int], Slots] = {}  # by item and shift: windows of one copy of a question share their slots
-        for size, own in self.hashes.items():
-            h = windows(made[1], size)
-            maybe = np.flatnonzero(self.coarse[size][(h & np.uint64(len(self.coarse[size]) - 1)).astype(np.int64)])
+        for (size, exact), own in self.hashes.items():
+            h = windows(made[2 if exact else 1], size)
+            coarse = self.coarse[size, exact]
+            maybe = np.flatnonzero(coarse[(h & np.uint64(len(coarse) - 1)).astype(np.int64)])
             if not len(maybe):
                 continue
             low, high = np.searchsorted(own, h[maybe], "left"), np.searchsorted(own, h[maybe], "right")
             for i, a, b in zip(maybe.tolist(), low.tolist(), high.tolist(), strict=True):
-                for item, at in self.where[size][a:b].tolist():
-                    if agree(tuple(x[at : at + size] for x in self.tokens[item]), tuple(x[i : i + size] for x in made), slots.setdefault((item, i - at), ({}, {}))):
+                for item, at in self.where[size, exact][a:b].tolist():
+                    theirs, mine = tuple(x[at : at + size] for x in self.tokens[item]), tuple(x[i : i + size] for x in made)
+                    if exact:
+                        # kinds are the item's; what the copy's slots stand for elsewhere must hold here too
+                        theirs, mine = (theirs[0], theirs[2], theirs[2]), (theirs[0], mine[2], mine[2])
+                    elif at == 0 and mine[0][0] == NAME and theirs[0][0] == LITERAL and theirs[2][0] == mine[2][0]:
+                        theirs, mine = tuple(x[1:] for x in theirs), tuple(x[1:] for x in mine)
+                    if agree(theirs, mine, slots.setdefault((item, i - at), ({}, {}))):
                         covered.setdefault(item, set()).update(range(at, at + size))
         return covered
 
@@ -243,7 +255,7 @@ def canon() -> Canon:
 
 
 def blocks_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", most: int = MOST_WINDOWS) -> list[Items]:
-    """The benchmark in blocks by a hash of the item's id, each of about `most` words at most (windows can't outnumber words)."""
+    """The benchmark in blocks by a hash of the item's id, each of about `most` words at most (windows can't outnumber words; each is kept twice)."""
     rows = benchmark.select(F.col(item_id).alias("item"), utf8(text).alias("t"))
     words = rows.agg(F.sum(F.size(F.split(F.col("t").cast("string"), r"[ \t\n\x0B\f\r]+")))).first()[0] or 0
     n = 1 if words <= most else -(-2 * words // most)

@@ -330,6 +330,17 @@ def test_decontamination_odd(odd, clashing, empty, benchmark):
     assert decontamination.matches(odd, benchmark.limit(0)).count() == 0 and decontamination.keep_clean(odd, benchmark.limit(0)).count() == odd.count()
 
 
+def test_verbatim_items_of_few_literals_and_after_headings():
+    texts = ["What is 12 + 7?", "Compute 3 x 4 + 5 x 6 - 7", "What is the capital of France?", "3 14 15 92 65 35 89 79 32 38 46 26 43 38 32 79", "km are how many of those miles"]
+    items = decontamination.Items.build([(i, t.encode()) for i, t in enumerate(texts)])
+    found = lambda t: [i for i, *_ in items.found(t.encode(), decontamination.Canon())]
+    for i, t in enumerate(texts):
+        for before in ("", "Intro. ", "A heading without a stop\n", "about 5 "):
+            assert found(f"{before}{t} And more.") == [i], (before, t)
+    assert found("A heading\nWhat is the capital of Spain?") == [2]
+    assert found("What is 12 + 8?") == found("Compute 3 x 4 + 5 x 6 - 8") == found("all of Maria is the capital of France?") == found(PLAIN) == []
+
+
 # ---- 7 token counts
 
 
