@@ -234,8 +234,8 @@ def similar_links(members: DataFrame, shingle: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = STAGE_SHINGLE) -> DataFrame:
-    """The rows of docs with the smallest doc_id of each group; rows that repeat an id count as one document, of which
-    one row stays. Rows with a null id stay, as nothing names them.
+    """The rows of docs with the smallest doc_id of each group; of a group's rows that repeat this id one stays. Rows
+    with a null id stay, as nothing names them.
 
     Documents are grouped if the Jaccard similarity of their sets of shingles is SIMILAR or more, directly or through
     others. Texts that share a band's key are compared; at 0.8 all bands miss once in two million pairs.
@@ -254,13 +254,15 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     texts = texts.select(_set_of(shingle)("t").alias("cls"), "t")
     members = materialize(texts.join(blobs, "cls").groupBy("cls").agg(F.first("blob").alias("blob"), F.first("t").alias("t")), "members")
     roots = components(similar_links(members, shingle))
-    # classes that aren't the one with their component's smallest document go
+    # a component's smallest id stays, by one row of the smallest set that has it
     named = materialize(classes.join(roots, classes.cls == roots.node, "left").select("cls", "head", F.coalesce("root", "cls").alias("root")), "named")
-    heads = named.groupBy("root").agg(F.min("head").alias("head")).select("head")
-    kept = docs.filter(F.col(doc_id).isNotNull()).join(heads.filter("head is not null").withColumnRenamed("head", key), F.col(doc_id) == F.col(key), "left_semi")
+    heads = materialize(named.filter("head is not null").groupBy("root").agg(F.min(F.struct("head", "cls")).alias("h")).select(F.col("h.head").alias(key), F.col("h.cls").alias(own := free_name(docs, "cls"))), "heads")
+    kept = docs.join(heads.select(key).distinct(), F.col(doc_id) == F.col(key), "left_semi")
     twice = prints.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias(key))
     if not twice.isEmpty():
-        kept = kept.join(twice, F.col(doc_id) == F.col(key), "left_anti").unionByName(kept.join(twice, F.col(doc_id) == F.col(key), "left_semi").dropDuplicates([doc_id]))
+        several = kept.join(twice, F.col(doc_id) == F.col(key), "left_semi").withColumn(own, _set_of(shingle)(utf8(text)))
+        several = several.join(heads, (F.col(doc_id) == heads[key]) & (several[own] == heads[own]), "left_semi").dropDuplicates([doc_id, own]).drop(own)
+        kept = kept.join(twice, F.col(doc_id) == F.col(key), "left_anti").unionByName(several)
     return kept.unionByName(docs.filter(F.col(doc_id).isNull()))
 
 

@@ -161,6 +161,13 @@ def test_stage_deals_large_groups_into_blocks(spark, monkeypatch):
     assert {r["doc_id"] for r in kept.collect()} == {0, 51, 52}
 
 
+def test_stage_keeps_different_texts_of_one_id(spark):
+    other = " ".join(f"other{i}" for i in range(30))
+    rows = [(1, PLAIN), (1, other), (1, PLAIN), (2, PLAIN), (3, other + " more"), (4, "alone")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect())) == sorted([(1, other), (1, PLAIN), (4, "alone")])
+
+
 # ---- 3 packing
 
 
