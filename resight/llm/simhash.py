@@ -37,7 +37,7 @@ STAGE_FAMILIES = 8
 #: The stage's least similarity, as a fraction in whole numbers.
 SIMILAR = (4, 5)
 #: The stage's bands, the least hashes in each, and the members that are compared at once.
-BANDS, BAND, BLOCK = 80, 8, 512
+BANDS, BAND, BLOCK = 80, 8, 256
 SEED = 42
 MAX_ROUNDS = 60
 _LANES = np.uint64(0x0101010101010101)
@@ -182,8 +182,8 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataF
     return map_text(docs, text, {"doc_id": F.col(doc_id)}, kernel, "cls long, keys array<long>")
 
 
-def similar(sets: list[np.ndarray], group: np.ndarray) -> np.ndarray:
-    """For each set the number of the first that it reaches within its group by steps of Jaccard similarity SIMILAR or more."""
+def similar(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the number of the first that it reaches by steps of Jaccard similarity SIMILAR or more."""
     sizes = np.array([len(x) for x in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -193,14 +193,13 @@ def similar(sets: list[np.ndarray], group: np.ndarray) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     common = np.zeros((len(sets), len(sets)), np.float32)
-    for start in range(0, n, 4096):
-        a, b = np.searchsorted(column, [start, start + 4096])
-        part = np.zeros((len(sets), min(4096, n - start)), np.float32)
+    for start in range(0, n, 1024):  # small products, as each thread of a large one keeps its buffers
+        a, b = np.searchsorted(column, [start, start + 1024])
+        part = np.zeros((len(sets), min(1024, n - start)), np.float32)
         part[owner[a:b], column[a:b] - start] = 1
         common += part @ part.T
     above, below = SIMILAR
     linked = (above + below) * common >= above * (sizes[:, None] + sizes)
-    linked &= group[:, None] == group
     np.fill_diagonal(linked, True)
     label = np.arange(len(sets))
     while True:
@@ -213,8 +212,8 @@ def similar(sets: list[np.ndarray], group: np.ndarray) -> np.ndarray:
 def similar_links(members: DataFrame, shingle: int) -> DataFrame:
     """Links (a, b) that join what is SIMILAR among members (cls, blob, t) of each blob.
 
-    Blobs are dealt into blocks of about BLOCK members, and all pairs of a blob's blocks are compared, each in one
-    matrix product; blobs of one block share a task's products.
+    Blobs are dealt into blocks of about BLOCK members, and all pairs of a blob's blocks are compared by matrix
+    products; blobs of one block share a group.
     """
     sizes = members.groupBy("blob").agg(F.count("*").alias("size"))
     rows = members.join(sizes, "blob").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
@@ -225,10 +224,15 @@ def similar_links(members: DataFrame, shingle: int) -> DataFrame:
     rows = rows.select("cls", "blob", "t", (F.col("blocks") == 1).alias("one"), key.alias("part"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
     def compare(data: pa.Table) -> pa.Table:
-        cls = data.column("cls").to_numpy()
-        label = similar([np.unique(shingle_hashes(t.lower().split(), shingle)) for t in data.column("t").to_pylist()], data.column("blob").to_numpy())
-        moved = np.flatnonzero(label != np.arange(len(label)))
-        return pa.table({"a": pa.array(cls[label[moved]]), "b": pa.array(cls[moved])})
+        cls, blob, texts = data.column("cls").to_numpy(), data.column("blob").to_numpy(), data.column("t")
+        order = np.argsort(blob, kind="stable")
+        a, b = [cls[:0]], [cls[:0]]
+        for at in np.split(order, np.flatnonzero(np.diff(blob[order])) + 1):
+            label = similar([np.unique(shingle_hashes(texts[int(i)].as_py().lower().split(), shingle)) for i in at])
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            a.append(cls[at[label[moved]]])
+            b.append(cls[at[moved]])
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
     return rows.groupBy("one", "part", "low", "high").applyInArrow(compare, "a long, b long")
 
