@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 8 << 20
 #: Keys with at least this share of all rows count as hot; so there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1e-3
+#: Largest Bloom filter that is sent to tasks.
+BLOOM_BYTES = 32 << 20
 
 _scratch: dict[str, str] = {}
 
@@ -24,10 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """This session's folder below spark.checkpoint.dir; where that is unset, below Spark's warehouse."""
+    """This session's folder below spark.checkpoint.dir; where that is unset, below Spark's warehouse, on one machine only."""
     app = spark.sparkContext.applicationId
     if app not in _scratch:
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
         _scratch[app] = f"{base.rstrip('/')}/resight-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(drop_scratch, spark)
     return _scratch[app]
@@ -48,7 +55,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
     path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_name(df: DataFrame, want: str) -> str:
@@ -110,18 +126,63 @@ def sampled(rows: DataFrame, by: Column, share: Column | float, most: int) -> Da
     return F.broadcast(part) if part.limit(2 * most + 1).count() <= 2 * most else part
 
 
-def by_share(left: DataFrame, right: DataFrame, key: str, size: str, flags: list[str]) -> DataFrame:
+def by_share(left: DataFrame, right: DataFrame, key: str, size: str, flags: list[str], floor: int = 1) -> DataFrame:
     """Left-join `flags` of right (one row per key, with that key's number of left rows in `size`) to left.
 
-    Keys with at least HOT_SHARE of the rows, so at most 1 / HOT_SHARE keys, are broadcast; the others are
-    joined by a shuffle, in which no key is large. Rows with a null key get nulls without a shuffle.
+    Keys with at least HOT_SHARE of the rows and `floor` rows, so at most 1 / HOT_SHARE keys, are broadcast; the
+    others are joined by a shuffle, in which no key is large. Rows with a null key get nulls without a shuffle.
     """
-    total = right.agg(F.sum(size)).first()[0] or 0
-    hot = right.filter(F.col(size) >= max(1.0, HOT_SHARE * total)).select(key, *flags)
-    cold = right.filter(F.col(size) < max(1.0, HOT_SHARE * total)).select(key, *flags)
-    some = left.filter(F.col(key).isNotNull())
-    return (
-        some.join(F.broadcast(hot), key)
-        .unionByName(some.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left"))
-        .unionByName(left.filter(F.col(key).isNull()).select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in flags]))
-    )
+    total, largest = (x or 0 for x in right.agg(F.sum(size), F.max(size)).first())
+    bar = max(float(floor), HOT_SHARE * total)
+    some, plain = left.filter(F.col(key).isNotNull()), right.select(key, *flags)
+    if largest < bar:
+        joined = some.join(plain, key, "left")
+    else:
+        hot, cold = right.filter(F.col(size) >= bar).select(key, *flags), right.filter(F.col(size) < bar).select(key, *flags)
+        joined = some.join(F.broadcast(hot), key).unionByName(some.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left"))
+    return joined.unionByName(left.filter(F.col(key).isNull()).select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in flags]))
+
+
+def bloom(keys: DataFrame, key: str, most_bytes: int = BLOOM_BYTES) -> Callable[[str], Column] | None:
+    """Whether a column's value may be among keys: about one in a hundred of the others passes. Built by the executors,
+    its size is that of the keys and checked: None beyond most_bytes, where callers shuffle instead, with the same rows."""
+    n = keys.count()
+    size = 1 << max(10, math.ceil(math.log2(10 * max(1, n))))
+    if size // 8 > most_bytes:
+        return None
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                at = np.unique(np.concatenate(_probes(b.column(0).to_numpy(), size)))
+                word, where = np.unique(at >> 6, return_inverse=True)
+                bits = np.zeros(len(word), np.uint64)
+                np.bitwise_or.at(bits, where, np.uint64(1) << (at & 63).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    words = np.zeros(size // 64, np.uint64)
+    # at most size / 64 rows, which were checked
+    rows = keys.select(F.xxhash64(key).alias("h")).mapInArrow(put, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+
+    @F.arrow_udf("boolean")
+    def among(h: pa.Array) -> pa.Array:
+        found = np.ones(len(h), bool)
+        for at in _probes(h.to_numpy(zero_copy_only=False), size):
+            found &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return pa.array(found)
+
+    return lambda column: among(F.xxhash64(column))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A one-to-one mixing of unsigned 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _probes(h: np.ndarray, size: int, probes: int = 5) -> list[np.ndarray]:
+    a = mixed(h.astype(np.int64).view(np.uint64))
+    b = mixed(a + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return [((a + np.uint64(k) * b) & np.uint64(size - 1)).astype(np.int64) for k in range(probes)]

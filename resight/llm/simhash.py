@@ -7,8 +7,12 @@ radius of one, 65 variants are emitted, a variant is met by at most 65 fingerpri
 two bits of each other: so the star of links loses no link between components, whatever the groups' sizes.
 Copies collapse before that, since only distinct fingerprints take part.
 
-Fingerprints of near copies at a similarity of 0.8 differ in about ten bits, which no ball of two bits reaches. So
-the pipeline's stage takes its candidates from bands of least hashes and computes the similarity of their texts.
+Texts at a similarity of 0.8 differ in about ten of 64 majority bits, which no ball of two bits reaches. The
+pipeline's stage therefore takes fingerprints on which they lie within the radius: SIGNS signs, each the least hash
+of the shingles by one order, so that two texts differ in a sign with one minus their similarity. The ball is the
+same: a variant leaves ERASED signs out, and fingerprints that differ in no more than these meet in one. FAMILIES
+fingerprints make it sure: one pair in ten thousand at 0.8 shares no variant. What collides is deduplicated, pairs
+that agree in too few of all SKETCH signs go, and the exact similarity of the shingles decides the others.
 
 Components come from alternating large-star and small-star steps over the links, in tables.
 
@@ -19,31 +23,42 @@ all ids in it are null; an empty table gives an empty result; further columns ar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from resight.llm.common import by_share, free_name, map_text, materialize, table, utf8
+from resight.llm.common import bloom, by_share, discard, free_name, map_text, materialize, mixed, table, utf8
 
 BITS = 64
 #: Fingerprints within twice this many bits are linked.
 HALF = 1
 #: Words in a shingle, of the query and of the pipeline's stage.
 SHINGLE, STAGE_SHINGLE = 3, 5
-#: Independent fingerprints with which tests measure what fingerprints alone link.
-STAGE_FAMILIES = 8
 #: The stage's least similarity, as a fraction in whole numbers.
 SIMILAR = (4, 5)
-#: The stage's bands, the least hashes in each, and the members that are compared at once.
-BANDS, BAND, BLOCK = 80, 8, 256
+#: The stage's fingerprints, their signs, and those that a variant leaves out.
+FAMILIES, SIGNS, ERASED = 4, 6, 2
+#: Signs of a text in all, and the least number in which candidates agree (at 0.8 one pair in 30,000 is below).
+SKETCH, LEAST_EQUAL = 48, 27
+#: Texts that are compared at once, and shingles of theirs.
+BLOCK, MOST_SHINGLES = 256, 1 << 20
+#: Signs by which the middle of a large group is found.
+VOTES = 16
 SEED = 42
-MAX_ROUNDS = 60
+#: Rows from which a key may count as hot in the links.
+LEAST_HOT = 10_000
+#: Words that a worker remembers, and their longest.
+MOST_WORDS, LONGEST = 300_000, 64
 _LANES = np.uint64(0x0101010101010101)
 _BLOCK = 255
-_ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND), np.uint64)
+_ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, SKETCH), np.uint64)
 _ORDERS[0] |= np.uint64(1)
+_KEPT = [[f * SIGNS + i for i in kept] for f in range(FAMILIES) for kept in combinations(range(SIGNS), SIGNS - ERASED)]
 
 
 def bit_sums(hashes: np.ndarray) -> np.ndarray:
@@ -73,28 +88,14 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(bit_sums(hashes) * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def family(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The k-th of independent hashes that follow from one; the first is the hash itself."""
-    if k:
-        hashes = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        hashes = hashes ^ (hashes >> np.uint64(31))
-    return hashes
-
-
-def fingerprints(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int, families: int = 1) -> DataFrame:
-    """doc_id and signed 64-bit fingerprints f0, f1... by independent hashes, a row for each row of docs."""
+def fingerprints(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int) -> DataFrame:
+    """doc_id and the signed 64-bit fingerprint f0, a row for each row of docs."""
 
     def kernel(texts: list[bytes]) -> dict[str, object]:
-        rows = []
-        for t in texts:
-            hashes = shingle_hashes(t.lower().split(), shingle, seed)
-            rows.append([fingerprint(family(hashes, k)) for k in range(families)])
-        made = np.array(rows, np.uint64).reshape(len(texts), families).view(np.int64)
-        return {f"f{i}": pa.array(made[:, i]) for i in range(families)}
+        made = np.array([fingerprint(shingle_hashes(t.lower().split(), shingle, seed)) for t in texts], np.uint64)
+        return {"f0": pa.array(made.view(np.int64))}
 
-    return map_text(docs, text, {"doc_id": F.col(doc_id)}, kernel, ", ".join(f"f{i} long" for i in range(families)))
+    return map_text(docs, text, {"doc_id": F.col(doc_id)}, kernel, "f0 long")
 
 
 def ball_links(distinct: DataFrame, fp: str = "fp", half: int = HALF) -> DataFrame:
@@ -118,33 +119,37 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: the smallest node reachable, for each node that has a link. links has two columns of one type.
 
     Large-star joins each node's larger neighbours to its smallest, small-star its smaller ones and itself; each
-    keeps components and both together make them stars. Done when a round changes no link.
+    keeps components and both together make them stars. Done when a round changes no link. A node of very many links
+    is broadcast, so its links need not meet.
     """
     edges = materialize(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "links")
     state = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("w"), F.count_if(F.col("v") > F.col("u")).alias("n")).filter("n > 0")
+        least = materialize(least.select("u", "n", F.least("u", "w").alias("m")), "least")
+        large = by_share(both.filter("v > u"), least, "u", "n", ["m"], LEAST_HOT).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = materialize(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        edges = materialize(small, "small")
+        discard(least, edges)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = by_share(large, least, "u", "n", ["m"], LEAST_HOT).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        edges = materialize(small.select("e.*").filter("u <> v").distinct(), "small")
+        discard(least, large)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select("v", "v").distinct())
         state = now
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
 def with_components(prints: DataFrame) -> DataFrame:
     """To doc_id, f0 add component_id: the smallest doc_id of its component (by f0 within two bits)."""
-    heads = materialize(prints.groupBy(F.col("f0").alias("fp")).agg(F.min("doc_id").alias("head")), "heads")
+    heads = materialize(prints.groupBy(F.col("f0").alias("fp")).agg(F.min("doc_id").alias("head"), F.count("*").alias("n")), "heads")
     roots = components(ball_links(heads.select("fp")))
-    named = heads.join(roots, heads.fp == roots.node, "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
-    best = materialize(named, "roots")
-    least = best.groupBy("root").agg(F.min("head").alias("component_id"))
-    return prints.join(best.join(least, "root").select(F.col("fp").alias("f0"), "component_id"), "f0")
+    named = heads.join(roots, heads.fp == roots.node, "left").select("fp", "head", "n", F.coalesce("root", "fp").alias("root"))
+    named = materialize(named, "roots")
+    least = materialize(named.groupBy("root").agg(F.min("head").alias("component_id"), F.count("*").alias("prints")), "least")
+    best = materialize(by_share(named, least, "root", "prints", ["component_id"], LEAST_HOT).select(F.col("fp").alias("f0"), "n", "component_id"), "best")
+    return by_share(prints, best, "f0", "n", ["component_id"], LEAST_HOT)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -153,51 +158,123 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return with_components(prints).select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def set_hash(hashes: np.ndarray) -> int:
-    """Names the set of shingle hashes; repeats don't count."""
-    return xxhash.xxh64_intdigest(np.unique(hashes).tobytes(), SEED)
+# ---- the pipeline's stage
+
+
+class _Words(dict):
+    """Hashes of words; those that are not too long are remembered."""
 
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word, SEED)
+        if len(word) <= LONGEST:
+            if len(self) >= MOST_WORDS:
+                self.clear()
+            self[word] = h
+        return h
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band of BAND least hashes, by BANDS * BAND orders of the shingles; texts of equal keys meet."""
-    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max)
-    for i in range(0, len(hashes), 128):
-        least = np.minimum(least, (hashes[i : i + 128, None] * _ORDERS[0] + _ORDERS[1]).min(0))
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, BAND).T:
-        keys = family(keys ^ column, 1)
+
+_words = _Words()
+
+
+def shingle_set(text: bytes, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """The sorted hashes of a text's different shingles; of the whole sequence if it is shorter; none without words."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    k = min(shingle, len(words))
+    out = np.zeros(len(words) - k + 1, np.uint64)
+    for j in range(k):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + len(out)])
+    return np.unique(out)
+
+
+def signs_of(shingles: np.ndarray) -> np.ndarray:
+    """The least hash by each of SKETCH orders, in 32 bits."""
+    least = np.full(SKETCH, np.iinfo(np.uint64).max)
+    for i in range(0, len(shingles), 256):
+        least = np.minimum(least, (shingles[i : i + 256, None] * _ORDERS[0] + _ORDERS[1]).min(0))
+    return (mixed(least) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def variants(signs: np.ndarray) -> np.ndarray:
+    """A key for each variant of each row's fingerprints: the signs that it keeps, and which these are."""
+    wide = signs.astype(np.uint64)
+    keys = np.empty((len(signs), len(_KEPT)), np.uint64)
+    for j, kept in enumerate(_KEPT):
+        key = np.full(len(signs), j, np.uint64)
+        for i in kept:
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + wide[:, i])
+        keys[:, j] = key
     return keys
 
 
+def _rows_of(lists: pa.Array, width: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
 def shingle_sets(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """doc_id, cls (equal for equal sets of shingles) and the keys of the bands, a row for each row of docs."""
+    """doc_id, cls (equal for equal sets of shingles), check (tells sets of one cls apart) and the signs, a row for each row of docs."""
 
     def kernel(texts: list[bytes]) -> dict[str, object]:
-        cls, keys = np.empty(len(texts), np.uint64), np.empty((len(texts), BANDS), np.uint64)
+        cls, check, signs = np.empty(len(texts), np.uint64), np.empty(len(texts), np.uint64), np.empty((len(texts), SKETCH), np.uint32)
         for i, t in enumerate(texts):
-            hashes = np.unique(shingle_hashes(t.lower().split(), shingle))
-            cls[i], keys[i] = set_hash(hashes), band_keys(hashes)
-        return {"cls": pa.array(cls.view(np.int64)), "keys": pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1).view(np.int64)))}
+            own = shingle_set(t, shingle)
+            cls[i], check[i] = set_name(own), xxhash.xxh64_intdigest(own, SEED + 1)
+            signs[i] = signs_of(own)
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * SKETCH), pa.array(signs.reshape(-1).view(np.int32)))
+        return {"cls": pa.array(cls.view(np.int64)), "check": pa.array(check.view(np.int64)), "signs": rows}
+
+    return map_text(docs, text, {"doc_id": F.col(doc_id)}, kernel, "cls long, check long, signs array<int>")
+
+
+def set_name(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles, SEED)
+
+
+def colliding(classes: DataFrame) -> DataFrame:
+    """Links (a, b) between classes (cls, signs) that meet in a variant, to the smallest there, and agree in LEAST_EQUAL signs."""
 
-    return map_text(docs, text, {"doc_id": F.col(doc_id)}, kernel, "cls long, keys array<long>")
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                keys = variants(_rows_of(part.column(1), SKETCH).astype(np.int32).view(np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1]))], names=["key", "cls"])
+
+    @F.arrow_udf("boolean")
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array((_rows_of(a, SKETCH) == _rows_of(b, SKETCH)).sum(1) >= LEAST_EQUAL)
+
+    keys = classes.select("cls", "signs").mapInArrow(emit, "key long, cls long")
+    met = materialize(keys.groupBy("key").agg(F.min("cls").alias("least"), F.count("*").alias("n")).filter("n > 1"), "met")
+    pairs = by_share(keys, met, "key", "n", ["least"], LEAST_HOT).filter("least < cls").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct()
+    signs = lambda x: classes.select(F.col("cls").alias(x), F.col("signs").alias(f"{x}_signs"))
+    links = materialize(pairs.join(signs("b"), "b").join(signs("a"), "a").filter(alike("a_signs", "b_signs")).select("a", "b"), "colliding")
+    discard(met)
+    return links
 
 
 def similar(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set the number of the first that it reaches by steps of Jaccard similarity SIMILAR or more."""
+    """For each sorted set the number of the first that it reaches by steps of Jaccard similarity SIMILAR or more."""
     sizes = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = often[column] > 1
-    column = np.cumsum(often > 1)[column[shared]] - 1
-    owner, n = owner[shared], int((often > 1).sum())
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
+    ends = np.linspace(0, 1, max(1, -(-int(sizes.sum()) // MOST_SHINGLES)) + 1)[1:-1]
+    bounds = [np.uint64(int(e * (1 << 64))) for e in ends]
+    cuts = [[0, *np.searchsorted(x, bounds).tolist(), len(x)] for x in sets]
     common = np.zeros((len(sets), len(sets)), np.float32)
-    for start in range(0, n, 1024):  # small products, as each thread of a large one keeps its buffers
-        a, b = np.searchsorted(column, [start, start + 1024])
-        part = np.zeros((len(sets), min(1024, n - start)), np.float32)
-        part[owner[a:b], column[a:b] - start] = 1
-        common += part @ part.T
+    for c in range(len(bounds) + 1):
+        parts = [x[cut[c] : cut[c + 1]] for x, cut in zip(sets, cuts, strict=True)]
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in parts])
+        _, column, often = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        shared = often[column] > 1
+        column, owner, n = np.cumsum(often > 1)[column[shared]] - 1, owner[shared], int((often > 1).sum())
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for start in range(0, n, 1024):  # small products, as each thread of a large one keeps its buffers
+            i, j = np.searchsorted(column, [start, start + 1024])
+            part = np.zeros((len(sets), min(1024, n - start)), np.float32)
+            part[owner[i:j], column[i:j] - start] = 1
+            common += part @ part.T
     above, below = SIMILAR
     linked = (above + below) * common >= above * (sizes[:, None] + sizes)
     np.fill_diagonal(linked, True)
@@ -209,71 +286,134 @@ def similar(sets: list[np.ndarray]) -> np.ndarray:
         label = now
 
 
-def similar_links(members: DataFrame, shingle: int) -> DataFrame:
-    """Links (a, b) that join what is SIMILAR among members (cls, blob, t) of each blob.
+def _set(packed: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(packed.as_buffer(), np.uint64) if packed.is_valid else np.zeros(0, np.uint64)
+
 
-    Blobs are dealt into blocks of about BLOCK members, and all pairs of a blob's blocks are compared by matrix
-    products; blobs of one block share a group.
+def _compare(data: pa.Table) -> pa.Table:
+    """Links (a, b) among the rows (cls, blob, set) of each blob."""
+    cls, blob, packed = data.column("cls").to_numpy(), data.column("blob").to_numpy(), data.column("set")
+    order = np.argsort(blob, kind="stable")
+    a, b = [cls[:0]], [cls[:0]]
+    for at in np.split(order, np.flatnonzero(np.diff(blob[order])) + 1):
+        label = similar([_set(packed[int(i)]) for i in at])
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        a.append(cls[at[label[moved]]])
+        b.append(cls[at[moved]])
+    return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+
+
+def _near(sets: pa.Array, others: pa.Array) -> pa.Array:
+    above, below = SIMILAR
+    out = np.zeros(len(sets), bool)
+    for i in range(len(sets)):
+        x, y = _set(sets[i]), _set(others[i])
+        if above * max(len(x), len(y)) <= below * min(len(x), len(y)):
+            common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+            out[i] = (above + below) * common >= above * (len(x) + len(y))
+    return pa.array(out)
+
+
+def _middles(rows: DataFrame) -> DataFrame:
+    """blob, middle: of each blob the member (cls) that agrees best with the blob's most frequent signs."""
+    vote = rows.select("blob", F.posexplode(F.slice("signs", 1, VOTES)).alias("i", "sign")).groupBy("blob", "i", "sign").agg(F.count("*").alias("votes"))
+    mode = vote.groupBy("blob", "i").agg(F.max(F.struct("votes", "sign")).alias("best"))
+    ideal = mode.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("i", "best.sign"))).alias("ideal"))  # VOTES entries
+    ideal = materialize(ideal.join(rows.groupBy("blob").agg(F.count("*").alias("n")), "blob").select("blob", "n", F.col("ideal.sign").alias("ideal")), "ideal")
+    agreed = F.aggregate(F.zip_with(F.slice("signs", 1, VOTES), "ideal", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+    near = by_share(rows, ideal, "blob", "n", ["ideal"], LEAST_HOT).select("blob", "cls", agreed.alias("agreed"))
+    return near.groupBy("blob").agg(F.max(F.struct("agreed", "cls")).alias("m")).select("blob", F.col("m.cls").alias("middle"))
+
+
+def similar_links(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) that join what is SIMILAR among members (cls, blob, size of the blob, set) of each blob. classes: cls, signs.
+
+    Blobs of up to BLOCK members share groups, in which all pairs are compared by matrix products. In a larger blob
+    every member is first held against its middle; those that are not similar to that are dealt into blocks and
+    compared with all members, block by block.
     """
-    sizes = members.groupBy("blob").agg(F.count("*").alias("size"))
-    rows = members.join(sizes, "blob").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    small = max(1, -(-members.count() // BLOCK))
-    # a blob of one block goes with others, one of more has a group for each pair of blocks
-    key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("blob"), F.lit(small))).otherwise(F.col("blob"))
-    rows = rows.select("cls", "blob", "t", (F.col("blocks") == 1).alias("one"), key.alias("part"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-
-    def compare(data: pa.Table) -> pa.Table:
-        cls, blob, texts = data.column("cls").to_numpy(), data.column("blob").to_numpy(), data.column("t")
-        order = np.argsort(blob, kind="stable")
-        a, b = [cls[:0]], [cls[:0]]
-        for at in np.split(order, np.flatnonzero(np.diff(blob[order])) + 1):
-            label = similar([np.unique(shingle_hashes(texts[int(i)].as_py().lower().split(), shingle)) for i in at])
-            moved = np.flatnonzero(label != np.arange(len(label)))
-            a.append(cls[at[label[moved]]])
-            b.append(cls[at[moved]])
-        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
-
-    return rows.groupBy("one", "part", "low", "high").applyInArrow(compare, "a long, b long")
+    small, large = members.filter(F.col("size") <= BLOCK), members.filter(F.col("size") > BLOCK)
+    parts = max(1, -(-small.count() // BLOCK))
+    schema = "a long, b long"
+    links = small.select("cls", "blob", "set", F.pmod(F.xxhash64("blob"), F.lit(parts)).alias("part")).groupBy("part").applyInArrow(_compare, schema)
+    if large.isEmpty():
+        return links
+    middles = materialize(_middles(large.select("cls", "blob").join(classes.select("cls", "signs"), "cls")), "middles")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    spread = large.withColumn("salt", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+    middle = large.join(middles.select(F.col("middle").alias("cls")), "cls", "left_semi")
+    middle = middle.select("blob", F.col("cls").alias("middle"), F.col("set").alias("middle_set"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("salt"))
+    near = F.arrow_udf(_near, "boolean")
+    tested = materialize(spread.join(middle, ["blob", "salt"]).select("cls", "blob", "middle", near("set", "middle_set").alias("near")), "tested")
+    links = links.unionByName(tested.filter("near and cls <> middle").select(F.col("middle").alias("a"), F.col("cls").alias("b")))
+    left = materialize(tested.groupBy("blob").agg(F.count_if(~F.col("near")).alias("open"), F.count("*").alias("n")).filter("open > 0"), "open")
+    if left.isEmpty():
+        return links
+    rest = by_share(large, left, "blob", "n", ["open"], LEAST_HOT).filter("open is not null").join(tested.select("cls", "near"), "cls")
+    mine, others = F.ceil(F.col("open") / BLOCK).cast("int"), F.ceil((F.col("size") - F.col("open")) / BLOCK).cast("int")
+    rest = rest.withColumn("own", F.when(F.col("near"), mine + F.pmod(F.xxhash64("cls"), others)).otherwise(F.pmod(F.xxhash64("cls"), mine)).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("near"), mine).otherwise(mine + others) - 1)))
+    rest = rest.select("cls", "blob", "set", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return links.unionByName(rest.groupBy("blob", "low", "high").applyInArrow(_compare, schema))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = STAGE_SHINGLE) -> DataFrame:
     """The rows of docs with the smallest doc_id of each group; of a group's rows that repeat this id one stays. Rows
-    with a null id stay, as nothing names them.
+    with a null id stay, as nothing names them; so do those of two sets whose 64-bit names are equal.
 
     Documents are grouped if the Jaccard similarity of their sets of shingles is SIMILAR or more, directly or through
-    others. Texts that share a band's key are compared; at 0.8 all bands miss once in two million pairs.
+    others. Texts are shuffled as sets of those that have a candidate, and as rows of those that may go.
     """
     prints = materialize(shingle_sets(docs, doc_id, text, shingle), "prints")
-    classes = materialize(prints.groupBy("cls").agg(F.min("doc_id").alias("head")), "classes")
-    keys = prints.dropDuplicates(["cls"]).select("cls", F.explode("keys").alias("key"))
-    keys = materialize(keys, "keys")
-    met = materialize(keys.groupBy("key").agg(F.min("cls").alias("least"), F.count("*").alias("size")).filter("size > 1"), "met")
-    blobs = components(by_share(keys, met, "key", "size", ["least"]).filter("least < cls").select("least", "cls"), "least", "cls")
+    classes = prints.groupBy("cls").agg(F.min("doc_id").alias("head"), F.count("*").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"), F.first("signs").alias("signs"))
+    classes = materialize(classes.filter("low = high").drop("low", "high"), "classes")
+    blobs = components(colliding(classes))
     blobs = materialize(blobs.select(F.col("node").alias("cls"), F.col("root").alias("blob")), "blobs")
-    key = free_name(docs, "head")
-    # one text of each set in a blob: that of its smallest id
-    some = classes.join(blobs, "cls").filter("head is not null").select(F.col("head").alias(key)).distinct()
-    texts = docs.join(some, F.col(doc_id) == F.col(key), "left_semi").unionByName(docs.filter(F.col(doc_id).isNull())).select(utf8(text).alias("t"))
-    texts = texts.select(_set_of(shingle)("t").alias("cls"), "t")
-    members = materialize(texts.join(blobs, "cls").groupBy("cls").agg(F.first("blob").alias("blob"), F.first("t").alias("t")), "members")
-    roots = components(similar_links(members, shingle))
+    sizes = materialize(blobs.groupBy("blob").agg(F.count("*").alias("size")), "sizes")
+    sized = by_share(blobs, sizes, "blob", "size", ["size"], LEAST_HOT)
+
+    def sets(texts: list[bytes]) -> dict[str, object]:
+        made = [shingle_set(t, shingle) for t in texts]
+        return {"cls": pa.array(np.array([set_name(x) for x in made], np.uint64).view(np.int64)), "set": pa.array([x.tobytes() for x in made], pa.binary())}
+
+    # the text of each set's smallest id, and of any that has the same id or passes the filter by chance
+    wanted = bloom(classes.join(blobs, "cls", "left_semi").filter("head is not null").select("head"), "head")
+    own = docs.filter(wanted(doc_id) | F.col(doc_id).isNull()) if wanted else docs
+    members = map_text(own, text, {}, sets, "cls long, set binary").join(sized, "cls")
+    members = materialize(members.groupBy("cls").agg(F.first("blob").alias("blob"), F.first("size").alias("size"), F.first("set").alias("set")), "members")
+    roots = components(similar_links(members, classes))
     # a component's smallest id stays, by one row of the smallest set that has it
-    named = materialize(classes.join(roots, classes.cls == roots.node, "left").select("cls", "head", F.coalesce("root", "cls").alias("root")), "named")
-    heads = materialize(named.filter("head is not null").groupBy("root").agg(F.min(F.struct("head", "cls")).alias("h")).select(F.col("h.head").alias(key), F.col("h.cls").alias(own := free_name(docs, "cls"))), "heads")
-    kept = docs.join(heads.select(key).distinct(), F.col(doc_id) == F.col(key), "left_semi")
-    twice = prints.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias(key))
-    if not twice.isEmpty():
-        several = kept.join(twice, F.col(doc_id) == F.col(key), "left_semi").withColumn(own, _set_of(shingle)(utf8(text)))
-        several = several.join(heads, (F.col(doc_id) == heads[key]) & (several[own] == heads[own]), "left_semi").dropDuplicates([doc_id, own]).drop(own)
-        kept = kept.join(twice, F.col(doc_id) == F.col(key), "left_anti").unionByName(several)
-    return kept.unionByName(docs.filter(F.col(doc_id).isNull()))
+    named = materialize(classes.join(roots, classes.cls == roots.node, "left").select("cls", "head", "n", F.coalesce("root", "cls").alias("root")), "named")
+    discard(classes, members, blobs, sizes)
+    heads = materialize(named.groupBy("root").agg(F.min(F.when(F.col("head").isNotNull(), F.struct("head", "cls"))).alias("h"), F.count("*").alias("sets")), "heads")
+    heads = heads.select("root", "sets", F.col("h.head").alias("id"), F.col("h.cls").alias("set"))
+    target = materialize(by_share(named.drop("head"), heads, "root", "sets", ["id", "set"], LEAST_HOT).select("cls", "n", "id", "set"), "target")
+    judged = by_share(prints.select("doc_id", "cls"), target, "cls", "n", ["id", "set"], LEAST_HOT).filter("doc_id is not null and id is not null")
+    key, mine = free_name(docs, "gone"), free_name(docs, "cls")
+    repeated = materialize(prints.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(key)), "repeated")
+    gone = materialize(judged.filter("doc_id <> id or cls <> set").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    several = None
+    if not repeated.isEmpty():
+        # rows that share an id are told apart by their sets
+        several = docs.join(repeated, F.col(doc_id) == F.col(key), "left_semi").withColumn(mine, _set_of(shingle)(utf8(text)))
+        stay = materialize(judged.filter("doc_id = id and cls = set").select(F.col("doc_id").alias(key), F.col("cls").alias(other := free_name(docs, "set"))).distinct(), "stay")
+        known = target.select(F.col("cls").alias(other)).distinct()
+        several = several.join(stay, (F.col(doc_id) == F.col(key)) & (F.col(mine) == F.col(other)), "left_semi").dropDuplicates([doc_id, mine]).unionByName(several.join(known, F.col(mine) == F.col(other), "left_anti")).drop(mine)
+        gone = materialize(gone.unionByName(repeated).distinct(), "gone")
+    maybe = bloom(gone, key)
+    anti = lambda x: x.join(gone, F.col(doc_id) == F.col(key), "left_anti")
+    if maybe:
+        passed = F.coalesce(maybe(doc_id), F.lit(False))
+        kept = docs.filter(~passed).unionByName(anti(docs.filter(passed)))
+    else:
+        kept = anti(docs)
+    return kept if several is None else kept.unionByName(several)
 
 
 def _set_of(shingle: int):
     @F.arrow_udf("long")
     def cls(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([set_hash(shingle_hashes(t.lower().split(), shingle)) for t in texts.to_pylist()], np.uint64).view(np.int64))
+        return pa.array(np.array([set_name(shingle_set(t, shingle)) for t in texts.to_pylist()], np.uint64).view(np.int64))
 
     return cls
 

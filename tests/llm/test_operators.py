@@ -161,6 +161,28 @@ def test_stage_deals_large_groups_into_blocks(spark, monkeypatch):
     assert {r["doc_id"] for r in kept.collect()} == {0, 51, 52}
 
 
+def test_fingerprints_at_the_least_similarity_collide():
+    r = np.random.default_rng(3)
+    met = apart = 0
+    for _ in range(400):
+        n = int(r.integers(20, 400))
+        both, own = r.integers(0, 1 << 63, 8 * n).astype(np.uint64), r.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+        a, b = simhash.signs_of(np.concatenate([both, own[:n]])), simhash.signs_of(np.concatenate([both, own[n:]]))  # 0.8 similar
+        met += bool((simhash.variants(a[None]) == simhash.variants(b[None])).any()) and (a == b).sum() >= simhash.LEAST_EQUAL
+        c = simhash.signs_of(np.concatenate([both[:n], own, r.integers(0, 1 << 63, n).astype(np.uint64)]))
+        apart += (a == c).sum() < simhash.LEAST_EQUAL
+    assert met >= 399 and apart == 400
+
+
+def test_middle_of_a_large_group_reaches_it_in_one_step(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    base = [f"w{i}" for i in range(200)]
+    copies = [(k, " ".join(base[: 12 * k] + ["x", "y", "z"] + base[12 * k + 3 :])) for k in range(1, 13)]  # 0.93 similar to the base
+    apart = [(k, " ".join(base[: 9 * (k - 20)] + [f"y{k}"] * 16 + base[9 * (k - 20) + 16 :])) for k in range(21, 33)]  # 0.82 to it, less to each other
+    kept = simhash.one_of_each(spark.createDataFrame([(99, " ".join(base)), *copies, *apart], "doc_id long, text string"))
+    assert [r["doc_id"] for r in kept.collect()] == [1]
+
+
 def test_stage_keeps_different_texts_of_one_id(spark):
     other = " ".join(f"other{i}" for i in range(30))
     rows = [(1, PLAIN), (1, other), (1, PLAIN), (2, PLAIN), (3, other + " more"), (4, "alone")]
