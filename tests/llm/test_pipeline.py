@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from resight.llm import decontamination, doc_stats, quality_model, quality_rules, simhash
+from resight.llm import decontamination, doc_stats, quality_model, quality_rules
 from resight.llm.common import fold
 
 
@@ -27,10 +27,8 @@ def test_stages(spark, small):
     model = quality_model.Discriminant.fit([len(g) for g in groups], [g.sum(0) for g in groups], [g.T @ g for g in groups])
     kept = kept[model.score(stats) >= quality_model.THRESHOLD]
 
-    prints = []
-    for t in kept.text:
-        h = simhash.shingle_hashes(t.encode().lower().split(), simhash.SHINGLE)
-        prints.append([simhash.fingerprint(simhash.family(h, k)) for k in range(simhash.STAGE_FAMILIES)])
+    # near-duplicates: five words and a similarity of 0.8 or more, directly or through others
+    prints = [set(zip(*(t.lower().encode().split()[i:] for i in range(5)))) or {tuple(t.lower().encode().split())} for t in kept.text]
     root = list(range(len(prints)))
 
     def find(x):
@@ -40,7 +38,7 @@ def test_stages(spark, small):
 
     for i in range(len(prints)):
         for j in range(i):
-            if any((a ^ b).bit_count() <= 2 for a, b in zip(prints[i], prints[j])):
+            if 5 * len(prints[i] & prints[j]) >= 4 * len(prints[i] | prints[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     group = pd.Series([find(i) for i in range(len(prints))], index=kept.index)
