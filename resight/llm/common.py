@@ -20,6 +20,7 @@ HOT_SHARE = 1e-3
 BLOOM_BYTES = 32 << 20
 
 _scratch: dict[str, str] = {}
+_memory: dict[str, object] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +68,15 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def remembered(name: str, make: Callable[[], object]) -> object:
+    """What a worker remembers for one operator, such as words' tokens. Another operator's goes when it is made, as a
+    worker serves one after the other."""
+    if name not in _memory:
+        _memory.clear()
+        _memory[name] = make()
+    return _memory[name]
+
+
 def free_name(df: DataFrame, want: str) -> str:
     """A column name that df doesn't have (names compare without case)."""
     have = {c.lower() for c in df.columns}

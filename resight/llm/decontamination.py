@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from resight.llm.common import slices, table, utf8
+from resight.llm.common import remembered, slices, table, utf8
 
 WINDOW = 8
 #: Fewest literal words in a window, as placeholders alone say nothing.
@@ -42,8 +42,8 @@ UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg t ton tons oz lb lbs pound pounds ml cl l liter liters litre litres gallon gallons "
     "s sec second seconds min minute minutes h hour hours day days week weeks month months year years mph kmh percent usd eur dollar dollars euro euros cent cents degree degrees".split()
 )
-#: Words that a worker remembers.
-MOST_WORDS = 400_000
+#: Words that a worker remembers, and the longest of them in bytes.
+MOST_WORDS, LONGEST = 200_000, 64
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 _GLUED = re.compile(r"([+-]?[$€£]?\d[\d.,]*)([a-zA-Z]+)$")
 _EDGES = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "“”„«»‘’¡¿…–—"
@@ -244,14 +244,9 @@ class Items:
         return sorted(out, key=lambda x: (str(type(x[0])), x[0]) if x[0] is not None else ("", 0))
 
 
-_canon: list[Canon] = []
-
-
 def canon() -> Canon:
     """One for each worker."""
-    if not _canon:
-        _canon.append(Canon())
-    return _canon[0]
+    return remembered("canon", Canon)
 
 
 def blocks_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", most: int = MOST_WINDOWS) -> list[Items]:

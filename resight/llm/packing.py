@@ -3,12 +3,15 @@
 Whole blocks of the sequence length are cut off each document and are sequences by themselves; what is left of
 each, shorter than a sequence, is counted in a histogram of at most `size` lengths. A linear program over patterns
 (multisets of lengths that fill a sequence exactly) puts as many of these tokens as it can into uncut sequences;
-knapsack dynamic programming prices new patterns from its dual values. The patterns' counts are rounded and dealt
-to documents by their rank within their length. Whatever the rounded patterns don't cover forms one stream that is
-cut at sequence ends; its last part is cut into powers of two, so that nothing is padded.
+knapsack dynamic programming prices new patterns from its dual values. The patterns' counts are rounded down, and what
+that leaves is solved again in integers, as exact knapsacks of the lengths that are left.
 
-Ranks need no sort and no group in one task: each task numbers its own rows by length, and only the tasks' counts
-are summed. Where a row goes is then arithmetic on its rank and the patterns.
+The patterns are dealt to documents by rank, task by task: a task reads windows of a bounded number of tokens, ranks
+their documents by length, gives each pattern its share of the corpus's count, and completes patterns for the lengths
+that are left over; documents that fit nowhere wait for the next window. What waits too long, or at the end of a task,
+forms a stream that is cut at sequence ends; its last part is cut into powers of two, so that nothing is padded.
+So nothing is sorted or shuffled but the histogram, and what tasks are sent has at most `size` patterns. Sequences are
+numbered by task, so the numbers are unique but not dense.
 
 Defined results: a null or empty text is its end id alone; every row is packed, repeated rows and ids too; an empty
 table gives no pieces; further columns are left alone.
@@ -17,12 +20,14 @@ table gives no pieces; further columns are left alone.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resight.llm.common import materialize, slices, table, utf8
@@ -30,11 +35,15 @@ from resight.llm.tokens import WordIds, tokenizer_path
 
 SIZE = 2048
 END_ID = 1
-#: Bounds of the column generation: pricing rounds, new patterns in each.
+#: Pricing rounds, and new patterns in each.
 ROUNDS, COLUMNS = 250, 16
 #: Tokens that a length in a pattern must be worth.
 PENALTY = 8.0
-_EPS = 1e-7
+#: Lengths that complete a pattern, beside pairs, and those tried for each.
+DEPTH, TRIED = 3, 6
+#: Tokens of a task's window, and of the documents that wait for the next one.
+WINDOW, WAITING = 6_000_000, 1_000_000
+_EPS, _PIVOT = 1e-7, 1e-4
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -56,14 +65,15 @@ def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[dict[int
     """(lengths with their multiplicities, number of sequences) that fill sequences exactly, within the histogram.
 
     Minimises the tokens left over, sum(l * s_l), under sum_p a_pl x_p + s_l = h_l by a revised simplex that starts
-    from the slacks s; then rounds down, and up again where enough documents are left.
+    from the slacks s. It ends when no pattern gains, or after ROUNDS prices: the program is degenerate, and what it
+    has not reached by then is left to completed(), as is the residue of rounding down.
     """
     lengths = np.array(sorted(histogram), np.int64)
     if not len(lengths):
         return []
     have = np.array([histogram[int(x)] for x in lengths], np.float64)
     m = len(lengths)
-    inverse, solution, cost = np.eye(m), have.copy(), lengths.astype(np.float64)
+    inverse, solution = np.eye(m), have.copy()
     duals, basis = lengths.astype(np.float64), [None] * m
     rare = np.clip(np.median(have) / have, 0.1, 10.0)
     noise = np.random.default_rng(0)
@@ -86,13 +96,13 @@ def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[dict[int
         for pattern in sorted(made, key=lambda p: (-sum(duals[i] for i in p), p)):
             which, times = np.unique(pattern, return_counts=True)
             gain = float(duals[which] @ times)
-            if gain <= _EPS * size:
-                continue
             column = inverse[:, which] @ times
-            able = np.flatnonzero(column > 1e-9)
-            if not len(able):
+            able = np.flatnonzero(column > _PIVOT)
+            if gain <= _EPS * size or not len(able):
                 continue
-            out = int(able[np.argmin(solution[able] / column[able])])
+            ratio = solution[able] / column[able]
+            tied = able[ratio <= ratio.min() + _EPS]
+            out = int(tied[np.argmax(column[tied])])  # of rows that tie, the most stable one
             row = inverse[out] / column[out]
             step = solution[out] / column[out]
             change = np.flatnonzero(np.abs(column) > 1e-12)
@@ -100,135 +110,197 @@ def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[dict[int
             inverse[change] -= np.outer(column[change], row)
             inverse[out], solution[out] = row, step
             duals -= gain * row
-            basis[out], cost[out] = (which, times), 0.0
+            basis[out] = (which, times)
             entered += 1
         np.maximum(solution, 0, out=solution)
         if not entered:
             break
-    chosen = [(b, x) for b, x in zip(basis, solution, strict=True) if b is not None and x > _EPS]
-    left, counts = have.copy(), []
-    for (which, times), x in chosen:
-        n = min(int(x + 1e-6), int(np.min(left[which] // times)))
-        counts.append(n)
-        left[which] -= n * times
-    for k in sorted(range(len(chosen)), key=lambda k: -(chosen[k][1] - counts[k])):
-        which, times = chosen[k][0]
-        n = int(np.min(left[which] // times))
-        counts[k] += n
-        left[which] -= n * times
-    return [({int(lengths[i]): int(t) for i, t in zip(which, times, strict=True)}, n) for ((which, times), _), n in zip(chosen, counts, strict=True) if n]
-
-
-class Layout:
-    """Where the document of some length and rank goes. Its size is bounded by the sequence length."""
-
-    def __init__(self, histogram: dict[int, int], size: int = SIZE):
-        self.size = size
-        spans: dict[int, list[tuple[int, int, int, int]]] = {}
-        used: dict[int, int] = {}
-        self.sequences = 0
-        for pattern, count in patterns(histogram, size):
+    left, out = np.zeros(size + 1, np.int64), []
+    left[lengths] = have.astype(np.int64)
+    for (which, times), x in sorted(((b, x) for b, x in zip(basis, solution, strict=True) if b is not None and x > _EPS), key=lambda c: -c[1]):
+        n = min(int(x + 1e-6), int(np.min(left[lengths[which]] // times)))
+        if n:
+            left[lengths[which]] -= n * times
+            out.append(({int(lengths[i]): int(t) for i, t in zip(which, times, strict=True)}, n))
+    return out + completed(left, size)
+
+
+def completed(left: np.ndarray, size: int) -> list[tuple[dict[int, int], int]]:
+    """Patterns over what is left (counts by length, which are lowered): for each length, from the longest, the lengths
+    that complete it to a sequence, as often as they are there."""
+    out = []
+    for length in range(min(size, len(left)) - 1, 0, -1):
+        while left[length] > 0:
+            left[length] -= 1
+            rest = _complete(left, size - length, DEPTH)
+            left[length] += 1
+            if rest is None:
+                break
+            pattern = Counter([length, *rest])
+            n = int(min(left[k] // t for k, t in pattern.items()))
+            for k, t in pattern.items():
+                left[k] -= n * t
+            out.append((dict(pattern), n))
+    return out
+
+
+def _complete(left: np.ndarray, total: int, depth: int) -> list[int] | None:
+    """Lengths that are left and sum up to total: one, a pair, or a long one and what completes it."""
+    if total == 0:
+        return []
+    if left[total] > 0:
+        return [total]
+    half = total // 2
+    both = np.flatnonzero((left[1 : half + 1] > 0) & (left[total - 1 : total - half - 1 : -1] > 0)) + 1
+    if len(both) and 2 * both[-1] == total and left[half] < 2:
+        both = both[:-1]
+    if len(both):
+        return [int(both[-1]), total - int(both[-1])]  # an even pair: short lengths are of most use later
+    if depth:
+        for k in (np.flatnonzero(left[1:total] > 0) + 1)[::-1][:TRIED].tolist():
+            left[k] -= 1
+            rest = _complete(left, total - k, depth - 1)
+            left[k] += 1
+            if rest is not None:
+                return [k, *rest]
+    return None
+
+
+class Packer:
+    """Packs a task's documents as they come. place: (document, start) pieces of sequences, in order.
+
+    chosen: the corpus's patterns; total: its tokens beside whole blocks, of which a window takes its share.
+    """
+
+    def __init__(self, chosen: list[tuple[dict[int, int], int]], total: int, size: int, first: int):
+        self.chosen, self.total, self.size, self.next = sorted(chosen, key=lambda c: -c[1]), total, size, first
+        self.credit = np.zeros(len(chosen))
+        self.count = np.array([n for _, n in self.chosen], np.float64)
+        self.left = np.zeros(size + 1, np.int64)
+        self.waiting: dict[int, list[object]] = {}
+        self.tokens = self.fresh = self.by_patterns = 0
+
+    def add(self, doc: object, length: int) -> None:
+        """A document of fewer tokens than a sequence."""
+        self.waiting.setdefault(length, []).append(doc)
+        self.left[length] += 1
+        self.tokens += length
+        self.fresh += length
+
+    def whole(self) -> int:
+        self.next += 1
+        return self.next - 1
+
+    def place(self) -> Iterator[tuple[object, int, int, int, int]]:
+        """(document, tokens of it before, tokens, sequence, offset) of the documents that patterns take."""
+        self.credit += self.count * (self.fresh / max(1, self.total))
+        self.fresh = 0
+        for k in np.flatnonzero(self.credit >= 1).tolist():
+            pattern = self.chosen[k][0]
+            n = int(min(self.credit[k], *(self.left[x] // t for x, t in pattern.items())))
+            self.credit[k] -= int(self.credit[k])
+            if n:
+                for x, t in pattern.items():
+                    self.left[x] -= n * t
+                yield from self._fill(pattern, n)
+        for pattern, n in completed(self.left, self.size):
+            yield from self._fill(pattern, n)
+
+    def _fill(self, pattern: dict[int, int], n: int) -> Iterator[tuple[object, int, int, int, int]]:
+        for _ in range(n):
             at = 0
             for length, times in pattern.items():
-                start = used.get(length, 0)
-                spans.setdefault(length, []).append((start, times, self.sequences, at))
-                used[length] = start + times * count
-                at += length * times
-            self.sequences += count
-        self.spans = {k: np.array(v, np.int64) for k, v in spans.items()}
-        self.used = used
-        self.stream: dict[int, int] = {}
-        total = 0
-        for length in sorted(histogram):
-            self.stream[length] = total
-            total += length * (histogram[length] - used.get(length, 0))
-        ends = list(range(size, total + 1, size))
-        self.whole = len(ends)
-        tail, at = [], self.whole * size
-        for bit in range(size.bit_length() - 1, -1, -1):
-            if (total - self.whole * size) >> bit & 1:
-                tail.append(at := at + (1 << bit))
-        self.tail = tail
-        self.blocks = self.sequences + self.whole + len(tail)  # first sequence of the whole blocks
-
-    def place(self, length: int, rank: int) -> list[tuple[int, int, int]]:
-        """(sequence, offset, tokens) of each piece, in order."""
-        covered = self.used.get(length, 0)
-        if rank < covered:
-            spans = self.spans[length]
-            start, times, first, at = (int(x) for x in spans[np.searchsorted(spans[:, 0], rank, "right") - 1])
-            k = rank - start
-            return [(first + k // times, at + k % times * length, length)]
-        pos, out = self.stream[length] + (rank - covered) * length, []
-        stop = pos + length
-        while pos < stop:
-            if pos < self.whole * self.size:
-                k = pos // self.size
-                begin, end = k * self.size, (k + 1) * self.size
-            else:
-                i = int(np.searchsorted(self.tail, pos, "right"))
-                begin, end, k = (self.tail[i - 1] if i else self.whole * self.size), self.tail[i], self.whole + i
-            take = min(stop, end) - pos
-            out.append((self.sequences + k, pos - begin, take))
-            pos += take
-        return out
-
-
-def encoded(docs: DataFrame, doc_id: str, text: str, path: str, size: int = SIZE) -> DataFrame:
-    """A table of doc_id, ids (little-endian unsigned 32 bits), n, rest (n mod size), and, within the task pid that
-    made the row: nth of its rest, and blocks before it."""
+                own = self.waiting[length]
+                for _ in range(times):
+                    yield own.pop(), 0, length, self.next, at
+                    at += length
+            self.next += 1
+        self.tokens -= n * self.size
+        self.by_patterns += n * self.size
+
+    def cut(self) -> Iterator[tuple[object, int, int, int, int]]:
+        """What waits, as a stream cut at sequence ends, and at the end into powers of two."""
+        total = self.tokens
+        whole = total // self.size * self.size
+        ends = [*range(0, whole + 1, self.size)]
+        for bit in range(self.size.bit_length() - 1, -1, -1):
+            if (total - whole) >> bit & 1:
+                ends.append(ends[-1] + (1 << bit))
+        spans = pairwise(ends)
+        at, (begin, end) = 0, next(spans, (0, 0))
+        for length in sorted(self.waiting):
+            for doc in self.waiting[length]:
+                start = 0
+                while start < length:
+                    if at == end:
+                        begin, end = next(spans)
+                        self.next += 1
+                    take = min(length - start, end - at)
+                    yield doc, start, take, self.next, at - begin
+                    start, at = start + take, at + take
+        self.next += 1
+        self.waiting, self.tokens = {}, 0
+        self.left[:] = 0
+
+
+def encoded(docs: DataFrame, doc_id: str, text: str, path: str) -> DataFrame:
+    """A table of doc_id, ids (little-endian unsigned 32 bits), n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pid = WordIds.of(path), TaskContext.get().partitionId()
-        seen, before = np.zeros(size, np.int64), 0
+        words = WordIds.of(path)
         end = np.array([END_ID], "<u4").tobytes()
         for part in slices(batches, 1):
             ids = [words.encode(t) + end for t in part.column(1).to_pylist()]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            nth, at = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
-            for i, k in enumerate(n.tolist()):
-                nth[i] = seen[k % size]
-                seen[k % size] += 1
-                at[i] = before
-                before += k // size
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(n), pa.array(n % size), pa.array(np.full(len(ids), pid)), pa.array(nth), pa.array(at)], names=["doc_id", "ids", "n", "rest", "pid", "nth", "at"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(np.array([len(x) // 4 for x in ids], np.int64))], names=["doc_id", "ids", "n"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return materialize(docs.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("t")).mapInArrow(run, f"doc_id {kind}, ids binary, n long, rest long, pid long, nth long, at long"), "ids")
+    return materialize(docs.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("t")).mapInArrow(run, f"doc_id {kind}, ids binary, n long"), "ids")
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, size: int = SIZE) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    rows = encoded(docs, doc_id, text, path or tokenizer_path("word_bpe_49k.json"), size)
-    counts = materialize(rows.groupBy("pid", "rest").agg(F.count("*").alias("n"), F.sum(F.expr(f"n div {size}")).alias("blocks")), "counts")
+    rows = encoded(docs, doc_id, text, path or tokenizer_path("word_bpe_49k.json"))
     # at most `size` rows
-    histogram = {r["rest"]: r["n"] for r in counts.filter("rest > 0").groupBy("rest").agg(F.sum("n").alias("n")).collect()}
-    layout = Layout(histogram, size)
-    before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    tasks = counts.groupBy("pid").agg(F.sum("blocks").alias("blocks"))  # a row for each task that encoded
-    tasks = tasks.select("pid", F.coalesce(F.sum("blocks").over(before.orderBy("pid")), F.lit(0)).alias("blocks_before"))
-    ranks = counts.select("pid", "rest", F.coalesce(F.sum("n").over(before.partitionBy("rest").orderBy("pid")), F.lit(0)).alias("rank_before"))
-    rows = rows.join(ranks.join(tasks, "pid"), ["pid", "rest"]).select("doc_id", "ids", "n", (F.col("nth") + F.col("rank_before")).alias("rank"), (F.col("at") + F.col("blocks_before")).alias("block"))
+    histogram = {r["rest"]: r["n"] for r in rows.groupBy(F.expr(f"n % {size}").alias("rest")).agg(F.count("*").alias("n")).filter("rest > 0").collect()}
+    chosen, total = patterns(histogram, size), sum(k * n for k, n in histogram.items())
+    kind = rows.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(chosen, total, size, TaskContext.get().partitionId() << 40)
+        made: list[tuple] = []
+        id_type = None
+
+        def batch() -> pa.RecordBatch:
+            columns = np.array([x[1:] for x in made], np.int64).reshape(-1, 6)
+            out = pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], id_type), *[pa.array(columns[:, j]) for j in range(6)]], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            made.clear()
+            return out
+
+        def put(pieces: Iterator[tuple[object, int, int, int, int]]) -> None:
+            for (own, ids, n), start, length, sequence, offset in pieces:
+                made.append((own, n - len(ids) // 4 + start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)]), n, sequence, offset))
+
         for part in slices(batches, 1):
-            which: list[int] = []
-            made: list[tuple[int, int, int, int, int, int]] = []
-            n, rank, block = (part.column(i).to_pylist() for i in (2, 3, 4))
-            for i, ids in enumerate(part.column(1).to_pylist()):
-                whole = n[i] // size
-                spots = [(layout.blocks + block[i] + k, 0, size) for k in range(whole)]
-                if n[i] % size:
-                    spots += layout.place(n[i] % size, rank[i])
-                start, view = 0, memoryview(ids)
-                for sequence, offset, length in spots:
-                    which.append(i)
-                    made.append((start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), n[i], sequence, offset))
-                    start += length
-            columns = np.array(made, np.int64).reshape(-1, 6)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which, pa.int64())), *[pa.array(columns[:, j]) for j in range(6)]], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    return rows.mapInArrow(run, PIECES.format(id=rows.schema["doc_id"].dataType.simpleString()))
+            id_type = part.schema.field(0).type
+            for own, ids, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                view = memoryview(ids)
+                for k in range(n // size):
+                    made.append((own, k * size, size, zlib.crc32(view[4 * k * size : 4 * (k + 1) * size]), n, packer.whole(), 0))
+                if n % size:
+                    packer.add((own, ids[4 * (n // size) * size :], n), n % size)
+            if packer.fresh >= WINDOW:
+                put(packer.place())
+                if packer.tokens > WAITING:
+                    put(packer.cut())
+            if made:
+                yield batch()
+        if id_type is not None:
+            put(packer.place())
+            put(packer.cut())
+            if made:
+                yield batch()
+
+    return rows.mapInArrow(run, PIECES.format(id=kind.simpleString()))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

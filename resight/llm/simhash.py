@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from resight.llm.common import bloom, by_share, discard, free_name, map_text, materialize, mixed, table, utf8
+from resight.llm.common import bloom, by_share, discard, free_name, map_text, materialize, mixed, remembered, table, utf8
 
 BITS = 64
 #: Fingerprints within twice this many bits are linked.
@@ -53,7 +53,7 @@ SEED = 42
 #: Rows from which a key may count as hot in the links.
 LEAST_HOT = 10_000
 #: Words that a worker remembers, and their longest.
-MOST_WORDS, LONGEST = 300_000, 64
+MOST_WORDS, LONGEST = 150_000, 64
 _LANES = np.uint64(0x0101010101010101)
 _BLOCK = 255
 _ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, SKETCH), np.uint64)
@@ -173,15 +173,12 @@ class _Words(dict):
         return h
 
 
-_words = _Words()
-
-
 def shingle_set(text: bytes, shingle: int = STAGE_SHINGLE) -> np.ndarray:
     """The sorted hashes of a text's different shingles; of the whole sequence if it is shorter; none without words."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(remembered("words", _Words).__getitem__, words), np.uint64, len(words))
     k = min(shingle, len(words))
     out = np.zeros(len(words) - k + 1, np.uint64)
     for j in range(k):

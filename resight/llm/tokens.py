@@ -9,8 +9,10 @@ import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
-#: Words that a worker remembers in each of two generations.
-MOST_WORDS = 250_000
+from resight.llm.common import remembered
+
+#: Words that a worker remembers in each of two generations, and the longest of them in bytes.
+MOST_WORDS, LONGEST = 120_000, 64
 #: Words of these signs are the same in any Unicode normal form, and each sign has one lower case of its own.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: How the word-level BPE cuts such a word, once it is in lower case.
@@ -67,36 +69,36 @@ class Pieces:
 class WordIds:
     """Ids of texts for tokenizers that split at white space before anything else.
 
-    Words between ASCII white space are encoded once and remembered; when a generation is full, the one before it
-    is forgotten, so memory is bounded and frequent words stay.
+    Words between ASCII white space are encoded once and remembered, unless they are long; when a generation is full,
+    the one before it is forgotten, so memory is bounded and frequent words stay. As by the tokenizer itself, strings
+    of its special tokens keep their ids wherever they stand in a text.
     """
 
-    _made: dict[str, WordIds] = {}
-
     def __init__(self, path: str, most: int = MOST_WORDS):
         self.path, self.most, self.new, self.old = path, most, {}, {}
         with open(path, encoding="utf-8") as f:
-            self.pieces = Pieces.of(f.read())
+            made = f.read()
+        self.pieces = Pieces.of(made)
+        self.special = [x["content"] for x in json.loads(made)["added_tokens"]]
         self.tokenizer: Tokenizer | None = None
 
     @classmethod
     def of(cls, path: str) -> WordIds:
         """One for each worker and path."""
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        return remembered(f"ids {path}", lambda: cls(path))
 
     def slow(self, word: str) -> bytes:
         if self.tokenizer is None:  # made when first needed, as most workers never do
             self.tokenizer = Tokenizer.from_file(self.path)
-            self.tokenizer.encode_special_tokens = True
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def word(self, word: bytes) -> bytes:
         ids = self.old.get(word)
         if ids is None:
             text = word.decode("utf-8", "replace")
-            ids = self.pieces.word(text) if self.pieces and _PLAIN.fullmatch(text) else self.slow(text)
+            ids = self.pieces.word(text) if self.pieces and _PLAIN.fullmatch(text) and not any(x in text for x in self.special) else self.slow(text)
+        if len(word) > LONGEST:
+            return ids
         if len(self.new) >= self.most:
             self.old, self.new = self.new, {}
         self.new[word] = ids

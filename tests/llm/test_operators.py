@@ -197,11 +197,13 @@ def test_word_ids_equal_tokenizer(small):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORD_BPE)
-    t.encode_special_tokens = True
     w = tokens.WordIds(WORD_BPE, most=50)
+    assert t.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [3306, 49407, 1002]
     texts = pd.read_parquet(f"{small}/documents.parquet").text.tolist()[:60] + ["don't <|endoftext|> I'LL ÀÉßÿ × ÷ ² ª", "e\u0301 İ ΑΣ 東京 \x1c \x85 \xa0", "", " ", "a1b22''s 's're"]
+    texts += ["hello <|endoftext|> world", "in<|endoftext|>side <|startoftext|><|endoftext|>", "É<|startoftext|>x<|ENDOFTEXT|><|endoftext", "x" * 500 + "<|endoftext|>" + "'s" * 200, "long" * 40]
     for x in texts:
         assert np.frombuffer(w.encode(x.encode()), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    assert max(map(len, [*w.new, *w.old])) <= tokens.LONGEST
 
 
 def test_vocabulary_segments_as_itself():
@@ -256,10 +258,74 @@ def test_patterns_fill_and_fit():
         covered += packing.SIZE * times
         for k, v in pattern.items():
             used[k] += v * times
-    assert all(used[k] <= have[k] for k in used) and covered > 0.25 * n.sum()
+    assert all(used[k] <= have[k] for k in used) and covered > 0.8 * n.sum()
     assert packing.patterns({}) == [] and packing.patterns({3: 1}) == []
 
 
+def most_sequences(left, size):
+    """By trying everything."""
+    from functools import lru_cache
+    from itertools import combinations_with_replacement
+
+    lengths = sorted(left)
+    fills = [Counter(c) for n in range(1, size + 1) for c in combinations_with_replacement(lengths, n) if sum(c) == size]
+
+    @lru_cache(None)
+    def best(state, k):
+        if k == len(fills):
+            return 0
+        have = dict(zip(lengths, state))
+        found = best(state, k + 1)
+        if all(have[x] >= t for x, t in fills[k].items()):
+            found = max(found, 1 + best(tuple(have[x] - fills[k][x] for x in lengths), k))
+        return found
+
+    return best(tuple(left[x] for x in lengths), 0)
+
+
+def test_patterns_near_the_optimum_of_small_histograms():
+    r = np.random.default_rng(7)
+    lost = total = 0
+    for _ in range(60):
+        have = Counter(r.integers(1, 16, int(r.integers(4, 14))).tolist())
+        best = most_sequences(have, 16)
+        found = packing.patterns(have, 16)
+        assert all(sum(p.get(k, 0) * n for p, n in found) <= have[k] for k in have) and all(sum(k * v for k, v in p.items()) == 16 for p, _ in found)
+        assert best - 1 <= (n := sum(n for _, n in found)) <= best
+        lost, total = lost + best - n, total + best
+    assert lost <= 0.1 * total
+
+
+def test_patterns_take_most_of_what_is_not_whole_blocks():
+    w = tokens.WordIds(WORD_BPE)
+    n = [len(w.encode(t.encode())) // 4 + 1 for t in pd.read_parquet("/root/testdata/sf0.1/documents.parquet").text]
+    rest = [x % packing.SIZE for x in n if x % packing.SIZE]
+    chosen = packing.patterns(Counter(rest))
+    for tasks in (1, 8):  # dealt within one task's documents and within those of eight
+        took = 0
+        for k in range(tasks):
+            p = packing.Packer(chosen, sum(rest), packing.SIZE, 0)
+            for i, x in enumerate(rest[k::tasks]):
+                p.add(i, x)
+            placed = list(p.place())
+            assert len({x[0] for x in placed}) == len(placed)
+            took += p.by_patterns
+        assert took >= 0.9 * sum(rest)
+
+
+def test_documents_that_fit_nowhere_are_cut(monkeypatch):
+    p = packing.Packer([], 0, 16, 5)
+    for i in range(10):
+        p.add(i, 11)
+    assert list(p.place()) == []
+    pieces = list(p.cut())
+    by = defaultdict(int)
+    for _, _, n, sequence, offset in pieces:
+        assert offset == by[sequence]
+        by[sequence] += n
+    assert list(by.values()) == [16] * 6 + [8, 4, 2] and p.next == 14 and list(p.cut()) == []
+
+
 # ---- 4 quality rules
 
 
