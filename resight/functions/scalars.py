@@ -138,6 +138,11 @@ def verdict(top1: ColumnOrName, top2: ColumnOrName, known_from: float = 70.0, ma
     return F.when(first.isNull() | (first < new_below), "new").when((first >= known_from) & (F.round(first - second, 1) >= margin), "known").otherwise("review")
 
 
+def base64_of(content: ColumnOrName) -> Column:
+    """Base64 in one line, as a data URI takes it."""
+    return F.regexp_replace(F.base64(_c(content)), r"\s", "")
+
+
 def hamming_hex(a: ColumnOrName, b: ColumnOrName) -> Column:
     """Differing bits of two hashes of 16 hex digits. Halves, as 64 bits with the top one set don't fit a signed cast."""
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from resight.operators.ranking import latest_per_individual
+from resight.functions import scalars as S
+from resight.operators.catalog import session_name
+from resight.operators.openset import quantiles
+from resight.operators.ranking import top_k
 from resight.operators.scoring import pooled
+from resight.scratch import written
 
 
 def fit(scores: DataFrame, low: float = 0.9, high: float = 0.8) -> DataFrame:
@@ -15,26 +21,45 @@ def fit(scores: DataFrame, low: float = 0.9, high: float = 0.8) -> DataFrame:
     lo is a high percentile of each probe's best wrong individual, hi one of its own; hi is above lo.
     """
     best = scores.groupBy("probe_id", "truth").agg(F.max(F.when(F.col("individual_id") == F.col("truth"), F.col("score"))).alias("genuine"), F.max(F.when(F.col("individual_id") != F.col("truth"), F.col("score"))).alias("impostor"))
-    out = best.agg(F.percentile("impostor", low).alias("lo"), F.percentile("genuine", high).alias("hi"), F.count("genuine").alias("n_genuine"), F.count("impostor").alias("n_impostor"))
+    best = written(best, "best")
+    ends = quantiles(best, {"lo": ("impostor", low), "hi": ("genuine", high)})
+    out = ends.crossJoin(best.agg(F.count("genuine").alias("n_genuine"), F.count("impostor").alias("n_impostor")))  # of one row each
     return out.select(F.round("lo").alias("lo"), F.greatest(F.round("hi"), F.round("lo") + 1).alias("hi"), "n_genuine", "n_impostor")
 
 
-def fit_on_latest(frames: DataFrame, **scoring: object) -> DataFrame:
-    """The latest frame of each individual against all other frames."""
-    latest = frames.join(latest_per_individual(frames).select("frame_id"), "frame_id", "left_semi")
-    return fit(pooled(latest, frames, strictly_earlier=False, **scoring))
+def fit_on_latest(frames: DataFrame, k: int = 5, scale: float = 1.0, **scoring: object) -> DataFrame:
+    """Of each individual with two dates the first frame of the latest, against all frames of other sessions; its best k
+    individuals count. Scores are multiplied by scale, as lo and hi are whole numbers."""
+    days = frames.filter(S.missing("date").isNotNull()).groupBy("individual_id").agg(F.max("date").alias("date"), F.min("date").alias("_first")).filter("date <> _first")
+    asked = frames.join(days.select("individual_id", "date"), ["individual_id", "date"], "left_semi").groupBy("individual_id").agg(F.min("frame_id").alias("frame_id"))
+    named = frames.withColumns({"_session": session_name(), "tkey": F.lit(None).cast("long")})
+    scores = pooled(named.join(asked, ["individual_id", "frame_id"], "left_semi"), named, strictly_earlier=False, apart="_session", **scoring)
+    return fit(top_k(scores, k).withColumn("score", F.round(F.col("score") * scale, 6)))
 
 
-def sampled_pairs(frames: DataFrame, n: int = 60, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(genuine, impostor) pairs a, b for a fallback calibration: of one individual on two dates, and of two individuals.
+def genuine_pairs(frames: DataFrame, most: int | None = None, seed: int = 42) -> DataFrame:
+    """a, b: pairs of frames of one individual on different dates, the earlier first; `most` of them by a hash, if given."""
+    dated = frames.filter(S.missing("date").isNotNull())
+    left, right = (dated.select("individual_id", F.col("date").alias(f"{x}_date"), F.col("frame_id").alias(x)) for x in ("a", "b"))
+    pairs = left.join(right, "individual_id").filter("a_date < b_date").select("a", "b")
+    return pairs if most is None else pairs.orderBy(F.xxhash64("a", "b", F.lit(seed)), "a", "b").limit(most)
 
-    Sampling is by a hash of the frame, so it doesn't depend on how rows are dealt. Genuine pairs take each
-    individual's first and last date, so an individual of many frames gives one pair.
-    """
-    dated = frames.filter("date is not null")
-    ends = dated.groupBy("individual_id").agg(F.min(F.struct("date", "frame_id")).alias("a"), F.max(F.struct("date", "frame_id")).alias("b")).filter("a.date < b.date")
-    genuine = ends.orderBy(F.xxhash64("individual_id", F.lit(seed)), "individual_id").limit(n).select(F.col("a.frame_id").alias("a"), F.col("b.frame_id").alias("b"))
-    some = frames.groupBy("individual_id").agg(F.min("frame_id").alias("f")).orderBy(F.xxhash64("individual_id", F.lit(seed + 1)), "individual_id").limit(2 * n)
-    numbered = some.select("f", F.row_number().over(Window.orderBy("f")).alias("k"))  # at most 2 n rows
-    impostor = numbered.filter("k % 2 = 1").select(F.col("f").alias("a"), F.col("k")).join(numbered.select(F.col("f").alias("b"), (F.col("k") - 1).alias("k")), "k").select("a", "b")
-    return genuine, impostor
+
+def impostor_pairs(frames: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """a, b: n pairs of frames of different individuals, by a hash of the frame, so they don't depend on how rows are dealt."""
+    some = frames.select("individual_id", "frame_id").orderBy(F.xxhash64("frame_id", F.lit(seed)), "frame_id").limit(4 * n)  # bounded by n
+    numbered = some.select("*", F.row_number().over(Window.orderBy(F.xxhash64("frame_id", F.lit(seed)), "frame_id")).alias("k"))
+    right = numbered.select(F.col("individual_id").alias("other"), F.col("frame_id").alias("b"), (F.col("k") - 1).alias("k"))
+    return numbered.join(right, "k").filter("individual_id <> other").orderBy("k").limit(n).select(F.col("frame_id").alias("a"), "b")
+
+
+def fit_on_pairs(frames: DataFrame, score: Callable[[object, object], float], payload: str, n: int = 500, seed: int = 42, low: float = 0.9, high: float = 0.75) -> DataFrame:
+    """lo, hi, n_genuine, n_impostor from the scores of sampled pairs, where there are no pooled scores; hi is above lo."""
+    rate = F.udf(lambda a, b: float(score(a, b)), "double")
+    sides = lambda pairs: pairs.join(frames.select(F.col("frame_id").alias("a"), F.col(payload).alias("pa")), "a").join(frames.select(F.col("frame_id").alias("b"), F.col(payload).alias("pb")), "b")
+    both = sides(genuine_pairs(frames, n, seed)).select(rate("pa", "pb").alias("genuine"), F.lit(None).cast("double").alias("impostor"))
+    both = written(both.unionByName(sides(impostor_pairs(frames, n, seed)).select(F.lit(None).cast("double").alias("genuine"), rate("pa", "pb").alias("impostor"))), "pairs")
+    ends = quantiles(both, {"lo": ("impostor", low), "hi": ("genuine", high)})
+    out = ends.crossJoin(both.agg(F.count("genuine").alias("n_genuine"), F.count("impostor").alias("n_impostor")))
+    lo, hi = F.coalesce("lo", F.lit(0.0)), F.coalesce("hi", F.lit(1.0))
+    return out.select(lo.alias("lo"), F.when(hi > lo, hi).otherwise(lo + 1).alias("hi"), "n_genuine", "n_impostor")

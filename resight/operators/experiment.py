@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resight.functions.stats import mcnemar, wilson
+from resight.scratch import written
 
 
 def all_methods(hits: dict[str, DataFrame]) -> DataFrame:
@@ -58,6 +59,24 @@ def grid(spark, **values: list) -> DataFrame:
     return spark.createDataFrame(rows, ["config_no", *names])
 
 
+def run_grid(spark, prepare, evaluate, values: dict[str, list], shared: list[str]) -> DataFrame:
+    """config_no, the settings, and what evaluate(prepared, **settings) gives in its one row, for all combinations.
+
+    prepare(**settings of `shared`) makes what settings beside these have in common; it is written once for each
+    combination of the shared ones, and every run of the others reads it.
+    """
+    out, cache = None, {}
+    for row in grid(spark, **values).orderBy("config_no").collect():  # a row for each combination
+        settings = row.asDict()
+        number = settings.pop("config_no")
+        key = tuple(settings[s] for s in shared)
+        if key not in cache:
+            cache[key] = written(prepare(**{s: settings[s] for s in shared}), "grid")
+        made = evaluate(cache[key], **settings).select(F.lit(number).alias("config_no"), *[F.lit(v).alias(k) for k, v in settings.items()], "*")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
 def threshold_sweep(rows: DataFrame, quality: str, hit: str, thresholds: list[float], least: int = 5) -> DataFrame:
     """t, n, recall of the rows whose quality is at least t or unknown, for thresholds with enough rows.
 

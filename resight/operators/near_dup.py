@@ -1,9 +1,9 @@
-"""Near-duplicate audit: pairs of 64-bit perceptual hashes within a Hamming distance, by a banded equi-join.
+"""Near-duplicate audit: pairs of 64-bit perceptual hashes within a Hamming distance, by an equi-join on parts of them.
 
-By the pigeonhole principle, hashes within `most` bits have a band
-with at most most // bands differing bits. Each hash emits, for each band, the band's value and all values within
-that many bits; its counterparts emit the plain value. Equal hashes are collapsed first, so that a large group of
-copies is one row in the join.
+A hash is cut into parts. Two hashes within `most` bits agree in all parts but `most` at least, so they share the key
+of some choice of parts - most of them. Keys are long (21 bits of 64 for nine parts, more for more hashes), so few
+others meet. Equal hashes are collapsed first: the result is pairs of different hashes, beside which hash each frame
+has, and a large group of copies is one row in the join.
 """
 
 from __future__ import annotations
@@ -13,46 +13,51 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from resight.scratch import written
+
 MOST = 6
-BANDS = 4
+#: Numbers of hashes up to which so many parts beyond `most` must agree; more of them make more and longer keys.
+SPARE = ((1_000_000, 3), (300_000_000, 4))
 
 
 def hash_halves(phash: str) -> tuple[Column, Column]:
     return tuple(F.conv(F.substring(phash, i, 8), 16, 10).cast("bigint") for i in (1, 9))
 
 
-def _bands(bands: int) -> Column:
-    """Array of (band number, value) of columns hi and lo (32 bits each)."""
-    if bands % 2 or 32 % (bands // 2):
-        raise ValueError("bands must divide the two halves evenly")
-    per, width = bands // 2, 64 // bands
-    parts = []
-    for h, half in enumerate(("hi", "lo")):
-        for k in range(per):
-            parts.append(F.struct(F.lit(h * per + k).alias("band"), F.shiftright(half, k * width).bitwiseAND((1 << width) - 1).alias("value")))
-    return F.array(*parts)
+def members(frames: DataFrame, phash: str = "phash", group: str = "cohort", frame: str = "path_rel") -> DataFrame:
+    """group, frame, hash: which hash each frame has; frames without one are left out."""
+    return frames.filter(F.length(phash) == 16).select(F.col(group), F.col(frame), F.lower(phash).alias("hash"))
+
+
+def _keys(h: Column, parts: int, spare: int) -> Column:
+    """The keys of all choices of `spare` parts of a 64-bit number."""
+    cuts = [64 * i // parts for i in range(parts + 1)]
+    pieces = [F.shiftrightunsigned(h, a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return F.array(*[F.xxhash64(F.lit(i), *[pieces[k] for k in chosen]) for i, chosen in enumerate(combinations(range(parts), spare))])
 
 
-def near_classes(frames: DataFrame, phash: str = "phash", group: str = "cohort", most: int = MOST, bands: int = BANDS) -> DataFrame:
+def near_classes(frames: DataFrame, phash: str = "phash", group: str = "cohort", most: int = MOST) -> DataFrame:
     """group, a, b, dist: pairs a < b of different hashes of a group within `most` bits."""
-    width, spare = 64 // bands, most // bands
-    masks = [0, *[sum(1 << i for i in c) for r in range(1, spare + 1) for c in combinations(range(width), r)]]
-    hi, lo = hash_halves(phash)
+    hi, lo = hash_halves("h")
     distinct = frames.filter(F.length(phash) == 16).select(F.col(group).alias("g"), F.lower(phash).alias("h")).distinct()
-    base = distinct.select("g", "h", *[c.alias(n) for c, n in zip(hash_halves("h"), ("hi", "lo"), strict=True)]).withColumn("x", F.explode(_bands(bands)))
-    plain = base.select("g", F.col("x.band").alias("band"), F.col("x.value").alias("value"), F.col("h").alias("b"), F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"))
-    wide = base.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks]))).select("g", F.col("x.band").alias("band"), F.col("x.value").bitwiseXOR(F.col("mask")).alias("value"), F.col("h").alias("a"), F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"))
-    dist = F.bit_count(F.col("a_hi").bitwiseXOR(F.col("b_hi"))) + F.bit_count(F.col("a_lo").bitwiseXOR(F.col("b_lo")))
-    return wide.join(plain, ["g", "band", "value"]).filter("a < b").withColumn("dist", dist).filter(F.col("dist") <= most).select(F.col("g").alias(group), "a", "b", "dist").distinct()
+    distinct = written(distinct.select("g", F.shiftleft(hi, 32).bitwiseOR(lo).alias("x")), "hashes")
+    n = distinct.count()
+    spare = next((s for limit, s in SPARE if n <= limit), 5)
+    keyed = distinct.select("g", "x", F.explode(_keys(F.col("x"), most + spare, spare)).alias("key"))
+    a, b = (keyed.select("g", "key", F.col("x").alias(c)) for c in "ab")
+    dist = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    pairs = a.join(b, ["key", "g"]).filter("a < b").select("g", "a", "b", dist.alias("dist")).filter(F.col("dist") <= most).distinct()
+    text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return pairs.select(F.col("g").alias(group), F.least(text("a"), text("b")).alias("a"), F.greatest(text("a"), text("b")).alias("b"), F.col("dist").cast("int").alias("dist"))
 
 
-def near_pairs(frames: DataFrame, phash: str = "phash", group: str = "cohort", most: int = MOST, bands: int = BANDS) -> DataFrame:
+def near_pairs(frames: DataFrame, phash: str = "phash", group: str = "cohort", most: int = MOST) -> DataFrame:
     """The audit's report: cohort, dist, a, b (paths, a < b), same_individual, for frames of different bytes.
 
-    Lists every pair of frames, equal hashes too: use near_classes where copies may be many.
+    Lists every pair of frames, equal hashes too: use near_classes and members where copies may be many.
     """
     own = frames.filter(F.length(phash) == 16).select(F.col(group).alias("g"), F.lower(phash).alias("h"), "path_rel", "md5", "individual_id")
-    links = near_classes(frames, phash, group, most, bands).select(F.col(group).alias("g"), "a", "b", "dist")
+    links = near_classes(frames, phash, group, most).select(F.col(group).alias("g"), "a", "b", "dist")
     links = links.unionByName(own.select("g", F.col("h").alias("a"), F.col("h").alias("b"), F.lit(0).alias("dist")).distinct())
     left, right = (own.select("g", F.col("h").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("path_rel", "md5", "individual_id")]) for s in ("a", "b"))
     both = links.join(left, ["g", "a"]).join(right, ["g", "b"]).filter(F.col("a_md5") != F.col("b_md5")).filter((F.col("a") != F.col("b")) | (F.col("a_path_rel") < F.col("b_path_rel")))

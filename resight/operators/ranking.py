@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KS = (1, 5, 10)
@@ -55,3 +55,13 @@ def diverse_best(pairs: DataFrame, one_month: int = 4, two_months: int = 3, most
     middle = best.orderBy(*order).limit(n // 2 + 1).orderBy("score", F.desc("individual_id")).limit(1)
     chosen = best.filter("interval_months = 1").orderBy(*order).limit(one_month).unionByName(best.filter("interval_months = 2").orderBy(*order).limit(two_months)).unionByName(middle)
     return chosen.dropDuplicates(["individual_id"]).orderBy(*order).limit(most)
+
+
+def first_occurrences(values: Column | str, among: Column | str) -> Column:
+    """The first occurrence of each value of an array, in order, of those that are among another's."""
+    return F.array_intersect(F.array_distinct(values), among)
+
+
+def seeded_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows by a hash of their key and the seed, then by the key: however rows are dealt, they are the same."""
+    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)

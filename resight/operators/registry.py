@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resight.functions import scalars as S
 from resight.schema import REGISTRY, ROLES, SPECIES
+from resight.scratch import written
 
 
 def union_cohorts(*cohorts: DataFrame) -> DataFrame:
@@ -16,6 +17,13 @@ def union_cohorts(*cohorts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), cohorts)
 
 
+def union_distinct(key: str, *tables: DataFrame) -> DataFrame:
+    """Tables under the union of their columns, one row of each key; of rows that differ, the least."""
+    rows = union_cohorts(*tables)
+    columns = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min(F.struct(*columns)).alias("_row")).select(key, "_row.*")
+
+
 def with_identity(frames: DataFrame) -> DataFrame:
     """individual_id in one namespace, species and role of the cohort."""
     return frames.withColumns({"individual_id": S.individual_id("cohort", "local_id"), "species": S.lookup("cohort", SPECIES), "role": S.lookup("cohort", ROLES)})
@@ -45,19 +53,23 @@ def exact_dedup(frames: DataFrame, digest: str = "md5", path: str = "path_rel")
     return kept, marked.filter(F.col(path) != F.col("keep")).select(F.col(path).alias("drop"), "keep")
 
 
-def with_frame_ids(frames: DataFrame) -> DataFrame:
-    """F00000, F00001... in the order of cohort, individual, date, path.
+def numbered(rows: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """Adds the number of each row in order, from 0 and without gaps.
 
-    Ranges are sorted in parallel; numbers within a range are shifted by the ranges before it, whose counts are the
-    only thing that meets in one place (a row for each range).
+    Ranges are sorted in parallel and written with their numbers, so that a row's range is settled before ranges are
+    counted; the counts are the only thing that meets in one place (a row for each range).
     """
-    order = ["cohort", "individual_id", F.col("date").asc_nulls_last(), "path_rel"]
-    ranged = frames.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    ranged = ranged.withColumns({"_part": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND((1 << 33) - 1)})
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ranged = written(ranged.select("*", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_row")).drop("_id"), "numbered")
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    numbered = ranged.join(before, "_part").withColumn("frame_id", F.format_string("F%05d", F.col("_before") + F.col("_row")))
-    return numbered.drop("_id", "_part", "_row", "_n", "_before")
+    return ranged.join(F.broadcast(before), "_part", "left").withColumn(name, F.col("_before") + F.col("_row")).drop("_part", "_row", "_before")
+
+
+def with_frame_ids(frames: DataFrame) -> DataFrame:
+    """F00000, F00001... in the order of cohort, individual, date, path."""
+    rows = numbered(frames, ["cohort", "individual_id", F.col("date").asc_nulls_last(), "path_rel"], "_number")
+    return rows.withColumn("frame_id", F.format_string("F%05d", "_number")).drop("_number")
 
 
 def to_registry(frames: DataFrame) -> DataFrame:
@@ -79,7 +91,9 @@ def sessions_histogram(registry: DataFrame) -> DataFrame:
 
 def photos_per_individual(registry: DataFrame) -> DataFrame:
     sizes = registry.groupBy("cohort", "individual_id").agg(F.count("*").alias("n"))
-    return sizes.groupBy("cohort").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.avg("n").alias("mean"), F.percentile("n", 0.5).alias("median"))
+    # numbers of individuals by number of photos: the median is exact and its task holds distinct numbers only
+    counts = sizes.groupBy("cohort", "n").agg(F.count("*").alias("individuals"))
+    return counts.groupBy("cohort").agg(F.min("n").alias("least"), F.max("n").alias("most"), (F.sum(F.col("n") * F.col("individuals")) / F.sum("individuals")).alias("mean"), F.percentile("n", 0.5, F.col("individuals")).alias("median"))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

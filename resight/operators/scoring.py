@@ -1,9 +1,11 @@
 """Scores of probes against references, pooled by individual, without a pair table.
 
-Rows are packed into blocks, and blocks meet: one Arrow call scores a block of probes against a block of references
-with one matrix product, drops what time or self-exclusion forbids, and keeps the best reference of each individual.
-So a pair of blocks leaves one row for each probe and individual at most, and these are pooled again after a shuffle
-by probe. Blocks have a fixed number of rows, whatever an individual's or a group's share.
+Rows are sorted by group and time and written as tiles of up to TILE rows of one group, with the least and greatest
+time of each. Tiles whose times allow a comparison meet; one Arrow call scores a tile of probes against a tile of
+references by matrix products of BLOCK rows, drops what time or self-exclusion forbids, and keeps the best reference
+of each individual. So a pair of tiles leaves one row for each probe and individual at most, and these are pooled
+again after a shuffle by probe. A tile is sent once to each counterpart that its time allows: n * n / TILE rows at
+most, and a small fraction of that where few tiles are earlier.
 """
 
 from __future__ import annotations
@@ -11,86 +13,144 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Rows of a block.
-BLOCK = 512
+from resight.scratch import written
+
+#: Rows of a tile, and of a matrix product.
+TILE, BLOCK = 4096, 256
 #: Decimals that scores are compared at, so that ties don't depend on the order of sums.
 DECIMALS = 6
-#: probes and references, each with id, individual, time and payload -> matrix of scores
-ScoreBlock = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
+#: payloads of probes and of references -> matrix of scores
+ScoreBlock = Callable[[pa.Array, pa.Array], np.ndarray]
+_COLUMNS = ("id", "individual", "time", "payload", "own")
+
 
+def _unit(x: pa.Array) -> np.ndarray:
+    m = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1)
+    n = np.sqrt(np.square(m).sum(1, keepdims=True))
+    return m / np.where(n > 0, n, 1.0)
 
-def cosine_block(probes: pd.DataFrame, refs: pd.DataFrame) -> np.ndarray:
-    def unit(x: pd.Series) -> np.ndarray:
-        m = np.stack([np.asarray(v, np.float64) for v in x])
-        n = np.sqrt(np.square(m).sum(1, keepdims=True))
-        return m / np.where(n > 0, n, 1.0)
 
-    return unit(probes["payload"]) @ unit(refs["payload"]).T
+def cosine_block(probes: pa.Array, refs: pa.Array) -> np.ndarray:
+    return _unit(probes) @ _unit(refs).T
 
 
 def pairwise(score: Callable[[object, object], float]) -> ScoreBlock:
     """A block scorer from a scorer of two payloads."""
-    return lambda p, r: np.array([[score(a, b) for b in r["payload"]] for a in p["payload"]], np.float64).reshape(len(p), len(r))
 
+    def block(probes: pa.Array, refs: pa.Array) -> np.ndarray:
+        left, right = probes.to_pylist(), refs.to_pylist()
+        return np.array([[score(a, b) for b in right] for a in left], np.float64).reshape(len(left), len(right))
+
+    return block
 
-def _blocks(df: DataFrame, prefix: str, frame: str, individual: str, time: str, payload: str, group: str | None, own: str | None, rows: int, block: int) -> DataFrame:
-    n = max(1, -(-rows // block))
-    item = F.struct(F.col(frame).alias("id"), F.col(individual).alias("individual"), F.col(time).cast("long").alias("time"), F.col(payload).alias("payload"), (F.col(own) if own else F.lit(None)).cast("string").alias("own"))
-    key = F.col(group) if group else F.lit(0)
-    return df.groupBy(key.alias("g"), F.pmod(F.xxhash64(frame), F.lit(n)).alias(f"{prefix}_block")).agg(F.collect_list(item).alias(prefix))
+
+def _tiles(df: DataFrame, frame: str, individual: str, time: str, payload: str, group: str | None, own: str | None, tile: int, label: str) -> DataFrame:
+    """A table of g, tile, low, high (times), and a list of each of _COLUMNS."""
+    g = (F.col(group) if group else F.lit(0)).cast("string").alias("g")
+    rows = df.select(g, F.col(frame).alias("id"), F.col(individual).alias("individual"), F.col(time).cast("long").alias("time"), F.col(payload).alias("payload"), (F.col(own) if own else F.lit(None)).cast("string").alias("own"))
+    order = ["g", F.col("time").asc_nulls_last(), "id"]
+    schema = "g string, tile long, low long, high long, " + ", ".join(f"{c} array<{rows.schema[c].dataType.simpleString()}>" for c in _COLUMNS)
+    kinds = [pa.list_(to_arrow_type(rows.schema[c].dataType)) for c in _COLUMNS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        n, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def flush() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            times = pc.min_max(whole.column("time"))
+            lists = [pa.ListArray.from_arrays(pa.array([0, whole.num_rows], pa.int32()), pa.concat_arrays(whole.column(c).chunks)).cast(k) for c, k in zip(_COLUMNS, kinds, strict=True)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([whole.column("g").chunk(0)[:1], pa.array([n]), pa.array([times["min"].as_py()], pa.int64()), pa.array([times["max"].as_py()], pa.int64()), *lists], names=["g", "tile", "low", "high", *_COLUMNS])
+
+        for batch in batches:
+            keys, at = batch.column(0).to_pylist(), 0
+            while at < batch.num_rows:
+                if held and (size >= tile or held[0].column(0)[0].as_py() != keys[at]):
+                    yield flush()
+                    n, size = n + 1, 0
+                stop = min(batch.num_rows, at + tile - size)
+                while keys[stop - 1] != keys[at]:  # sorted by group
+                    stop -= 1
+                held.append(batch.slice(at, stop - at))
+                size, at = size + stop - at, stop
+        if held:
+            yield flush()
+
+    return written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema), label)
+
+
+def _meet(p: list[pa.Array], r: list[pa.Array], score: ScoreBlock, strictly_earlier: bool, apart: bool, itself: bool, decimals: int) -> Iterator[tuple[pa.Array, ...]]:
+    """(probe ids, their individuals, individuals, scores, reference ids) of the best references, by blocks of probes."""
+    order = pc.sort_indices(pa.table([r[1], r[0]], names=["who", "id"]), sort_keys=[("who", "ascending"), ("id", "ascending")])
+    ids, who, times, payload, own = (x.take(order) for x in r)
+    codes = who.dictionary_encode().indices.fill_null(-1).to_numpy()
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1])
+    lengths = np.diff(np.append(starts, len(codes)))
+    first = who.take(pa.array(starts))
+    places = np.arange(len(codes))
+    if itself:
+        same = pa.concat_arrays([p[0], ids]).dictionary_encode().indices.to_numpy()
+        left_id, right_id = same[: len(p[0])], same[len(p[0]) :]
+    if apart:
+        same = pa.concat_arrays([p[4], own]).dictionary_encode().indices.fill_null(-1).to_numpy()
+        left_own, right_own = same[: len(p[0])], same[len(p[0]) :]
+    if strictly_earlier:
+        left_time, right_time = p[2].to_numpy(zero_copy_only=False).astype(np.float64), times.to_numpy(zero_copy_only=False).astype(np.float64)
+    for at in range(0, len(p[0]), BLOCK):
+        part = slice(at, at + BLOCK)
+        s = np.round(score(p[3][part], payload), decimals)
+        forbidden = np.zeros(s.shape, bool)
+        if itself:
+            forbidden |= left_id[part, None] == right_id
+        if strictly_earlier:
+            with np.errstate(invalid="ignore"):
+                forbidden |= ~(right_time < left_time[part, None])
+        if apart:
+            forbidden |= (left_own[part, None] == right_own) & (left_own[part, None] >= 0)
+        s[forbidden] = -np.inf
+        best = np.maximum.reduceat(s, starts, axis=1)
+        place = np.minimum.reduceat(np.where(s == np.repeat(best, lengths, axis=1), places, len(places)), starts, axis=1)
+        row, column = np.nonzero(best > -np.inf)
+        if len(row):
+            probe = pa.array(row + at)
+            yield p[0].take(probe), p[1].take(probe), first.take(pa.array(column)), pa.array(best[row, column]), ids.take(pa.array(place[row, column]))
 
 
 def pooled(
     probes: DataFrame, refs: DataFrame, payload: str = "emb", frame: str = "frame_id", individual: str = "individual_id", time: str = "tkey", group: str | None = None,
-    strictly_earlier: bool = True, apart: str | None = None, score: ScoreBlock = cosine_block, block: int = BLOCK, decimals: int = DECIMALS,
+    strictly_earlier: bool = True, apart: str | None = None, itself: bool = True, score: ScoreBlock = cosine_block, tile: int = TILE, decimals: int = DECIMALS,
 ) -> DataFrame:
     """probe_id, truth, individual_id, score, ref_id: for each probe and individual its best reference (highest score,
-    then smallest id). References with null time are never earlier. group: compare within its values only. apart: a column of both;
-    rows with the same value of it are not compared."""
-    n_left, n_right = probes.count(), refs.count()
-    left = _blocks(probes, "p", frame, individual, time, payload, group, apart, n_left, block)
-    right = _blocks(refs, "r", frame, individual, time, payload, group, apart, n_right, block)
-    # each block is sent to its counterparts: pairs of blocks are spread over all tasks, whatever a group's share
-    left = left.withColumn("r_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, -(-n_right // block) - 1)).cast("long"))))
-    right = right.withColumn("p_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, -(-n_left // block) - 1)).cast("long"))))
-    id_type, own_type = probes.schema[frame].dataType, refs.schema[individual].dataType
-    schema = f"probe_id {id_type.simpleString()}, truth {own_type.simpleString()}, individual_id {own_type.simpleString()}, score double, ref_id {id_type.simpleString()}"
-    arrow = pa.schema([("probe_id", to_arrow_type(id_type)), ("truth", to_arrow_type(own_type)), ("individual_id", to_arrow_type(own_type)), ("score", pa.float64()), ("ref_id", to_arrow_type(id_type))])
+    then smallest id). References with null time are never earlier. group: compare within its values only. apart: a
+    column of both; rows with the same value of it are not compared. itself: a frame is not compared with itself, that
+    is with a reference of its id; turned off where probes have ids of their own."""
+    left = _tiles(probes, frame, individual, time, payload, group, apart, tile, "probes")
+    right = _tiles(refs, frame, individual, time, payload, group, apart, tile, "refs")
+    side = lambda df, x: df.select(F.col("tile").alias(f"{x}_tile"), *[F.col(c).alias(f"{x}_{c}") for c in _COLUMNS])
+    pairs = left.select("g", F.col("tile").alias("p_tile"), F.col("high").alias("p_high")).join(right.select("g", F.col("tile").alias("r_tile"), F.col("low").alias("r_low")), "g")
+    if strictly_earlier:
+        pairs = pairs.filter("r_low < p_high")
+    id_type, ref_type, own_type = probes.schema[frame].dataType, refs.schema[frame].dataType, refs.schema[individual].dataType
+    schema = f"probe_id {id_type.simpleString()}, truth {own_type.simpleString()}, individual_id {own_type.simpleString()}, score double, ref_id {ref_type.simpleString()}"
+    kinds = pa.schema([("probe_id", to_arrow_type(id_type)), ("truth", to_arrow_type(own_type)), ("individual_id", to_arrow_type(own_type)), ("score", pa.float64()), ("ref_id", to_arrow_type(ref_type))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(_COLUMNS)
         for batch in batches:
             for i in range(batch.num_rows):
-                p, r = (pd.DataFrame(batch.column(k)[i].as_py()) for k in (0, 1))
-                s = np.round(score(p, r), decimals)
-                allowed = p["id"].to_numpy()[:, None] != r["id"].to_numpy()[None, :]
-                if strictly_earlier:
-                    pt, rt = (x["time"].to_numpy(np.float64, na_value=np.nan) for x in (p, r))
-                    with np.errstate(invalid="ignore"):
-                        allowed &= rt[None, :] < pt[:, None]
-                if apart:
-                    codes = pd.factorize(pd.concat([p["own"], r["own"]]))[0]
-                    left_own, right_own = codes[: len(p)], codes[len(p) :]
-                    allowed &= (left_own[:, None] != right_own[None, :]) | (left_own[:, None] < 0)
-                r = r.reset_index(drop=True)
-                out = []
-                order = np.argsort(r["id"].to_numpy(), kind="stable")
-                own = pd.Series(order, index=order).groupby(r["individual"].to_numpy()[order], sort=True)
-                masked = np.where(allowed, s, -np.inf)
-                for who, at in own:
-                    at = at.to_numpy()
-                    best = at[np.argmax(masked[:, at], axis=1)]
-                    top = masked[np.arange(len(p)), best]
-                    ok = np.flatnonzero(top > -np.inf)
-                    out += [(p["id"].iat[k], p["individual"].iat[k], who, float(top[k]), r["id"].iat[best[k]]) for k in ok]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
-
-    made = left.join(right, ["g", "p_block", "r_block"]).select("p", "r").mapInArrow(run, schema)
+                p, r = ([batch.column(k + at)[i].values for k in range(n)] for at in (0, n))
+                for made in _meet(p, r, score, strictly_earlier, apart is not None, itself, decimals):
+                    yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(made, kinds.types, strict=True)], schema=kinds)
+
+    both = pairs.join(side(left, "p"), "p_tile").join(side(right, "r"), "r_tile")
+    made = both.select(*[f"{x}_{c}" for x in "pr" for c in _COLUMNS]).mapInArrow(run, schema)
     best = F.min(F.struct((-F.col("score")).alias("s"), "ref_id"))
     return made.groupBy("probe_id", "truth", "individual_id").agg(best.alias("b")).select("probe_id", "truth", "individual_id", (-F.col("b.s")).alias("score"), F.col("b.ref_id").alias("ref_id"))

@@ -1,22 +1,28 @@
 """Sealed folds: a manifest with a digest over the sealed frames, a guard before any read, and the one-time unseal.
 
 The manifest is a small JSON document that is read and written through Spark, so it may lie in any store that Spark
-reads. The digest is a SHA-256 over "frame_id:md5" of all sealed frames in order; it is one sequential hash, so the
-number of frames is checked before they meet in one task.
+reads. The digest is a SHA-256 over "frame_id:md5" of all sealed frames in order: ranges are sorted in parallel and
+pass through the hash one after the other, so nowhere more than one of them is held. The ids stand in the manifest
+while they are few; the digest covers them in any case.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from resight.scratch import written
+from resight.sources.tables import upsert
+
 SEALED_FOLDS = ("test",)
-#: Frames of one digest.
-MOST_FRAMES = 5_000_000
+#: Frames whose ids stand in the manifest.
+LISTED = 100_000
 
 
 class SealedError(RuntimeError):
@@ -39,10 +45,15 @@ class Manifest:
 
 def digest(frames: DataFrame) -> DataFrame:
     """One row: sha256, n_sealed, n_individuals."""
-    entry = F.concat_ws(":", "frame_id", "md5")
-    return frames.agg(F.count("*").alias("n_sealed"), F.count_distinct("individual_id").alias("n_individuals"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frame_id", entry.alias("e")))), lambda s: s.e), "|").alias("_all")).select(
-        F.sha2("_all", 256).alias("sha256"), "n_sealed", "n_individuals"
-    )
+    ordered = written(frames.select("frame_id", F.concat_ws(":", "frame_id", "md5").alias("e")).repartitionByRange("frame_id").sortWithinPartitions("frame_id", "e").withColumn("part", F.spark_partition_id()), "sealed")
+    sha, between = hashlib.sha256(), b""
+    for k in [r[0] for r in ordered.select("part").distinct().orderBy("part").collect()]:  # a row for each range
+        # a range of a sorted table, in the order it was written in
+        for row in ordered.filter(F.col("part") == k).sort("frame_id", "e").toLocalIterator():
+            sha.update(between + row["e"].encode())
+            between = b"|"
+    counts = frames.agg(F.count("*").alias("n_sealed"), F.count_distinct("individual_id").alias("n_individuals"))
+    return counts.select(F.lit(sha.hexdigest()).alias("sha256"), "n_sealed", "n_individuals")
 
 
 def sealed_frames(splits: DataFrame, registry: DataFrame, folds: tuple[str, ...] = SEALED_FOLDS) -> DataFrame:
@@ -52,10 +63,9 @@ def sealed_frames(splits: DataFrame, registry: DataFrame, folds: tuple[str, ...]
 
 def seal(splits: DataFrame, registry: DataFrame, folds: tuple[str, ...] = SEALED_FOLDS, note: str = "") -> Manifest:
     frames = sealed_frames(splits, registry, folds)
-    if frames.limit(MOST_FRAMES + 1).count() > MOST_FRAMES:
-        raise SealedError(f"more than {MOST_FRAMES} frames for one digest; seal by cohort")
+    frames = written(frames, "sealed_frames")
     row = digest(frames).first()
-    ids = [r[0] for r in frames.select("frame_id").orderBy("frame_id").collect()]
+    ids = [r[0] for r in frames.select("frame_id").orderBy("frame_id").collect()] if row["n_sealed"] <= LISTED else []
     return Manifest(list(folds), row["n_sealed"], row["n_individuals"], ids, row["sha256"], note=note)
 
 
@@ -106,16 +116,29 @@ def unseal_once(manifest: Manifest, splits: DataFrame, registry: DataFrame, eval
     return result, opened(manifest, date)
 
 
-def rehearse(manifest: Manifest, splits: DataFrame, registry: DataFrame, files: DataFrame, path: str = "path_rel") -> dict[str, bool]:
-    """What can be checked before the unseal, without looking at results: digest, files, rows for all sealed ids."""
+def rehearse(manifest: Manifest, splits: DataFrame, registry: DataFrame, files: DataFrame, path: str = "path_rel", readable: Column | None = None, mask: Callable[[], object] | None = None, crops: DataFrame | None = None) -> dict[str, bool]:
+    """What can be checked before the unseal, without looking at results: digest, files, rows for all sealed ids.
+
+    readable: a condition on a row of files that can be opened. mask: segments one unsealed photo; two runs must agree.
+    crops: the manifest of crops, to which one dummy row of a sealed frame must be appended without repeating an id.
+    """
     own = sealed_frames(splits, registry, tuple(manifest.sealed_folds)).select("frame_id")
     paths = registry.join(own, "frame_id", "left_semi").select(path)
-    return {
+    there = files if readable is None else files.filter(readable)
+    out = {
         "not_opened": not manifest.opened,
         "digest": verify(manifest, splits, registry),
-        "files": paths.join(files.select(path), path, "left_anti").isEmpty(),
+        "files": paths.join(there.select(path), path, "left_anti").isEmpty(),
         "registered": own.join(registry, "frame_id", "left_anti").isEmpty(),
     }
+    if mask is not None:
+        out["mask_deterministic"] = bool(np.array_equal(np.asarray(mask()), np.asarray(mask())))
+    if crops is not None:
+        dummy = own.limit(1)
+        grown = upsert(crops, dummy).groupBy("frame_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+        kept = crops.join(dummy, "frame_id", "left_anti").count()
+        out["append"] = (grown["rows"] or 0) == kept + 1 and grown["most"] == 1
+    return out
 
 
 def final_record(reports: dict[str, dict], baselines: dict[str, dict], manifest: Manifest) -> dict:

@@ -15,8 +15,10 @@ from resight.functions import scalars as S
 from resight.functions.stats import mcnemar, wilson
 from resight.operators import calibration, catalog, experiment, gallery, gates, matching, metrics, near_dup, openset, ranking, registry, sealing, splits
 from resight.operators.scoring import pooled
+from resight.plans import workflows
 from resight.plans.proxy import FRAMES_SQL, REGISTRY_SQL, VECTORS_SQL, frames, pooled_sql, table, vectors
 from resight.plans.proxy import registry as proxy_registry
+from resight.scratch import written
 from resight.sources import cohorts, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,11 +182,22 @@ def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FIT = """best AS (SELECT probe_id, truth, max(score) FILTER (individual_id = truth) / 1000000.0 AS genuine, max(score) FILTER (individual_id <> truth) / 1000000.0 AS impostor FROM pooled GROUP BY 1, 2)"""
 
 
-@query(f"{_ROLLING}, {_FIT} SELECT round(quantile_cont(impostor, 0.9), 6) AS lo, round(quantile_cont(genuine, 0.8), 6) AS hi, count(genuine) AS n_genuine, count(impostor) AS n_impostor FROM best")
+_FITTED = "SELECT round(quantile_cont(impostor, 0.9)) AS lo, greatest(round(quantile_cont(genuine, 0.8)), round(quantile_cont(impostor, 0.9)) + 1) AS hi, count(genuine) AS n_genuine, count(impostor) AS n_impostor FROM best"
+
+
+@query(f"{_ROLLING}, {_FIT.replace(' / 1000000.0', '')} {_FITTED}")
 def confidence_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scaled = _rolling(spark, sf_dir)[0].withColumn("score", F.col("score") * 1e6)
-    fitted = scaled.groupBy("probe_id", "truth").agg(F.max(F.when(F.col("individual_id") == F.col("truth"), F.col("score"))).alias("genuine"), F.max(F.when(F.col("individual_id") != F.col("truth"), F.col("score"))).alias("impostor"))
-    return fitted.agg(F.round(F.percentile("impostor", 0.9) / 1e6, 6).alias("lo"), F.round(F.percentile("genuine", 0.8) / 1e6, 6).alias("hi"), F.count("genuine").alias("n_genuine"), F.count("impostor").alias("n_impostor"))
+    return calibration.fit(_rolling(spark, sf_dir)[0].withColumn("score", _micro()))
+
+
+@query(
+    f"""WITH {VECTORS_SQL}, days AS (SELECT individual_id, max(tkey) AS last FROM v GROUP BY 1 HAVING count(DISTINCT tkey) > 1), asked AS (SELECT min(frame_id) AS q FROM v JOIN days USING (individual_id) WHERE tkey = last GROUP BY individual_id),
+    {pooled_sql('p.frame_id IN (SELECT q FROM asked)', 'TRUE', 'NOT (r.individual_id = p.individual_id AND r.tkey = p.tkey)')},
+    best AS (SELECT probe_id, max(score) FILTER (individual_id = truth) AS genuine, max(score) FILTER (individual_id <> truth) AS impostor FROM pooled_ranked WHERE rank <= 5 GROUP BY 1) {_FITTED}"""
+)
+def calibration_on_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir).withColumns({"date": F.col("tkey").cast("string"), "session": F.lit(None).cast("string")})
+    return calibration.fit_on_latest(v, scale=1e6)
 
 
 def _open(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -319,14 +332,26 @@ def dedup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BITS = " + ".join(f"bit_count(xor(CAST('0x' || substr(a.phash, {i}, 8) AS BIGINT), CAST('0x' || substr(b.phash, {i}, 8) AS BIGINT)))" for i in (1, 9))
 
 
-@query(f"WITH {REGISTRY_SQL} SELECT a.cohort, CAST({_BITS} AS INTEGER) AS dist, least(a.path_rel, b.path_rel) AS a, greatest(a.path_rel, b.path_rel) AS b, a.individual_id = b.individual_id AS same_individual FROM registry a JOIN registry b ON a.cohort = b.cohort AND a.path_rel < b.path_rel AND a.md5 <> b.md5 WHERE {_BITS} <= 6")
+@query(f"WITH {REGISTRY_SQL}, h AS (SELECT DISTINCT cohort, phash FROM registry) SELECT a.cohort, a.phash AS a, b.phash AS b, CAST({_BITS} AS INTEGER) AS dist FROM h a JOIN h b ON a.cohort = b.cohort AND a.phash < b.phash WHERE {_BITS} <= 6")
 def near_dup_pairs_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different hashes; near_dup_members says which frames have them."""
+    return near_dup.near_classes(proxy_registry(spark, sf_dir))
+
+
+@query(f"WITH {REGISTRY_SQL} SELECT cohort, path_rel, phash AS hash FROM registry")
+def near_dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.members(proxy_registry(spark, sf_dir))
+
+
+@query(f"WITH {REGISTRY_SQL} SELECT a.cohort, CAST({_BITS} AS INTEGER) AS dist, least(a.path_rel, b.path_rel) AS a, greatest(a.path_rel, b.path_rel) AS b, a.individual_id = b.individual_id AS same_individual FROM registry a JOIN registry b ON a.cohort = b.cohort AND a.path_rel < b.path_rel AND a.md5 <> b.md5 WHERE {_BITS} <= 6")
+def near_dup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_pairs(proxy_registry(spark, sf_dir))
 
 
-@query(f"WITH {FRAMES_SQL} SELECT printf('F%05d', row_number() OVER (ORDER BY cohort, printf('%s-%03d', cohort, local_id), date NULLS LAST, path_rel) - 1) AS frame_id, path_rel FROM frames")
+@query(f"WITH {REGISTRY_SQL} SELECT printf('F%05d', row_number() OVER (ORDER BY cohort, individual_id, date NULLS LAST, path_rel) - 1) AS frame_id, cohort, individual_id, local_id, role, session, date, has_recapture, n_sessions, path_rel, md5, phash FROM registry")
 def sequential_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.with_frame_ids(registry.with_identity(frames(spark, sf_dir)).drop("frame_id")).select("frame_id", "path_rel")
+    numbered = registry.with_frame_ids(proxy_registry(spark, sf_dir).drop("frame_id"))
+    return registry.to_registry(numbered).select("frame_id", "cohort", "individual_id", "local_id", "role", "session", "date", "has_recapture", "n_sessions", "path_rel", "md5", "phash")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
@@ -336,7 +361,8 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY 1")
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.5), 6).alias("median"), F.round(F.percentile("value", 0.9), 6).alias("p90"))
+    found = workflows.latencies(table(spark, sf_dir, "events"), "event_type", "value")
+    return found.select("event_type", *[F.round(c, 6).alias(c) for c in ("mean", "median", "p90")])
 
 
 # ---- splits --------------------------------------------------------------------------------------------------------
@@ -357,9 +383,20 @@ def month_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.temporal_roles(proxy_registry(spark, sf_dir)).filter("split_role = 'probe'").groupBy("cohort", "interval_months").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"""{_ROLES} SELECT frame_id, split_role, CAST(interval_months AS DOUBLE) AS interval_months, CASE cohort WHEN 'PW' THEN 'aux' WHEN 'LAB' THEN 'aux' WHEN 'GCN' THEN 'train' ELSE CASE WHEN has_recapture THEN 'eval' ELSE 'distractor' END END AS pool,
+    1 AS folds, TRUE AS open_is_right, TRUE AS trained_is_right FROM roles"""
+)
 def split_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.to_splits(splits.build(proxy_registry(spark, sf_dir)))
+    """The whole table of splits but for what a hash that SQL lacks decides: dev or test, and who is new. Of these, that
+    an individual is in one fold, that new ones are of dev or test and lose their gallery, and who may be learned from."""
+    s = splits.to_splits(splits.build(proxy_registry(spark, sf_dir)))
+    folds = s.groupBy("individual_id").agg(F.count_distinct("split_fold").cast("int").alias("folds"))
+    evaluated = F.col("split_fold").isin("dev", "test")
+    role = F.when(F.col("split_role") == "open_excluded", "gallery").otherwise(F.col("split_role"))
+    open_right = F.when(F.col("is_open_new"), evaluated & (F.col("split_role") != "gallery")).otherwise(F.col("split_role") != "open_excluded")
+    trained = F.col("in_train_pool") == F.when(F.col("cohort") == "TK", F.col("split_fold") == "dev").otherwise(F.col("split_fold").isin("train", "aux"))
+    return s.join(folds, "individual_id").select("frame_id", role.alias("split_role"), "interval_months", F.when(evaluated, "eval").otherwise(F.col("split_fold")).alias("pool"), "folds", open_right.alias("open_is_right"), trained.alias("trained_is_right"))
 
 
 @query(f"{_ROLES} SELECT frame_id, CASE cohort WHEN 'PW' THEN 'aux' WHEN 'LAB' THEN 'aux' WHEN 'GCN' THEN 'train' ELSE CASE WHEN has_recapture THEN 'eval' ELSE 'distractor' END END AS pool, cohort IN ('PW', 'LAB', 'GCN') AS always_train FROM roles")
@@ -379,9 +416,9 @@ def order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proxy_registry(spark, sf_dir).select("frame_id", F.coalesce(S.order_key("date", "session"), F.lit(-1)).alias("strict_key"), S.order_key("date", "session", True).alias("legacy_key"), S.shot_key("date", "session").alias("shot"))
 
 
-@query(f"WITH {REGISTRY_SQL}, s AS (SELECT DISTINCT tkey FROM registry WHERE cohort = 'TK' AND tkey IS NOT NULL) SELECT tkey AS earlier, lead(tkey) OVER (ORDER BY tkey) AS later, CAST(row_number() OVER (ORDER BY tkey) AS INTEGER) AS session_no FROM s QUALIFY lead(tkey) OVER (ORDER BY tkey) IS NOT NULL")
+@query(f"WITH {REGISTRY_SQL}, s AS (SELECT DISTINCT tkey FROM registry WHERE tkey IS NOT NULL) SELECT tkey AS earlier, lead(tkey) OVER (ORDER BY tkey) AS later, CAST(row_number() OVER (ORDER BY tkey) AS INTEGER) AS session_no FROM s QUALIFY lead(tkey) OVER (ORDER BY tkey) IS NOT NULL")
 def session_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gallery.consecutive_sessions(splits.temporal_roles(proxy_registry(spark, sf_dir)).filter("cohort = 'TK'"))
+    return gallery.consecutive_sessions(splits.temporal_roles(proxy_registry(spark, sf_dir)))
 
 
 @query(
@@ -398,8 +435,24 @@ def lab_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- gates, seal, sinks --------------------------------------------------------------------------------------------
 
 
+def _faulty_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry with faults for every gate to find: rows by the number of their photo."""
+    key = F.substring("frame_id", 2, 8).cast("long")
+    return written(
+        proxy_registry(spark, sf_dir).withColumns({
+            "individual_id": F.when(key % 97 == 1, F.concat(F.lit("ZZ-"), "local_id")).otherwise(F.col("individual_id")), "has_recapture": F.when(key % 89 != 2, F.col("has_recapture")),
+            "role": F.when(key % 83 == 3, "target").otherwise(F.col("role")), "path_rel": F.when(key % 79 == 4, F.concat(F.lit("/"), "path_rel")).otherwise(F.col("path_rel")),
+        }), "faulty",
+    )
+
+
+_FAULTY = """faulty AS (SELECT * REPLACE (CASE WHEN key % 97 = 1 THEN 'ZZ-' || local_id ELSE individual_id END AS individual_id, CASE WHEN key % 89 <> 2 THEN has_recapture END AS has_recapture,
+    CASE WHEN key % 83 = 3 THEN 'target' ELSE role END AS role, CASE WHEN key % 79 = 4 THEN '/' || path_rel ELSE path_rel END AS path_rel) FROM (SELECT *, CAST(substr(frame_id, 2, 8) AS BIGINT) AS key FROM registry))"""
+
+
 @query(
-    f"""WITH {REGISTRY_SQL}, p AS (SELECT * FROM registry)
+    f"""WITH {REGISTRY_SQL}, {_FAULTY}, p AS (SELECT * FROM faulty),
+    h AS (SELECT a.path_rel, a.skey FROM p a JOIN p b ON a.cohort = b.cohort AND a.individual_id = b.individual_id AND a.path_rel < b.path_rel AND a.md5 <> b.md5 AND a.skey <> b.skey WHERE {_BITS} <= 6)
     SELECT name, n = 0 AS ok, CAST(n AS VARCHAR) AS detail FROM (
     SELECT 'namespace' AS name, count(*) FILTER (split_part(individual_id, '-', 1) NOT IN ('TK', 'PW', 'LAB', 'GCN')) AS n FROM p
     UNION ALL SELECT 'dates', count(*) FILTER (date IS NOT NULL AND NOT (CAST(substr(date, 1, 4) AS INTEGER) BETWEEN 2024 AND 2026)) FROM p
@@ -407,31 +460,66 @@ def lab_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'recapture_known', count(*) FILTER (role = 'target' AND has_recapture IS NULL) FROM p
     UNION ALL SELECT 'external', count(*) FILTER (cohort = 'GCN' AND role <> 'external') FROM p
     UNION ALL SELECT 'paths_relative', count(*) FILTER (path_rel LIKE '/%') FROM p
-    UNION ALL SELECT 'paths_exist', 0)
-    UNION ALL SELECT 'near_duplicates', FALSE, 'no evidence'"""
+    UNION ALL SELECT 'paths_exist', count(*) FILTER (key % 73 = 5) FROM p
+    UNION ALL SELECT 'near_duplicates', count(*) FROM h)"""
 )
 def gates_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = proxy_registry(spark, sf_dir)
-    return gates.registry_gates(r, files=r.select("path_rel"))
+    r = _faulty_registry(spark, sf_dir)
+    return gates.registry_gates(r, files=r.filter(F.substring("frame_id", 2, 8).cast("long") % 73 != 5).select("path_rel"), near_pairs=near_dup.near_pairs(r))
 
 
-@query("SELECT * FROM (VALUES ('one_fold', TRUE, '0'), ('train_test_disjoint', TRUE, '0'), ('dev_test_disjoint', TRUE, '0'), ('sessions_disjoint', TRUE, '0'), ('open_not_in_gallery', TRUE, '0'), ('deterministic', TRUE, '0'), ('manifest', TRUE, '')) t(name, ok, detail)")
+@query(
+    f"""WITH {REGISTRY_SQL}, t AS (SELECT * FROM registry WHERE cohort IN ('TK', 'PW')) SELECT name, TRUE AS ok, CASE name WHEN 'manifest' THEN '' ELSE CAST(n AS VARCHAR) END AS detail FROM (
+    SELECT 'one_fold' AS name, count(*) FILTER (individual_id IS NULL) AS n FROM t UNION ALL SELECT 'train_test_disjoint', 0 UNION ALL SELECT 'dev_test_disjoint', 0 UNION ALL SELECT 'sessions_disjoint', 0
+    UNION ALL SELECT 'open_not_in_gallery', 0 UNION ALL SELECT 'deterministic', 0 UNION ALL SELECT 'manifest', 0)"""
+)
 def gates_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = proxy_registry(spark, sf_dir)
-    s = splits.to_splits(splits.build(r))
+    """The gates pass on splits that were built; gates_split_faults has those that don't."""
+    r = written(proxy_registry(spark, sf_dir), "registry")
+    s = written(splits.to_splits(splits.build(r)), "splits")
     manifest = sealing.seal(s, r)
     return gates.split_gates(s, splits.to_splits(splits.build(r)), sealing.verify(manifest, s, r))
 
 
+_FAULTY_SPLITS = """s AS (SELECT frame_id, cohort, individual_id, date, session, tkey, CASE WHEN key % 53 = 1 THEN 'dev' WHEN local_id % 3 = 0 THEN 'test' WHEN local_id % 3 = 1 THEN 'dev' ELSE 'train' END AS split_fold,
+    CASE WHEN key % 2 = 0 THEN 'gallery' ELSE 'probe' END AS split_role, key % 31 = 3 AS is_open_new, local_id % 3 = 2 OR key % 47 = 2 AS in_train_pool, key FROM (SELECT *, CAST(substr(frame_id, 2, 8) AS BIGINT) AS key FROM registry))"""
+
+
+def _faulty_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, who = F.substring("frame_id", 2, 8).cast("long"), F.col("local_id")
+    fold = F.when(key % 53 == 1, "dev").when(who % 3 == 0, "test").when(who % 3 == 1, "dev").otherwise("train")
+    made = {"split_fold": fold, "split_role": F.when(key % 2 == 0, "gallery").otherwise("probe"), "is_open_new": key % 31 == 3, "in_train_pool": (who % 3 == 2) | (key % 47 == 2), "interval_months": F.lit(0.0)}
+    return written(splits.to_splits(proxy_registry(spark, sf_dir).withColumns(made)), "faulty")
+
+
+@query(
+    f"""WITH {REGISTRY_SQL}, {_FAULTY_SPLITS} SELECT name, n = 0 AS ok, CAST(n AS VARCHAR) AS detail FROM (
+    SELECT 'one_fold' AS name, count(*) AS n FROM (SELECT individual_id FROM s GROUP BY 1 HAVING count(DISTINCT split_fold) > 1)
+    UNION ALL SELECT 'train_test_disjoint', count(*) FROM (SELECT individual_id FROM s WHERE in_train_pool INTERSECT SELECT individual_id FROM s WHERE split_fold = 'test')
+    UNION ALL SELECT 'dev_test_disjoint', count(*) FROM (SELECT individual_id FROM s WHERE split_fold = 'dev' INTERSECT SELECT individual_id FROM s WHERE split_fold = 'test')
+    UNION ALL SELECT 'sessions_disjoint', count(*) FROM (SELECT individual_id, tkey FROM s GROUP BY ALL HAVING bool_or(split_role = 'gallery') AND bool_or(split_role = 'probe'))
+    UNION ALL SELECT 'open_not_in_gallery', count(*) FROM s WHERE is_open_new AND split_role = 'gallery'
+    UNION ALL SELECT 'deterministic', 2 * count(*) FROM s WHERE key % 61 = 7)
+    UNION ALL SELECT 'manifest', FALSE, ''"""
+)
+def gates_split_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _faulty_splits(spark, sf_dir)
+    r = written(proxy_registry(spark, sf_dir), "registry")
+    rebuilt = s.withColumn("split_fold", F.when(F.substring("frame_id", 2, 8).cast("long") % 61 == 7, "other").otherwise(F.col("split_fold")))
+    manifest = sealing.seal(s, r)
+    touched = r.withColumn("md5", F.when(F.col("frame_id") == manifest.frame_ids[0] if manifest.frame_ids else F.lit(True), "0").otherwise(F.col("md5")))
+    return gates.split_gates(s, rebuilt, sealing.verify(manifest, s, touched))
+
+
 @query(f"WITH {REGISTRY_SQL}, n AS (SELECT cohort, least(a, b) AS a, greatest(a, b) AS b, sa, sb FROM (SELECT a.cohort, a.path_rel AS a, b.path_rel AS b, a.skey AS sa, b.skey AS sb FROM registry a JOIN registry b ON a.cohort = b.cohort AND a.individual_id = b.individual_id AND a.path_rel < b.path_rel AND a.md5 <> b.md5 WHERE {_BITS} <= 6)) SELECT a, b FROM n WHERE sa <> sb")
 def cross_session_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = proxy_registry(spark, sf_dir)
     return gates.cross_session_pairs(r, near_dup.near_pairs(r))
 
 
-@query(f"WITH {REGISTRY_SQL} SELECT sha256(string_agg(frame_id || ':' || md5, '|' ORDER BY frame_id)) AS sha256, count(*) AS n_sealed, count(DISTINCT individual_id) AS n_individuals FROM registry WHERE cohort = 'PW'")
+@query(f"WITH {REGISTRY_SQL} SELECT sha256(string_agg(frame_id || ':' || md5, '|' ORDER BY frame_id)) AS sha256, count(*) AS n_sealed, count(DISTINCT individual_id) AS n_individuals FROM registry")
 def sealed_manifest_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sealing.digest(proxy_registry(spark, sf_dir).filter("cohort = 'PW'"))
+    return sealing.digest(proxy_registry(spark, sf_dir))
 
 
 @query("SELECT doc_id, 'old' AS version FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id % 3 = 0")
@@ -443,7 +531,7 @@ def manifest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {REGISTRY_SQL} SELECT frame_id, cohort FROM registry WHERE cohort IN ('TK', 'PW') OR md5 LIKE 'a%'")
 def union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = proxy_registry(spark, sf_dir).select("frame_id", "cohort", "md5")
-    return r.filter("cohort in ('TK', 'PW')").unionByName(r.filter("md5 like 'a%'")).dropDuplicates(["frame_id"]).select("frame_id", "cohort")
+    return registry.union_distinct("frame_id", r.filter("cohort in ('TK', 'PW')"), r.filter("md5 like 'a%'")).select("frame_id", "cohort")
 
 
 @query("SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderdate < DATE '1997-01-01' INTERSECT SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= DATE '2001-01-01'")
@@ -537,9 +625,26 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiment.threshold_sweep(_labelled(spark, sf_dir), "n_chars", "quality", _STEPS)
 
 
-@query(f"{_SWEEP} SELECT t, n, recall FROM sw ORDER BY recall DESC, t LIMIT 1")
+_GRID = {"lang": ["de", "en", "es", "fr"], "least": [0, 400, 1600], "most": [6400, 1_000_000_000]}
+_GRID_SQL = f"""WITH {_LABELLED}, g AS (SELECT CAST(row_number() OVER (ORDER BY li, a, b) - 1 AS BIGINT) AS config_no, lang, a AS least, b AS most FROM (VALUES (0, 'de'), (1, 'en'), (2, 'es'), (3, 'fr')) x(li, lang), (VALUES (0), (400), (1600)) y(a), (VALUES (6400), (1000000000)) z(b)),
+r AS (SELECT config_no, g.lang, least, most, count(doc_id) AS n, coalesce(sum(quality) / count(doc_id), 0) AS recall FROM g LEFT JOIN l ON l.lang = g.lang AND n_chars BETWEEN least AND most GROUP BY ALL)"""
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages share what is prepared; bounds of the length are run over it."""
+    rows = _labelled(spark, sf_dir)
+    run = lambda own, lang, least, most: own.filter(F.col("n_chars").between(least, most)).agg(F.count("*").alias("n"), F.coalesce(F.sum("quality") / F.count("*"), F.lit(0.0)).alias("recall"))
+    return experiment.run_grid(spark, lambda lang: rows.filter(F.col("lang") == lang), run, _GRID, ["lang"])
+
+
+@query(f"{_GRID_SQL} SELECT * FROM r")
+def config_grid_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grid(spark, sf_dir)
+
+
+@query(f"{_GRID_SQL} SELECT * FROM r ORDER BY recall DESC, config_no LIMIT 1")
 def config_grid_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiment.best_config(threshold_sweep(spark, sf_dir), order="t")
+    return experiment.best_config(_grid(spark, sf_dir))
 
 
 @query("SELECT vec_id AS frame_id, round(sqrt(list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 6) AS length, 1.0 AS self FROM embeddings")
@@ -548,18 +653,34 @@ def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(F.col("vec_id").alias("frame_id"), F.round(F.sqrt(S.cosine("embedding", "embedding")), 6).alias("length"), F.round(S.cosine("u", "u"), 6).alias("self"))
 
 
-@query()
-def affine_inliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points under a known affine map, every fifth moved away: inliers are the others."""
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points under a known affine map, every fifth moved away, in pairs of a hundred."""
     p = table(spark, sf_dir, "part").select("p_partkey", F.pmod(F.xxhash64("p_partkey"), F.lit(1000)).cast("double").alias("x"), F.pmod(F.xxhash64("p_partkey", F.lit(1)), F.lit(1000)).cast("double").alias("y"))
     off = F.when(F.col("p_partkey") % 5 == 0, 400.0).otherwise(0.0)
-    rows = p.select((F.col("p_partkey") % 7).alias("pair"), F.struct(F.col("x").alias("ax"), F.col("y").alias("ay"), (1.1 * F.col("x") - 0.2 * F.col("y") + 30 + off).alias("bx"), (0.3 * F.col("x") + 0.9 * F.col("y") - 10 - off).alias("by")).alias("m"), "p_partkey")
-    pairs = rows.groupBy("pair").agg(F.array_sort(F.collect_list("m")).alias("matches"))
-    return matching.verified(pairs).select("pair", F.size("matches").alias("n"), "inliers")
+    rows = p.select(F.expr("p_partkey div 100").alias("pair"), F.struct(F.col("x").alias("ax"), F.col("y").alias("ay"), (1.1 * F.col("x") - 0.2 * F.col("y") + 30 + off).alias("bx"), (0.3 * F.col("x") + 0.9 * F.col("y") - 10 - off).alias("by")).alias("m"))
+    return rows.groupBy("pair").agg(F.array_sort(F.collect_list("m")).alias("matches"))
+
+
+@query("SELECT p_partkey // 100 AS pair, CAST(count(*) AS INTEGER) AS n, CAST(count(*) FILTER (p_partkey % 5 > 0) AS INTEGER) AS inliers, CAST(count(*) FILTER (p_partkey % 5 > 0) AS INTEGER) AS marked, 1.1 AS a, -0.2 AS b, 30.0 AS c, 0.3 AS d, 0.9 AS e, -10.0 AS f FROM part GROUP BY 1")
+def affine_inliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = matching.verified(_matched(spark, sf_dir))
+    return found.select("pair", F.size("matches").alias("n"), "inliers", F.size(F.filter("mask", lambda m: m)).alias("marked"), *[F.round(F.col("model")[i], 6).alias(c) for i, c in enumerate("abcdef")])
 
 
-@query(f"WITH {VECTORS_SQL}, c AS (SELECT DISTINCT 'L' || individual_id AS individual_id FROM v) SELECT individual_id, count(*) AS n FROM (SELECT individual_id FROM c UNION ALL SELECT * FROM (VALUES ('NEW-1'), ('NEW-2'), ('L1 (2)'), ('Otto'), ('Otto (2)')) t(individual_id)) GROUP BY 1")
+_NEW = [("", 1), (None, 2), ("L1", 3), ("Otto", 4), ("Otto", 5), ("Otto", 6), ("L2 (2)", 7), ("L2", 8), ("  ", 9), (" L1 ", 10)]
+
+
+@query(
+    f"""WITH RECURSIVE {VECTORS_SQL}, c AS (SELECT DISTINCT 'L' || individual_id AS individual_id FROM v UNION SELECT * FROM (VALUES ('Otto'), ('Otto (2)'))),
+    q AS (SELECT row_number() OVER (ORDER BY f) AS i, CASE WHEN trim(coalesce(n, '')) = '' THEN 'NEW-' || row_number() OVER (ORDER BY f) ELSE trim(n) END AS b FROM (VALUES {", ".join(f"({'NULL' if n is None else repr(n)}, {f})" for n, f in _NEW)}) t(n, f)),
+    go AS (SELECT CAST(0 AS BIGINT) AS i, list(individual_id) AS used, CAST(NULL AS VARCHAR) AS got FROM c
+     UNION ALL SELECT i, list_append(used, g), g FROM (SELECT q.i, used, CASE WHEN NOT list_contains(used, b) THEN b ELSE list_filter(list_transform(range(2, 100), lambda k: b || ' (' || k || ')'), lambda x: NOT list_contains(used, x))[1] END AS g FROM go JOIN q ON q.i = go.i + 1))
+    SELECT individual_id, count(*) AS n FROM (SELECT individual_id FROM c UNION ALL SELECT got FROM go WHERE got IS NOT NULL) GROUP BY 1"""
+)
 def register_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = vectors(spark, sf_dir).select(F.concat(F.lit("L"), F.col("individual_id").cast("string")).alias("individual_id")).distinct().withColumn("frame_id", F.lit(0).cast("long"))
-    new = spark.createDataFrame([("", 1), (None, 2), ("L1", 3), ("Otto", 4), ("Otto", 5)], "name string, frame_id long")
-    return catalog.register(own, new).groupBy("individual_id").agg(F.count("*").alias("n"))
+    own = own.unionByName(spark.createDataFrame([("Otto", 0), ("Otto (2)", 0)], "individual_id string, frame_id long"))
+    return catalog.register(own, spark.createDataFrame(_NEW, "name string, frame_id long")).groupBy("individual_id").agg(F.count("*").alias("n"))
+
+
+from resight.plans import more_queries  # noqa: E402, F401  (registers its own)

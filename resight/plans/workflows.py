@@ -23,16 +23,16 @@ def ingest(spark: SparkSession, folders: dict[str, str], metadata: DataFrame | N
     parts, photos = [], None
     for name, folder in folders.items():
         files = images.list_images(spark, folder, content=True)
-        own = files.select((F.concat(F.lit(f"{name}/"), "path_rel")).alias("frame_id"), "content")
+        own = images.pixels(spark, folder).select((F.concat(F.lit(f"{name}/"), "path_rel")).alias("frame_id"), "image")
         photos = own if photos is None else photos.unionByName(own)
         records = images.base_records(files)
-        parsed = cohorts.external_cohort(metadata, records).join(records, "path_rel") if name == "GCN" else cohorts.PARSERS[name](records)
+        parsed = cohorts.parse(name, records, metadata)
         parts.append(parsed.withColumn("path_rel", F.concat(F.lit(f"{name}/"), "path_rel")))
     frames = registry.with_recapture(registry.with_identity(registry.union_cohorts(*parts)))
     kept, dropped = registry.exact_dedup(frames)
     pairs = None
     if hashes:
-        marked = vision.phashes(photos).withColumnRenamed("frame_id", "path_rel")
+        marked = vision.phashes(photos).select(F.col("frame_id").alias("path_rel"), "phash")
         kept = kept.drop("phash").join(marked, "path_rel", "left")
         pairs = near_dup.near_pairs(kept)
     kept = registry.with_frame_ids(registry.with_recapture(kept))
@@ -99,21 +99,22 @@ def self_match(frames: DataFrame, score: Callable[[object, object], float], payl
     return {"scores": found, "broken": not found or min(found) <= 0}
 
 
-def latency(work: Callable[[object], object], items: Iterable[object]) -> dict:
-    """Milliseconds of each call: mean, median, 90th percentile (linear)."""
-    took = []
-    for x in items:
-        began = time.perf_counter()
-        work(x)
-        took.append((time.perf_counter() - began) * 1000)
-    took.sort()
+def latencies(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """by, mean, median, p90 (linear between neighbours), n of a column of times; tasks hold distinct values only."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    at = lambda share: F.percentile("_v", share, F.col("_n"))
+    return counts.groupBy(by).agg((F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"), at(0.5).alias("median"), at(0.9).alias("p90"), F.sum("_n").alias("n"))
 
-    def at(share: float) -> float:
-        k = share * (len(took) - 1)
-        low = int(k)
-        return took[low] + (took[min(low + 1, len(took) - 1)] - took[low]) * (k - low)
 
-    return {"mean": sum(took) / len(took), "median": at(0.5), "p90": at(0.9), "n": len(took)} if took else {"n": 0}
+def latency(spark: SparkSession, steps: dict[str, Callable[[object], object]], items: Iterable[object]) -> DataFrame:
+    """step, mean, median, p90, n: milliseconds of each step over the items, one after the other, as a user waits for them."""
+    took = []
+    for x in items:
+        for step, work in steps.items():
+            began = time.perf_counter()
+            work(x)
+            took.append((step, (time.perf_counter() - began) * 1000))
+    return latencies(spark.createDataFrame(took, "step string, ms double"), "step", "ms")
 
 
 def with_session_distance(probes: DataFrame, scores: DataFrame, refs: DataFrame) -> DataFrame:

@@ -31,15 +31,17 @@ def _rows(files: DataFrame, cohort: str, local_id: Column, session: Column, date
     return files.withColumns(made).filter(F.col("local_id").isNotNull())
 
 
-#: Fixed: the individual that the folder marked as an error belongs to.
+# How photos are named in the cohorts, and the individual that the folder marked as an error belongs to.
+FIELD_NAME = r"^(\d{2})-(\d{1,2})-(\d+)$"
+SESSION_NAME = r"^(\d+)-(\d+)\s*\((\d+)\)$"
+DATED_NAME = r"^(\d+)(?:\.(\d+))?$"
 ERROR_ID = 20
 
 
 def field_cohort(files: DataFrame) -> DataFrame:
     """TK: a folder for each individual, names id-session-MMYY, or a subfolder with MMYY for other names."""
     stem, folder = _stem(), _folder(1)
-    pattern = r"^(\d{2})-(\d{1,2})-(\d+)$"
-    number, digits = F.regexp_extract(stem, pattern, 2), F.regexp_extract(stem, pattern, 3)
+    number, digits = F.regexp_extract(stem, FIELD_NAME, 2), F.regexp_extract(stem, FIELD_NAME, 3)
     sub = F.when(F.size(F.split("path_rel", "/")) > 2, F.regexp_extract(_parent(), r"(\d{4})", 1)).otherwise("")
     named = digits != ""
     four = F.length(digits) == 4
@@ -51,14 +53,14 @@ def field_cohort(files: DataFrame) -> DataFrame:
 
 def session_cohort(files: DataFrame) -> DataFrame:
     """PW: a folder for each individual, names id-session (frame); no dates."""
-    number = F.regexp_extract(_stem(), r"^(\d+)-(\d+)\s*\((\d+)\)$", 2).try_cast("int")
+    number = F.regexp_extract(_stem(), SESSION_NAME, 2).try_cast("int")
     return _rows(files, "PW", S.leading_int(_folder(1)), number, F.lit(None).cast("string"), F.lit("session_code"))
 
 
 def dated_cohort(files: DataFrame) -> DataFrame:
     """LAB: a folder DD.MM.YYYY for each session, names id or id.variant; other names are dropped."""
     date = S.date_from_dotted(_folder(1))
-    local_id = F.when(date.isNotNull(), F.regexp_extract(_stem(), r"^(\d+)(?:\.(\d+))?$", 1).try_cast("int"))
+    local_id = F.when(date.isNotNull(), F.regexp_extract(_stem(), DATED_NAME, 1).try_cast("int"))
     return _rows(files, "LAB", local_id, date, date, F.lit("subfolder"))
 
 
@@ -72,7 +74,24 @@ def external_cohort(metadata: DataFrame, files: DataFrame) -> DataFrame:
     return _rows(found, "GCN", F.col("identity").try_cast("int"), F.col("survey"), F.lit(None).cast("string"), F.lit("none"), notes)
 
 
-PARSERS = {"TK": field_cohort, "PW": session_cohort, "LAB": dated_cohort}
+PARSERS = {"TK": field_cohort, "PW": session_cohort, "LAB": dated_cohort, "GCN": external_cohort}
+
+
+def parse(cohort: str, files: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """The rows of one cohort, by its parser; the external one needs its metadata, and keeps the columns of files."""
+    if cohort != "GCN":
+        return PARSERS[cohort](files)
+    if metadata is None:
+        raise ValueError("the external cohort needs its metadata table")
+    rows = external_cohort(metadata, files)
+    return rows.join(files.select("path_rel", *[c for c in files.columns if c not in rows.columns]), "path_rel")
+
+
+def parse_all(files: dict[str, DataFrame], metadata: DataFrame | None = None) -> DataFrame:
+    """All cohorts (files by name), under the union of their columns."""
+    from resight.operators.registry import union_cohorts
+
+    return union_cohorts(*[parse(c, f, metadata) for c, f in files.items()])
 
 
 def note(notes: Column | str, key: str) -> Column:

@@ -24,13 +24,24 @@ def is_image(path: Column) -> Column:
     return name.rlike(r"\.(" + "|".join(IMAGE_TYPES) + ")$") & ~name.isin(*SKIPPED_NAMES) & ~name.startswith(".")
 
 
+def below(path: Column, folder: str) -> Column:
+    """A path without the folder that it is in."""
+    root = "/" + folder.split("://")[-1].split("/", 1)[-1].strip("/") + "/" if "://" in folder else "/" + folder.removeprefix("file:").strip("/") + "/"
+    return F.replace(F.regexp_replace(path, "^[a-z0-9]+:/*", "/"), F.lit(root), F.lit(""))
+
+
 def list_images(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
     """path_rel (below folder), size, and content if asked for; in all subfolders. Without content no file is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     base = files.select("path", F.col("length").alias("size"), *(["content"] if content else []))
-    relative = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
-    root = F.lit("/" + folder.split("://")[-1].split("/", 1)[-1].strip("/") + "/" if "://" in folder else "/" + folder.removeprefix("file:").strip("/") + "/")
-    return base.filter(is_image(F.col("path"))).withColumn("path_rel", F.replace(relative, root, F.lit(""))).drop("path")
+    return base.filter(is_image(F.col("path"))).withColumn("path_rel", below(F.col("path"), folder)).drop("path")
+
+
+def pixels(spark: SparkSession, folder: str) -> DataFrame:
+    """path_rel, decoded, image (height, width, nChannels, data) of the photos below folder, JPEG or PNG of any kind,
+    decoded by Spark's image source in the JVM. Photos that can't be read stay, with decoded false."""
+    rows = spark.read.format("image").option("recursiveFileLookup", "true").load(folder).filter(is_image(F.col("image.origin")))
+    return rows.select(below(F.col("image.origin"), folder).alias("path_rel"), (F.col("image.height") > 0).alias("decoded"), F.struct(*[F.col(f"image.{c}").alias(c) for c in ("height", "width", "nChannels", "data")]).alias("image"))
 
 
 def dimensions(data: bytes | None) -> tuple[int, int]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,18 +59,33 @@ def content_key(rows: DataFrame, digest: str = "md5", *names: str) -> str:
     return "-".join([*names, str(row["n"]), str(row["h"] or 0).lstrip("-")])
 
 
-def in_batches(rows: DataFrame, work, path: str, key: str, batches: int, seconds: float) -> DataFrame:
-    """work(rows) in batches by a hash of the key, each written when done, until the time is up; what is written already
-    is not done again. Returns all that is written."""
-    import time
-
-    spark, end = rows.sparkSession, time.monotonic() + seconds
-    done = []
+def in_batches(rows: DataFrame, work, path: str, key: str, batches: int, seconds: float) -> tuple[DataFrame, bool]:
+    """(work(rows) as far as it came, whether it is complete): in batches by a hash of the key, each written when done,
+    until the time is up. A batch that is written already for the same rows is not done again."""
+    end = time.monotonic() + seconds
+    done, whole = None, True
     for k in range(batches):
         if time.monotonic() >= end:
+            whole = False
             break
-        done.append(cached(spark, path, lambda k=k: work(rows.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == k)), f"batch-{batches}-{k}"))
-    out = None
-    for d in done:
-        out = d if out is None else out.unionByName(d)
-    return out if out is not None else work(rows.limit(0))
+        own = rows.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == k)
+        state = own.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*own.columns).cast("decimal(38,0)")).alias("h")).first()
+        made = cached(rows.sparkSession, path, lambda own=own: work(own), f"batch-{batches}-{k}-{state['n']}-{state['h'] or 0}")
+        done = made if done is None else done.unionByName(made)
+    return (done if done is not None else work(rows.limit(0))), whole
+
+
+def delete_files(spark: SparkSession, folder: str, names: DataFrame, suffix: str = "") -> int:
+    """Delete the files folder/<name><suffix> of a column of names, which may have folders in them; how many there were.
+
+    One listing of the folder is joined with the names, so only files that exist are deleted, one by one.
+    """
+    from resight.sources.images import below
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", below(F.col("path"), folder).alias("_file"))
+    doomed = files.join(names.select(F.concat(F.col(names.columns[0]).cast("string"), F.lit(suffix)).alias("_file")).distinct(), "_file", "left_semi").select("path")
+    n, hadoop = 0, spark._jvm.org.apache.hadoop.fs
+    for row in doomed.toLocalIterator():
+        at = hadoop.Path(row["path"])
+        n += bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, False))
+    return n

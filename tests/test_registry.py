@@ -132,4 +132,50 @@ def test_upsert_and_cache(spark, tmp_path):
     for _ in range(2):
         out = tables.cached(spark, str(tmp_path), lambda: made.append(1) or old, "k")
     assert len(made) == 1 and out.count() == 2
-    assert tables.in_batches(old, lambda x: x, str(tmp_path / "b"), "frame_id", 3, 60).count() == 2
+    at = str(tmp_path / "b")
+    done, whole = tables.in_batches(old, lambda x: x, at, "frame_id", 3, 60)
+    assert done.count() == 2 and whole
+    done, whole = tables.in_batches(new, lambda x: x, at, "frame_id", 3, 60)  # other rows under the same path
+    assert sorted(tuple(r) for r in done.collect()) == [("b", 2), ("c", 2)] and whole
+    done, whole = tables.in_batches(new, lambda x: x, at, "frame_id", 3, 0)
+    assert done.count() == 0 and not whole
+
+
+def test_frame_ids_keep_all_rows_of_wide_tables(spark):
+    n = 400_000
+    wide = {f"c{i}": F.md5(F.concat(F.col("id").cast("string"), F.lit(str(i)))) for i in range(3)}
+    rows = spark.range(n).select((F.col("id") % 3).alias("cohort"), (F.col("id") % 1000).alias("individual_id"), F.when(F.col("id") % 5 > 0, F.col("id") % 7).alias("date"), F.col("id").cast("string").alias("path_rel"), "id").withColumns(wide)
+    found = registry.with_frame_ids(rows)
+    out = found.agg(F.count("*").alias("n"), F.count_distinct("frame_id").alias("ids"), F.count_distinct("id").alias("rows"), F.max(F.substring("frame_id", 2, 9).cast("int")).alias("last"), F.max(F.length("c2")).alias("c")).first()
+    assert tuple(out) == (n, n, n, n - 1, 32)
+    first = found.orderBy("cohort", "individual_id", F.col("date").asc_nulls_last(), "path_rel").limit(3).collect()
+    assert [r["frame_id"] for r in first] == ["F00000", "F00001", "F00002"]
+
+
+def test_all_cohorts_are_dispatched(spark):
+    assert set(cohorts.PARSERS) == {"TK", "PW", "LAB", "GCN"}
+    with pytest.raises(ValueError):
+        cohorts.parse("GCN", paths(spark, "x.jpg"))
+
+
+def test_rehearsal_and_deleted_crops(spark, tmp_path):
+    reg = frames(spark)
+    s = splits.to_splits(splits.build(reg, test_share=1.0))
+    manifest = sealing.seal(s, reg)
+    masks = iter([[1, 0], [1, 0], [1, 0], [0, 1]])
+    good = sealing.rehearse(manifest, s, reg, reg, mask=lambda: next(masks), crops=s.filter("split_fold <> 'test'").select("frame_id"))
+    assert all(good.values()) and len(good) == 6
+    bad = sealing.rehearse(manifest, s, reg, reg.limit(0), mask=lambda: next(masks), crops=s.select("frame_id").unionByName(s.select("frame_id")))
+    assert {k for k, v in bad.items() if not v} == {"files", "mask_deterministic", "append"}
+    for i in (1, 2, 4):
+        (tmp_path / f"F{i}.png").write_bytes(b"x")
+    sealed = s.filter("split_fold = 'test'").select("frame_id")
+    assert tables.delete_files(spark, str(tmp_path), sealed, ".png") == 2 and [p.name for p in tmp_path.glob("*.png")] == ["F4.png"]
+
+
+def test_digest_is_one_hash_over_ranges(spark):
+    import hashlib
+
+    rows = spark.range(5000).select(F.format_string("F%05d", "id").alias("frame_id"), F.md5(F.col("id").cast("string")).alias("md5"), (F.col("id") % 7).alias("individual_id")).repartition(9)
+    text = "|".join(f"F{i:05d}:{hashlib.md5(str(i).encode()).hexdigest()}" for i in range(5000))
+    assert tuple(sealing.digest(rows).first()) == (hashlib.sha256(text.encode()).hexdigest(), 5000, 7)

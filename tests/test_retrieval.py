@@ -22,12 +22,47 @@ def test_pooled_equals_brute_force(spark):
                 s = round(float(unit[p] @ unit[q]), 6)
                 if (p, who) not in expected or (-s, q) < (-expected[p, who][0], expected[p, who][1]):
                     expected[p, who] = (s, q)
-    for block in (7, 512):
-        found = {(r["probe_id"], r["individual_id"]): (r["score"], r["ref_id"]) for r in pooled(df, df, block=block).collect()}
+    for tile in (7, 4096):
+        found = {(r["probe_id"], r["individual_id"]): (r["score"], r["ref_id"]) for r in pooled(df, df, tile=tile).collect()}
         assert found.keys() == expected.keys()
         assert all(abs(found[k][0] - expected[k][0]) < 1e-9 and found[k][1] == expected[k][1] for k in expected)
 
 
+def test_pooled_groups_sessions_and_ids_of_their_own(spark):
+    rows, df = vectors(spark, 60)
+    df = df.withColumns({"g": F.col("frame_id") % 4, "s": F.when(F.col("frame_id") % 3 > 0, F.concat_ws("-", F.col("individual_id").cast("string"), F.col("tkey").cast("string")))})
+    session = {i: f"{w}-{t}" if i % 3 else None for i, w, t, _ in rows}
+    for itself in (True, False):
+        found = {(r["probe_id"], r["individual_id"]) for r in pooled(df, df, group="g", apart="s", strictly_earlier=False, itself=itself, tile=5).collect()}
+        expected = {(p, w) for p, _, _, _ in rows for q, w, _, _ in rows if p % 4 == q % 4 and not (itself and p == q) and (session[p] is None or session[p] != session[q])}
+        assert found == expected
+    strings = df.withColumn("frame_id", F.concat(F.lit("u"), F.col("frame_id").cast("string")))
+    assert pooled(strings, df, strictly_earlier=False, itself=False).count() == 60 * 5
+    undated = df.withColumn("tkey", F.lit(None).cast("long"))
+    assert pooled(df, undated).count() == 0 and pooled(undated, df).count() == 0
+
+
+def test_rates_of_many_scores(spark):
+    import time
+
+    known, new = (spark.range(100_000).select(F.rand(s).alias("score")) for s in (1, 1000))  # rand adds the number of the partition to its seed
+    began = time.monotonic()
+    rates = openset.at_or_above(known, new)
+    out = rates.agg(F.count("*").alias("n"), F.max("tar").alias("a"), F.min("far").alias("b"), F.max(F.abs(F.col("tar") - (1 - F.col("t")))).alias("off")).first()
+    assert out["n"] == 200_000 and out["a"] == 1.0 and out["b"] == 0.0 and out["off"] < 0.01
+    assert time.monotonic() - began < 30
+
+
+def test_quantiles(spark):
+    r = np.random.default_rng(0)
+    values = r.integers(0, 50, 999).astype(float)
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(6)
+    row = openset.quantiles(df, {str(q): ("v", q) for q in (0.0, 0.137, 0.5, 0.9, 1.0)}).first()
+    for q in (0.0, 0.137, 0.5, 0.9, 1.0):
+        assert row[str(q)] == pytest.approx(np.quantile(values, q))
+    assert openset.quantiles(df.limit(0), {"x": ("v", 0.5)}).first()["x"] is None
+
+
 def test_no_references(spark):
     _, df = vectors(spark)
     first = df.filter("tkey = 0")
@@ -126,14 +161,45 @@ def test_catalog(spark):
     assert v["verdict"] == "new" and v["confidence"] == 0.0
     grown = catalog.register(df.select("individual_id", "frame_id"), spark.createDataFrame([("", 100), ("i1", 101)], "name string, frame_id long"))
     assert {r["individual_id"] for r in grown.filter("frame_id > 99").collect()} == {"NEW-1", "i1 (2)"}
+    own = spark.createDataFrame([("Otto", "a"), ("Otto (2)", "b"), ("NEW-3", "c"), ("x", "REG-001")], "individual_id string, frame_id string")
+    new = spark.createDataFrame([("Otto", "p"), ("Otto (3)", "q"), ("", "r"), ("Otto", "s"), ("Otto (2)", "t")], "name string, frame_id string")
+    grown = {r["frame_id"]: r["individual_id"] for r in catalog.register(own, new).collect()}
+    assert grown == {"a": "Otto", "b": "Otto (2)", "c": "NEW-3", "REG-001": "x", "p": "Otto (3)", "q": "Otto (3) (2)", "r": "NEW-4", "s": "Otto (4)", "t": "Otto (2) (2)"}
+
+
+def test_sessions_of_undated_frames(spark):
+    rows = [("a", "i", "2025-01", "1"), ("b", "i", "2025-01", "2"), ("c", "i", None, "1"), ("d", "i", None, "1"), ("e", "j", "2025-01", None), ("f", "i", "", None)]
+    c = spark.createDataFrame(rows, "frame_id string, individual_id string, date string, session string")
+    asked = spark.createDataFrame([(x, x) for x in "abcdefz"] + [("none", None)], "query_id string, frame_id string")
+    found = {}
+    for r in catalog.session_of(c, asked).collect():
+        found.setdefault(r["query_id"], set()).add(r["frame_id"])
+    assert found == {"a": {"a", "b"}, "b": {"a", "b"}, "c": {"c"}, "d": {"d"}, "e": {"e"}, "f": {"f"}, "z": {"z"}}
+    assert {r["query_id"]: r["date"] for r in catalog.date_of(c, asked).collect()}["f"] is None
+
+
+def test_grid_prepares_shared_settings_once(spark):
+    made = []
+    prepare = lambda a: made.append(a) or spark.range(10 * a)
+    runs = experiment.run_grid(spark, prepare, lambda df, a, b: df.filter(F.col("id") >= b).agg(F.count("*").alias("n")), {"a": [1, 2], "b": [0, 5, 9]}, ["a"])
+    assert [(r["config_no"], r["a"], r["b"], r["n"]) for r in runs.orderBy("config_no").collect()] == [(0, 1, 0, 10), (1, 1, 5, 5), (2, 1, 9, 1), (3, 2, 0, 20), (4, 2, 5, 15), (5, 2, 9, 11)]
+    assert made == [1, 2]
 
 
 def test_calibration_and_experiments(spark):
-    _, df = vectors(spark)
+    rows, df = vectors(spark)
     fitted = calibration.fit(pooled(df, df, strictly_earlier=False).withColumn("score", F.col("score") * 100)).first()
     assert fitted["hi"] > fitted["lo"] and fitted["n_genuine"] == 40
-    genuine, impostor = calibration.sampled_pairs(df.withColumn("date", F.col("tkey").cast("string")), n=3)
-    assert 0 < genuine.count() <= 3 and 0 < impostor.count() <= 3
+    dated = df.withColumns({"date": F.col("tkey").cast("string"), "session": F.lit(None).cast("string")})
+    times = {i: (w, t) for i, w, t, _ in rows}
+    expected = {(a, b) for a in times for b in times if times[a][0] == times[b][0] and times[a][1] < times[b][1]}
+    assert {tuple(r) for r in calibration.genuine_pairs(dated).collect()} == expected
+    assert {tuple(r) for r in calibration.genuine_pairs(dated, 5).collect()} < expected and calibration.genuine_pairs(dated, 5).count() == 5
+    impostor = {tuple(r) for r in calibration.impostor_pairs(dated, 6).collect()}
+    assert len(impostor) == 6 and all(times[a][0] != times[b][0] for a, b in impostor)
+    paired = calibration.fit_on_pairs(dated, lambda a, b: float(np.dot(a, b)), "emb", 20).first()
+    assert paired["hi"] > paired["lo"] and paired["n_genuine"] == paired["n_impostor"] == 20
+    assert calibration.fit_on_latest(dated, scale=100).first()["n_impostor"] == 5
     probes = df.filter("tkey > 0")
     hits = ranking.hits(pooled(probes, df), probes)
     c = experiment.compare(experiment.all_methods({"a": hits, "b": hits.withColumn("hit_1", F.lit(True))}), "a")

@@ -1,10 +1,11 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from resight.operators import matching, ranking, splits, vision
 from resight.operators.scoring import pooled
 from resight.plans import workflows
-from resight.sources import cohorts
+from resight.sources import cohorts, images
 
 
 def write(path, rgb):
@@ -33,6 +34,29 @@ def test_ingest(spark, tmp_path):
     assert {(r["a"], r["b"]) for r in pairs.collect()} == {("TK/1/01-01-1224.png", "TK/3/03-01-1224.png")}
 
 
+def test_jpeg_is_read_by_the_image_source(spark, tmp_path):
+    rgb = np.full((40, 60, 3), (200, 120, 40), np.uint8)
+    rgb[:, 30:] = (20, 60, 180)
+    jvm = spark._jvm
+    photo = jvm.java.awt.image.BufferedImage(60, 40, 1)
+    for y in range(40):
+        for x in range(60):
+            r, g, b = (int(v) for v in rgb[y, x])
+            photo.setRGB(x, y, r << 16 | g << 8 | b)
+    (tmp_path / "a").mkdir()
+    jvm.javax.imageio.ImageIO.write(photo, "jpg", jvm.java.io.File(str(tmp_path / "a" / "1.jpg")))
+    (tmp_path / "a" / "2.png").write_bytes(vision.encode_png(rgb))
+    (tmp_path / "a" / "3.jpeg").write_bytes(b"no photo")
+    (tmp_path / "a" / "4.txt").write_bytes(b"no photo")
+    found = images.pixels(spark, str(tmp_path))
+    read = {r["path_rel"]: (r["decoded"], vision.from_pixels(r["image"])) for r in found.collect()}
+    assert set(read) == {"a/1.jpg", "a/2.png", "a/3.jpeg"} and not read["a/3.jpeg"][0] and read["a/3.jpeg"][1] is None
+    assert (read["a/2.png"][1] == rgb).all() and np.abs(read["a/1.jpg"][1].astype(int) - rgb)[5:35, 5:25].max() < 12
+    hashed = {r["frame_id"]: r for r in vision.phashes(found.withColumnRenamed("path_rel", "frame_id")).collect()}
+    assert hashed["a/2.png"]["phash"] == vision.phash(rgb) and not hashed["a/3.jpeg"]["decoded"] and hashed["a/3.jpeg"]["phash"] is None
+    assert len(hashed["a/1.jpg"]["phash"]) == 16
+
+
 def test_evaluate(spark):
     r = np.random.default_rng(0)
     rows = []
@@ -68,5 +92,7 @@ def test_diagnostics(spark):
     assert workflows.self_match(df.filter("frame_id = 'a'"), score, "f") == {"scores": [12.0], "broken": False}
     assert workflows.self_match(df, score, "f")["broken"]
     assert workflows.pair_cost(lambda a, b: 0.0, [(1, 2)] * 20) >= 0
-    took = workflows.latency(lambda x: x, range(5))
-    assert took["n"] == 5 and took["p90"] >= took["median"] >= 0
+    took = {r["step"]: r for r in workflows.latency(spark, {"one": lambda x: x, "two": lambda x: sum(range(1000))}, range(5)).collect()}
+    assert set(took) == {"one", "two"} and all(r["n"] == 5 and r["p90"] >= r["median"] >= 0 for r in took.values())
+    rows = spark.createDataFrame([("a", float(v)) for v in (1, 2, 2, 10)], "k string, v double")
+    assert tuple(workflows.latencies(rows, "k", "v").first()) == ("a", 3.75, 2.0, pytest.approx(7.6), 4)
