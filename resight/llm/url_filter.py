@@ -5,8 +5,9 @@ filter encodes the listed keys, the next one those of the corpus's other keys th
 next the listed keys that the second takes for others, and so on until no key is taken wrongly. A page's keys are
 its host and the domains above it, as far as listed names have labels.
 
-Filters are built by the executors (bit positions, then an OR by word). Their size is that of the list, so it is
-checked: beyond MOST_BYTES in all, a join with the list decides instead, with the same results.
+Filters are built by the executors (bit positions, then an OR by word). Their size is that of the list, so keys are
+dealt into shards by a hash, each with a cascade of its own of about SHARD_KEYS listed keys at most: pages pass one
+shard after the other, and what a task is sent has a fixed bound whatever the list.
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule and is allowed; longest
 rule wins, a block before an allow of equal length; repeated rows are judged row by row; an empty table gives an
@@ -26,16 +27,16 @@ from pyspark.sql import functions as F
 
 from resight.llm.common import materialize, table
 
-#: (verdict, host and path), at most MOST_RULES.
+#: (verdict, host and path).
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-MOST_RULES = 500
+#: Rules up to which they are one expression; beyond, they are looked up by the host's domains.
+EXPRESSED = 200
 #: Listed names; their subdomains count too.
 LISTED = tuple(f"{name}.example.{top}" for name in ("casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
 #: Rates of false positives of the first filter and of those after it.
 FIRST, LATER = 1 / 64, 1 / 4
-MOST_LEVELS = 64
-#: Of all filters together.
-MOST_BYTES = 64 << 20
+#: Listed keys in a shard: about nine bits each, so 24 MB.
+SHARD_KEYS = 20_000_000
 
 
 def host_and_path(url: str | Column) -> tuple[Column, Column]:
@@ -48,16 +49,46 @@ def host_and_path(url: str | Column) -> tuple[Column, Column]:
 
 def by_rules(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, else nulls."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
+    if len(rules) > EXPRESSED:
+        hit = _by_table(rules)(host, path)
+        return hit["rule"], hit["verdict"]
     rule = verdict = F.lit(None).cast("string")
-    for what, text in sorted(rules, key=lambda r: (len(r[1]), r[0] == "block")):
+    for what, text in sorted(rules, key=_weight):
         name, slash, rest = text.partition("/")
         fits = (host.eqNullSafe(name) | host.endswith(f".{name}")) & path.startswith(slash + rest)
         rule, verdict = F.when(fits, text).otherwise(rule), F.when(fits, what).otherwise(verdict)
     return rule, verdict
 
 
+def _weight(rule: tuple[str, str]) -> tuple[int, bool]:
+    return len(rule[1]), rule[0] == "block"
+
+
+def _by_table(rules: tuple[tuple[str, str], ...]):
+    """The rules of a host and the domains above it, the heaviest first of those whose path fits."""
+    table_: dict[str, list[tuple[str, str, str]]] = {}
+    for what, text in sorted(rules, key=_weight, reverse=True):
+        name, slash, rest = text.partition("/")
+        table_.setdefault(name, []).append((slash + rest, text, what))
+
+    def of(host: str, path: str) -> tuple[str | None, str | None]:
+        best, at = None, 0
+        while at >= 0:
+            for start, text, what in table_.get(host[at:], ()):
+                if path.startswith(start):
+                    best = max(best, (what, text), key=_weight) if best else (what, text)
+                    break
+            at = host.find(".", at) + 1 or -1
+        return (best[1], best[0]) if best else (None, None)
+
+    @F.arrow_udf("rule string, verdict string")
+    def look(hosts: pa.Array, paths: pa.Array) -> pa.Array:
+        found = [of(h or "", p or "") for h, p in zip(hosts.to_pylist(), paths.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], names=["rule", "verdict"])
+
+    return look
+
+
 def names_of(host: Column, labels: int) -> Column:
     """The host and the domains above it, of at most so many labels. Empty for an empty host."""
     parts = F.split(host, r"\.")
@@ -66,7 +97,8 @@ def names_of(host: Column, labels: int) -> Column:
 
 
 def _hashes(key: Column) -> list[Column]:
-    return [F.xxhash64(key), F.xxhash64(key, F.lit(1))]
+    """Two hashes of their own: by different seeds."""
+    return [F.xxhash64(key), F.xxhash64(F.lit("second"), key)]
 
 
 def _mixed(x: np.ndarray, level: int) -> np.ndarray:
@@ -121,19 +153,16 @@ def _taken(known: Cascade, level: int):
     return taken
 
 
-def build(universe: DataFrame, most_bytes: int = MOST_BYTES) -> Cascade | None:
-    """Over a table of distinct keys: h1, h2, listed. None if the filters would be larger than most_bytes."""
+def build(universe: DataFrame) -> Cascade:
+    """Over a table of distinct keys: h1, h2, listed. Levels follow until no key is taken wrongly; keys whose two hashes
+    are both equal can't be told apart, which is one pair in 2^128."""
     cascade = Cascade([])
     mine, others = universe.filter("listed"), universe.filter("not listed")
-    total = 0
-    for level in range(MOST_LEVELS):
-        n = mine.count()
+    while True:
+        level, n = len(cascade.levels), mine.count()
         if not n and level:
             return cascade
         size, probes = _plan(n, level)
-        total += size // 8
-        if total > most_bytes:
-            return None
 
         def put(batches, level=level, size=size, probes=probes):
             for b in batches:
@@ -145,15 +174,34 @@ def build(universe: DataFrame, most_bytes: int = MOST_BYTES) -> Cascade | None:
                     yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
 
         words = np.zeros(size // 64, np.uint64)
-        # at most size / 64 rows, which were checked
-        rows = mine.select("h1", "h2").mapInArrow(put, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-        words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+        # at most size / 64 rows, as many as a shard's keys allow
+        rows = mine.select("h1", "h2").mapInArrow(put, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
         cascade.levels.append((words, size, probes))
         mine, others = materialize(others.filter(_taken(Cascade(list(cascade.levels)), level)("h1", "h2")), f"level{level}"), mine
-    raise RuntimeError(f"keys can't be told apart in {MOST_LEVELS} levels")
 
 
-def judge(pages: DataFrame, listed: DataFrame, labels: int, rules: tuple[tuple[str, str], ...] = RULES, page_id: str = "page_id", url: str = "url", most_bytes: int = MOST_BYTES) -> DataFrame:
+def _shard(h2: Column, shards: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(h2, 7), F.lit(shards))
+
+
+def _any_listed(cascade: Cascade, shard: int, shards: int):
+    """Whether any of a page's keys in this shard is listed."""
+
+    @F.arrow_udf("boolean")
+    def any_listed(h1: pa.Array, h2: pa.Array) -> pa.Array:
+        a, b = (h.flatten().to_numpy(zero_copy_only=False) for h in (h1, h2))
+        own = np.flatnonzero((b.view(np.uint64) >> np.uint64(7)) % np.uint64(shards) == shard)
+        found = np.zeros(len(a), bool)
+        found[own] = cascade.listed(a[own], b[own])
+        ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(h1).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        sums = np.concatenate([[0], np.cumsum(found)])
+        return pa.array(sums[ends[1:]] > sums[ends[:-1]])
+
+    return any_listed
+
+
+def judge(pages: DataFrame, listed: DataFrame, labels: int, rules: tuple[tuple[str, str], ...] = RULES, page_id: str = "page_id", url: str = "url", shard_keys: int = SHARD_KEYS) -> DataFrame:
     """page_id, host, path, rule, verdict: a row for each row of pages. listed: key; labels: most labels of a key."""
     host, path = host_and_path(url)
     parsed = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
@@ -161,21 +209,16 @@ def judge(pages: DataFrame, listed: DataFrame, labels: int, rules: tuple[tuple[s
     names = F.explode(names_of(F.col("host"), labels)).alias("key")
     keys = parsed.select("host").distinct().select(names).distinct().join(listed.select("key", F.lit(True).alias("on")).distinct(), "key", "full")
     universe = materialize(keys.select(*[h.alias(f"h{i + 1}") for i, h in enumerate(_hashes(F.col("key")))], F.coalesce("on", F.lit(False)).alias("listed")), "keys")
-    cascade = build(universe, most_bytes)
-    if cascade is None:
-        bad = parsed.select("host").distinct().select("host", names).join(listed.select("key").distinct(), "key", "left_semi").select("host", F.lit(True).alias("bad")).distinct()
-        parsed = parsed.join(bad, "host", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
-    else:
-
-        @F.arrow_udf("boolean")
-        def any_listed(h1: pa.Array, h2: pa.Array) -> pa.Array:
-            found = cascade.listed(h1.flatten().to_numpy(zero_copy_only=False), h2.flatten().to_numpy(zero_copy_only=False))
-            ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(h1).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            sums = np.concatenate([[0], np.cumsum(found)])
-            return pa.array(sums[ends[1:]] > sums[ends[:-1]])
-
-        own = names_of(F.col("host"), labels)
-        parsed = parsed.withColumn("bad", any_listed(F.transform(own, lambda k: _hashes(k)[0]), F.transform(own, lambda k: _hashes(k)[1])))
+    shards = max(1, -(-universe.filter("listed").count() // shard_keys))
+    own = names_of(F.col("host"), labels)
+    bad = F.lit(False)
+    for shard in range(shards):
+        cascade = build(universe.filter(_shard(F.col("h2"), shards) == shard))
+        bad = bad | _any_listed(cascade, shard, shards)(F.transform(own, lambda k: _hashes(k)[0]), F.transform(own, lambda k: _hashes(k)[1]))
+        if shard + 1 < shards:  # one shard's filters at a time
+            parsed = materialize(parsed.withColumn("bad", bad), "judged")
+            bad = F.col("bad")
+    parsed = parsed.withColumn("bad", bad)
     return parsed.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
 
 
