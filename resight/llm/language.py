@@ -4,8 +4,9 @@ One Bloom table serves all languages: a slot is a bitmask with a bit for each, s
 slots gives all languages that hold it at once (bit-sliced filters). A text's n-grams are looked up, the languages'
 bits counted, the counts corrected for each filter's rate of false positives, and the largest decides.
 
-Learned from a sample of at most about `most` documents a language; the table's size follows from the number of
-n-grams kept, which is bounded for each language. So what is sent to tasks has a fixed bound.
+Learned from a sample of at most about `most` documents a language. An n-gram is kept if it has LEAST_SHARE of its
+language's, so a language has 50,000 at most; the table has a slot for every SLOTS-th of them and a bit in it for each
+language, set by an OR over the executors. Languages are as many as the labels name.
 
 Defined results: `und` with score 0 if a text is null or has no letter, or if nothing was learned; ties go to the
 language with more learned documents, then by name; repeated rows are judged row by row; an empty table gives an
@@ -19,18 +20,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resight.llm.common import fold, map_text, slices, table, utf8
+from resight.llm.common import fold, map_text, materialize, slices, table, utf8
 
 N = 3
-#: Documents to learn from and n-grams kept, for each language; least share of a language's n-grams.
-MOST_DOCS, MOST_GRAMS, LEAST_SHARE = 10_000, 20_000, 2e-5
+#: Documents to learn from, for each language; least share of a language's n-grams.
+MOST_DOCS, LEAST_SHARE = 10_000, 2e-5
 #: Slots for each n-gram kept of the largest language, and slots looked up for one.
 SLOTS, PROBES = 16, 3
-#: Most languages.
-MOST_LANGS = 1024
 FOLDS, HELD_OUT = 3, 1
 _tables: list[np.ndarray] = []
 
@@ -68,6 +67,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _bits_of(words: np.ndarray, n: int) -> np.ndarray:
+    """How many of the rows of bitmask words have each of n bits."""
+    return np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")[:, :n].sum(0, dtype=np.int64)
+
+
 @dataclass
 class Filters:
     """langs in order of preference at ties; slots: bitmask words by slot; false: rate of false positives by language."""
@@ -77,15 +81,13 @@ class Filters:
     false: np.ndarray
 
     @classmethod
-    def build(cls, grams: dict[str, np.ndarray], order: list[str]) -> Filters:
-        largest = max((len(g) for g in grams.values()), default=0)
-        size = 1 << max(10, int(np.ceil(np.log2(max(1, SLOTS * largest)))))
-        slots = np.zeros((size, max(1, -(-len(order) // 64))), np.uint64)
-        for i, lang in enumerate(order):
-            for at in cls.at(grams[lang], size):
-                np.bitwise_or.at(slots[:, i // 64], at, np.uint64(1) << np.uint64(i % 64))
-        filled = [float(((slots[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) for i in range(len(order))]
-        return cls(order, slots, np.array([f**PROBES for f in filled]))
+    def of(cls, order: list[str], slots: np.ndarray) -> Filters:
+        filled = sum(_bits_of(slots[i : i + 4096], len(order)) for i in range(0, len(slots), 4096)) / len(slots)
+        return cls(order, slots, np.asarray(filled, float) ** PROBES)
+
+    @staticmethod
+    def size(largest: int) -> int:
+        return 1 << max(10, int(np.ceil(np.log2(max(1, SLOTS * largest)))))
 
     @staticmethod
     def at(grams: np.ndarray, size: int) -> list[np.ndarray]:
@@ -105,7 +107,7 @@ class Filters:
         if not len(grams) or not self.langs:
             return "und", 0.0
         found = self.languages(grams)
-        counts = np.array([int(((found[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).sum()) for i in range(len(self.langs))])
+        counts = sum(_bits_of(found[i : i + 4096], len(self.langs)) for i in range(0, len(found), 4096))
         right = np.clip((counts - self.false * len(grams)) / (1 - np.minimum(self.false, 0.999)), 0, len(grams))
         best = int(np.argmax(right))
         return self.langs[best], float(right[best] / len(grams))
@@ -114,30 +116,45 @@ class Filters:
 def learn(docs: DataFrame, lang: str, text: str, may: Column, by: Column, most: int = MOST_DOCS) -> Filters:
     """From the rows for which `may` holds and lang is not null: a share of each language by the hash `by` of a row."""
     known = docs.filter(may & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), by.alias("by"))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row for each language
     order = [r["lang"] for r in sizes]
     if not order:
         return Filters([], np.zeros((1, 1), np.uint64), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, most / r["count"]))])
-    sample = known.filter(F.pmod("by", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], i, min(1.0, most / r["count"])) for i, r in enumerate(sizes)], "lang string, number int, share double")
+    sample = known.join(F.broadcast(shares), "lang").filter(F.pmod("by", F.lit(1 << 20)) < F.col("share") * (1 << 20))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
-            langs = part.column(0).to_pylist()
-            by: dict[str, list[np.ndarray]] = {}
-            for x, t in zip(langs, part.column(1).to_pylist(), strict=True):
+            numbers = part.column(0).to_pylist()
+            by: dict[int, list[np.ndarray]] = {}
+            for x, t in zip(numbers, part.column(1).to_pylist(), strict=True):
                 by.setdefault(x, []).append(ngrams(t))
             for x, found in by.items():
                 grams, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([x] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
-
-    counted = sample.select("lang", utf8("text").alias("t")).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    own = Window.partitionBy("lang")
-    top = counted.withColumn("all", F.sum("n").over(own)).filter(F.col("n") >= F.greatest(F.lit(2.0), LEAST_SHARE * F.col("all")))
-    # at most MOST_GRAMS for each language
-    rows = top.withColumn("k", F.row_number().over(own.orderBy(F.desc("n"), "gram"))).filter(F.col("k") <= MOST_GRAMS).select("lang", "gram").toPandas()
-    grams = {x: g["gram"].to_numpy(np.int64).view(np.uint64) for x, g in rows.groupby("lang")}
-    return Filters.build({x: grams.get(x, np.zeros(0, np.uint64)) for x in order}, order)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), x, np.int32)), pa.array(grams.view(np.int64)), pa.array(n)], names=["number", "gram", "n"])
+
+    counted = materialize(sample.select("number", utf8("text").alias("t")).mapInArrow(count, "number int, gram long, n long").groupBy("number", "gram").agg(F.sum("n").alias("n")), "grams")
+    totals = counted.groupBy("number").agg(F.sum("n").alias("all"))  # a row for each language
+    kept = counted.join(F.broadcast(totals), "number").filter(F.col("n") >= F.greatest(F.lit(2.0), LEAST_SHARE * F.col("all"))).select("number", "gram")
+    largest = kept.groupBy("number").count().agg(F.max("count")).first()[0] or 0
+    size, width = Filters.size(largest), -(-len(order) // 64)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                number = b.column(0).to_numpy().astype(np.int64)
+                spots = np.concatenate([at * width + number // 64 for at in Filters.at(b.column(1).to_numpy().view(np.uint64), size)])
+                masks = np.tile(np.uint64(1) << (number % 64).astype(np.uint64), PROBES)
+                at, where = np.unique(spots, return_inverse=True)
+                bits = np.zeros(len(at), np.uint64)
+                np.bitwise_or.at(bits, where, masks)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits.view(np.int64))], names=["at", "bits"])
+
+    slots = np.zeros(size * width, np.uint64)
+    # at most as many rows as the table has words
+    rows = kept.mapInArrow(put, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    slots[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return Filters.of(order, slots.reshape(size, width))
 
 
 def identify(docs: DataFrame, filters: Filters, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
