@@ -6,11 +6,13 @@ are run on the trie together: a state is the set of (node, edits) that a word's
 when first met and kept, so that nearly all words leave the automaton after a few letters.
 
 Each hit is judged in a window of words: inside quotation marks, or beside a word of reporting, it counts as
-quoted. A logistic model over the sums of hits (words, which count less if misspelled; beginnings; quoted ones
+quoted. Words of reporting are some English ones and those, of any language, that the labelled texts teach: words that
+stand beside hits far more often in texts that aren't toxic. A logistic model over the sums of hits (words, which count less if misspelled; beginnings; quoted ones
 apart; misspelled ones once more, so that the weight of an edit is learned) gives the score.
 
 Learned from at most about MOST_DOCS labelled documents of each class, with the intercept set for the classes'
-true shares. The lexicon has at most 2 * MOST_TERMS terms, so what is sent to tasks has a fixed bound.
+true shares. Terms are chosen by their support and log odds alone; each needs LEAST_DOCS of the sampled documents and
+LEAST_ODDS, so their number is bounded by the sample's.
 
 Defined results: null and empty texts have no hits and get the score of that; several labels of a document each
 count; without labels of both classes every score is the share of toxic labels (0 without labels); repeated rows
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 
 from resight.llm.common import fold, map_text, materialize, sampled, slices, table, utf8
 
-#: Labelled documents of each class to learn from, and terms of the lexicon; words whose beginning is a term come beside, as many at most.
-MOST_DOCS, MOST_TERMS = 10_000, 200
+#: Labelled documents of each class to learn from.
+MOST_DOCS = 10_000
 #: A term is in the lexicon from so many toxic documents of the sample, and such log odds of toxic to other ones.
 LEAST_DOCS, LEAST_ODDS = 5, 2.5
 #: Each edit takes this share of a letter's worth.
@@ -41,12 +43,14 @@ PER_EDIT = 1.5
 STEMS, MIN_ONE, MIN_TWO = (5, 6, 7, 8), 5, 8
 #: Words to either side of a hit.
 WINDOW = 6
-#: Words of reporting, by which a hit counts as quoted.
+#: A learned word of reporting stands beside hits in so many other documents, with such log odds of other to toxic ones.
+BESIDE_DOCS, BESIDE_ODDS = 5, 1.5
+#: English words of reporting, by which a hit counts as quoted before anything is learned.
 REPORTING = frozenset("said says say wrote called calling quote quoted quotes quoting word words term reported alleged".split())
 PAIRED = '"“”„«»'
 QUOTES = PAIRED + "‘’"
-#: Words that a worker remembers.
-MOST_WORDS = 300_000
+#: Words that a worker remembers, and the longest of them.
+MOST_WORDS, LONGEST = 150_000, 64
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 FEATURES = ["word", "stem", "quoted", "close", "edited", "any", "density"]
 _EDGES = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + QUOTES + "¡¿…–—"
@@ -143,6 +147,7 @@ class Model:
     weights: list[float]
     coefficients: list[float] = field(default_factory=list)
     constant: float | None = None
+    reporting: frozenset[str] = REPORTING
     _automaton: Automaton | None = None
     _known: dict[str, tuple[int, int] | None] = field(default_factory=dict)
 
@@ -151,26 +156,33 @@ class Model:
 
     def hit(self, word: str) -> tuple[int, int] | None:
         """For a word as it stands in a text."""
-        if word not in self._known:
-            if self._automaton is None:
-                self._automaton = Automaton(self.terms)
+        if word in self._known:
+            return self._known[word]
+        if self._automaton is None:
+            self._automaton = Automaton(self.terms)
+        found = self._automaton.find(bare(word))
+        if len(word) <= LONGEST:
             if len(self._known) >= MOST_WORDS:
                 self._known.clear()
-            self._known[word] = self._automaton.find(bare(word))
-        return self._known[word]
+            self._known[word] = found
+        return found
+
+    def hits(self, words: list[str]) -> list[tuple[int, tuple[int, int]]]:
+        """(place, (term, edits)) of the words that are in the lexicon."""
+        known, hit = self._known, self.hit
+        return [(i, h) for i, w in enumerate(words) if (h := known[w] if w in known else hit(w))]
 
     def features(self, text: bytes) -> list[float]:
         """Sums of the hits' weights by kind, and how dense and close they are; in the order of FEATURES."""
         words = text.decode("utf-8", "replace").split()
-        known, hit = self._known, self.hit
-        hits = [(i, h) for i, w in enumerate(words) if (h := known[w] if w in known else hit(w))]
+        hits = self.hits(words)
         sums = dict.fromkeys(FEATURES, 0.0)
         opened = np.cumsum([sum(w.count(q) for q in PAIRED) for w in words]) if hits and any(q.encode() in text for q in PAIRED) else None
         last = -(10**9)
         for i, (term, edits) in hits:
             near = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
             inside = opened is not None and (opened[i] % 2 == 1 or any(c in QUOTES for c in words[i]))
-            quoted = inside or any(bare(w) in REPORTING for w in near)
+            quoted = inside or any(bare(w) in self.reporting for w in near)
             kind = "quoted" if quoted else "stem" if self.terms[term].endswith("*") else "word"
             worth = self.weights[term] * (1 - PER_EDIT * edits / len(self.terms[term]))
             sums[kind] += worth
@@ -206,11 +218,12 @@ def candidates(words: set[str]) -> set[str]:
     return {w for w in words if len(w) > 3} | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k}
 
 
-def choose(found: list[tuple[str, int, int]], docs: list[int], most: int = MOST_TERMS) -> tuple[list[str], list[float]]:
+def choose(found: list[tuple[str, int, int]], docs: list[int]) -> tuple[list[str], list[float]]:
     """Terms and their log odds from (term, other documents, toxic documents); a beginning that a kept term covers or
-    has is left out. Words stay beside their own beginning, as only they may be misspelled; they take no other term's place."""
+    has is left out. Words stay beside their own beginning, as only they may be misspelled."""
     beside: dict[str, float] = {}
     kept: dict[str, float] = {}
+    starts: set[str] = set()
     rated = []
     for term, other, toxic in found:
         odds = math.log((toxic + 0.5) / (docs[1] + 1)) - math.log((other + 0.5) / (docs[0] + 1))
@@ -219,13 +232,36 @@ def choose(found: list[tuple[str, int, int]], docs: list[int], most: int = MOST_
     for _, _, term, odds in sorted(rated, reverse=True):
         whole = term.rstrip("*")
         if any(f"{whole[:k]}*" in kept for k in STEMS if k <= len(whole)):
-            if not term.endswith("*") and len(beside) < most:
+            if not term.endswith("*"):
                 beside[term] = odds
-        elif len(kept) < most and not (term.endswith("*") and any(k.startswith(whole) for k in kept)):
+        elif not (term.endswith("*") and whole in starts):
             kept[term] = odds
+            starts.update(whole[:k] for k in range(1, len(whole) + 1))
     return [*kept, *beside], [*kept.values(), *beside.values()]
 
 
+def reporting(sample: DataFrame, model: Model) -> frozenset[str]:
+    """Words of the sample (label, t) that stand beside hits far more often in other than in toxic documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = (Counter(), Counter())
+        for part in slices(batches, 1):
+            for y, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                words = t.decode("utf-8", "replace").split()
+                near = {bare(w) for i, _ in model.hits(words) for w in words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]}
+                if near:
+                    by[y].update({w for w in near if w and len(w) <= LONGEST and model.hit(w) is None} | {""})  # "" counts documents
+        terms = list(by[0] | by[1])
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([by[k][x] for x in terms], pa.int64()) for k in (0, 1)]], names=["term", "other", "toxic"])
+
+    counted = materialize(sample.mapInArrow(count, "term string, other long, toxic long").groupBy("term").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")), "beside")
+    docs = counted.filter("term = ''").first()
+    if docs is None or not docs["other"]:
+        return frozenset()
+    odds = F.log((F.col("other") + 0.5) / (docs["other"] + 1)) - F.log((F.col("toxic") + 0.5) / (docs["toxic"] + 1))
+    return frozenset(r["term"] for r in counted.filter((F.col("other") >= BESIDE_DOCS) & (odds >= BESIDE_ODDS) & (F.col("term") != "")).collect())  # of the sample
+
+
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_DOCS) -> Model:
     """From labelled documents outside the held-out fold: about `most` of each class, by a hash of the id."""
     known = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & (fold(doc_id, FOLDS) != HELD_OUT)).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label"))
@@ -252,8 +288,9 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return Model([], [], constant=docs_of[1] / sum(docs_of.values()))
     counted = sample.mapInArrow(count, "term string, other long, toxic long").groupBy("term").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("other") + 0.5) / (sizes[0] + 1))
-    best = counted.filter((F.col("toxic") >= LEAST_DOCS) & (odds >= LEAST_ODDS)).orderBy(F.desc(odds * F.sqrt("toxic")), "term").limit(20 * MOST_TERMS)
+    best = counted.filter((F.col("toxic") >= LEAST_DOCS) & (odds >= LEAST_ODDS))  # each in LEAST_DOCS of the sample's documents
     model = Model(*choose([tuple(r) for r in best.collect()], [sizes[0], sizes[1]]))
+    model.reporting = REPORTING | reporting(sample, model)
     schema = "label int, " + ", ".join(f"{f} double" for f in FEATURES)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
