@@ -20,6 +20,8 @@ from resight.llm.tokens import WordIds, tokenizer_path
 
 #: Lengths in a block.
 BLOCK = 1024
+#: Context limits that are answered whether a document has that length or not; shares of the quantiles.
+CONTEXTS, SHARES = [1 << k for k in range(7, 21)], [0.5, 0.9, 0.99, 1.0]
 
 
 def histogram(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
@@ -58,5 +60,23 @@ def quantiles(counts: DataFrame, shares: list[float]) -> dict[float, int]:
     return dict(zip(shares, row, strict=True))
 
 
+def with_limits(counts: DataFrame, wanted: list[int]) -> DataFrame:
+    """A histogram with lengths that no document has, so that limits() answers them as context limits too."""
+    spark = counts.sparkSession
+    return counts.unionByName(spark.createDataFrame([(int(x), 0) for x in wanted], "length long, n_docs long")).groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+
+
+def report(docs: DataFrame, text: str = "text", path: str | None = None, wanted: list[int] = CONTEXTS, shares: list[float] = SHARES) -> DataFrame:
+    """limits() of every length that occurs and of the context limits `wanted`, with all_docs, all_tokens, and the
+    quantiles of the lengths as q50, q90...: the smallest length that holds at least that share of the documents whole."""
+    counts = materialize(histogram(docs, text, path), "lengths")
+    if counts.isEmpty():
+        wanted = []
+    found = materialize(limits(with_limits(counts, wanted)), "limits")
+    whole = counts.agg(F.sum("n_docs").alias("all_docs"), F.sum(F.col("length") * F.col("n_docs")).alias("all_tokens"))
+    at = found.agg(*[F.min(F.when((F.col("share_within") >= s - 1e-12) & (F.col("n_docs") > 0), F.col("length"))).alias(f"q{round(100 * s)}") for s in shares])
+    return found.crossJoin(F.broadcast(whole.crossJoin(at)))  # one row each
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return limits(materialize(histogram(table(spark, sf_dir, "documents")), "lengths"))
+    return report(table(spark, sf_dir, "documents"))
