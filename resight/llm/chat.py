@@ -9,8 +9,8 @@ with a conversation. A conversation is one training sequence, whose digests are
 
 Defined results: null roles and texts are empty; a role without a head of its own is written in the template's
 general head; an order that the machine refuses is counted in bad_turns, and the turns are written all the same;
-turns that tie are ordered by role, then text, nulls first; repeated turns are all written; rows with a null conv_id
-are one conversation; an empty table gives an empty result; further columns are left alone.
+turns that tie are ordered by role, then text, nulls first; repeated turns are all written; a row with a
+null conv_id is a conversation of its own; an empty table gives an empty result; further columns are left alone.
 """
 
 from __future__ import annotations
@@ -71,33 +71,36 @@ class Template:
 
 
 DEFAULT = Template()
-_SEGMENTS = "conv_id {id}, segment string, loss boolean, opens boolean, good boolean, final boolean"
+_SEGMENTS = "conv_id {id}, segment string, loss boolean, opens boolean, good boolean, final boolean, first boolean"
 
 
 def segments(chats: DataFrame, template: Template = DEFAULT, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, segment, loss, opens (first segment of a turn), good (the turn's order), final (may end after it).
+    """conv_id, segment, loss, opens (first segment of a turn), good (the turn's order), final (may end after it), first
+    (of a conversation).
 
     Within its partition a conversation's rows are in order; shuffling them further loses that.
     """
     kind = chats.schema[conv_id].dataType.simpleString()
     rows = chats.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    # rows of no conversation are dealt out, each by itself
+    rows = rows.withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    rows = rows.repartition("conv_id", "alone").sortWithinPartitions("conv_id", "alone", "turn", "role", "text").select("conv_id", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = object(), "start"
         for batch in batches:
             made: list[tuple] = []
             for conv, who, says in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if conv != last:
+                if first := conv is None or conv != last:
                     last, state = conv, "start"
                 good = who in template.turns.get(state, {})
                 state = template.turns[state][who] if good else who if who in template.turns and who != "start" else state
                 final = state in template.final
                 for piece, loss, opens in ((template.opening(who), False, True), (template.escaped(says), who in template.loss, False), (template.end, False, False)):
-                    made.append((conv, piece, loss, opens, good, final))
+                    made.append((conv, piece, loss, opens, good, final, first and opens))
             if made:
                 columns = list(zip(*made, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), pa.array(columns[1], pa.string()), *[pa.array(c, pa.bool_()) for c in columns[2:]]], names=["conv_id", "segment", "loss", "opens", "good", "final"])
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), pa.array(columns[1], pa.string()), *[pa.array(c, pa.bool_()) for c in columns[2:]]], names=["conv_id", "segment", "loss", "opens", "good", "final", "first"])
 
     return rows.mapInArrow(run, _SEGMENTS.format(id=kind))
 
@@ -147,8 +150,8 @@ def read_back(made: DataFrame, template: Template = DEFAULT) -> DataFrame:
 
         for part in batches:
             id_type = part.column(0).type
-            for conv, *rest in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if reader is None or conv != last:
+            for conv, *rest, first in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if first:
                     if reader is not None:
                         done.append((last, *reader.row()))
                     last, reader = conv, _Reader(template)
@@ -175,9 +178,9 @@ _ESCAPED = "replace(t, '\\', '\\\\')"
 for _c in DEFAULT.control:
     _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
 OP1_SQL = f"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
-           UNION ALL SELECT -7, i, ['user', 'assistant'][i + 1], '{PROBE}' FROM range(2) AS x(i)),
-o AS (SELECT *, lag(r) OVER w AS before, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, t)),
+WITH c AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+           UNION ALL SELECT -7, NULL, i, ['user', 'assistant'][i + 1], '{PROBE}' FROM range(2) AS x(i)),
+o AS (SELECT *, lag(r) OVER w AS before, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id, alone) AS n FROM c WINDOW w AS (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, r, t)),
 f AS (SELECT *, CASE r WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15 ELSE length('### Role : ' || url_encode(r)) END + length({_ESCAPED}) + {len(DEFAULT.end)} AS chars,
       coalesce(before, 'start') || '>' || r IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user') AS good FROM o)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY k)) AS turns_sha256,
@@ -185,5 +188,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(
        sha256(coalesce(string_agg(CASE WHEN r = 'assistant' THEN t END, '' ORDER BY k), '')) AS loss_sha256,
        CAST(sum(chars) AS BIGINT) AS formatted_chars, count(*) FILTER (NOT good) AS bad_turns,
        bool_and(good) AND bool_or(k = n AND r = 'assistant') AS valid
-FROM f GROUP BY conv_id
+FROM f GROUP BY conv_id, alone
 """
