@@ -1,10 +1,9 @@
-"""Helpers shared by the training-data operators: tables, scratch storage, skew-safe lookups, Arrow kernels."""
+"""Helpers shared by the training-data operators: tables, skew-safe lookups, Bloom filters, Arrow kernels."""
 
 from __future__ import annotations
 
-import atexit
+import ctypes
 import math
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,60 +11,39 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from resight.scratch import discard as discard
+from resight.scratch import written as materialize
+
 #: Bytes of text that a kernel works on at once; one longer text is a slice of its own.
 SLICE_BYTES = 8 << 20
 #: Keys with at least this share of all rows count as hot; so there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1e-3
-#: Largest Bloom filter that is sent to tasks.
-BLOOM_BYTES = 32 << 20
+#: Largest Bloom filter that is sent to tasks; the largest that is looked up by the byte.
+BLOOM_BYTES, PLAIN_BYTES = 32 << 20, 1 << 20
 
-_scratch: dict[str, str] = {}
 _memory: dict[str, object] = {}
+_libc: list[Callable[[int], int]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """This session's folder below spark.checkpoint.dir; where that is unset, below Spark's warehouse, on one machine only."""
-    app = spark.sparkContext.applicationId
-    if app not in _scratch:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-        _scratch[app] = f"{base.rstrip('/')}/resight-{app}-{uuid.uuid4().hex[:8]}"
-        atexit.register(drop_scratch, spark)
-    return _scratch[app]
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete what materialize() wrote in this session; DataFrames built on it can't be read any more."""
-    try:
-        root = _scratch.pop(spark.sparkContext.applicationId, None)
-        if root:
-            path = spark._jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session may be gone already; then its folder stays, as any checkpoint does
-        pass
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
+def trim() -> None:
+    """Give a worker's free memory back, as the next operator's worker may be another process."""
+    pa.default_memory_pool().release_unused()
+    if not _libc:
+        try:
+            _libc.append(ctypes.CDLL("libc.so.6").malloc_trim)
+        except (OSError, AttributeError):  # another C library: its memory stays as it is
+            _libc.append(lambda _: 0)
+    _libc[0](0)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of materialize() that nothing reads any more."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def trimmed(batches: Iterable) -> Iterator:
+    """The batches, and then trim()."""
+    yield from batches
+    trim()
 
 
 def remembered(name: str, make: Callable[[], object]) -> object:
@@ -73,6 +51,7 @@ def remembered(name: str, make: Callable[[], object]) -> object:
     worker serves one after the other."""
     if name not in _memory:
         _memory.clear()
+        trim()
         _memory[name] = make()
     return _memory[name]
 
@@ -125,7 +104,7 @@ def map_text(df: DataFrame, text: str, keep: dict[str, Column], kernel: Callable
             made = kernel(part.column(n).to_pylist())
             yield pa.RecordBatch.from_arrays([*part.columns[:n], *[pa.array(made[f]) if not isinstance(made[f], pa.Array) else made[f] for f in fields]], names=[*names, *fields])
 
-    made = bare.mapInArrow(run, out)
+    made = bare.mapInArrow(lambda batches: trimmed(run(batches)), out)
     return made.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], *fields)
 
 
@@ -153,36 +132,81 @@ def by_share(left: DataFrame, right: DataFrame, key: str, size: str, flags: list
     return joined.unionByName(left.filter(F.col(key).isNull()).select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in flags]))
 
 
-def bloom(keys: DataFrame, key: str, most_bytes: int = BLOOM_BYTES) -> Callable[[str], Column] | None:
-    """Whether a column's value may be among keys: about one in a hundred of the others passes. Built by the executors,
-    its size is that of the keys and checked: None beyond most_bytes, where callers shuffle instead, with the same rows."""
-    n = keys.count()
-    size = 1 << max(10, math.ceil(math.log2(10 * max(1, n))))
-    if size // 8 > most_bytes:
-        return None
+class Bits:
+    """A Bloom filter of 64-bit hashes, as 64-bit words; a power of two of bits."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self._plain = words, None
+
+    def __getstate__(self) -> dict:
+        return {"words": self.words, "_plain": None}
+
+    def _has(self, h: np.ndarray, k: int) -> np.ndarray:
+        at = _probe(h, 64 * len(self.words), k)
+        if 8 * len(self.words) > PLAIN_BYTES:
+            return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+        if self._plain is None:  # a small one is looked up by the byte
+            self._plain = np.unpackbits(self.words.view(np.uint8), bitorder="little").view(bool)
+        return self._plain[at]
+
+    def among(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that may be among those of the filter."""
+        open_ = np.flatnonzero(self._has(hashes, 0))
+        for k in range(1, _PROBES):
+            open_ = open_[self._has(hashes[open_], k)]
+        return open_
+
+
+def bits_of(keys: DataFrame, hashed: str, per_key: int = 10, most_bytes: int = BLOOM_BYTES) -> Bits:
+    """The filter of a column of hashes that are mixed well. Built by the executors. Its size is that of the keys up to
+    most_bytes; with more keys it lets more of the others pass, which callers sort out anyway."""
+    size = min(1 << max(10, math.ceil(math.log2(per_key * max(1, keys.count())))), 8 * most_bytes)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                at = np.unique(np.concatenate(_probes(b.column(0).to_numpy(), size)))
+                at = np.unique(np.concatenate([_probe(b.column(0).to_numpy(), size, k) for k in range(_PROBES)]))
                 word, where = np.unique(at >> 6, return_inverse=True)
                 bits = np.zeros(len(word), np.uint64)
                 np.bitwise_or.at(bits, where, np.uint64(1) << (at & 63).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
 
     words = np.zeros(size // 64, np.uint64)
-    # at most size / 64 rows, which were checked
-    rows = keys.select(F.xxhash64(key).alias("h")).mapInArrow(put, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    # at most size / 64 rows
+    rows = keys.select(hashed).mapInArrow(put, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return Bits(words)
+
+
+def may_be_in(keys: DataFrame, key: str) -> Callable[[str], Column]:
+    """Whether a column's value may be among keys: about one in a hundred of the others passes."""
+    bits = bits_of(keys.select(F.xxhash64(key).alias("h")), "h")
 
     @F.arrow_udf("boolean")
-    def among(h: pa.Array) -> pa.Array:
-        found = np.ones(len(h), bool)
-        for at in _probes(h.to_numpy(zero_copy_only=False), size):
-            found &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-        return pa.array(found)
+    def test(h: pa.Array) -> pa.Array:
+        out = np.zeros(len(h), bool)
+        out[bits.among(h.to_numpy(zero_copy_only=False))] = True
+        return pa.array(out)
+
+    return lambda column: test(F.xxhash64(column))
+
 
-    return lambda column: among(F.xxhash64(column))
+def text_names(text: str) -> tuple[Column, Column]:
+    """Two 64-bit hashes that name a text; null has a name too."""
+    return F.xxhash64(text), F.xxhash64(F.lit("second"), F.col(text))
+
+
+def without_texts(docs: DataFrame, text: str, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose text isn't among gone: a, b (text_names) and n, the rows with that text; with their columns
+    as they are. Texts with at least HOT_SHARE of these rows, 1 / HOT_SHARE at most, are broadcast; of the other rows only
+    those that a Bloom filter doubts are shuffled."""
+    a, b = free_name(docs, "text_a"), free_name(docs, "text_b")
+    gone = gone.select(F.col("a").alias(a), F.col("b").alias(b), "n")
+    bar = max(10_000.0, HOT_SHARE * (gone.agg(F.sum("n")).first()[0] or 0))
+    hot, cold = (gone.filter(c).drop("n") for c in (F.col("n") >= bar, F.col("n") < bar))
+    named = docs.withColumns(dict(zip((a, b), text_names(text), strict=True))).join(F.broadcast(hot), [a, b], "left_anti")
+    doubtful = may_be_in(cold, a)(a)
+    return named.filter(~doubtful).drop(a, b).unionByName(named.filter(doubtful).join(cold, [a, b], "left_anti").drop(a, b))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -192,7 +216,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _probes(h: np.ndarray, size: int, probes: int = 5) -> list[np.ndarray]:
-    a = mixed(h.astype(np.int64).view(np.uint64))
-    b = mixed(a + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    return [((a + np.uint64(k) * b) & np.uint64(size - 1)).astype(np.int64) for k in range(probes)]
+_PROBES = 5
+
+
+def _probe(h: np.ndarray, size: int, k: int) -> np.ndarray:
+    """The k-th place of hashes; the first takes their low bits, which must be mixed well."""
+    at = h.view(np.uint64)
+    if k:
+        at = mixed(at + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    return (at & np.uint64(size - 1)).view(np.int64)

@@ -8,9 +8,9 @@ twice). Windows of equal values meet as well, whatever their kinds and however f
 copy is found if it is all numbers, or if what is before it makes a name of its first word. An item is found in a
 document if the windows that pass cover LEAST_TOKENS of its tokens, or LEAST_SHARE of them in a shorter item.
 
-The benchmark is the small side: its windows, in a hash table behind a bitmap, are sent to the tasks, which is a
-broadcast hash join. Its words are counted first; beyond MOST_WINDOWS it is dealt into blocks of at most that many,
-which take one pass each, with the same results.
+Documents pass a Bloom filter of the benchmark's windows, so that only windows that may meet are shuffled to the
+join; the meetings of a document with an item are checked in order in one place, which are as many as its windows.
+The benchmark is a table like any other: only the filter is sent to tasks, and its size is bounded.
 
 Defined results: null and empty texts hold and are no items; an item shorter than a window is one window; repeated
 rows are judged row by row; an empty benchmark finds nothing; further columns are left alone.
@@ -20,30 +20,30 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DataType
 
-from resight.llm.common import remembered, slices, table, utf8
+from resight.llm.common import bits_of, materialize, remembered, slices, table, text_names, trimmed, utf8, without_texts
 
 WINDOW = 8
 #: Fewest literal words in a window, as placeholders alone say nothing.
 LEAST_LITERALS = 4
 LEAST_TOKENS, LEAST_SHARE = 13, 0.5
-#: Windows of a benchmark that is sent to the tasks.
-MOST_WINDOWS = 500_000
+#: Bits of the filter for each window of the benchmark; text that is turned into tokens at once.
+PER_WINDOW, KERNEL_BYTES = 64, 1 << 20
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg t ton tons oz lb lbs pound pounds ml cl l liter liters litre litres gallon gallons "
     "s sec second seconds min minute minutes h hour hours day days week weeks month months year years mph kmh percent usd eur dollar dollars euro euros cent cents degree degrees".split()
 )
 #: Words that a worker remembers, and the longest of them in bytes.
-MOST_WORDS, LONGEST = 200_000, 64
+MOST_WORDS, LONGEST = 100_000, 64
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 _GLUED = re.compile(r"([+-]?[$€£]?\d[\d.,]*)([a-zA-Z]+)$")
 _EDGES = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "“”„«»‘’¡¿…–—"
@@ -72,14 +72,16 @@ def tokens_of(word: str) -> list[tuple[int, str, bool]]:
 
 
 class _Ids(dict):
-    """Row numbers of words; a word that is missing is added."""
+    """Row numbers of words; a word that is missing is added, a long one by its digest."""
 
     def __init__(self, add):
         super().__init__()
         self.add = add
 
     def __missing__(self, word: bytes) -> int:
-        return self.add(word)
+        key = word if len(word) <= LONGEST else b"\0" + xxhash.xxh3_128_digest(word)
+        row = self.get(key) if key is not word else None
+        return self.add(word, key) if row is None else row
 
 
 class Canon:
@@ -94,7 +96,7 @@ class Canon:
         self.start, self.count, self.ends = np.zeros(room, np.int64), np.zeros(room, np.int64), np.zeros(room, bool)
         self.kind, self.canonical, self.value, self.capital = np.zeros(room, np.int8), np.zeros(room, np.uint64), np.zeros(room, np.uint64), np.zeros(room, bool)
 
-    def _add(self, word: bytes) -> int:
+    def _add(self, word: bytes, key: bytes) -> int:
         found = tokens_of(word.decode("utf-8", "replace"))
         row = len(self.ids)
         if row >= len(self.start):
@@ -106,18 +108,25 @@ class Canon:
             h = _hash(value)
             self.kind[self.used], self.canonical[self.used], self.value[self.used], self.capital[self.used] = kind, h if kind == LITERAL else _SLOTS[kind], h, capital
             self.used += 1
-        self.ids[word] = row
+        self.ids[key] = row
         return row
 
     def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(kind, canonical, value) arrays of a text. A unit needs a number before it, a name a word before it that
-        ends no sentence; otherwise both are literals."""
-        words = text.split()
+        """(kind, canonical, value) arrays of a text."""
+        return self.many([text])[:3]
+
+    def many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(kind, canonical, value) arrays of texts, one after the other, and where each begins and the last ends. A unit
+        needs a number before it, a name a word before it that ends no sentence; otherwise both are literals."""
+        words = [t.split() for t in texts]
         if len(self.ids) >= self.most:
             self._reset(1 << 12)
-        row = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        n = np.array([len(x) for x in words], np.int64)
+        row = np.fromiter(map(self.ids.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
+        starts = np.concatenate([[0], np.cumsum(n)])
         begins = np.ones(len(row), bool)
         begins[1:] = self.ends[row[:-1]]
+        begins[starts[:-1][n > 0]] = True
         at, count = self.start[row], self.count[row]
         if not (count == 1).all():
             shift = np.cumsum(count) - count
@@ -125,6 +134,7 @@ class Canon:
             first[shift[count > 0]] = True
             begins = np.repeat(begins, count) & first
             at = np.repeat(at - shift, count) + np.arange(len(begins))
+            starts = np.concatenate([[0], np.cumsum(count)])[starts]
         kind, canonical, value = self.kind[at], self.canonical[at], self.value[at]
         named = self.capital[at] & ~begins
         if named.any():
@@ -133,9 +143,10 @@ class Canon:
         after = np.flatnonzero(kind[:-1] == NUMBER) + 1
         after = after[kind[after] == LITERAL]
         if len(after) and len(after := after[np.isin(value[after], _UNIT_HASHES)]):
+            after = after[~np.isin(after, starts)]  # the number is another text's
             kind[after] = UNIT
             canonical[after] = np.uint64(_SLOTS[UNIT])
-        return kind, canonical, value
+        return kind, canonical, value, starts
 
 
 _UNIT_HASHES = np.array(sorted(_hash(u) for u in UNITS), np.uint64)
@@ -169,79 +180,9 @@ def agree(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.
     return True
 
 
-@dataclass
-class Items:
-    """The benchmark: by window size, for canonical tokens and for values, sorted window hashes with the item and place of each."""
-
-    ids: list
-    tokens: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
-    sizes: list[int]
-    hashes: dict[tuple[int, bool], np.ndarray] = field(default_factory=dict)
-    where: dict[tuple[int, bool], np.ndarray] = field(default_factory=dict)
-    coarse: dict[tuple[int, bool], np.ndarray] = field(default_factory=dict)
-
-    @classmethod
-    def build(cls, rows: list[tuple[object, bytes]]) -> Items:
-        canon = Canon()
-        ids, tokens, sizes = [], [], []
-        found: dict[tuple[int, bool], list[tuple[int, int, int]]] = {}
-        for item, text in rows:
-            made = canon.of(text)
-            if not len(made[0]):
-                continue
-            size = min(WINDOW, len(made[0]))
-            for at, (h, exact) in enumerate(zip(windows(made[1], size).tolist(), windows(made[2], size).tolist(), strict=True)):
-                found.setdefault((size, True), []).append((exact, len(ids), at))
-                if (made[0][at : at + size] == LITERAL).sum() >= min(LEAST_LITERALS, size):
-                    found.setdefault((size, False), []).append((h, len(ids), at))
-                    if at == 0 and made[0][0] == LITERAL:  # within a text, the first word may look like a name
-                        named = np.concatenate([[np.uint64(_SLOTS[NAME])], made[1][1:size]])
-                        found[size, False].append((int(windows(named, size)[0]), len(ids), 0))
-            ids.append(item)
-            tokens.append(made)
-            sizes.append(size)
-        out = cls(ids, tokens, sizes)
-        for size, rows_ in sorted(found.items(), key=lambda x: x[0][::-1]):  # slots are filled before values are compared
-            rows_.sort()
-            out.hashes[size] = np.array([r[0] for r in rows_], np.uint64)
-            out.where[size] = np.array([r[1:] for r in rows_], np.int64)
-            bits = max(16, int(np.ceil(np.log2(len(rows_) * 64))))
-            out.coarse[size] = np.zeros(1 << bits, bool)
-            out.coarse[size][(out.hashes[size] & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
-        return out
-
-    def search(self, text: bytes, canon: Canon) -> dict[int, set[int]]:
-        """By item, its tokens that the text's windows cover."""
-        made = canon.of(text)
-        covered: dict[int, set[int]] = {}
-        slots: dict[tuple[int, int], Slots] = {}  # by item and shift: windows of one copy of a question share their slots
-        for (size, exact), own in self.hashes.items():
-            h = windows(made[2 if exact else 1], size)
-            coarse = self.coarse[size, exact]
-            maybe = np.flatnonzero(coarse[(h & np.uint64(len(coarse) - 1)).astype(np.int64)])
-            if not len(maybe):
-                continue
-            low, high = np.searchsorted(own, h[maybe], "left"), np.searchsorted(own, h[maybe], "right")
-            for i, a, b in zip(maybe.tolist(), low.tolist(), high.tolist(), strict=True):
-                for item, at in self.where[size, exact][a:b].tolist():
-                    theirs, mine = tuple(x[at : at + size] for x in self.tokens[item]), tuple(x[i : i + size] for x in made)
-                    if exact:
-                        # kinds are the item's; what the copy's slots stand for elsewhere must hold here too
-                        theirs, mine = (theirs[0], theirs[2], theirs[2]), (theirs[0], mine[2], mine[2])
-                    elif at == 0 and mine[0][0] == NAME and theirs[0][0] == LITERAL and theirs[2][0] == mine[2][0]:
-                        theirs, mine = tuple(x[1:] for x in theirs), tuple(x[1:] for x in mine)
-                    if agree(theirs, mine, slots.setdefault((item, i - at), ({}, {}))):
-                        covered.setdefault(item, set()).update(range(at, at + size))
-        return covered
-
-    def found(self, text: bytes, canon: Canon) -> list[tuple[object, int, int]]:
-        """(item, tokens covered, its tokens) for each item that the text holds."""
-        out = []
-        for item, tokens in self.search(text, canon).items():
-            n = len(self.tokens[item][0])
-            if len(tokens) >= min(LEAST_TOKENS, LEAST_SHARE * n):
-                out.append((self.ids[item], len(tokens), n))
-        return sorted(out, key=lambda x: (str(type(x[0])), x[0]) if x[0] is not None else ("", 0))
+def window_keys(hashes: np.ndarray, size: int, exact: bool) -> np.ndarray:
+    """Keys that windows of one size and kind of comparison share."""
+    return hashes ^ np.uint64((2 * size + exact) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
 
 
 def canon() -> Canon:
@@ -249,52 +190,153 @@ def canon() -> Canon:
     return remembered("canon", Canon)
 
 
-def blocks_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", most: int = MOST_WINDOWS) -> list[Items]:
-    """The benchmark in blocks by a hash of the item's id, each of about `most` words at most (windows can't outnumber words; each is kept twice)."""
-    rows = benchmark.select(F.col(item_id).alias("item"), utf8(text).alias("t"))
-    words = rows.agg(F.sum(F.size(F.split(F.col("t").cast("string"), r"[ \t\n\x0B\f\r]+")))).first()[0] or 0
-    n = 1 if words <= most else -(-2 * words // most)
-    return [Items.build([(r[0], bytes(r[1])) for r in rows.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k).orderBy("item", "t").collect()]) for k in range(n)]
+Tokens = tuple[np.ndarray, np.ndarray, np.ndarray]
+_WINDOW = "kinds binary, canonical binary, vals binary"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most: int = MOST_WINDOWS) -> DataFrame:
-    """doc_id, item_id, n_covered, n_item: a row for each item that a row of docs holds."""
-    out = None
-    for items in blocks_of(benchmark, item_id, item_text, most):
-        found = _matches(docs, items, doc_id, text, benchmark.schema[item_id].dataType)
-        out = found if out is None else out.unionAll(found)
-    return out
+def _packed(made: Tokens, at: int, size: int) -> list[bytes]:
+    return [x[at : at + size].tobytes() for x in made]
+
+
+def _unpacked(kinds: bytes, canonical: bytes, values: bytes) -> Tokens:
+    return np.frombuffer(kinds, np.int8), np.frombuffer(canonical, np.uint64), np.frombuffer(values, np.uint64)
 
 
-def _matches(docs: DataFrame, items: Items, doc_id: str, text: str, item_type: DataType) -> DataFrame:
-    kind = to_arrow_type(item_type)
+def item_windows(made: Tokens) -> Iterator[tuple[int, int, int, bool]]:
+    """(key, place, size, whether values are compared) of an item's windows."""
+    size = min(WINDOW, len(made[0]))
+    if not size:
+        return
+    exact, shaped = window_keys(windows(made[2], size), size, True), window_keys(windows(made[1], size), size, False)
+    for at in range(len(exact)):
+        yield int(exact[at]), at, size, True
+        if (made[0][at : at + size] == LITERAL).sum() >= min(LEAST_LITERALS, size):
+            yield int(shaped[at]), at, size, False
+            if at == 0 and made[0][0] == LITERAL:  # within a text, the first word may look like a name
+                named = np.concatenate([[np.uint64(_SLOTS[NAME])], made[1][1:size]])
+                yield int(window_keys(windows(named, size), size, False)[0]), at, size, False
+
+
+def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """A table of the items' windows: key, item (its row), item_id, n_item (its tokens), at, size, exact, and the tokens."""
+    kind = benchmark.schema[item_id].dataType.simpleString()
+    names = ["item", "item_id", "n_item", "key", "at", "size", "exact", "kinds", "canonical", "vals"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = canon()
+        known, n = canon(), TaskContext.get().partitionId() << 40
         for part in slices(batches, 1):
-            hits = [(i, *h) for i, t in enumerate(part.column(1).to_pylist()) for h in items.found(t, known)]
-            if hits:
-                i, item, n, m = zip(*hits, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array(item, kind), pa.array(n), pa.array(m)], names=["doc_id", "item_id", "n_covered", "n_item"])
+            rows: list[tuple] = []
+            which: list[int] = []
+            for i, t in enumerate(part.column(1).to_pylist()):
+                made, n = known.of(t), n + 1
+                for key, at, size, exact in item_windows(made):
+                    which.append(i)
+                    rows.append((n, len(made[0]), key - (1 << 64) if key >> 63 else key, at, size, exact, *_packed(made, at, size)))
+            if rows:
+                item, n_item, *rest = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(item), part.column(0).take(pa.array(which)), pa.array(n_item), *map(pa.array, rest)], names=names)
+
+    schema = f"item long, item_id {kind}, n_item long, key long, at long, size long, exact boolean, {_WINDOW}"
+    return materialize(benchmark.select(F.col(item_id).alias("item_id"), utf8(text).alias("t")).mapInArrow(run, schema), "items")
+
+
+def meetings(docs: DataFrame, items: DataFrame, keep: dict[str, Column], text: str) -> DataFrame:
+    """Windows of documents that meet an item's: row (of the document), `keep`, place, the tokens, and the item's as other_."""
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most WINDOW rows
+    filter_ = docs.sparkSession.sparkContext.broadcast(bits_of(items.select("key").distinct(), "key", PER_WINDOW))
+    bare = docs.select(*[c.alias(k) for k, c in keep.items()], utf8(text).alias("t"))
+    n, names = len(keep), [*keep, "row", "key", "place", "kinds", "canonical", "vals"]
+    schema = bare.select(*keep).schema.add("row", "long").add("key", "long").add("place", "long")
+    for c in ("kinds", "canonical", "vals"):
+        schema = schema.add(c, "binary")
 
-    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item_id {item_type.simpleString()}, n_covered long, n_item long"
-    return docs.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("t")).mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, bits, row = canon(), filter_.value, TaskContext.get().partitionId() << 40
+        for part in slices(batches, n, KERNEL_BYTES):
+            which, rows = [], []
+            *made, starts = known.many(part.column(n).to_pylist())
+            for size in sizes:
+                for exact in (False, True):
+                    keys = window_keys(windows(made[2 if exact else 1], size), size, exact).view(np.int64)
+                    at = bits.among(keys)
+                    own = np.searchsorted(starts, at, "right") - 1
+                    within = at + size <= starts[own + 1]  # not over the end of a text
+                    for i, k in zip(own[within].tolist(), at[within].tolist(), strict=True):
+                        which.append(i)
+                        rows.append((row + i, int(keys[k]), k - int(starts[i]), *_packed(made, k, size)))
+            row += part.num_rows
+            if rows:
+                at = pa.array(which)
+                yield pa.RecordBatch.from_arrays([*[c.take(at) for c in part.columns[:n]], *map(pa.array, zip(*rows, strict=True))], names=names)
+
+    hits = materialize(bare.mapInArrow(lambda batches: trimmed(run(batches)), schema), "hits")
+    other = items.select("key", "item", "item_id", "n_item", "at", "size", "exact", *[F.col(c).alias(f"other_{c}") for c in ("kinds", "canonical", "vals")])
+    return hits.join(other, "key")
+
+
+def covers(meets: Iterator[tuple[int, int, int, bool, Tokens, Tokens]]) -> set[int]:
+    """The tokens of an item that a document covers, from their meetings (place in the document, in the item, size,
+    whether values are compared, the item's tokens and the document's), those by values last."""
+    covered: set[int] = set()
+    slots: dict[int, Slots] = {}  # by shift: windows of one copy of a question share their slots
+    for place, at, size, exact, theirs, mine in meets:
+        if exact:
+            # kinds are the item's; what the copy's slots stand for elsewhere must hold here too
+            theirs, mine = (theirs[0], theirs[2], theirs[2]), (theirs[0], mine[2], mine[2])
+        elif at == 0 and mine[0][0] == NAME and theirs[0][0] == LITERAL and theirs[2][0] == mine[2][0]:
+            theirs, mine = tuple(x[1:] for x in theirs), tuple(x[1:] for x in mine)
+        if agree(theirs, mine, slots.setdefault(place - at, ({}, {}))):
+            covered.update(range(at, at + size))
+    return covered
+
+
+def holds(n_covered: int, n_item: int) -> bool:
+    return n_covered >= min(LEAST_TOKENS, LEAST_SHARE * n_item)
+
+
+def found(docs: DataFrame, items: DataFrame, keep: dict[str, Column], text: str) -> DataFrame:
+    """`keep`, item_id, n_covered, n_item: a row for each item (of benchmark_windows) that a row of docs holds."""
+    order = ["row", "item", "exact", "size", "place", "at"]
+    columns = [*order, "item_id", "n_item", "kinds", "canonical", "vals", "other_kinds", "other_canonical", "other_vals", *keep]
+    met = meetings(docs, items, keep, text).select(*columns).repartition("row", "item").sortWithinPartitions(*order)
+    schema = met.select(*keep, "item_id").schema.add("n_covered", "long").add("n_item", "long")
+    kinds = [to_arrow_type(f.dataType) for f in schema]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, key = [], None
+
+        def judged() -> list[tuple]:
+            n = len(covers((r[4], r[5], r[3], r[2], _unpacked(*r[11:14]), _unpacked(*r[8:11])) for r in group))
+            return [(*group[0][14:], group[0][6], n, group[0][7])] if holds(n, group[0][7]) else []
+
+        for batch in batches:
+            out = []
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[:2] != key:
+                    out += judged() if group else []
+                    group, key = [], r[:2]
+                group.append(r)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=schema.names)
+        if group and (out := judged()):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=schema.names)
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", most: int = MOST_WINDOWS) -> DataFrame:
-    """The rows of docs that hold no item, with their columns as they are."""
-    for items in blocks_of(benchmark, item_id, item_text, most):
-        docs = docs.filter(_clean(items)(utf8(text)))
-    return docs
+    return met.mapInArrow(run, schema)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, item_id, n_covered, n_item: a row for each item that a row of docs holds."""
+    return found(docs, benchmark_windows(benchmark, item_id, item_text), {"doc_id": F.col(doc_id)}, text)
 
 
-def _clean(items: Items):
-    @F.arrow_udf("boolean")
-    def clean(texts: pa.Array) -> pa.Array:
-        known = canon()
-        return pa.array([not items.found(t or b"", known) for t in texts.to_pylist()], pa.bool_())
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs that hold no item, with their columns as they are.
 
-    return clean
+    Texts are named by two 64-bit hashes; those that hold an item are few, and a filter of them lets nearly all other
+    rows pass without a shuffle.
+    """
+    dirty = found(docs, benchmark_windows(benchmark, item_id, item_text), dict(zip("ab", text_names(text), strict=True)), text)
+    return without_texts(docs, text, materialize(dirty.groupBy("a", "b").agg(F.count("*").alias("n")), "dirty"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resight.llm.common import fold, free_name, map_text, materialize, sampled, table, utf8
+from resight.llm.common import fold, free_name, map_text, materialize, sampled, table, trim, utf8
 from resight.llm.doc_stats import NAMES, statistics
 
 #: Shares of the pooled covariance, and then of the scaled identity, in a class covariance.
@@ -148,6 +148,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     @F.arrow_udf("boolean")
     def good(texts: pa.Array) -> pa.Array:
         made = np.array([statistics(t or b"") for t in texts.to_pylist()]).reshape(-1, len(NAMES))
+        trim()
         return pa.array(model.score(made) >= threshold)
 
     return docs.filter(good(utf8(text)))

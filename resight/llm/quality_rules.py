@@ -2,7 +2,7 @@
 
 Each text gets base counts and a base rule. Failures are then summed by host (here: any column that names
 where a document comes from), the hosts' failure rates are shrunk towards the corpus by a beta prior that is
-fitted to the hosts themselves, and a host whose shrunk rate is above a limit is rejected with all it holds.
+fitted to the hosts themselves, and a host that passes much less often than the corpus is rejected with all it holds.
 
 Defined results: a null or empty text has no words, so it fails the base rule; a document with a null host
 gets no host verdict; repeated rows and tied ids are judged row by row; an empty table gives an empty result;
@@ -12,18 +12,17 @@ further columns of any name are left alone.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resight.llm.common import by_share, free_name, map_text, materialize, table, utf8
+from resight.llm.common import by_share, free_name, map_text, materialize, table, text_names, without_texts
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 #: So many rejected hosts at most are broadcast.
 MOST_BROADCAST = 100_000
-#: A host is rejected if its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.8
+#: A host is rejected if its documents pass less than this share as often as the corpus's do, by its shrunk rate.
+LEAST_PASS = 0.5
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SCHEMA = ", ".join(f"{m} long" for m in METRICS)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -88,41 +87,36 @@ def beta_prior(n: int, failed: int, squares: float, hosts: int) -> tuple[float,
     return mean, min(max(noise / excess - 1, 1.0), 1e6) if excess > 1e-12 else 1e6
 
 
-def host_verdicts(hosts: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def host_verdicts(hosts: DataFrame, least_pass: float = LEAST_PASS) -> DataFrame:
     """To hosts (host, n_docs, n_failed) add host_rate, the shrunk failure rate, and host_rejected."""
     hosts = materialize(hosts, "hosts")
     sums = hosts.agg(F.sum("n_docs"), F.sum("n_failed"), F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n_docs")), F.count("*")).first()
     mean, strength = beta_prior(*(x or 0 for x in sums))
     rate = (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
-    return hosts.withColumn("host_rate", rate).withColumn("host_rejected", rate > max_rate)
+    return hosts.withColumn("host_rate", rate).withColumn("host_rejected", 1 - rate < least_pass * (1 - mean))
 
 
-def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", least_pass: float = LEAST_PASS) -> DataFrame:
     """doc_id, host, the base counts, base_failed, host_rejected, kept: a row for each row of docs."""
     judged = map_text(docs, text, {"doc_id": F.col(doc_id), "host": F.col(host)}, base_counts, SCHEMA)
     judged = materialize(judged.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))), "rules")
     hosts = judged.filter(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-    out = by_share(judged, host_verdicts(hosts, max_rate), "host", "n_docs", ["host_rejected"])
+    out = by_share(judged, host_verdicts(hosts, least_pass), "host", "n_docs", ["host_rejected"])
     out = out.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
-def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", host: str = "source", least_pass: float = LEAST_PASS) -> DataFrame:
     """The rows of docs that quality_rules keeps, with their columns as they are.
 
-    Counts are taken twice, once for the hosts and once to filter, as that costs less than a copy of all texts.
+    Texts are counted once; what fails is then known by the texts' names.
     """
-
-    @F.arrow_udf("boolean")
-    def fails(texts: pa.Array) -> pa.Array:
-        made = base_counts([x or b"" for x in texts.to_pylist()])
-        return pa.array([n < 20 or 100 * r > 30 * n for n, r in zip(made["n_words"], made["n_repeat_words"], strict=True)], pa.bool_())
-
-    flag = free_name(docs, "base_failed")
-    flagged = docs.withColumn(flag, fails(utf8(text)))
-    hosts = flagged.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), F.sum(F.col(flag).cast("long")).alias("n_failed"))
-    bad = host_verdicts(hosts, max_rate).filter("host_rejected").select(F.col("host").alias(key := free_name(docs, "host_key")))
-    good = flagged.filter(~F.col(flag)).drop(flag)
+    a, b = text_names(text)
+    judged = map_text(docs, text, {"a": a, "b": b, "host": F.col(host)}, base_counts, SCHEMA)
+    judged = materialize(judged.select("a", "b", "host", base_failed(F.col("n_words"), F.col("n_repeat_words")).alias("fails")), "judged")
+    hosts = judged.filter(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("fails").cast("long")).alias("n_failed"))
+    bad = host_verdicts(hosts, least_pass).filter("host_rejected").select(F.col("host").alias(key := free_name(docs, "host_key")))
+    good = without_texts(docs, text, materialize(judged.filter("fails").groupBy("a", "b").agg(F.count("*").alias("n")), "failed"))
     if bad.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         return good.join(F.broadcast(bad), F.col(host) == F.col(key), "left_anti")
     # no host of so many has a large share left over; nulls are dealt out by text
@@ -151,7 +145,7 @@ hosts AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0
 sums AS (SELECT CAST(sum(f) AS DOUBLE) / sum(n) AS mean, sum(f * f / n) / sum(n) AS sq, count(*) / sum(n) AS per FROM hosts),
 prior AS (SELECT mean, CASE WHEN sq - mean * mean - mean * (1 - mean) * per > 1e-12
           THEN least(greatest(mean * (1 - mean) / (sq - mean * mean - mean * (1 - mean) * per) - 1, 1.0), 1e6) ELSE 1e6 END AS k FROM sums),
-verdicts AS (SELECT source, (f + mean * k) / (n + k) > {MAX_HOST_RATE} AS rejected FROM hosts, prior)
+verdicts AS (SELECT source, 1 - (f + mean * k) / (n + k) < {LEAST_PASS} * (1 - mean) AS rejected FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(rejected, FALSE) AS kept, coalesce(rejected, FALSE) AS host_rejected
 FROM judged LEFT JOIN verdicts USING (source)

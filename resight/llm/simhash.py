@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from resight.llm.common import bloom, by_share, discard, free_name, map_text, materialize, mixed, remembered, table, utf8
+from resight.llm.common import bits_of, by_share, discard, free_name, map_text, materialize, may_be_in, mixed, remembered, slices, table, trim, trimmed, utf8
 
 BITS = 64
 #: Fingerprints within twice this many bits are linked.
@@ -53,7 +53,7 @@ SEED = 42
 #: Rows from which a key may count as hot in the links.
 LEAST_HOT = 10_000
 #: Words that a worker remembers, and their longest.
-MOST_WORDS, LONGEST = 150_000, 64
+MOST_WORDS, LONGEST = 100_000, 64
 _LANES = np.uint64(0x0101010101010101)
 _BLOCK = 255
 _ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, SKETCH), np.uint64)
@@ -243,7 +243,7 @@ def colliding(classes: DataFrame) -> DataFrame:
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array((_rows_of(a, SKETCH) == _rows_of(b, SKETCH)).sum(1) >= LEAST_EQUAL)
 
-    keys = classes.select("cls", "signs").mapInArrow(emit, "key long, cls long")
+    keys = classes.select("cls", "signs").mapInArrow(lambda batches: trimmed(emit(batches)), "key long, cls long")
     met = materialize(keys.groupBy("key").agg(F.min("cls").alias("least"), F.count("*").alias("n")).filter("n > 1"), "met")
     pairs = by_share(keys, met, "key", "n", ["least"], LEAST_HOT).filter("least < cls").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct()
     signs = lambda x: classes.select(F.col("cls").alias(x), F.col("signs").alias(f"{x}_signs"))
@@ -297,6 +297,7 @@ def _compare(data: pa.Table) -> pa.Table:
         moved = np.flatnonzero(label != np.arange(len(label)))
         a.append(cls[at[label[moved]]])
         b.append(cls[at[moved]])
+    trim()
     return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
 
@@ -374,9 +375,17 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
         return {"cls": pa.array(np.array([set_name(x) for x in made], np.uint64).view(np.int64)), "set": pa.array([x.tobytes() for x in made], pa.binary())}
 
     # the text of each set's smallest id, and of any that has the same id or passes the filter by chance
-    wanted = bloom(classes.join(blobs, "cls", "left_semi").filter("head is not null").select("head"), "head")
-    own = docs.filter(wanted(doc_id) | F.col(doc_id).isNull()) if wanted else docs
-    members = map_text(own, text, {}, sets, "cls long, set binary").join(sized, "cls")
+    wanted = bits_of(classes.join(blobs, "cls", "left_semi").filter("head is not null").select(F.xxhash64("head").alias("h")), "h")
+    own = docs.select(F.when(F.col(doc_id).isNotNull(), F.xxhash64(doc_id)).alias("h"), utf8(text).alias("t"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1):
+            mine = np.asarray(part.column(0).is_null()).copy()
+            mine[wanted.among(part.column(0).fill_null(0).to_numpy())] = True
+            made = sets(part.column(1).filter(pa.array(mine)).to_pylist())
+            yield pa.RecordBatch.from_arrays([made["cls"], made["set"]], names=["cls", "set"])
+
+    members = own.mapInArrow(lambda batches: trimmed(pick(batches)), "cls long, set binary").join(sized, "cls")
     members = materialize(members.groupBy("cls").agg(F.first("blob").alias("blob"), F.first("size").alias("size"), F.first("set").alias("set")), "members")
     roots = components(similar_links(members, classes))
     # a component's smallest id stays, by one row of the smallest set that has it
@@ -397,13 +406,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
         known = target.select(F.col("cls").alias(other)).distinct()
         several = several.join(stay, (F.col(doc_id) == F.col(key)) & (F.col(mine) == F.col(other)), "left_semi").dropDuplicates([doc_id, mine]).unionByName(several.join(known, F.col(mine) == F.col(other), "left_anti")).drop(mine)
         gone = materialize(gone.unionByName(repeated).distinct(), "gone")
-    maybe = bloom(gone, key)
-    anti = lambda x: x.join(gone, F.col(doc_id) == F.col(key), "left_anti")
-    if maybe:
-        passed = F.coalesce(maybe(doc_id), F.lit(False))
-        kept = docs.filter(~passed).unionByName(anti(docs.filter(passed)))
-    else:
-        kept = anti(docs)
+    doubtful = may_be_in(gone, key)(doc_id)
+    kept = docs.filter(~doubtful).unionByName(docs.filter(doubtful).join(gone, F.col(doc_id) == F.col(key), "left_anti"))
     return kept if several is None else kept.unionByName(several)
 
 

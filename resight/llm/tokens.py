@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from resight.llm.common import remembered
 
 #: Words that a worker remembers in each of two generations, and the longest of them in bytes.
-MOST_WORDS, LONGEST = 120_000, 64
+MOST_WORDS, LONGEST = 60_000, 64
 #: Words of these signs are the same in any Unicode normal form, and each sign has one lower case of its own.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: How the word-level BPE cuts such a word, once it is in lower case.
