@@ -290,13 +290,12 @@ def final_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(record["recall"]["micro_1"], *(record["ci95"][k] for k in ("p", "lo", "hi")), record["n_sealed"])], "micro_1 double, p double, lo double, hi double, n_sealed long")
 
 
-@query(f"{_SEALED} SELECT count(*) FILTER (fold = 'test') AS withheld, count(*) FILTER (fold = 'dev') AS kept FROM s WHERE CAST(substr(frame_id, 2, 8) AS BIGINT) < 60")
+@query("SELECT count(*) FILTER (n_nationkey % 3 = 0) AS withheld, count(*) FILTER (n_nationkey % 3 > 0) AS kept FROM nation")
 def sealed_crops_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of crops, a file a frame of the first sixty numbers, without those of sealed frames once these are deleted."""
-    r, s = _sealed(spark, sf_dir)
+    """Files of crops, a file a nation, without those of sealed ones once these are deleted."""
     at = _folder(spark, "crops")
-    some = s.filter(F.substring("frame_id", 2, 8).cast("long") < 60).select("frame_id")
-    some.select(F.lit("x").alias("value"), "frame_id").write.partitionBy("frame_id").text(at)
+    s = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("frame_id"), F.when(F.col("n_nationkey") % 3 == 0, "test").otherwise("dev").alias("split_fold"))
+    s.select(F.lit("x").alias("value"), "frame_id").write.partitionBy("frame_id").text(at)
     names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(at).select(F.regexp_extract("path", r"(frame_id=[^/]+/[^/]+)$", 1).alias("name"), F.regexp_extract("path", r"frame_id=([^/]+)", 1).alias("frame_id"))
     gone = names.join(s.filter("split_fold = 'test'"), "frame_id", "left_semi").select("name")
     n = tables.delete_files(spark, at, scratch.written(gone, "gone"))
@@ -307,8 +306,8 @@ def sealed_crops_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- photos and plugged-in models ----------------------------------------------------------------------------------
 
 
-def _photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A PNG for each part: a yellow body as wide as its number says, on a dark ground, with a white label for every third."""
+def _photos(spark: SparkSession, sf_dir: str, name: str = "part", key: str = "p_partkey") -> DataFrame:
+    """A PNG for each row: a yellow body as wide as its number says, on a dark ground, with a white label for every third."""
 
     @F.pandas_udf("binary")
     def draw(key: pd.Series) -> pd.Series:
@@ -321,7 +320,7 @@ def _photos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return key.map(one)
 
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("frame_id"), draw("p_partkey").alias("content"))
+    return table(spark, sf_dir, name).select(F.col(key).alias("frame_id"), draw(key).alias("content"))
 
 
 _SHARE = "round(60.0 * (20 + p_partkey % 40) / 19200, 6)"
@@ -357,24 +356,45 @@ def features_by_extractor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("frame_id", F.size("pts").alias("n"), F.col("pts")[0]["x"].cast("double").alias("x"), F.col("pts")[0]["y"].cast("double").alias("y"))
 
 
-@query("SELECT p_partkey AS frame_id, TRUE AS hashed, 'dorsal' AS side FROM part WHERE p_partkey < 40")
+@query("SELECT n_nationkey AS frame_id, TRUE AS hashed, 'ventral' AS side, 1.0 AS yellow FROM nation")
 def hashes_and_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Perceptual hashes are 16 digits, and a body that is yellow all over has no yellower edge: photos of the first forty numbers, one of each width."""
-    own = _photos(spark, sf_dir).filter("frame_id < 40")
+    """Perceptual hashes are 16 digits, and a body that is yellow all over is seen from below: a photo for each nation."""
+    own = _photos(spark, sf_dir, "nation", "n_nationkey")
     crops = vision.crops(own, "yellow").select("frame_id", F.col("crop").alias("content"))
-    return vision.phashes(own).select("frame_id", F.col("phash").rlike("^[0-9a-f]{16}$").alias("hashed")).join(vision.sides(crops).select("frame_id", F.when(F.col("ventral_score") >= 0, F.lit("dorsal")).alias("side")), "frame_id")
+    return vision.phashes(own).select("frame_id", F.col("phash").rlike("^[0-9a-f]{16}$").alias("hashed")).join(vision.sides(crops).select("frame_id", "side", F.round("yellow_frac", 1).alias("yellow")), "frame_id")
 
 
 def _same_letter(a: str, b: str) -> float:
     return float(a == b)
 
 
-@query("WITH x AS (SELECT p_partkey, p_brand, p_partkey % 3 AS t FROM part) SELECT p.p_partkey AS probe_id, r.t AS individual_id, max(CAST(p.p_brand = r.p_brand AS DOUBLE)) AS score FROM x p JOIN x r ON r.t < p.t GROUP BY 1, 2")
+def _dense():
+    """Stands in for a dense matcher's network: ten points that agree with confidence 0.6 if brands are equal, else 0.4."""
+    points = np.random.default_rng(0).uniform(0, 100, (10, 2))
+    return lambda a, b: (points, points + 3, np.full(10, 0.6 if a == b else 0.4))
+
+
+@query("WITH x AS (SELECT n_nationkey, n_regionkey, n_nationkey % 3 AS t FROM nation) SELECT p.n_nationkey AS probe_id, r.t AS individual_id, max(CASE WHEN p.n_regionkey = r.n_regionkey THEN 10.0 ELSE 0.0 END) AS score FROM x p JOIN x r ON r.t < p.t GROUP BY 1, 2")
 def learned_matcher(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hook of a learned matcher, here equality, registered by name and built by it."""
-    matching.MATCHERS["same"] = lambda: _same_letter
-    v = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("frame_id"), (F.col("p_partkey") % 3).alias("individual_id"), (F.col("p_partkey") % 3).alias("tkey"), "p_brand")
-    return pooled(v.filter("tkey > 0"), v.filter("tkey < 2"), payload="p_brand", score=pairwise(matching.build("same"))).select("probe_id", "individual_id", "score")
+    """The hook of a learned dense matcher: its network is plugged in, sure matches are verified, nation by nation."""
+    matching.plug("loftr", _dense)
+    v = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("frame_id"), (F.col("n_nationkey") % 3).alias("individual_id"), (F.col("n_nationkey") % 3).alias("tkey"), "n_regionkey")
+    return pooled(v.filter("tkey > 0"), v.filter("tkey < 2"), payload="n_regionkey", score=pairwise(matching.build("loftr"))).select("probe_id", "individual_id", "score")
+
+
+@query("SELECT 'disk_lightglue' AS matcher, FALSE AS broken, count(*) AS n_done, TRUE AS complete, 1.0 AS recall_1, 'better' AS decision FROM nation UNION ALL SELECT 'aliked_lightglue', TRUE, 0, FALSE, 0.0, 'broken'")
+def learned_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One matcher that tells every nation, against a baseline that tells none, and one that finds nothing."""
+    matching.plug("disk_lightglue", lambda: lambda a, b: (np.arange(20).reshape(10, 2) ** 1.5, np.arange(20).reshape(10, 2) ** 1.5, np.full(10, float(a == b) - 0.5)))
+    matching.plug("aliked_lightglue", lambda: lambda a, b: (np.zeros((0, 2)), np.zeros((0, 2)), np.zeros(0)))
+    p = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("frame_id"), F.col("n_nationkey").alias("individual_id"), F.lit(1).alias("tkey"), F.col("n_name").alias("name"))
+    refs = p.withColumn("frame_id", F.col("frame_id") + 1000)
+    base = p.select(F.col("frame_id").alias("probe_id"), F.lit(False).alias("hit_1"))
+    rows = []
+    for name in ("disk_lightglue", "aliked_lightglue"):
+        r = workflows.diagnose(spark, name, p, refs, base, "name", _folder(spark, name), 3600, 10.0, batches=2)
+        rows.append((name, r["broken"], r.get("n_done", 0), r.get("complete", False), r.get("recall", {1: 0.0})[1], r["decision"]))
+    return spark.createDataFrame(rows, "matcher string, broken boolean, n_done int, complete boolean, recall_1 double, decision string")
 
 
 @query("SELECT p_partkey // 100 AS pair, count(*) AS n, round(sum(1.1 * x - 0.2 * y + 30), 6) AS x, round(sum(0.3 * x + 0.9 * y - 10), 6) AS y FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part) GROUP BY 1")

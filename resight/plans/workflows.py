@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resight.functions import scalars as S
-from resight.operators import gallery, metrics, near_dup, openset, ranking, registry, vision
-from resight.operators.scoring import ScoreBlock, cosine_block, pooled
-from resight.sources import cohorts, images
+from resight.operators import experiment, gallery, matching, metrics, near_dup, openset, ranking, registry, vision
+from resight.operators.scoring import ScoreBlock, cosine_block, pairwise, pooled
+from resight.scratch import written
+from resight.sources import cohorts, images, tables
 
 
 def ingest(spark: SparkSession, folders: dict[str, str], metadata: DataFrame | None = None, hashes: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None]:
@@ -99,6 +100,31 @@ def self_match(frames: DataFrame, score: Callable[[object, object], float], payl
     return {"scores": found, "broken": not found or min(found) <= 0}
 
 
+def diagnose(spark: SparkSession, name: str, probes: DataFrame, refs: DataFrame, baseline: DataFrame, payload: str, path: str, seconds: float, least_seconds_per_pair: float, batches: int = 8, **options: object) -> dict:
+    """A learned matcher against a baseline's hits on the same probes, under a time budget: what a pair costs, whether it
+    matches frames with themselves, the recall of the probes that were done, and the rule that was fixed before.
+
+    Probes are scored in batches that are kept below path, so a second run goes on where the first one stopped.
+    """
+    score = matching.build(name, **options)
+    some = probes.orderBy("frame_id").limit(10).select(payload).collect()
+    cost = pair_cost(score, [(a[0], b[0]) for a in some for b in some][:10])
+    checked = self_match(probes, score, payload)
+    out = {"matcher": name, "ms_per_pair": cost * 1000, "self_match": checked["scores"], "broken": checked["broken"]}
+    if checked["broken"]:
+        return out | {"decision": "broken"}
+    work = lambda own: pooled(own, refs, payload, strictly_earlier=False, score=pairwise(score))
+    scores, whole = tables.in_batches(probes, work, path, "frame_id", batches, seconds)
+    scores = written(scores, "diagnosed")
+    done = scores.select("probe_id").distinct()
+    hits = ranking.hits(scores, probes.join(done, F.col("frame_id") == F.col("probe_id"), "left_semi"))
+    report = metrics.report(hits).first().asDict(recursive=True)
+    both = experiment.all_methods({name: hits.select("probe_id", "hit_1"), "baseline": baseline.join(done, "probe_id", "left_semi").select("probe_id", "hit_1")})
+    compared = written(experiment.compare(both, "baseline"), "compared")
+    decision = experiment.decide(compared, name, "baseline", cost, least_seconds_per_pair) if report["n_probe"] else "no_time"
+    return out | {"n_done": report["n_probe"], "complete": whole, "recall": {k: report[f"micro_{k}"] for k in ranking.KS}, "p": next((r["p"] for r in compared.collect() if r["method"] == name), None), "decision": decision}
+
+
 def latencies(rows: DataFrame, by: str, value: str) -> DataFrame:
     """by, mean, median, p90 (linear between neighbours), n of a column of times; tasks hold distinct values only."""
     counts = rows.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
