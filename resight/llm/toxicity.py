@@ -10,9 +10,9 @@ quoted. Words of reporting are some English ones and those, of any language, tha
 stand beside hits far more often in texts that aren't toxic. A logistic model over the sums of hits (words, which count less if misspelled; beginnings; quoted ones
 apart; misspelled ones once more, so that the weight of an edit is learned) gives the score.
 
-Learned from at most about MOST_DOCS labelled documents of each class, with the intercept set for the classes'
-true shares. Terms are chosen by their support and log odds alone; each needs LEAST_DOCS of the sampled documents and
-LEAST_ODDS, so their number is bounded by the sample's.
+Learned from at most about MOST_DOCS labelled documents of each class, copies and most near copies of longer toxic texts taken as one, with the intercept set for the classes'
+true shares. Terms are chosen by their support, log odds and significance alone; each needs LEAST_DOCS of the sampled
+documents, so their number is bounded by the sample's.
 
 Defined results: null and empty texts have no hits and get the score of that; several labels of a document each
 count; without labels of both classes every score is the share of toxic labels (0 without labels); repeated rows
@@ -28,21 +28,25 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resight.llm.common import fold, map_text, materialize, sampled, slices, table, utf8
+from resight.llm.simhash import shingle_set
 
 #: Labelled documents of each class to learn from.
 MOST_DOCS = 10_000
-#: A term is in the lexicon from so many toxic documents of the sample, and such log odds of toxic to other ones.
-LEAST_DOCS, LEAST_ODDS = 5, 2.5
+#: A term is in the lexicon from so many toxic documents of the sample, such log odds of toxic to other ones, and such a
+#: likelihood ratio (twice its logarithm, as chi squared) against no difference: chance alone reaches it once in 10,000 terms.
+LEAST_DOCS, LEAST_ODDS, LEAST_RATIO = 5, 2.5, 15.0
 #: Each edit takes this share of a letter's worth.
 PER_EDIT = 1.5
 #: Letters of the beginnings that are tried, and of terms that may have one or two edits.
 STEMS, MIN_ONE, MIN_TWO = (5, 6, 7, 8), 5, 8
 #: Words to either side of a hit.
 WINDOW = 6
+#: Words from which copies of a text count as one.
+COPIED = 20
 #: A learned word of reporting stands beside hits in so many other documents, with such log odds of other to toxic ones.
 BESIDE_DOCS, BESIDE_ODDS = 5, 1.5
 #: English words of reporting, by which a hit counts as quoted before anything is learned.
@@ -218,6 +222,12 @@ def candidates(words: set[str]) -> set[str]:
     return {w for w in words if len(w) > 3} | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k}
 
 
+def likelihood_ratio(other: int, toxic: int, docs: list[int]) -> float:
+    """Of a term's documents by class against the classes' shares of all."""
+    n, share = other + toxic, docs[1] / (docs[0] + docs[1])
+    return 2 * sum(k * math.log(k / (n * p)) for k, p in ((toxic, share), (other, 1 - share)) if k)
+
+
 def choose(found: list[tuple[str, int, int]], docs: list[int]) -> tuple[list[str], list[float]]:
     """Terms and their log odds from (term, other documents, toxic documents); a beginning that a kept term covers or
     has is left out. Words stay beside their own beginning, as only they may be misspelled."""
@@ -227,7 +237,7 @@ def choose(found: list[tuple[str, int, int]], docs: list[int]) -> tuple[list[str
     rated = []
     for term, other, toxic in found:
         odds = math.log((toxic + 0.5) / (docs[1] + 1)) - math.log((other + 0.5) / (docs[0] + 1))
-        if toxic >= LEAST_DOCS and odds >= LEAST_ODDS:
+        if toxic >= LEAST_DOCS and odds >= LEAST_ODDS and likelihood_ratio(other, toxic, docs) >= LEAST_RATIO:
             rated.append((odds * math.sqrt(toxic), not term.endswith("*"), term, odds))
     for _, _, term, odds in sorted(rated, reverse=True):
         whole = term.rstrip("*")
@@ -241,7 +251,7 @@ def choose(found: list[tuple[str, int, int]], docs: list[int]) -> tuple[list[str
 
 
 def reporting(sample: DataFrame, model: Model) -> frozenset[str]:
-    """Words of the sample (label, t) that stand beside hits far more often in other than in toxic documents."""
+    """Words of the sample (label, t) without copies that stand beside hits far more often in other than in toxic documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = (Counter(), Counter())
@@ -259,7 +269,17 @@ def reporting(sample: DataFrame, model: Model) -> frozenset[str]:
     if docs is None or not docs["other"]:
         return frozenset()
     odds = F.log((F.col("other") + 0.5) / (docs["other"] + 1)) - F.log((F.col("toxic") + 0.5) / (docs["toxic"] + 1))
-    return frozenset(r["term"] for r in counted.filter((F.col("other") >= BESIDE_DOCS) & (odds >= BESIDE_ODDS) & (F.col("term") != "")).collect())  # of the sample
+    found = counted.filter((F.col("other") >= BESIDE_DOCS) & (odds >= BESIDE_ODDS) & (F.col("term") != "")).collect()  # of the sample
+    return frozenset(r["term"] for r in found if likelihood_ratio(r["other"], r["toxic"], [docs["other"], docs["toxic"]]) >= LEAST_RATIO)
+
+
+def _least_shingle(text: str) -> Column:
+    @F.arrow_udf("long")
+    def least(texts: pa.Array) -> pa.Array:
+        found = (shingle_set(t) if len(t.split()) >= COPIED else () for t in texts.to_pylist())
+        return pa.array([int(x[:1].view(np.int64)[0]) if len(x) else None for x in found], pa.int64())
+
+    return least(text)
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_DOCS) -> Model:
@@ -270,7 +290,11 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return Model([], [], constant=float(1 in docs_of))
     share = {k: min(1.0, most / n) for k, n in docs_of.items()}
     some = sampled(known, F.xxhash64("id"), F.when(F.col("label") == 1, share[1]).otherwise(share[0]), 2 * most)
-    sample = materialize(docs.select(F.col(doc_id).alias("id"), utf8(text).alias("t")).join(some, "id").select("label", "t"), "toxic-sample")
+    sample = docs.select(F.col(doc_id).alias("id"), utf8(text).alias("t")).join(some, "id")
+    # copies and most near copies of a text share its least shingle: as toxic texts they are one witness, not many; short
+    # texts are each their own
+    sample = materialize(sample.select("label", "t", F.coalesce(_least_shingle("t"), F.xxhash64("id")).alias("witness")), "labelled")
+    sample = materialize(sample.filter("label = 0").unionByName(sample.filter("label = 1").dropDuplicates(["witness"])), "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = (Counter(), Counter())
@@ -290,7 +314,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("other") + 0.5) / (sizes[0] + 1))
     best = counted.filter((F.col("toxic") >= LEAST_DOCS) & (odds >= LEAST_ODDS))  # each in LEAST_DOCS of the sample's documents
     model = Model(*choose([tuple(r) for r in best.collect()], [sizes[0], sizes[1]]))
-    model.reporting = REPORTING | reporting(sample, model)
+    model.reporting = REPORTING | reporting(sample.dropDuplicates(["label", "witness"]), model)
     schema = "label int, " + ", ".join(f"{f} double" for f in FEATURES)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -636,7 +636,7 @@ def test_lexicon_beyond_a_few_hundred_terms_and_reporting_of_any_language(spark)
     rows = []
     for i, b in enumerate(bad):
         quoted = i % 4 == 0
-        rows += [(len(rows) + k, " ".join(r.sample(plain, 12) + [b] * (k < 11 + 11 * quoted) + r.sample(plain, 12)), int(k < 11 + 11 * quoted)) for k in range(40)]
+        rows += [(len(rows) + k, " ".join(r.sample(plain, 12) + [b] * (k < 14 + 10 * quoted) + r.sample(plain, 12)), int(k < 14 + 10 * quoted)) for k in range(48)]
         if quoted:
             rows.append((len(rows), " ".join([*r.sample(plain, 9), "sie", "sagte", b, *r.sample(plain, 9)]), 0))
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
