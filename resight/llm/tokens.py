@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from resight.llm.common import remembered
 
 #: Words that a worker remembers in each of two generations, and the longest of them in bytes.
-MOST_WORDS, LONGEST = 60_000, 64
+MOST_WORDS, LONGEST = 250_000, 64
 #: Words of these signs are the same in any Unicode normal form, and each sign has one lower case of its own.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: How the word-level BPE cuts such a word, once it is in lower case.
@@ -65,6 +65,11 @@ class Pieces:
         packed = self.packed
         return b"".join([packed[i] for piece in _PIECES.findall(word.lower()) for i in self.encode(piece.encode() + _END)])
 
+    def letters(self, word: bytes) -> bytes:
+        """A word of ASCII letters alone is one piece."""
+        packed = self.packed
+        return b"".join([packed[i] for i in self.encode(word.lower() + _END)])
+
 
 class WordIds:
     """Ids of texts for tokenizers that split at white space before anything else.
@@ -95,10 +100,13 @@ class WordIds:
     def word(self, word: bytes) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            text = word.decode("utf-8", "replace")
-            ids = self.pieces.word(text) if self.pieces and _PLAIN.fullmatch(text) and not any(x in text for x in self.special) else self.slow(text)
-        if len(word) > LONGEST:
-            return ids
+            if self.pieces and word.isalpha():
+                ids = self.pieces.letters(word)
+            else:
+                text = word.decode("utf-8", "replace")
+                ids = self.pieces.word(text) if self.pieces and _PLAIN.fullmatch(text) and not any(x in text for x in self.special) else self.slow(text)
+            if len(word) > LONGEST:
+                return ids
         if len(self.new) >= self.most:
             self.old, self.new = self.new, {}
         self.new[word] = ids
