@@ -40,7 +40,7 @@ ROUNDS, COLUMNS = 250, 16
 #: Tokens that a length in a pattern must be worth.
 PENALTY = 8.0
 #: Lengths that complete a pattern, beside pairs, and those tried for each.
-DEPTH, TRIED = 3, 6
+DEPTH, TRIED = 2, 6
 #: Tokens of a task's window, and of the documents that wait for the next one.
 WINDOW, WAITING = 6_000_000, 1_000_000
 _EPS, _PIVOT = 1e-7, 1e-4

@@ -385,8 +385,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
             made = sets(part.column(1).filter(pa.array(mine)).to_pylist())
             yield pa.RecordBatch.from_arrays([made["cls"], made["set"]], names=["cls", "set"])
 
-    members = own.mapInArrow(lambda batches: trimmed(pick(batches)), "cls long, set binary").join(sized, "cls")
-    members = materialize(members.groupBy("cls").agg(F.first("blob").alias("blob"), F.first("size").alias("size"), F.first("set").alias("set")), "members")
+    # copies that passed by chance collapse before they meet
+    picked = own.mapInArrow(lambda batches: trimmed(pick(batches)), "cls long, set binary").groupBy("cls").agg(F.first("set").alias("set"))
+    members = materialize(picked.join(sized, "cls"), "members")
     roots = components(similar_links(members, classes))
     # a component's smallest id stays, by one row of the smallest set that has it
     named = materialize(classes.join(roots, classes.cls == roots.node, "left").select("cls", "head", "n", F.coalesce("root", "cls").alias("root")), "named")
