@@ -12,9 +12,11 @@ from resight.functions import scalars as S
 COHORTS = ("TK", "PW", "LAB", "GCN")
 
 
-def _count_gate(df: DataFrame, name: str, bad: Column) -> DataFrame:
-    """Passes if no row is bad; detail is their number."""
-    return df.agg(F.count_if(bad).alias("n")).select(F.lit(name).alias("name"), (F.col("n") == 0).alias("ok"), F.col("n").cast("string").alias("detail"))
+def _count_gates(df: DataFrame, bad: dict[str, Column]) -> DataFrame:
+    """Each passes if no row is bad; detail is their number. All are counted in one pass."""
+    counts = df.agg(*[F.count_if(c).alias(name) for name, c in bad.items()])
+    rows = counts.select(F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(name).alias("n")) for name in bad])).alias("g"))
+    return rows.select("g.name", (F.col("g.n") == 0).alias("ok"), F.col("g.n").cast("string").alias("detail"))
 
 
 def _rows_gate(df: DataFrame, name: str) -> DataFrame:
@@ -30,12 +32,17 @@ def registry_gates(registry: DataFrame, files: DataFrame | None = None, near_pai
     """Namespace, dates, unique digests, recapture flags, external cohorts, paths, near-duplicates across sessions."""
     bare = registry.filter(F.col("md5").isNotNull()).groupBy("md5").agg(F.count("*").alias("n")).filter("n > 1")
     gates = [
-        _count_gate(registry, "namespace", ~F.coalesce(F.split("individual_id", "-").getItem(0).isin(*COHORTS), F.lit(False))),
-        _count_gate(registry, "dates", S.missing("date").isNotNull() & ~S.valid_date("date")),
+        _count_gates(
+            registry,
+            {
+                "namespace": ~F.coalesce(F.split("individual_id", "-").getItem(0).isin(*COHORTS), F.lit(False)),
+                "dates": S.missing("date").isNotNull() & ~S.valid_date("date"),
+                "recapture_known": (F.col("role") == "target") & F.col("has_recapture").isNull(),
+                "external": (F.col("cohort") == "GCN") & ~F.coalesce(F.col("role") == "external", F.lit(False)),
+                "paths_relative": F.coalesce(F.col("path_rel").rlike(r"^(/|[A-Za-z]:|\w+://)"), F.lit(True)),
+            },
+        ),
         _rows_gate(bare, "unique_md5"),
-        _count_gate(registry, "recapture_known", (F.col("role") == "target") & F.col("has_recapture").isNull()),
-        _count_gate(registry, "external", (F.col("cohort") == "GCN") & ~F.coalesce(F.col("role") == "external", F.lit(False))),
-        _count_gate(registry, "paths_relative", F.coalesce(F.col("path_rel").rlike(r"^(/|[A-Za-z]:|\w+://)"), F.lit(True))),
     ]
     spark = registry.sparkSession
     missing = [(n, False, "no evidence") for n, df in (("paths_exist", files), ("near_duplicates", near_pairs)) if df is None]
@@ -69,7 +76,7 @@ def split_gates(splits: DataFrame, rebuilt: DataFrame | None = None, manifest_ok
         _rows_gate(overlap(splits.filter("in_train_pool"), test), "train_test_disjoint"),
         _rows_gate(overlap(splits.filter("split_fold = 'dev'"), test), "dev_test_disjoint"),
         _rows_gate(roles.filter("g and p"), "sessions_disjoint"),
-        _count_gate(splits, "open_not_in_gallery", F.coalesce("is_open_new", F.lit(False)) & (F.col("split_role") == "gallery")),
+        _count_gates(splits, {"open_not_in_gallery": F.coalesce("is_open_new", F.lit(False)) & (F.col("split_role") == "gallery")}),
     ]
     if rebuilt is not None:
         columns = sorted(set(splits.columns) & set(rebuilt.columns))

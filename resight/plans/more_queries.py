@@ -306,7 +306,7 @@ def sealed_crops_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- photos and plugged-in models ----------------------------------------------------------------------------------
 
 
-def _photos(spark: SparkSession, sf_dir: str, name: str = "part", key: str = "p_partkey") -> DataFrame:
+def _photos(spark: SparkSession, sf_dir: str, name: str = "supplier", key: str = "s_suppkey") -> DataFrame:
     """A PNG for each row: a yellow body as wide as its number says, on a dark ground, with a white label for every third."""
 
     @F.pandas_udf("binary")
@@ -323,10 +323,10 @@ def _photos(spark: SparkSession, sf_dir: str, name: str = "part", key: str = "p_
     return table(spark, sf_dir, name).select(F.col(key).alias("frame_id"), draw(key).alias("content"))
 
 
-_SHARE = "round(60.0 * (20 + p_partkey % 40) / 19200, 6)"
+_SHARE = "round(60.0 * (20 + s_suppkey % 40) / 19200, 6)"
 
 
-@query(f"SELECT p_partkey AS frame_id, 'yellow' AS seg_method, {_SHARE} AS share, p_partkey % 3 = 0 AS has_label, 512 AS width, 512 AS height FROM part")
+@query(f"SELECT s_suppkey AS frame_id, 'yellow' AS seg_method, {_SHARE} AS share, s_suppkey % 3 = 0 AS has_label, 512 AS width, 512 AS height FROM supplier")
 def crops_by_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = vision.crops(_photos(spark, sf_dir), "label")
     return made.select("frame_id", "seg_method", F.round("mask_area_frac", 6).alias("share"), "has_label", images.image_size("crop").alias("d")).select("frame_id", "seg_method", "share", "has_label", "d.*")
@@ -336,20 +336,20 @@ def _bright(rgb: np.ndarray) -> np.ndarray:
     return (rgb[..., 0] > 200) & (rgb[..., 2] < 100)
 
 
-@query(f"SELECT p_partkey AS frame_id, 'model' AS seg_method, {_SHARE} AS share, FALSE AS has_label FROM part")
+@query(f"SELECT s_suppkey AS frame_id, 'model' AS seg_method, {_SHARE} AS share, FALSE AS has_label FROM supplier")
 def crops_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hook of a segmentation model, here a threshold."""
     return vision.crops(_photos(spark, sf_dir), "model", lambda: _bright).select("frame_id", "seg_method", F.round("mask_area_frac", 6).alias("share"), "has_label")
 
 
-@query("SELECT p_partkey AS frame_id, 0.6 AS a, 0.8 AS b FROM part")
+@query("SELECT s_suppkey AS frame_id, 0.6 AS a, 0.8 AS b FROM supplier")
 def embeddings_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hook of an embedder, here the photo's sides: unit vectors."""
     made = vision.embeddings(_photos(spark, sf_dir), lambda: lambda rgb: np.array(rgb.shape[:2]))
     return made.select("frame_id", *[F.round(F.col("emb")[i].cast("double"), 6).alias(c) for i, c in enumerate("ab")])
 
 
-@query("SELECT p_partkey AS frame_id, 2 AS n, 120.0 AS x, 160.0 AS y FROM part")
+@query("SELECT s_suppkey AS frame_id, 2 AS n, 120.0 AS x, 160.0 AS y FROM supplier")
 def features_by_extractor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hook of a feature extractor, of which the first points stay."""
     made = vision.features(_photos(spark, sf_dir), lambda: lambda gray: (np.array([gray.shape] * 3), np.zeros((3, 4))), most=2)
