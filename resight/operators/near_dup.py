@@ -1,8 +1,8 @@
 """Near-duplicate audit: pairs of 64-bit perceptual hashes within a Hamming distance, by an equi-join on parts of them.
 
 A hash is cut into parts. Two hashes within `most` bits agree in all parts but `most` at least, so they share the key
-of some choice of parts - most of them. Keys are long (21 bits of 64 for nine parts, more for more hashes), so few
-others meet. Equal hashes are collapsed first: the result is pairs of different hashes, beside which hash each frame
+of some choice of parts - most of them. Keys are long (16 bits for two of eight parts, 21 for three of nine, more for
+more hashes), so few others meet. Equal hashes are collapsed first: the result is pairs of different hashes, beside which hash each frame
 has, and a large group of copies is one row in the join.
 """
 
@@ -17,7 +17,7 @@ from resight.scratch import written
 
 MOST = 6
 #: Numbers of hashes up to which so many parts beyond `most` must agree; more of them make more and longer keys.
-SPARE = ((1_000_000, 3), (300_000_000, 4))
+SPARE = ((200_000, 2), (5_000_000, 3), (300_000_000, 4))
 
 
 def hash_halves(phash: str) -> tuple[Column, Column]:

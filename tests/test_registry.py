@@ -107,7 +107,9 @@ def test_registry_gates_find_faults(spark):
     assert found == dict.fromkeys(["namespace", "dates", "unique_md5", "recapture_known", "external", "paths_relative", "paths_exist", "near_duplicates"], False)
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("spare", [2, 3, 4, 5])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, spare):
+    monkeypatch.setattr(near_dup, "SPARE", ((10**9, spare),))
     import random
 
     r = random.Random(3)
