@@ -21,6 +21,9 @@ HOT_SHARE = 1e-3
 #: Largest Bloom filter that is sent to tasks; the largest that is looked up by the byte.
 BLOOM_BYTES, PLAIN_BYTES = 32 << 20, 1 << 20
 
+#: Rows of an Arrow batch where the session has Spark's default, as texts are long: JVM and worker each hold a few batches.
+BATCH_ROWS, SPARK_ROWS = 1500, "10000"
+
 _memory: dict[str, object] = {}
 _libc: list[Callable[[int], int]] = []
 
@@ -29,6 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def smaller_batches(spark: SparkSession) -> None:
+    """BATCH_ROWS from now on, unless the session has a setting of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == SPARK_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def trim() -> None:
     """Give a worker's free memory back, as the next operator's worker may be another process."""
     pa.default_memory_pool().release_unused()
@@ -91,6 +101,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, most: int = SLICE_BYT
 
 def map_text(df: DataFrame, text: str, keep: dict[str, Column], kernel: Callable[[list[bytes]], dict[str, object]], schema: str) -> DataFrame:
     """Columns `keep` of each row, beside what kernel gives for slices of the texts' UTF-8 bytes. schema: of the kernel's columns."""
+    smaller_batches(df.sparkSession)
     bare = df.select(*[c.alias(f"k{i}") for i, c in enumerate(keep.values())], utf8(text).alias("t"))
     n = len(keep)
     names = [f"k{i}" for i in range(n)]

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from resight.llm.common import bits_of, materialize, remembered, slices, table, text_names, trimmed, utf8, without_texts
+from resight.llm.common import bits_of, materialize, remembered, slices, smaller_batches, table, text_names, trimmed, utf8, without_texts
 
 WINDOW = 8
 #: Fewest literal words in a window, as placeholders alone say nothing.
@@ -242,6 +242,7 @@ def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str
 
 def meetings(docs: DataFrame, items: DataFrame, keep: dict[str, Column], text: str) -> DataFrame:
     """Windows of documents that meet an item's: row (of the document), `keep`, place, the tokens, and the item's as other_."""
+    smaller_batches(docs.sparkSession)
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most WINDOW rows
     filter_ = docs.sparkSession.sparkContext.broadcast(bits_of(items.select("key").distinct(), "key", PER_WINDOW))
     bare = docs.select(*[c.alias(k) for k, c in keep.items()], utf8(text).alias("t"))

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resight.llm.common import materialize, slices, table, trimmed, utf8
+from resight.llm.common import materialize, slices, smaller_batches, table, trimmed, utf8
 from resight.llm.tokens import WordIds, tokenizer_path
 
 SIZE = 2048
@@ -254,6 +254,7 @@ def encoded(docs: DataFrame, doc_id: str, text: str, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(np.array([len(x) // 4 for x in ids], np.int64))], names=["doc_id", "ids", "n"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
+    smaller_batches(docs.sparkSession)
     return materialize(docs.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("t")).mapInArrow(lambda batches: trimmed(run(batches)), f"doc_id {kind}, ids binary, n long"), "ids")
 
 

@@ -9,10 +9,10 @@ import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
-from resight.llm.common import remembered
+from resight.llm.common import remembered, trim
 
 #: Words that a worker remembers in each of two generations, and the longest of them in bytes.
-MOST_WORDS, LONGEST = 250_000, 64
+MOST_WORDS, LONGEST = 200_000, 64
 #: Words of these signs are the same in any Unicode normal form, and each sign has one lower case of its own.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: How the word-level BPE cuts such a word, once it is in lower case.
@@ -51,9 +51,8 @@ class Pieces:
         self.encode = tiktoken.Encoding("pieces", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
     @classmethod
-    def of(cls, text: str) -> Pieces | None:
+    def of(cls, made: dict) -> Pieces | None:
         """None if the tokenizer is of another kind."""
-        made = json.loads(text)
         kinds = [x["type"] for x in ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [])]
         steps = [x["type"] for x in ((made.get("normalizer") or {}).get("normalizers") or [])]
         model = made["model"]
@@ -82,9 +81,11 @@ class WordIds:
     def __init__(self, path: str, most: int = MOST_WORDS):
         self.path, self.most, self.new, self.old = path, most, {}, {}
         with open(path, encoding="utf-8") as f:
-            made = f.read()
+            made = json.load(f)
         self.pieces = Pieces.of(made)
-        self.special = [x["content"] for x in json.loads(made)["added_tokens"]]
+        self.special = [x["content"] for x in made["added_tokens"]]
+        del made
+        trim()
         self.tokenizer: Tokenizer | None = None
 
     @classmethod
