@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from resight.llm import chat, decontamination, language, packing, quality_model, quality_rules, simhash, token_counts, toxicity, url_filter
+from resight.llm import chat, decontamination, html_text, language, packing, quality_model, quality_rules, runs, simhash, token_counts, toxicity, url_filter, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,11 +21,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_language": language.op9_language,
         "op10_quality": quality_model.op10_quality,
+        "op11_runs": runs.op11_runs,
+        "op12_html": html_text.op12_html,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """Missing: op2 (XXH64) and op3 (a tokenizer, a linear program) can't be expressed; tests hold them against brute force."""
+    """Missing are XXH64, tokenizers, linear programs, automata, fitted models, HTML parsing and eigenvectors, which SQL can't
+    express; tests hold those operators against brute force, round trips and held-out rows."""
     return {
         "op1_chat": chat.OP1_SQL,
         "op4_quality_rules": quality_rules.OP4_SQL,
