@@ -70,7 +70,7 @@ ENDS = {
 #: What an end tag of another name, or a paragraph's end, doesn't reach past.
 SCOPES = frozenset("html body article section aside main nav header footer div table td th button object blockquote form template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_PART = re.compile(r"[A-Za-z]+")
+_PART, _CUT = re.compile(r"[A-Za-z]+"), re.compile(r"<(?:[A-Za-z!?]|/[A-Za-z])")
 
 
 @dataclass(slots=True)
@@ -162,6 +162,11 @@ class Page(HTMLParser):
         if self._links:
             self._linked += len(data)
 
+    def close(self) -> None:
+        if _CUT.match(self.rawdata):  # a comment or a tag that the page's end cuts off
+            self.rawdata = ""
+        super().close()
+
     def _imply(self, tag: str) -> None:
         """Close what a tag of this name ends: a paragraph, or an item before it."""
         elements, open_ = self.elements, self._open
