@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resight.functions import scalars as S
+from resight.operators import pairs
 from resight.operators.catalog import session_name
 from resight.operators.openset import quantiles
 from resight.operators.ranking import top_k
@@ -38,25 +40,27 @@ def fit_on_latest(frames: DataFrame, k: int = 5, scale: float = 1.0, **scoring:
 
 
 def genuine_pairs(frames: DataFrame, most: int | None = None, seed: int = 42) -> DataFrame:
-    """a, b: pairs of frames of one individual on different dates, the earlier first; `most` of them by a hash, if given."""
+    """a, b: pairs of frames of one individual on different dates, the earlier first; `most` of them at random, if given."""
+    if most is not None:
+        return pairs.genuine(frames, most, seed)
     dated = frames.filter(S.missing("date").isNotNull())
     left, right = (dated.select("individual_id", F.col("date").alias(f"{x}_date"), F.col("frame_id").alias(x)) for x in ("a", "b"))
-    pairs = left.join(right, "individual_id").filter("a_date < b_date").select("a", "b")
-    return pairs if most is None else pairs.orderBy(F.xxhash64("a", "b", F.lit(seed)), "a", "b").limit(most)
+    return left.join(right, "individual_id").filter("a_date < b_date").select("a", "b")
 
 
 def impostor_pairs(frames: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """a, b: n pairs of frames of different individuals, by a hash of the frame, so they don't depend on how rows are dealt."""
-    some = frames.select("individual_id", "frame_id").orderBy(F.xxhash64("frame_id", F.lit(seed)), "frame_id").limit(4 * n)  # bounded by n
-    numbered = some.select("*", F.row_number().over(Window.orderBy(F.xxhash64("frame_id", F.lit(seed)), "frame_id")).alias("k"))
-    right = numbered.select(F.col("individual_id").alias("other"), F.col("frame_id").alias("b"), (F.col("k") - 1).alias("k"))
-    return numbered.join(right, "k").filter("individual_id <> other").orderBy("k").limit(n).select(F.col("frame_id").alias("a"), "b")
+    """a, b: n pairs of frames of different individuals (pairs.impostors)."""
+    return pairs.impostors(frames, n, seed)
 
 
 def fit_on_pairs(frames: DataFrame, score: Callable[[object, object], float], payload: str, n: int = 500, seed: int = 42, low: float = 0.9, high: float = 0.75) -> DataFrame:
     """lo, hi, n_genuine, n_impostor from the scores of sampled pairs, where there are no pooled scores; hi is above lo."""
-    rate = F.udf(lambda a, b: float(score(a, b)), "double")
-    sides = lambda pairs: pairs.join(frames.select(F.col("frame_id").alias("a"), F.col(payload).alias("pa")), "a").join(frames.select(F.col("frame_id").alias("b"), F.col(payload).alias("pb")), "b")
+
+    @F.arrow_udf("double")
+    def rate(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([float(score(x, y)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+
+    sides = lambda drawn: drawn.join(frames.select(F.col("frame_id").alias("a"), F.col(payload).alias("pa")), "a").join(frames.select(F.col("frame_id").alias("b"), F.col(payload).alias("pb")), "b")
     both = sides(genuine_pairs(frames, n, seed)).select(rate("pa", "pb").alias("genuine"), F.lit(None).cast("double").alias("impostor"))
     both = written(both.unionByName(sides(impostor_pairs(frames, n, seed)).select(F.lit(None).cast("double").alias("genuine"), rate("pa", "pb").alias("impostor"))), "pairs")
     ends = quantiles(both, {"lo": ("impostor", low), "hi": ("genuine", high)})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
@@ -201,21 +201,48 @@ def genuine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.genuine_pairs(proxy_registry(spark, sf_dir))
 
 
-@query("SELECT 200 AS n, 200 AS of_two, 200 AS distinct_pairs")
+_APART = "SELECT (sum(n) * sum(n) - sum(n * n)) / 2 AS pairs FROM (SELECT individual_id, count(*) AS n FROM {} GROUP BY 1)"
+
+
+def _checked(found: DataFrame, r: DataFrame, right: Column) -> DataFrame:
+    """How many pairs there are, how many are as they should be, and how many are different."""
+    side = lambda x: r.select(F.col("frame_id").alias(x), F.struct("individual_id", "date").alias(f"{x}_i"))
+    both = found.join(side("a"), "a").join(side("b"), "b")
+    return both.agg(F.count("*").cast("int").alias("n"), F.count_if(right).cast("int").alias("fitting"), F.count_distinct(F.least("a", "b"), F.greatest("a", "b")).cast("int").alias("distinct_pairs"))
+
+
+@query(f"WITH {REGISTRY_SQL}, t AS (SELECT least(700, count(*)) AS n FROM registry a JOIN registry b ON a.individual_id = b.individual_id AND a.date < b.date) SELECT CAST(n AS INTEGER) AS n, CAST(n AS INTEGER) AS fitting, CAST(n AS INTEGER) AS distinct_pairs FROM t")
+def genuine_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of pairs of one individual: all different, of different dates, and as many as are asked for."""
+    r = proxy_registry(spark, sf_dir).select("frame_id", "individual_id", "date")
+    return _checked(calibration.genuine_pairs(r, 700), r, (F.col("a_i.individual_id") == F.col("b_i.individual_id")) & (F.col("a_i.date") < F.col("b_i.date")))
+
+
+@query(f"WITH {REGISTRY_SQL}, t AS (SELECT least(200, pairs) AS n FROM ({_APART.format('registry')})) SELECT CAST(n AS INTEGER) AS n, CAST(n AS INTEGER) AS fitting, CAST(n AS INTEGER) AS distinct_pairs FROM t")
 def impostor_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many pairs are sampled, of different individuals, and different."""
-    r = proxy_registry(spark, sf_dir).select("frame_id", "individual_id")
-    found = calibration.impostor_pairs(r, 200)
-    side = lambda x: r.select(F.col("frame_id").alias(x), F.col("individual_id").alias(f"{x}_i"))
-    return found.join(side("a"), "a").join(side("b"), "b").agg(F.count("*").cast("int").alias("n"), F.count_if(F.col("a_i") != F.col("b_i")).cast("int").alias("of_two"), F.count_distinct("a", "b").cast("int").alias("distinct_pairs"))
+    """A sample of pairs of different individuals."""
+    r = proxy_registry(spark, sf_dir).select("frame_id", "individual_id", "date")
+    return _checked(calibration.impostor_pairs(r, 200), r, F.col("a_i.individual_id") != F.col("b_i.individual_id"))
 
 
-@query("SELECT 100.0 AS lo, 101.0 AS hi, 100 AS n_genuine, 100 AS n_impostor")
+_ONE = "SELECT frame_id, CASE WHEN o % 100 > 0 THEN 'X' ELSE individual_id END AS individual_id FROM (SELECT *, CAST(substr(frame_id, 2) AS BIGINT) AS o FROM registry)"
+
+
+@query(f"WITH {REGISTRY_SQL}, one AS ({_ONE}), t AS (SELECT least(300, pairs) AS n FROM ({_APART.format('one')})) SELECT CAST(n AS INTEGER) AS n, CAST(n AS INTEGER) AS fitting, CAST(n AS INTEGER) AS distinct_pairs FROM t")
+def impostor_pairs_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where one individual has 99 % of the frames."""
+    r = proxy_registry(spark, sf_dir).select("frame_id", F.when(F.substring("frame_id", 2, 20).cast("long") % 100 > 0, F.lit("X")).otherwise(F.col("individual_id")).alias("individual_id"), "date")
+    return _checked(calibration.impostor_pairs(r, 300), r, F.col("a_i.individual_id") != F.col("b_i.individual_id"))
+
+
+@query(
+    f"""WITH {REGISTRY_SQL}, lab AS (SELECT * FROM registry WHERE cohort = 'LAB'), g AS (SELECT count(*) AS n FROM lab a JOIN lab b ON a.individual_id = b.individual_id AND a.date < b.date), i AS ({_APART.format("lab")})
+    SELECT 20.0 AS lo, CASE WHEN n = 0 THEN 21.0 ELSE 50.0 END AS hi, CAST(least(100, n) AS INTEGER) AS n_genuine, CAST(least(100, pairs) AS INTEGER) AS n_impostor FROM g, i"""
+)
 def calibration_on_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fallback over sampled pairs, with a scorer that always says 100: hi is kept above lo."""
+    """The fallback over sampled pairs, with a scorer that says 50 of one individual and 20 of two."""
     r = proxy_registry(spark, sf_dir).filter("cohort = 'LAB'")
-    wide = r.unionByName(r.withColumns({"frame_id": F.concat("frame_id", F.lit("x")), "date": F.lit("2030-01-01")})).withColumn("x", F.lit(1.0))
-    found = calibration.fit_on_pairs(wide, lambda a, b: 100.0 * a * b, "x", 100)
+    found = calibration.fit_on_pairs(r, lambda a, b: 50.0 if a == b else 20.0, "individual_id", 100)
     return found.withColumns({c: F.col(c).cast("int") for c in ("n_genuine", "n_impostor")})
 
 
