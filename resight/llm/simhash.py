@@ -11,8 +11,8 @@ Texts at a similarity of 0.8 differ in about ten of 64 majority bits, which no b
 pipeline's stage therefore takes fingerprints on which they lie within the radius: SIGNS signs, each the least hash
 of the shingles by one order, so that two texts differ in a sign with one minus their similarity. The ball is the
 same: a variant leaves ERASED signs out, and fingerprints that differ in no more than these meet in one. FAMILIES
-fingerprints make it sure: one pair in ten thousand at 0.8 shares no variant. What collides is deduplicated, pairs
-that agree in too few of all SKETCH signs go, and the exact similarity of the shingles decides the others.
+fingerprints make it sure: one pair in ten thousand at 0.8 shares no variant. All that meet in a variant are held against
+each other, pairs that agree in too few of all SKETCH signs go, and the exact similarity of the shingles decides the others.
 
 Components come from alternating large-star and small-star steps over the links, in tables.
 
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from resight.llm.common import bits_of, by_share, discard, free_name, map_text, materialize, may_be_in, mixed, remembered, slices, table, trim, trimmed, utf8
+from resight.llm.common import Bits, bits_of, by_share, discard, free_name, map_text, materialize, may_be_in, mixed, remembered, slices, table, trim, trimmed, utf8
 
 BITS = 64
 #: Fingerprints within twice this many bits are linked.
@@ -45,8 +45,14 @@ SIMILAR = (4, 5)
 FAMILIES, SIGNS, ERASED = 4, 6, 2
 #: Signs of a text in all, and the least number in which candidates agree (at 0.8 one pair in 30,000 is below).
 SKETCH, LEAST_EQUAL = 48, 27
+#: Of texts in variants that more than GROUP texts share, the second fingerprints: families, signs, and those left out.
+SECOND = (6, 8, 2)
+#: Texts of a variant that are all held against each other; those that are so as one matrix, and as pairs of many groups.
+GROUP, WHOLE, FEW = 2048, 512, 8
 #: Texts that are compared at once, and shingles of theirs.
 BLOCK, MOST_SHINGLES = 256, 1 << 20
+#: A pair is verified by itself where fewer than one in so many is.
+PAIRWISE = 16
 #: Signs by which the middle of a large group is found.
 VOTES = 16
 SEED = 42
@@ -54,11 +60,13 @@ SEED = 42
 LEAST_HOT = 10_000
 #: Words that a worker remembers, and their longest.
 MOST_WORDS, LONGEST = 100_000, 64
+_WORDS = [f"s{i}" for i in range(SKETCH // 16)]
 _LANES = np.uint64(0x0101010101010101)
 _BLOCK = 255
 _ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, SKETCH), np.uint64)
 _ORDERS[0] |= np.uint64(1)
-_KEPT = [[f * SIGNS + i for i in kept] for f in range(FAMILIES) for kept in combinations(range(SIGNS), SIGNS - ERASED)]
+#: For each level the signs that its variants keep.
+_LEVELS = [[[f * signs + i for i in kept] for f in range(families) for kept in combinations(range(signs), signs - erased)] for families, signs, erased in ((FAMILIES, SIGNS, ERASED), SECOND)]
 
 
 def bit_sums(hashes: np.ndarray) -> np.ndarray:
@@ -194,18 +202,66 @@ def signs_of(shingles: np.ndarray) -> np.ndarray:
     return (mixed(least) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def variants(signs: np.ndarray) -> np.ndarray:
+def variants(signs: np.ndarray, level: int = 0) -> np.ndarray:
     """A key for each variant of each row's fingerprints: the signs that it keeps, and which these are."""
     wide = signs.astype(np.uint64)
-    keys = np.empty((len(signs), len(_KEPT)), np.uint64)
-    for j, kept in enumerate(_KEPT):
-        key = np.full(len(signs), j, np.uint64)
+    keys = np.empty((len(signs), len(_LEVELS[level])), np.uint64)
+    for j, kept in enumerate(_LEVELS[level]):
+        key = np.full(len(signs), j + 1000 * level, np.uint64)
         for i in kept:
             key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + wide[:, i])
         keys[:, j] = key
     return keys
 
 
+def sketched(signs: np.ndarray) -> np.ndarray:
+    """(rows, SKETCH / 16) words: four bits of each sign."""
+    four = (signs & np.uint32(15)).astype(np.uint64).reshape(len(signs), -1, 16)
+    return (four << (4 * np.arange(16, dtype=np.uint64))).sum(2, dtype=np.uint64)
+
+
+def unequal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many signs sketches (..., words) differ."""
+    x = a ^ b
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(-1, dtype=np.int64)
+
+
+def forest(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(from, to): links that join what agrees in LEAST_EQUAL signs, directly or through others, one less than a component
+    has members. In a large group what is reached is held against what isn't yet, so copies cost little more than a look."""
+    n = len(sketches)
+    if n <= WHOLE:
+        label = reached(unequal(sketches[:, None], sketches[None]) <= SKETCH - LEAST_EQUAL)
+        moved = np.flatnonzero(label != np.arange(n))
+        return label[moved], moved
+    start, end = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left = np.arange(n)
+    while len(left):
+        edge, left = left[:1], left[1:]
+        while len(edge) and len(left):
+            some, edge = edge[:BLOCK], edge[BLOCK:]
+            near = unequal(sketches[some, None], sketches[None, left]) <= SKETCH - LEAST_EQUAL
+            found = near.any(0)
+            start.append(some[near[:, found].argmax(0)])
+            end.append(left[found])
+            edge, left = np.concatenate([edge, left[found]]), left[~found]
+    return np.concatenate(start), np.concatenate(end)
+
+
+def reached(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix the number of the first that it reaches."""
+    label = np.arange(len(linked))
+    if linked.sum() == len(linked):
+        return label
+    while True:
+        now = np.where(linked, label, len(linked)).min(1)
+        if (now == label).all():
+            return label
+        label = now
+
+
 def _rows_of(lists: pa.Array, width: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
@@ -229,29 +285,103 @@ def set_name(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles, SEED)
 
 
-def colliding(classes: DataFrame) -> DataFrame:
-    """Links (a, b) between classes (cls, signs) that meet in a variant, to the smallest there, and agree in LEAST_EQUAL signs."""
+def _emit(classes: DataFrame, level: int, known: Bits | None = None) -> DataFrame:
+    """key of each variant of each class (cls, signs); with `known`, of those that may be among it, with cls and sketch."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                keys = variants(_rows_of(part.column(1), SKETCH).astype(np.int32).view(np.uint32))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1]))], names=["key", "cls"])
-
-    @F.arrow_udf("boolean")
-    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array((_rows_of(a, SKETCH) == _rows_of(b, SKETCH)).sum(1) >= LEAST_EQUAL)
-
-    keys = classes.select("cls", "signs").mapInArrow(lambda batches: trimmed(emit(batches)), "key long, cls long")
-    met = materialize(keys.groupBy("key").agg(F.min("cls").alias("least"), F.count("*").alias("n")).filter("n > 1"), "met")
-    pairs = by_share(keys, met, "key", "n", ["least"], LEAST_HOT).filter("least < cls").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct()
-    signs = lambda x: classes.select(F.col("cls").alias(x), F.col("signs").alias(f"{x}_signs"))
-    links = materialize(pairs.join(signs("b"), "b").join(signs("a"), "a").filter(alike("a_signs", "b_signs")).select("a", "b"), "colliding")
-    discard(met)
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                signs = _rows_of(part.column(1), SKETCH).astype(np.int32).view(np.uint32)
+                keys = variants(signs, level)
+                flat = pa.array(keys.reshape(-1).view(np.int64))
+                if known is None:
+                    yield pa.RecordBatch.from_arrays([flat], names=["key"])
+                    continue
+                some = known.among(keys.reshape(-1))
+                row = some // keys.shape[1]
+                words = sketched(signs).view(np.int64)[row]
+                yield pa.RecordBatch.from_arrays([flat.take(pa.array(some)), part.column(0).take(pa.array(row)), *[pa.array(w) for w in words.T]], names=["key", "cls", *_WORDS])
+
+    schema = "key long" if known is None else f"key long, cls long, {', '.join(f'{w} long' for w in _WORDS)}"
+    return classes.select("cls", "signs").mapInArrow(lambda batches: trimmed(run(batches)), schema)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) among the rows (key, cls, sketch) of each key; rows come sorted by key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        key = batch.column(0).to_numpy()
+        if not len(key):
+            continue
+        last = int(np.searchsorted(key, key[-1]))  # the last key may go on
+        if last:
+            yield _linked([*held, batch.slice(0, last)])
+            held = []
+        elif held and held[-1].column(0)[-1].as_py() != key[0]:
+            yield _linked(held)
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield _linked(held)
+
+
+def _linked(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    key, cls = rows.column("key").to_numpy(), rows.column("cls").to_numpy()
+    words = np.stack([rows.column(w).to_numpy() for w in _WORDS], 1).view(np.uint64)
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+    sizes = np.diff(np.append(starts, len(key)))
+    a, b = [cls[:0]], [cls[:0]]
+    for size in range(2, FEW + 1):
+        first = starts[sizes == size]
+        for i, j in combinations(range(size), 2) if len(first) else ():
+            near = unequal(words[first + i], words[first + j]) <= SKETCH - LEAST_EQUAL
+            a.append(cls[first[near] + i])
+            b.append(cls[first[near] + j])
+    for at, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+        i, j = forest(words[at : at + size])
+        a.append(cls[at + i])
+        b.append(cls[at + j])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def colliding(classes: DataFrame) -> DataFrame:
+    """Links (a, b) between classes (cls, signs) that join all pairs that meet in a variant and agree in LEAST_EQUAL signs.
+
+    All classes of a variant are held against each other, by four bits of each sign, and the links that join them are
+    kept. Only variants that two classes have are shuffled with sketches: a count and a Bloom filter tell them. Classes of
+    a variant that more than GROUP share emit the variants of the second fingerprints instead, which keep more signs: two
+    texts at 0.8 share none of these with a chance of one in ten thousand. In what more than GROUP share even so, all are
+    held against the smallest; these are groups of hundreds of thousands of texts that are alike by half.
+    """
+    links, own = None, classes
+    for level in range(len(_LEVELS)):
+        met = materialize(_emit(own, level).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "met")
+        rows = _emit(own, level, bits_of(met, "key"))
+        rows = materialize(by_share(rows, met, "key", "n", ["n"], LEAST_HOT).filter("n is not null"), "meeting")
+        found = rows.filter(F.col("n") <= GROUP).drop("n").repartition("key").sortWithinPartitions("key").mapInArrow(_met, "a long, b long").distinct()
+        found = materialize(found, "colliding")
+        links = found if links is None else links.unionByName(found)
+        hot = rows.filter(F.col("n") > GROUP)
+        if hot.isEmpty():
+            break
+        if level + 1 < len(_LEVELS):
+            own = materialize(classes.join(hot.select("cls").distinct(), "cls", "left_semi"), "hot")
+        else:
+            first = hot.groupBy("key").agg(F.min(F.struct("cls", *_WORDS)).alias("least"), F.count("*").alias("n"))
+            held = by_share(hot.drop("n"), materialize(first, "least"), "key", "n", ["least"], LEAST_HOT).filter("least.cls < cls")
+            equal = F.arrow_udf(_alike, "boolean")(F.array(*_WORDS), F.array(*[F.col(f"least.{w}") for w in _WORDS]))
+            links = links.unionByName(materialize(held.filter(equal).select(F.col("least.cls").alias("a"), F.col("cls").alias("b")).distinct(), "colliding"))
     return links
 
 
+def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
+    left, right = (_rows_of(x, len(_WORDS)).view(np.uint64) for x in (a, b))
+    return pa.array(unequal(left, right) <= SKETCH - LEAST_EQUAL)
+
+
 def similar(sets: list[np.ndarray]) -> np.ndarray:
     """For each sorted set the number of the first that it reaches by steps of Jaccard similarity SIMILAR or more."""
     sizes = np.array([len(x) for x in sets])
@@ -275,12 +405,7 @@ def similar(sets: list[np.ndarray]) -> np.ndarray:
     above, below = SIMILAR
     linked = (above + below) * common >= above * (sizes[:, None] + sizes)
     np.fill_diagonal(linked, True)
-    label = np.arange(len(sets))
-    while True:
-        now = np.where(linked, label, len(sets)).min(1)
-        if (now == label).all():
-            return label
-        label = now
+    return reached(linked)
 
 
 def _set(packed: pa.Scalar) -> np.ndarray:
@@ -288,12 +413,23 @@ def _set(packed: pa.Scalar) -> np.ndarray:
 
 
 def _compare(data: pa.Table) -> pa.Table:
-    """Links (a, b) among the rows (cls, blob, set) of each blob."""
+    """Links (a, b) among the rows (cls, blob, set, signs) of each blob. Pairs that agree in too few signs aren't looked at;
+    the others are verified one by one, or by a matrix product where they are most of all."""
     cls, blob, packed = data.column("cls").to_numpy(), data.column("blob").to_numpy(), data.column("set")
+    words = sketched(_rows_of(data.column("signs").combine_chunks(), SKETCH).astype(np.int32).view(np.uint32))
     order = np.argsort(blob, kind="stable")
     a, b = [cls[:0]], [cls[:0]]
     for at in np.split(order, np.flatnonzero(np.diff(blob[order])) + 1):
-        label = similar([_set(packed[int(i)]) for i in at])
+        linked = np.triu(unequal(words[at, None], words[None, at]) <= SKETCH - LEAST_EQUAL, 1)
+        left, right = np.nonzero(linked)
+        if PAIRWISE * len(left) > len(at) ** 2:
+            label = similar([_set(packed[int(i)]) for i in at])
+        else:
+            sets = {i: _set(packed[int(at[i])]) for i in np.unique([left, right]).tolist()}
+            for i, j in zip(left.tolist(), right.tolist(), strict=True):
+                linked[i, j] = linked[j, i] = _is_near(sets[i], sets[j])
+            np.fill_diagonal(linked, True)
+            label = reached(linked)
         moved = np.flatnonzero(label != np.arange(len(label)))
         a.append(cls[at[label[moved]]])
         b.append(cls[at[moved]])
@@ -301,15 +437,16 @@ def _compare(data: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
 
-def _near(sets: pa.Array, others: pa.Array) -> pa.Array:
+def _is_near(x: np.ndarray, y: np.ndarray) -> bool:
     above, below = SIMILAR
-    out = np.zeros(len(sets), bool)
-    for i in range(len(sets)):
-        x, y = _set(sets[i]), _set(others[i])
-        if above * max(len(x), len(y)) <= below * min(len(x), len(y)):
-            common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
-            out[i] = (above + below) * common >= above * (len(x) + len(y))
-    return pa.array(out)
+    if above * max(len(x), len(y)) > below * min(len(x), len(y)):
+        return False
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+    return (above + below) * common >= above * (len(x) + len(y))
+
+
+def _near(sets: pa.Array, others: pa.Array) -> pa.Array:
+    return pa.array([_is_near(_set(x), _set(y)) for x, y in zip(sets, others, strict=True)], pa.bool_())
 
 
 def _middles(rows: DataFrame) -> DataFrame:
@@ -323,8 +460,8 @@ def _middles(rows: DataFrame) -> DataFrame:
     return near.groupBy("blob").agg(F.max(F.struct("agreed", "cls")).alias("m")).select("blob", F.col("m.cls").alias("middle"))
 
 
-def similar_links(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) that join what is SIMILAR among members (cls, blob, size of the blob, set) of each blob. classes: cls, signs.
+def similar_links(members: DataFrame) -> DataFrame:
+    """Links (a, b) that join what is SIMILAR among members (cls, blob, size of the blob, set, signs) of each blob.
 
     Blobs of up to BLOCK members share groups, in which all pairs are compared by matrix products. In a larger blob
     every member is first held against its middle; those that are not similar to that are dealt into blocks and
@@ -333,10 +470,10 @@ def similar_links(members: DataFrame, classes: DataFrame) -> DataFrame:
     small, large = members.filter(F.col("size") <= BLOCK), members.filter(F.col("size") > BLOCK)
     parts = max(1, -(-small.count() // BLOCK))
     schema = "a long, b long"
-    links = small.select("cls", "blob", "set", F.pmod(F.xxhash64("blob"), F.lit(parts)).alias("part")).groupBy("part").applyInArrow(_compare, schema)
+    links = small.select("cls", "blob", "set", "signs", F.pmod(F.xxhash64("blob"), F.lit(parts)).alias("part")).groupBy("part").applyInArrow(_compare, schema)
     if large.isEmpty():
         return links
-    middles = materialize(_middles(large.select("cls", "blob").join(classes.select("cls", "signs"), "cls")), "middles")
+    middles = materialize(_middles(large.select("cls", "blob", "signs")), "middles")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     spread = large.withColumn("salt", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
     middle = large.join(middles.select(F.col("middle").alias("cls")), "cls", "left_semi")
@@ -351,7 +488,7 @@ def similar_links(members: DataFrame, classes: DataFrame) -> DataFrame:
     mine, others = F.ceil(F.col("open") / BLOCK).cast("int"), F.ceil((F.col("size") - F.col("open")) / BLOCK).cast("int")
     rest = rest.withColumn("own", F.when(F.col("near"), mine + F.pmod(F.xxhash64("cls"), others)).otherwise(F.pmod(F.xxhash64("cls"), mine)).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("near"), mine).otherwise(mine + others) - 1)))
-    rest = rest.select("cls", "blob", "set", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    rest = rest.select("cls", "blob", "set", "signs", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     return links.unionByName(rest.groupBy("blob", "low", "high").applyInArrow(_compare, schema))
 
 
@@ -368,7 +505,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     blobs = components(colliding(classes))
     blobs = materialize(blobs.select(F.col("node").alias("cls"), F.col("root").alias("blob")), "blobs")
     sizes = materialize(blobs.groupBy("blob").agg(F.count("*").alias("size")), "sizes")
-    sized = by_share(blobs, sizes, "blob", "size", ["size"], LEAST_HOT)
+    sized = by_share(blobs, sizes, "blob", "size", ["size"], LEAST_HOT).join(classes.select("cls", "signs"), "cls")
 
     def sets(texts: list[bytes]) -> dict[str, object]:
         made = [shingle_set(t, shingle) for t in texts]
@@ -388,7 +525,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     # copies that passed by chance collapse before they meet
     picked = own.mapInArrow(lambda batches: trimmed(pick(batches)), "cls long, set binary").groupBy("cls").agg(F.first("set").alias("set"))
     members = materialize(picked.join(sized, "cls"), "members")
-    roots = components(similar_links(members, classes))
+    roots = components(similar_links(members))
     # a component's smallest id stays, by one row of the smallest set that has it
     named = materialize(classes.join(roots, classes.cls == roots.node, "left").select("cls", "head", "n", F.coalesce("root", "cls").alias("root")), "named")
     discard(classes, members, blobs, sizes)

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from resight.llm import doc_stats, quality_model, quality_rules
+from resight.llm import doc_stats, quality_model, quality_rules, simhash
 from resight.llm.common import fold
 from tests.llm.brute import held
 
@@ -68,3 +68,59 @@ def test_fold_is_crc32(spark):
 
     rows = spark.range(50).select("id", fold("id", 5).alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in rows)
+
+
+def test_templated_texts_lose_no_link(spark):
+    """Texts of shared blocks meet in many variants whose smallest they don't resemble; near copies among them are found."""
+    noise = np.random.default_rng(0)
+    blocks = [" ".join(f"b{i}w{noise.integers(0, 5000)}" for _ in range(40)) for i in range(24)]
+    rows = [(i, " ".join([*(blocks[j] for j in noise.choice(24, 8, replace=False)), *(f"u{i}x{k}" for k in range(40))])) for i in range(1500)]
+    for k in range(150):
+        words = rows[int(noise.integers(0, 1500))][1].split()
+        for at in noise.choice(len(words), 7, replace=False):
+            words[at] = f"p{k}q{at}"
+        rows.append((1500 + k, " ".join(words)))
+    shingles = [set(zip(*[t.split()[i:] for i in range(5)], strict=False)) for _, t in rows]
+    alike = {}
+    for i in range(1500, 1650):
+        alike[i] = max(len(shingles[i] & s) / len(shingles[i] | s) for s in shingles[:1500])
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    assert all((i not in kept) == (s >= 0.8) for i, s in alike.items()) and min(alike.values()) < 0.85
+    assert kept >= set(range(1500))
+
+
+def test_second_fingerprints(spark, monkeypatch):
+    """What more classes share than a group may have is linked through the second fingerprints, and then to the smallest."""
+    noise = np.random.default_rng(1)
+    shared = noise.integers(0, 1 << 63, 400).astype(np.uint64)
+    rows, pairs = [], []
+    for i in range(150):
+        own = np.concatenate([shared[:200], noise.integers(0, 1 << 63, 150).astype(np.uint64)])
+        for k in range(2):
+            x = own.copy()
+            x[300 : 300 + 20 * k] = noise.integers(0, 1 << 63, 20 * k)
+            rows.append((2 * i + k, simhash.signs_of(np.unique(x)).view(np.int32).tolist()))
+        pairs.append((2 * i, 2 * i + 1))
+    classes = spark.createDataFrame(rows, "cls long, signs array<int>")
+    for group in (2048, 40):
+        monkeypatch.setattr(simhash, "GROUP", group)
+        roots = {r["node"]: r["root"] for r in simhash.components(simhash.colliding(classes)).collect()}
+        found = sum(a in roots and roots.get(a) == roots.get(b) for a, b in pairs)
+        assert found >= 149, group
+
+
+def test_forest_joins_what_all_pairs_join():
+    noise = np.random.default_rng(2)
+    for n, kinds in ((5, 2), (60, 5), (700, 30), (1500, 2)):
+        base = noise.integers(0, 1 << 32, (kinds, simhash.SKETCH)).astype(np.uint32)
+        signs = base[noise.integers(0, kinds, n)]
+        flip = noise.random(signs.shape) < 0.25
+        signs[flip] = noise.integers(0, 1 << 32, int(flip.sum()))
+        words = simhash.sketched(signs)
+        near = simhash.unequal(words[:, None], words[None]) <= simhash.SKETCH - simhash.LEAST_EQUAL
+        assert ((signs[:9, None] != signs[None]).sum(2) >= simhash.unequal(words[:9, None], words[None])).all()
+        a, b = simhash.forest(words)
+        joined = np.zeros((n, n), bool)
+        joined[a, b] = joined[b, a] = True
+        np.fill_diagonal(joined, True)
+        assert (simhash.reached(joined) == simhash.reached(near)).all() and len(a) == n - len(set(simhash.reached(near).tolist()))
