@@ -10,12 +10,15 @@ quoted. Words of reporting are some English ones and those, of any language, tha
 stand beside hits far more often in texts that aren't toxic. A logistic model over the sums of hits (words, which count less if misspelled; beginnings; quoted ones
 apart; misspelled ones once more, so that the weight of an edit is learned) gives the score.
 
-Learned from at most about MOST_DOCS labelled documents of each class, copies and most near copies of longer toxic texts taken as one, with the intercept set for the classes'
-true shares. Terms are chosen by their support, log odds and significance alone; each needs LEAST_DOCS of the sampled
-documents, so their number is bounded by the sample's.
-
-Defined results: null and empty texts have no hits and get the score of that; several labels of a document each
-count; without labels of both classes every score is the share of toxic labels (0 without labels); repeated rows
+Learned from at most about MOST_DOCS labelled documents of each class, with the intercept set for the classes' true
+shares. Terms of any length are chosen by their support, log odds and significance alone. A term's support among toxic
+documents is the number of different contexts that it stands in, one a document at most: so copies and near copies of a
+text, and what many texts share, such as a header, are one witness, while all that a text says of its own counts; texts
+of a few words are each their own witness. A term needs LEAST_DOCS contexts, so the number of terms is bounded by the
+sample's. In the logistic model, documents whose hits all stand in the same contexts share one document's weight.
+
+Defined results: null and empty texts have no hits and get the score of that; several equal labels of a document count
+as one in what terms rest on, and both classes' count if they differ; without labels of both classes every score is the share of toxic labels (0 without labels); repeated rows
 are scored alike; an empty table gives an empty result; further columns are left alone.
 """
 
@@ -28,11 +31,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resight.llm.common import fold, map_text, materialize, sampled, slices, table, utf8
-from resight.llm.simhash import shingle_set
 
 #: Labelled documents of each class to learn from.
 MOST_DOCS = 10_000
@@ -45,9 +48,9 @@ PER_EDIT = 1.5
 STEMS, MIN_ONE, MIN_TWO = (5, 6, 7, 8), 5, 8
 #: Words to either side of a hit.
 WINDOW = 6
-#: Words from which copies of a text count as one.
-COPIED = 20
-#: A learned word of reporting stands beside hits in so many other documents, with such log odds of other to toxic ones.
+#: Words to either side of a term that are its context, and words below which a text is a context of its own.
+CONTEXT, SHORT = 3, 20
+#: A learned word of reporting stands in so many different windows of hits of other documents, with such log odds of other to toxic ones.
 BESIDE_DOCS, BESIDE_ODDS = 5, 1.5
 #: English words of reporting, by which a hit counts as quoted before anything is learned.
 REPORTING = frozenset("said says say wrote called calling quote quoted quotes quoting word words term reported alleged".split())
@@ -196,6 +199,12 @@ class Model:
         sums["any"] = float(bool(hits))
         return [*(math.log1p(sums[k]) for k in FEATURES[:5]), sums["any"], math.log1p(100.0 * len(hits) / (len(words) + 20))]
 
+    def windows(self, text: bytes, own: int) -> int | None:
+        """A hash of the contexts that a text's hits stand in; None without hits. own: the text's number."""
+        words = text.decode("utf-8", "replace").split()
+        hits = self.hits(words)
+        return hash(tuple(sorted({around(words, i, CONTEXT, own) for i, _ in hits}))) if hits else None
+
     def score(self, text: bytes) -> float:
         if self.constant is not None:
             return self.constant
@@ -219,7 +228,27 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, ro
 
 def candidates(words: set[str]) -> set[str]:
     """The words and their beginnings (with *)."""
-    return {w for w in words if len(w) > 3} | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k}
+    return {w for w in words if w} | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k}
+
+
+def around(words: list[str], i: int, reach: int, own: int) -> int:
+    """A hash of the words beside a place, by which copies are told; in a short text that and its own number."""
+    beside = "\0".join([*words[max(0, i - reach) : i], "", *words[i + 1 : i + 1 + reach]]).lower()
+    return xxhash.xxh64_intdigest(beside, own & 0xFFFFFFFFFFFFFFFF if len(words) < SHORT else 0) >> 1
+
+
+def contexts(text: str, wanted: set[str], own: int = 0) -> dict[str, int]:
+    """For each wanted term of a text one of the contexts that it stands in, the same one in every copy. own: the text's number."""
+    words, out = text.split(), {}
+    seen: dict[str, list[str]] = {}
+    for i, w in enumerate(words):
+        if w not in seen:
+            seen[w] = [c for c in candidates({bare(w)}) if c in wanted]
+        for term in seen[w]:
+            h = around(words, i, CONTEXT, own)
+            if h < out.get(term, 1 << 63):
+                out[term] = h
+    return out
 
 
 def likelihood_ratio(other: int, toxic: int, docs: list[int]) -> float:
@@ -251,20 +280,24 @@ def choose(found: list[tuple[str, int, int]], docs: list[int]) -> tuple[list[str
 
 
 def reporting(sample: DataFrame, model: Model) -> frozenset[str]:
-    """Words of the sample (label, t) without copies that stand beside hits far more often in other than in toxic documents."""
+    """Words of the sample (label, t, own) that stand beside hits far more often in other than in toxic documents; a window of
+    words counts once, however many texts have it."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = (Counter(), Counter())
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
-            for y, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            label, name, near = [], [], []
+            for y, t, own in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
                 words = t.decode("utf-8", "replace").split()
-                near = {bare(w) for i, _ in model.hits(words) for w in words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]}
-                if near:
-                    by[y].update({w for w in near if w and len(w) <= LONGEST and model.hit(w) is None} | {""})  # "" counts documents
-        terms = list(by[0] | by[1])
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([by[k][x] for x in terms], pa.int64()) for k in (0, 1)]], names=["term", "other", "toxic"])
-
-    counted = materialize(sample.mapInArrow(count, "term string, other long, toxic long").groupBy("term").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")), "beside")
+                for i, _ in model.hits(words):
+                    beside = {bare(w) for w in words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]}
+                    label.append(y)
+                    name.append(around(words, i, WINDOW, own))
+                    near.append(sorted({w for w in beside if w and len(w) <= LONGEST and model.hit(w) is None} | {""}))  # "" counts windows
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(name, pa.int64()), pa.array(near, pa.list_(pa.string()))], names=["label", "name", "near"])
+
+    each = sample.mapInArrow(windows, "label int, name long, near array<string>").groupBy("label", "name").agg(F.first("near").alias("near"))
+    number = lambda k: F.count_if(F.col("label") == k)
+    counted = materialize(each.select("label", F.explode("near").alias("term")).groupBy("term").agg(number(0).alias("other"), number(1).alias("toxic")), "beside")
     docs = counted.filter("term = ''").first()
     if docs is None or not docs["other"]:
         return frozenset()
@@ -273,28 +306,8 @@ def reporting(sample: DataFrame, model: Model) -> frozenset[str]:
     return frozenset(r["term"] for r in found if likelihood_ratio(r["other"], r["toxic"], [docs["other"], docs["toxic"]]) >= LEAST_RATIO)
 
 
-def _least_shingle(text: str) -> Column:
-    @F.arrow_udf("long")
-    def least(texts: pa.Array) -> pa.Array:
-        found = (shingle_set(t) if len(t.split()) >= COPIED else () for t in texts.to_pylist())
-        return pa.array([int(x[:1].view(np.int64)[0]) if len(x) else None for x in found], pa.int64())
-
-    return least(text)
-
-
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_DOCS) -> Model:
-    """From labelled documents outside the held-out fold: about `most` of each class, by a hash of the id."""
-    known = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & (fold(doc_id, FOLDS) != HELD_OUT)).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label"))
-    docs_of = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    if len(docs_of) < 2:
-        return Model([], [], constant=float(1 in docs_of))
-    share = {k: min(1.0, most / n) for k, n in docs_of.items()}
-    some = sampled(known, F.xxhash64("id"), F.when(F.col("label") == 1, share[1]).otherwise(share[0]), 2 * most)
-    sample = docs.select(F.col(doc_id).alias("id"), utf8(text).alias("t")).join(some, "id")
-    # copies and most near copies of a text share its least shingle: as toxic texts they are one witness, not many; short
-    # texts are each their own
-    sample = materialize(sample.select("label", "t", F.coalesce(_least_shingle("t"), F.xxhash64("id")).alias("witness")), "labelled")
-    sample = materialize(sample.filter("label = 0").unionByName(sample.filter("label = 1").dropDuplicates(["witness"])), "toxic-sample")
+def lexicon(sample: DataFrame, sizes: dict[int, int]) -> tuple[list[str], list[float]]:
+    """Terms and weights from the sample (label, t, own) with documents of both classes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = (Counter(), Counter())
@@ -307,25 +320,50 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             own = terms[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), *[pa.array([by[k][x] for x in own], pa.int64()) for k in (0, 1)]], names=["term", "other", "toxic"])
 
+    counted = sample.mapInArrow(count, "term string, other long, toxic long").groupBy("term").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("other") + 0.5) / (sizes[0] + 1))
+    found = counted.filter((F.col("toxic") >= LEAST_DOCS) & (odds >= LEAST_ODDS)).select("term", "other").collect()  # each in LEAST_DOCS of the sample's documents
+    other = {r["term"]: r["other"] for r in found}
+    wanted = set(other)
+
+    def witnesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1):
+            rows = [x for t, own in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True) for x in contexts(t.decode("utf-8", "replace"), wanted, own).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["term", "context"])
+
+    seen = sample.filter("label = 1").mapInArrow(witnesses, "term string, context long").distinct().groupBy("term").count()
+    return choose([(r["term"], other[r["term"]], r["count"]) for r in seen.collect()], [sizes[0], sizes[1]])
+
+
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_DOCS) -> Model:
+    """From labelled documents outside the held-out fold: about `most` of each class, by a hash of the id."""
+    known = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & (fold(doc_id, FOLDS) != HELD_OUT)).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label"))
+    docs_of = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    if len(docs_of) < 2:
+        return Model([], [], constant=float(1 in docs_of))
+    share = {k: min(1.0, most / n) for k, n in docs_of.items()}
+    some = sampled(known, F.xxhash64("id"), F.when(F.col("label") == 1, share[1]).otherwise(share[0]), 2 * most)
+    sample = materialize(docs.select(F.col(doc_id).alias("id"), utf8(text).alias("t")).join(some, "id").select("label", "t", F.xxhash64("id").alias("own")), "labelled")
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return Model([], [], constant=docs_of[1] / sum(docs_of.values()))
-    counted = sample.mapInArrow(count, "term string, other long, toxic long").groupBy("term").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
-    odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("other") + 0.5) / (sizes[0] + 1))
-    best = counted.filter((F.col("toxic") >= LEAST_DOCS) & (odds >= LEAST_ODDS))  # each in LEAST_DOCS of the sample's documents
-    model = Model(*choose([tuple(r) for r in best.collect()], [sizes[0], sizes[1]]))
-    model.reporting = REPORTING | reporting(sample.dropDuplicates(["label", "witness"]), model)
-    schema = "label int, " + ", ".join(f"{f} double" for f in FEATURES)
+    model = Model(*lexicon(sample, sizes))
+    model.reporting = REPORTING | reporting(sample, model)
+    schema = "label int, windows long, " + ", ".join(f"{f} double" for f in FEATURES)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
-            made = np.array([model.features(t) for t in part.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(made[:, i]) for i in range(len(FEATURES))]], names=["label", *FEATURES])
-
-    rows = sample.mapInArrow(describe, schema).toPandas()  # at most about 2 * most rows
+            texts = part.column(1).to_pylist()
+            made = np.array([model.features(t) for t in texts])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([model.windows(t, own) for t, own in zip(texts, part.column(2).to_pylist(), strict=True)], pa.int64()), *[pa.array(made[:, i]) for i in range(len(FEATURES))]], names=["label", "windows", *FEATURES])
+
+    rows = sample.mapInArrow(describe, schema).toPandas()  # at most about 4 * most rows
+    # texts whose hits stand in the same windows are one document of their class
+    alike = rows.groupby(["label", "windows"])["label"].transform("count").to_numpy(float)
+    weight = np.where(rows["windows"].isna(), 1.0, 1.0 / np.nan_to_num(alike, nan=1.0))
     y = rows["label"].to_numpy(float)
     true = docs_of[1] / sum(docs_of.values())
-    weight = np.where(y == 1, true / max(1, (y == 1).sum()), (1 - true) / max(1, (y == 0).sum())) * len(y)
+    weight *= np.where(y == 1, true / max(1e-9, weight[y == 1].sum()), (1 - true) / max(1e-9, weight[y == 0].sum())) * len(y)
     model.coefficients = [float(b) for b in logistic(rows[FEATURES].to_numpy(float), y, weight)]
     return model
 
