@@ -684,4 +684,4 @@ def register_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from resight.plans import more_queries  # noqa: E402, F401  (registers its own)
-from resight.plans import photo_queries  # noqa: E402, F401
+from resight.plans import photo_queries, retrieval_queries  # noqa: E402, F401
