@@ -1,12 +1,15 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become canonical tokens: numbers, units of measure and names turn into typed placeholders, other words lose
-case and the signs around them. Windows of WINDOW tokens are hashed and joined with those of the benchmark, so a
-question whose numbers, names or units were exchanged meets its original. Each meeting is then checked: the
-literals must agree, and the slots' values must map one to one (what stood for 3 twice stands for one value
-twice). Windows of equal values meet as well, whatever their kinds and however few literals they have: so a verbatim
-copy is found if it is all numbers, or if what is before it makes a name of its first word. An item is found in a
-document if the windows that pass cover LEAST_TOKENS of its tokens, or LEAST_SHARE of them in a shorter item.
+Words become canonical tokens: numbers in digits and in words, units of measure and names turn into typed placeholders,
+operators between numbers are tokens, other words lose case and the signs around them. Windows of WINDOW tokens are hashed
+and joined with those of the benchmark, so a question whose numbers, names or units were exchanged meets its original.
+Each meeting is then checked: the literals must agree, and the slots' values must map one to one (what stood for 3 twice
+stands for one value twice). In texts every word with a capital may be a name. What begins a sentence of an item may be
+one or not, so an item's windows are tried both ways for each of these. Windows of equal values meet as well, whatever
+their kinds and however few literals they have: so a verbatim copy is found if it is all numbers. An item is found in a
+document if the windows that pass cover LEAST_TOKENS of its tokens, or LEAST_SHARE of them in a shorter item. A window with
+fewer than LEAST_LITERALS literals, which many texts may have by chance, counts only if the item agrees as a whole, in one
+place; one with fewer than POOR_LITERALS says nothing but by its values.
 
 Documents pass a Bloom filter of the benchmark's windows, so that only windows that may meet are shuffled to the
 join; the meetings of a document with an item are checked in order in one place, which are as many as its windows.
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from resight.llm.common import bits_of, materialize, remembered, slices, smaller_batches, table, text_names, trimmed, utf8, without_texts
 
 WINDOW = 8
-#: Fewest literal words in a window, as placeholders alone say nothing.
-LEAST_LITERALS = 4
+#: Literals from which a window says something by itself, and from which it does as part of a whole item.
+LEAST_LITERALS, POOR_LITERALS = 4, 2
 LEAST_TOKENS, LEAST_SHARE = 13, 0.5
 #: Bits of the filter for each window of the benchmark; text that is turned into tokens at once.
 PER_WINDOW, KERNEL_BYTES = 64, 1 << 20
@@ -42,9 +45,17 @@ UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg t ton tons oz lb lbs pound pounds ml cl l liter liters litre litres gallon gallons "
     "s sec second seconds min minute minutes h hour hours day days week weeks month months year years mph kmh percent usd eur dollar dollars euro euros cent cents degree degrees".split()
 )
+#: Number words, by their numbers.
+SMALL = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+NUMBERS = {w: str(i) for i, w in enumerate(SMALL)} | {w: str(10 * i) for i, w in enumerate(TENS, 2)} | {"dozen": "12", "hundred": "100", "thousand": "1000", "million": "1000000"}
+#: Operators that are tokens by themselves or between numbers; dashes and stars are not by themselves, as they are bullets too.
+ALONE = frozenset("+ = × ÷ ^ < > ± ≤ ≥ ≠ −".split())
 #: Words that a worker remembers, and the longest of them in bytes.
 MOST_WORDS, LONGEST = 100_000, 64
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
+_TERMS = re.compile(r"(\d[\d.,]*|[-+*/=×÷^<>±≤≥≠−])")
+_SUM = re.compile(r"[-+−]?\d[\d.,]*(?:[-+*/=×÷^<>±≤≥≠−]\d[\d.,]*)+=?")
 _GLUED = re.compile(r"([+-]?[$€£]?\d[\d.,]*)([a-zA-Z]+)$")
 _EDGES = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "“”„«»‘’¡¿…–—"
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
@@ -59,15 +70,24 @@ _SLOTS = {k: _hash(f"\0{k}") for k in (NUMBER, UNIT, NAME)}
 
 
 def tokens_of(word: str) -> list[tuple[int, str, bool]]:
-    """(kind, value, capital) of the tokens in one word; none for signs alone."""
+    """(kind, value, capital) of the tokens in one word; none for signs alone that are no operators."""
     core = word.strip(_EDGES)
     if not core:
-        return []
-    if not core.isalpha():
-        if _NUMBER.fullmatch(core):
-            return [(NUMBER, core, False)]
-        if (glued := _GLUED.match(core)) and glued[2].lower() in UNITS:
-            return [(NUMBER, glued[1], False), (UNIT, glued[2].lower(), False)]
+        return [(LITERAL, word, False)] if word in ALONE else []
+    if core.isalpha():
+        low = core.lower()
+        if low in NUMBERS:
+            return [(NUMBER, NUMBERS[low], False)]
+        return [(LITERAL, low, core[:1].isupper() and core[1:].islower())]
+    if _NUMBER.fullmatch(core):
+        return [(NUMBER, core, False)]
+    if (glued := _GLUED.match(core)) and glued[2].lower() in UNITS:
+        return [(NUMBER, glued[1], False), (UNIT, glued[2].lower(), False)]
+    if _SUM.fullmatch(core):
+        return [(LITERAL if t in "-+*/=×÷^<>±≤≥≠−" else NUMBER, t, False) for t in _TERMS.findall(core)]
+    tens, dash, ones = core.lower().partition("-")
+    if dash and tens in TENS and ones in SMALL[1:10]:
+        return [(NUMBER, str(int(NUMBERS[tens]) + int(NUMBERS[ones])), False)]
     return [(LITERAL, core.lower(), core[:1].isupper() and core[1:].islower())]
 
 
@@ -106,6 +126,7 @@ class Canon:
         self.start[row], self.count[row], self.ends[row] = self.used, len(found), word[-1:] in b".!?:"
         for kind, value, capital in found:
             h = _hash(value)
+            kind = NAME if capital else kind
             self.kind[self.used], self.canonical[self.used], self.value[self.used], self.capital[self.used] = kind, h if kind == LITERAL else _SLOTS[kind], h, capital
             self.used += 1
         self.ids[key] = row
@@ -115,33 +136,34 @@ class Canon:
         """(kind, canonical, value) arrays of a text."""
         return self.many([text])[:3]
 
+    def beginnings(self, text: bytes) -> np.ndarray:
+        """Places of the tokens of a text that are names or begin a sentence."""
+        out, n, begins = [], 0, True
+        for word in text.split():
+            row = self.ids[word]
+            if begins and self.count[row] and self.capital[self.start[row]]:
+                out.append(n)
+            n += int(self.count[row])
+            begins = bool(self.ends[row]) or begins and not self.count[row]
+        return np.array(out, np.int64)
+
     def many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(kind, canonical, value) arrays of texts, one after the other, and where each begins and the last ends. A unit
-        needs a number before it, a name a word before it that ends no sentence; otherwise both are literals."""
+        """(kind, canonical, value) arrays of texts, one after the other, and where each begins and the last ends. A word
+        with a capital is a name, a unit needs a number before it; without, it is a literal."""
         words = [t.split() for t in texts]
         if len(self.ids) >= self.most:
             self._reset(1 << 12)
         n = np.array([len(x) for x in words], np.int64)
         row = np.fromiter(map(self.ids.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
         starts = np.concatenate([[0], np.cumsum(n)])
-        begins = np.ones(len(row), bool)
-        begins[1:] = self.ends[row[:-1]]
-        begins[starts[:-1][n > 0]] = True
         at, count = self.start[row], self.count[row]
         if not (count == 1).all():
             shift = np.cumsum(count) - count
-            first = np.zeros(int(count.sum()), bool)
-            first[shift[count > 0]] = True
-            begins = np.repeat(begins, count) & first
-            at = np.repeat(at - shift, count) + np.arange(len(begins))
+            at = np.repeat(at - shift, count) + np.arange(int(count.sum()))
             starts = np.concatenate([[0], np.cumsum(count)])[starts]
         kind, canonical, value = self.kind[at], self.canonical[at], self.value[at]
-        named = self.capital[at] & ~begins
-        if named.any():
-            kind[named] = NAME
-            canonical[named] = np.uint64(_SLOTS[NAME])
         after = np.flatnonzero(kind[:-1] == NUMBER) + 1
-        after = after[kind[after] == LITERAL]
+        after = after[kind[after] != NUMBER]
         if len(after) and len(after := after[np.isin(value[after], _UNIT_HASHES)]):
             after = after[~np.isin(after, starts)]  # the number is another text's
             kind[after] = UNIT
@@ -194,27 +216,31 @@ Tokens = tuple[np.ndarray, np.ndarray, np.ndarray]
 _WINDOW = "kinds binary, canonical binary, vals binary"
 
 
-def _packed(made: Tokens, at: int, size: int) -> list[bytes]:
-    return [x[at : at + size].tobytes() for x in made]
+def _packed(made: Tokens, at: int = 0, size: int | None = None) -> list[bytes]:
+    return [x[at : None if size is None else at + size].tobytes() for x in made]
 
 
 def _unpacked(kinds: bytes, canonical: bytes, values: bytes) -> Tokens:
     return np.frombuffer(kinds, np.int8), np.frombuffer(canonical, np.uint64), np.frombuffer(values, np.uint64)
 
 
-def item_windows(made: Tokens) -> Iterator[tuple[int, int, int, bool]]:
-    """(key, place, size, whether values are compared) of an item's windows."""
+def item_windows(made: Tokens, begins: np.ndarray) -> Iterator[tuple[int, int, int, bool, Tokens]]:
+    """(key, place, size, whether values are compared, tokens) of an item's windows. Each of `begins`, the names that begin a
+    sentence, is a name in one template and a word in another."""
     size = min(WINDOW, len(made[0]))
     if not size:
         return
-    exact, shaped = window_keys(windows(made[2], size), size, True), window_keys(windows(made[1], size), size, False)
+    exact = window_keys(windows(made[2], size), size, True)
     for at in range(len(exact)):
-        yield int(exact[at]), at, size, True
-        if (made[0][at : at + size] == LITERAL).sum() >= min(LEAST_LITERALS, size):
-            yield int(shaped[at]), at, size, False
-            if at == 0 and made[0][0] == LITERAL:  # within a text, the first word may look like a name
-                named = np.concatenate([[np.uint64(_SLOTS[NAME])], made[1][1:size]])
-                yield int(window_keys(windows(named, size), size, False)[0]), at, size, False
+        own = tuple(x[at : at + size] for x in made)
+        yield int(exact[at]), at, size, True, own
+        unsure = [int(b) - at for b in begins if at <= b < at + size and own[0][b - at] == NAME]
+        for as_words in chain.from_iterable(combinations(unsure, n) for n in range(len(unsure) + 1)):
+            kind, canonical = own[0].copy(), own[1].copy()
+            for i in as_words:
+                kind[i], canonical[i] = LITERAL, own[2][i]
+            if (kind == LITERAL).sum() >= min(POOR_LITERALS, size):
+                yield int(window_keys(windows(canonical, size), size, False)[0]), at, size, False, (kind, canonical, own[2])
 
 
 def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -229,9 +255,9 @@ def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str
             which: list[int] = []
             for i, t in enumerate(part.column(1).to_pylist()):
                 made, n = known.of(t), n + 1
-                for key, at, size, exact in item_windows(made):
+                for key, at, size, exact, own in item_windows(made, known.beginnings(t)):
                     which.append(i)
-                    rows.append((n, len(made[0]), key - (1 << 64) if key >> 63 else key, at, size, exact, *_packed(made, at, size)))
+                    rows.append((n, len(made[0]), key - (1 << 64) if key >> 63 else key, at, size, exact, *_packed(own)))
             if rows:
                 item, n_item, *rest = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(item), part.column(0).take(pa.array(which)), pa.array(n_item), *map(pa.array, rest)], names=names)
@@ -275,20 +301,21 @@ def meetings(docs: DataFrame, items: DataFrame, keep: dict[str, Column], text: s
     return hits.join(other, "key")
 
 
-def covers(meets: Iterator[tuple[int, int, int, bool, Tokens, Tokens]]) -> set[int]:
+def covers(meets: Iterator[tuple[int, int, int, bool, Tokens, Tokens]], n_item: int) -> set[int]:
     """The tokens of an item that a document covers, from their meetings (place in the document, in the item, size,
     whether values are compared, the item's tokens and the document's), those by values last."""
     covered: set[int] = set()
+    whole: dict[int, set[int]] = {}  # by shift, what windows of few literals cover too
     slots: dict[int, Slots] = {}  # by shift: windows of one copy of a question share their slots
     for place, at, size, exact, theirs, mine in meets:
         if exact:
             # kinds are the item's; what the copy's slots stand for elsewhere must hold here too
             theirs, mine = (theirs[0], theirs[2], theirs[2]), (theirs[0], mine[2], mine[2])
-        elif at == 0 and mine[0][0] == NAME and theirs[0][0] == LITERAL and theirs[2][0] == mine[2][0]:
-            theirs, mine = tuple(x[1:] for x in theirs), tuple(x[1:] for x in mine)
         if agree(theirs, mine, slots.setdefault(place - at, ({}, {}))):
-            covered.update(range(at, at + size))
-    return covered
+            if exact or (theirs[0] == LITERAL).sum() >= min(LEAST_LITERALS, size):
+                covered.update(range(at, at + size))
+            whole.setdefault(place - at, set()).update(range(at, at + size))
+    return set(range(n_item)) if any(len(x) == n_item for x in whole.values()) else covered
 
 
 def holds(n_covered: int, n_item: int) -> bool:
@@ -307,7 +334,7 @@ def found(docs: DataFrame, items: DataFrame, keep: dict[str, Column], text: str)
         group, key = [], None
 
         def judged() -> list[tuple]:
-            n = len(covers((r[4], r[5], r[3], r[2], _unpacked(*r[11:14]), _unpacked(*r[8:11])) for r in group))
+            n = len(covers(((r[4], r[5], r[3], r[2], _unpacked(*r[11:14]), _unpacked(*r[8:11])) for r in group), group[0][7]))
             return [(*group[0][14:], group[0][6], n, group[0][7])] if holds(n, group[0][7]) else []
 
         for batch in batches:

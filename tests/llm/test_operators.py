@@ -505,15 +505,28 @@ def test_decontamination_odd(odd, clashing, empty, benchmark):
     assert decontamination.matches(odd, benchmark.limit(0)).count() == 0 and decontamination.keep_clean(odd, benchmark.limit(0)).count() == odd.count()
 
 
-def test_verbatim_items_of_few_literals_and_after_headings():
-    texts = ["What is 12 + 7?", "Compute 3 x 4 + 5 x 6 - 7", "What is the capital of France?", "3 14 15 92 65 35 89 79 32 38 46 26 43 38 32 79", "km are how many of those miles"]
-    items = [(i, t.encode()) for i, t in enumerate(texts)]
-    found = lambda t: [i for i, *_ in held(t.encode(), items)]
-    for i, t in enumerate(texts):
-        for before in ("", "Intro. ", "A heading without a stop\n", "about 5 "):
-            assert found(f"{before}{t} And more.") == [i], (before, t)
-    assert found("A heading\nWhat is the capital of Spain?") == [2]
-    assert found("What is 12 + 8?") == found("Compute 3 x 4 + 5 x 6 - 8") == found("all of Maria is the capital of France?") == found(PLAIN) == []
+SHORT = [
+    "What is 12 + 7?", "Compute 3 x 4 + 5 x 6 - 7.", "What is the capital of France?", "3 14 15 92 65 35 89 79 32 38 46 26 43 38 32 79", "km are how many of those miles",
+    "Anna has 3 apples and buys 4.", "Anna walks 5 km. Bob runs 7 km. Carla swims 2 km. Who went farther, Bob or Carla?", "Ten men carry five boxes each and lose nine of them. How many boxes are left?",
+    "How much is 3*4+5?",
+]
+
+
+def test_verbatim_and_reworded_short_items(spark):
+    """Short questions in other numbers, names, and numbers in words, beside their verbatim copies; others aren't found."""
+    items = [(i, t) for i, t in enumerate(SHORT)]
+    docs = [(i, f"{before}{t} And more.") for i, t in enumerate(SHORT) for before in ("", "Intro. ", "A heading without a stop\n", "about 5 ")]
+    reworded = [
+        (0, "Then: What is 30 + 5? Say it."), (0, "what is 1 + 99"), (1, "Compute 8 x 9 + 1 x 2 - 3. Go on."), (5, "So. Maria has 5 apples and buys 6. Then she left."), (5, "Maria has five apples and buys six."),
+        (6, "Omar walks 3 miles. Chloe runs 9 miles. John swims 4 miles. Who went farther, Chloe or John?"), (7, "10 men carry 5 boxes each and lose 9 of them. How many boxes are left?"),
+        (7, "Twenty-one men carry 8 boxes each and lose seven of them. How many boxes are left?"), (8, "How much is 7*8+9?"), (2, "A heading\nWhat is the capital of Spain?"),
+    ]
+    others = ["What is 30 - 5? No.", "What is 30 × 5 now?", "Compute 8 x 9 x 1 + 2 + 3.", "Maria sells 5 apples and eats 6.", "5 14 15 92 65 7 89 79 32 38 46 2 43 38 1 79", "How much is 7+8*9?", PLAIN, "3 4 5 6 7 8 9", "Is it + or = that he meant?"]
+    rows = [(k, t) for k, (_, t) in enumerate([*docs, *reworded])] + [(1000 + k, t) for k, t in enumerate(others)]
+    made = lambda x, a: spark.createDataFrame(x, f"{a} long, text string")
+    found = {tuple(r) for r in decontamination.matches(made(rows, "doc_id"), made(items, "item_id")).collect()}
+    assert {(d, i) for d, i, *_ in found} == {(k, i) for k, (i, _) in enumerate([*docs, *reworded])}
+    assert found == {(d, *h) for d, t in rows for h in held(t.encode(), [(i, x.encode()) for i, x in items])}
 
 
 # ---- 7 token counts
