@@ -3,7 +3,8 @@
 The manifest is a small JSON document that is read and written through Spark, so it may lie in any store that Spark
 reads. The digest is a SHA-256 over "frame_id:md5" of all sealed frames in order: ranges are sorted in parallel and
 pass through the hash one after the other, so nowhere more than one of them is held. The ids stand in the manifest
-while they are few; the digest covers them in any case.
+while they are few; the digest covers them in any case. With a folder beside the manifest, the ids and the leaves of a
+hash tree (hashtree.py) are tables there, and the manifest has the tree's root: then frames are verified where they lie.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from resight.operators import hashtree
 from resight.scratch import written
 from resight.sources.tables import upsert
 
@@ -61,16 +63,36 @@ def sealed_frames(splits: DataFrame, registry: DataFrame, folds: tuple[str, ...]
     return own.join(registry.select("frame_id", "md5"), "frame_id", "left")
 
 
-def seal(splits: DataFrame, registry: DataFrame, folds: tuple[str, ...] = SEALED_FOLDS, note: str = "") -> Manifest:
+def _entries(frames: DataFrame) -> DataFrame:
+    return frames.select("frame_id", F.concat_ws(":", "frame_id", "md5").alias("e"))
+
+
+def seal(splits: DataFrame, registry: DataFrame, folds: tuple[str, ...] = SEALED_FOLDS, note: str = "", beside: str | None = None) -> Manifest:
+    """beside: a folder for the tables frame_ids and leaves, which must not be there yet."""
     frames = sealed_frames(splits, registry, folds)
     frames = written(frames, "sealed_frames")
     row = digest(frames).first()
     ids = [r[0] for r in frames.select("frame_id").orderBy("frame_id").collect()] if row["n_sealed"] <= LISTED else []
-    return Manifest(list(folds), row["n_sealed"], row["n_individuals"], ids, row["sha256"], note=note)
+    extra = {}
+    if beside is not None:
+        frames.select("frame_id").repartitionByRange("frame_id").sortWithinPartitions("frame_id").write.parquet(f"{beside}/frame_ids")
+        hashtree.leaves(_entries(frames), "frame_id", "e").write.parquet(f"{beside}/leaves")
+        extra = {"root": hashtree.root(frames.sparkSession.read.parquet(f"{beside}/leaves")), "leaves": f"{beside}/leaves", "frame_ids": f"{beside}/frame_ids"}
+    return Manifest(list(folds), row["n_sealed"], row["n_individuals"], ids, row["sha256"], note=note, extra=extra)
 
 
 def verify(manifest: Manifest, splits: DataFrame, registry: DataFrame) -> bool:
-    return digest(sealed_frames(splits, registry, tuple(manifest.sealed_folds))).first()["sha256"] == manifest.sha256
+    """Whether the sealed frames are those of the manifest: by the tree's root if it has one, else by the digest."""
+    frames = sealed_frames(splits, registry, tuple(manifest.sealed_folds))
+    if "root" in manifest.extra:
+        return hashtree.same(_entries(frames), "frame_id", "e", frames.sparkSession.read.parquet(manifest.extra["leaves"]), manifest.extra["root"])
+    return digest(frames).first()["sha256"] == manifest.sha256
+
+
+def changed_ranges(manifest: Manifest, splits: DataFrame, registry: DataFrame) -> DataFrame:
+    """leaf, low, high, n, n_now of the ranges of sealed frames that aren't as they were; of a manifest with a tree."""
+    frames = sealed_frames(splits, registry, tuple(manifest.sealed_folds))
+    return hashtree.changed(_entries(frames), "frame_id", "e", frames.sparkSession.read.parquet(manifest.extra["leaves"]))
 
 
 def write_manifest(spark: SparkSession, manifest: Manifest, path: str) -> None:

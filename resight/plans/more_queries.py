@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from resight import scratch
 from resight.functions import scalars as S
-from resight.operators import calibration, catalog, experiment, gallery, matching, ranking, registry, sealing, splits, vision
+from resight.operators import calibration, catalog, experiment, gallery, matching, ranking, registry, sealing, sealstore, splits, vision
 from resight.operators.scoring import pairwise, pooled
 from resight.plans import workflows
 from resight.plans.proxy import FRAMES_SQL, REGISTRY_SQL, VECTORS_SQL, frames, pooled_sql, table, vectors
@@ -275,6 +275,52 @@ def load_split_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(spark.createDataFrame(refused, "frame_id string, md5 string, split_fold string"))
 
 
+@query(f"{_SEALED} SELECT 'whole' AS step, count(*) AS n, TRUE AS ok FROM s WHERE fold = 'test' UNION ALL SELECT 'found', count(*), TRUE FROM s WHERE fold = 'test' AND local_id % 50 = 3 UNION ALL SELECT 'gone', count(*), FALSE FROM s WHERE fold = 'test' AND local_id % 50 = 6")
+def sealed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sealed frames verified by a hash tree: whole; how many of the frames that were touched lie in ranges that are named
+    as changed; and how many fewer there are after some were taken away."""
+    r, s = _sealed(spark, sf_dir)
+    manifest = sealing.seal(s, r, beside=_folder(spark, "seal"))
+    touched = r.withColumn("md5", F.when(F.col("local_id") % 50 == 3, F.lit("0")).otherwise(F.col("md5")))
+    fewer = s.filter("split_fold <> 'test'").unionByName(s.filter("split_fold = 'test'").join(r.filter("local_id % 50 = 6").select("frame_id"), "frame_id", "left_anti").select(*s.columns))
+    ranges = scratch.written(sealing.changed_ranges(manifest, s, touched), "changed")
+    named = touched.filter("md5 = '0'").join(s.filter("split_fold = 'test'").select("frame_id"), "frame_id").join(ranges, (F.col("frame_id") >= F.col("low")) & (F.col("high").isNull() | (F.col("frame_id") < F.col("high"))))
+    gone = sealing.changed_ranges(manifest, fewer, r).agg(F.coalesce(F.sum(F.col("n") - F.col("n_now")), F.lit(0)).alias("n")).first()["n"]
+    out = [("whole", manifest.n_sealed, sealing.verify(manifest, s, r)), ("found", named.count(), not sealing.verify(manifest, s, touched)), ("gone", gone, sealing.verify(manifest, fewer, r))]
+    return spark.createDataFrame(out, "step string, n long, ok boolean")
+
+
+@query(f"{_SEALED} SELECT 'first' AS caller, count(*) AS n, TRUE AS opened FROM s WHERE fold = 'test' UNION ALL SELECT 'others', 0, FALSE UNION ALL SELECT 'after a failure', count(*), FALSE FROM s WHERE fold = 'test'")
+def unseal_by_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of callers at the same time one opens the seal; a failed evaluation leaves it sealed."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    r, s = _sealed(spark, sf_dir)
+    manifest = sealing.seal(s, r)
+    store, other = (sealstore.Store(spark, _folder(spark, "store")) for _ in range(2))
+    store.write(manifest)
+    other.write(manifest)
+
+    def call(k: int) -> int:
+        try:
+            return sealstore.unseal(store, s, r, lambda: {"n": manifest.n_sealed}, "2025-06-01", str(k))[0]["n"]
+        except sealing.SealedError:
+            return 0
+
+    def fails() -> dict:
+        raise ValueError
+
+    with ThreadPoolExecutor(3) as pool:
+        found = sorted(pool.map(call, range(3)))
+    try:
+        sealstore.unseal(other, s, r, fails, "2025-06-01")
+    except ValueError:
+        pass
+    kept = other.read()
+    out = [("first", found[-1], store.read().opened), ("others", sum(found[:-1]), False), ("after a failure", kept.n_sealed, kept.opened or other.claimed() is not None)]
+    return spark.createDataFrame(out, "caller string, n long, opened boolean")
+
+
 @query(f"{_SEALED} SELECT 'sealed' AS step, count(*) AS n, TRUE AS ok FROM s WHERE fold = 'test' UNION ALL SELECT 'read back', count(*), TRUE FROM s WHERE fold = 'test' UNION ALL SELECT 'opened', 7, TRUE UNION ALL SELECT 'second time', 0, FALSE UNION ALL SELECT 'touched', 0, FALSE")
 def unseal_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sealed, written and read, opened once with its evaluation; a second time and changed data are refused."""

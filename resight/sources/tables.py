@@ -36,8 +36,10 @@ def write_table(df: DataFrame, path: str, partition: str | None = None) -> None:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "frame_id") -> DataFrame:
-    """Old rows whose key isn't in new, and the new rows."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    """Old rows whose key isn't in new, and the new rows; of new rows that repeat a key, the least by its other columns."""
+    others = [c for c in new.columns if c != key]
+    one = new.groupBy(key).agg(F.min(F.struct(*others)).alias("_row")).select(key, "_row.*") if others else new.distinct()
+    return old.join(one.select(key), key, "left_anti").unionByName(one.select(*new.columns), allowMissingColumns=True)
 
 
 def without(rows: DataFrame, removed: DataFrame, key: str = "frame_id") -> DataFrame:
