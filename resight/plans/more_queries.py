@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from resight import scratch
 from resight.functions import scalars as S
-from resight.operators import calibration, catalog, experiment, gallery, matching, ranking, registry, sealing, sealstore, splits, vision
+from resight.operators import calibration, catalog, experiment, gallery, matching, openset, ranking, registry, sealing, sealstore, splits, vision
 from resight.operators.scoring import pairwise, pooled
 from resight.plans import workflows
 from resight.plans.proxy import FRAMES_SQL, REGISTRY_SQL, VECTORS_SQL, frames, pooled_sql, table, vectors
@@ -523,7 +523,8 @@ def matcher_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def null_aware_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, least values and medians leave nulls out; a group of nulls has none."""
     r = proxy_registry(spark, sf_dir).withColumn("n", F.when(F.col("cohort") != "LAB", F.substring("frame_id", 2, 8).cast("double")))
-    return r.groupBy("individual_id").agg(F.count("date").alias("dated"), F.min("date").alias("first"), F.percentile("n", 0.5).alias("middle"))
+    middles = openset.grouped_quantiles(r, "individual_id", "n", {"middle": 0.5}).select("individual_id", "middle")
+    return r.groupBy("individual_id").agg(F.count("date").alias("dated"), F.min("date").alias("first")).join(middles, "individual_id")
 
 
 @query("SELECT l_orderkey, string_agg(CAST(l_suppkey AS VARCHAR), ' ' ORDER BY f, l_suppkey) FILTER (l_suppkey % 2 = 0) AS kept FROM (SELECT l_orderkey, l_suppkey, min(l_linenumber) AS f FROM lineitem GROUP BY 1, 2) GROUP BY 1 HAVING count(*) FILTER (l_suppkey % 2 = 0) > 0")

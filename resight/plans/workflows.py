@@ -126,10 +126,11 @@ def diagnose(spark: SparkSession, name: str, probes: DataFrame, refs: DataFrame,
 
 
 def latencies(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """by, mean, median, p90 (linear between neighbours), n of a column of times; tasks hold distinct values only."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    at = lambda share: F.percentile("_v", share, F.col("_n"))
-    return counts.groupBy(by).agg((F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"), at(0.5).alias("median"), at(0.9).alias("p90"), F.sum("_n").alias("n"))
+    """by, mean, median, p90 (linear between neighbours), n of a column of times; groups without a time are left out."""
+    some = rows.filter(F.col(value).isNotNull())
+    means = some.groupBy(by).agg(F.avg(F.col(value).cast("double")).alias("mean"))
+    found = openset.grouped_quantiles(some, by, value, {"median": 0.5, "p90": 0.9}).withColumnRenamed(by, "_by")
+    return means.join(found, F.col(by).eqNullSafe(F.col("_by"))).select(by, "mean", "median", "p90", "n")
 
 
 def latency(spark: SparkSession, steps: dict[str, Callable[[object], object]], items: Iterable[object]) -> DataFrame:

@@ -207,3 +207,21 @@ def test_calibration_and_experiments(spark):
     assert rows["b"]["adopted"] and not rows["a"]["adopted"] and rows["a"]["p"] == 1.0
     assert experiment.decide(c, "b", "a", 0.1, 1.0) == "better" and experiment.decide(c, "b", "a", 2.0, 1.0) == "too_slow"
     assert experiment.grid(spark, x=[1, 2, 3], y=["a", "b"]).count() == 6
+
+
+def test_quantiles_by_group(spark):
+    """Equal to NumPy's for groups of any size, one of all rows, ties, nulls, and a group without values."""
+    noise = np.random.default_rng(0)
+    rows = [("one", float(v)) for v in noise.integers(0, 50, 3000)] + [("two", float(v)) for v in noise.normal(size=7)] + [("three", 1.5), ("none", None), ("none", None), (None, 2.0), (None, 4.0)]
+    rows += [(f"g{i % 300}", float(i)) for i in range(1000)] + [("one", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(9)
+    shares = {"least": 0.0, "q1": 0.25, "median": 0.5, "p90": 0.9, "most": 1.0}
+    found = {r["k"]: r for r in openset.grouped_quantiles(df, "k", "v", shares).collect()}
+    for k in {r[0] for r in rows}:
+        own = [v for g, v in rows if g == k and v is not None]
+        assert found[k]["n"] == len(own)
+        for name, share in shares.items():
+            assert found[k][name] == (pytest.approx(np.quantile(own, share)) if own else None)
+    assert len(found) == 305 and openset.grouped_quantiles(df.limit(0), "k", "v", shares).count() == 0
+    alone = openset.grouped_quantiles(df.withColumn("k", F.lit(1)), "k", "v", {"median": 0.5}).first()
+    assert alone["median"] == pytest.approx(np.median([v for _, v in rows if v is not None]))
