@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resight.scratch import written
@@ -62,3 +62,57 @@ def near_pairs(frames: DataFrame, phash: str = "phash", group: str = "cohort", m
     left, right = (own.select("g", F.col("h").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("path_rel", "md5", "individual_id")]) for s in ("a", "b"))
     both = links.join(left, ["g", "a"]).join(right, ["g", "b"]).filter(F.col("a_md5") != F.col("b_md5")).filter((F.col("a") != F.col("b")) | (F.col("a_path_rel") < F.col("b_path_rel")))
     return both.select(F.col("g").alias(group), F.col("dist").cast("int").alias("dist"), F.least("a_path_rel", "b_path_rel").alias("a"), F.greatest("a_path_rel", "b_path_rel").alias("b"), (F.col("a_individual_id") == F.col("b_individual_id")).alias("same_individual"))
+
+
+class Audit:
+    """Pairs of near hashes, kept up to date as cohorts come: new hashes meet the old ones, which stay where they are.
+
+    Keys of the hashes are a table in buckets of key and group, the hashes one in buckets of group and hash, so that a
+    cohort is joined to both without a shuffle of theirs: only the cohort's own rows move. Hashes are written last. So a
+    cohort whose adding was cut off is added again, and what was written twice counts once.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, path: str, most: int = MOST, spare: int = 3, buckets: int | None = None):
+        """name: of the tables (name_keys, name_hashes, name_pairs), whose files lie below path. spare: as of SPARE, for the
+        hashes that are expected in the end; the result is the same with any."""
+        self.spark, self.name, self.path, self.most, self.spare = spark, name, path.rstrip("/"), most, spare
+        self.buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        for table, columns in (("keys", "g string, x long, key long"), ("hashes", "g string, x long"), ("pairs", "g string, a long, b long, dist int")):
+            if not spark.catalog.tableExists(f"{name}_{table}"):
+                self._append(spark.createDataFrame([], columns), table)
+
+    def _append(self, rows: DataFrame, table: str) -> None:
+        by = {"keys": ("key", "g"), "hashes": ("g", "x"), "pairs": ("g", "a")}[table]
+        # a file of each bucket from one task
+        rows.repartition(self.buckets, *by).write.mode("append").format("parquet").bucketBy(self.buckets, *by).sortBy(*by).option("path", f"{self.path}/{table}").saveAsTable(f"{self.name}_{table}")
+
+    def _table(self, table: str) -> DataFrame:
+        return self.spark.table(f"{self.name}_{table}")
+
+    def fresh(self, frames: DataFrame, phash: str = "phash", group: str = "cohort") -> DataFrame:
+        """g, x: hashes of frames that aren't there yet."""
+        hi, lo = hash_halves("h")
+        own = frames.filter(F.length(phash) == 16).select(F.col(group).cast("string").alias("g"), F.lower(phash).alias("h")).distinct()
+        return own.select("g", F.shiftleft(hi, 32).bitwiseOR(lo).alias("x")).join(self._table("hashes"), ["g", "x"], "left_anti")
+
+    def met(self, keyed: DataFrame, others: DataFrame) -> DataFrame:
+        """g, a, b, dist of the pairs within `most` bits between two tables of keys."""
+        both = keyed.withColumnRenamed("x", "y").join(others, ["key", "g"]).filter("x <> y")
+        dist = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("int")
+        return both.select("g", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), dist.alias("dist")).filter(F.col("dist") <= self.most).distinct()
+
+    def add(self, frames: DataFrame, phash: str = "phash", group: str = "cohort") -> DataFrame:
+        """g, a, b, dist: the pairs that these frames bring, which are in pairs() from now on."""
+        new = written(self.fresh(frames, phash, group), "new-hashes")
+        keyed = written(new.select("g", "x", F.explode(_keys(F.col("x"), self.most + self.spare, self.spare)).alias("key")), "new-keys")
+        found = written(self.met(keyed, self._table("keys")).unionByName(self.met(keyed, keyed)).distinct(), "new-pairs")
+        self._append(found, "pairs")
+        self._append(keyed, "keys")
+        self._append(new, "hashes")
+        return found
+
+    def pairs(self, group: str = "cohort") -> DataFrame:
+        """group, a, b, dist: the rows of near_classes over all frames that were added."""
+        text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+        own = self._table("pairs").distinct()
+        return own.select(F.col("g").alias(group), F.least(text("a"), text("b")).alias("a"), F.greatest(text("a"), text("b")).alias("b"), "dist")

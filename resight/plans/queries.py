@@ -18,7 +18,7 @@ from resight.operators.scoring import pooled
 from resight.plans import workflows
 from resight.plans.proxy import FRAMES_SQL, REGISTRY_SQL, VECTORS_SQL, frames, pooled_sql, table, vectors
 from resight.plans.proxy import registry as proxy_registry
-from resight.scratch import written
+from resight.scratch import folder, written
 from resight.sources import cohorts, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -338,6 +338,19 @@ def near_dup_pairs_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_classes(proxy_registry(spark, sf_dir))
 
 
+@query(f"WITH {REGISTRY_SQL}, h AS (SELECT DISTINCT cohort, phash FROM registry) SELECT a.cohort, a.phash AS a, b.phash AS b, CAST({_BITS} AS INTEGER) AS dist FROM h a JOIN h b ON a.cohort = b.cohort AND a.phash < b.phash WHERE {_BITS} <= 6")
+def near_dup_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs from an audit to which frames were added in three parts."""
+    import uuid
+
+    r = proxy_registry(spark, sf_dir).select("cohort", "phash", F.pmod(F.xxhash64("frame_id"), F.lit(3)).alias("part"))
+    name = f"audit_{uuid.uuid4().hex}"
+    audit = near_dup.Audit(spark, name, f"{folder(spark)}/{name}", buckets=8)
+    for k in range(3):
+        audit.add(r.filter(F.col("part") == k))
+    return audit.pairs()
+
+
 @query(f"WITH {REGISTRY_SQL} SELECT cohort, path_rel, phash AS hash FROM registry")
 def near_dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.members(proxy_registry(spark, sf_dir))
