@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from resight.operators import near_dup
+from resight.operators import gates, near_dup
 
 
 def frames(spark, noise, n):
@@ -73,3 +73,35 @@ def test_old_keys_are_not_shuffled(spark, tmp_path):
             assert not any("Exchange" in x for x in above[: next(i for i, x in enumerate(above) if "Join" in x)]), plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_nothing_is_broadcast(spark):
+    """Keys and pairs are many for each hash, which Spark doesn't foresee: joins of theirs don't go through the driver."""
+    rows = [(g, f"{p}.jpg", h, f"m{p}", "i") for g, p, h in frames(spark, np.random.default_rng(3), 100)]
+    df = spark.createDataFrame(rows, "cohort string, path_rel string, phash string, md5 string, individual_id string")
+    near = near_dup.near_pairs(df)
+    registry = df.selectExpr("path_rel", "individual_id", "'2025-01' AS date", "path_rel AS session")
+    for made in (near_dup.near_classes(df), near, gates.cross_session_pairs(registry, near)):
+        assert "BroadcastExchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_heavy_buckets_equal_sorted_ones(spark, monkeypatch):
+    """Hashes that share parts, so that some buckets are joined and others sorted."""
+    noise = np.random.default_rng(4)
+    rows = [(g, p, f"{int(h, 16) & 0xFFFFFFFF:016x}" if h and len(h) == 16 and noise.random() < 0.5 else h) for g, p, h in frames(spark, noise, 400)]
+    df = spark.createDataFrame(rows, "cohort string, path_rel string, phash string")
+    want = {tuple(r) for r in near_dup.near_classes(df).collect()}
+    hashes = {(g, int(h, 16)) for g, _, h in rows if h and len(h) == 16}
+    assert want == {(g, f"{a:016x}", f"{b:016x}", (a ^ b).bit_count()) for g, a in hashes for h, b in hashes if g == h and a < b and (a ^ b).bit_count() <= 6}
+    monkeypatch.setattr(near_dup, "HEAVY", 20)
+    found = near_dup.near_classes(df)
+    assert "choice" in found._jdf.queryExecution().analyzed().toString()
+    rows = [tuple(r) for r in found.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
+def test_an_audit_keeps_a_row_for_each_first_part(spark, tmp_path):
+    df = spark.createDataFrame(frames(spark, np.random.default_rng(5), 60), "cohort string, path_rel string, phash string")
+    audit = near_dup.Audit(spark, "audit_d", f"file://{tmp_path}/audit", buckets=4)
+    audit.add(df)
+    assert audit._table("keys").count() == (near_dup.MOST + 1) * audit._table("hashes").count()
