@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from resight.operators import calibration, catalog, experiment, gallery, matching, metrics, openset, ranking
+from resight.operators import calibration, catalog, experiment, gallery, matching, metrics, openset, ranking, vocabulary
 from resight.operators.scoring import pairwise, pooled
 
 
@@ -225,3 +225,14 @@ def test_quantiles_by_group(spark):
     assert len(found) == 305 and openset.grouped_quantiles(df.limit(0), "k", "v", shares).count() == 0
     alone = openset.grouped_quantiles(df.withColumn("k", F.lit(1)), "k", "v", {"median": 0.5}).first()
     assert alone["median"] == pytest.approx(np.median([v for _, v in rows if v is not None]))
+
+
+def test_features_are_not_broadcast(spark, small, monkeypatch):
+    """Spark takes them for small before it runs; as broadcasts they would all pass through the driver."""
+    from resight.plans import photo_queries
+
+    monkeypatch.setattr(photo_queries, "written", lambda df, label: df)
+    f = photo_queries._described(spark, small)
+    pairs = spark.createDataFrame([(1, 2)], "probe_id long, ref_id long")
+    for made in (f, photo_queries.keypoint_pose(spark, small), vocabulary.scored(pairs, f, f, matching.feature_block("partial"))):
+        assert "BroadcastExchange" not in made._jdf.queryExecution().executedPlan().toString()
