@@ -354,7 +354,8 @@ def colliding(classes: DataFrame) -> DataFrame:
     kept. Only variants that two classes have are shuffled with sketches: a count and a Bloom filter tell them. Classes of
     a variant that more than GROUP share emit the variants of the second fingerprints instead, which keep more signs: two
     texts at 0.8 share none of these with a chance of one in ten thousand. In what more than GROUP share even so, all are
-    held against the smallest; these are groups of hundreds of thousands of texts that are alike by half.
+    held against the smallest, and those that aren't like it against all, block by block; these are groups of hundreds of
+    thousands of texts that are alike by half, and quadratic in the number of those.
     """
     links, own = None, classes
     for level in range(len(_LEVELS)):
@@ -371,12 +372,40 @@ def colliding(classes: DataFrame) -> DataFrame:
             own = materialize(classes.join(hot.select("cls").distinct(), "cls", "left_semi"), "hot")
         else:
             first = hot.groupBy("key").agg(F.min(F.struct("cls", *_WORDS)).alias("least"), F.count("*").alias("n"))
-            held = by_share(hot.drop("n"), materialize(first, "least"), "key", "n", ["least"], LEAST_HOT).filter("least.cls < cls")
+            held = by_share(hot.drop("n"), materialize(first, "least"), "key", "n", ["least"], LEAST_HOT).filter("least.cls <> cls")
             equal = F.arrow_udf(_alike, "boolean")(F.array(*_WORDS), F.array(*[F.col(f"least.{w}") for w in _WORDS]))
-            links = links.unionByName(materialize(held.filter(equal).select(F.col("least.cls").alias("a"), F.col("cls").alias("b")).distinct(), "colliding"))
+            held = materialize(held.withColumn("equal", equal).select("key", "cls", *_WORDS, F.col("least.cls").alias("least"), "equal"), "held")
+            links = links.unionByName(held.filter("equal").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct())
+            links = links.unionByName(materialize(across(held.filter("not equal"), held), "colliding"))
     return links
 
 
+def across(rest: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (a, b) that join what is alike, of the rows (key, cls, sketch) of `rest` with all `rows` of their key. Both are dealt
+    into blocks of about GROUP rows by a hash, and each block of the rest meets each block of all."""
+    parts = rows.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    parts = materialize(rest.select("key").distinct().join(parts, "key"), "parts")
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        dealt = df.select("key", F.struct("cls", *_WORDS).alias("row")).join(F.broadcast(parts), "key")  # a row for GROUP rows or more
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("row.cls"), F.col("parts")).cast("int"))
+        return dealt.groupBy("key", "parts", "block").agg(F.collect_list("row").alias(name))  # GROUP of them
+
+    left = blocks(rest, "l").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = left.hint("merge").join(blocks(rows, "r").drop("parts"), ["key", "block"]).select("l", "r")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = pa.concat_arrays([batch.column(k)[i].values for k in (0, 1)])
+                cls = own.field("cls").to_numpy()
+                start, end = forest(np.stack([own.field(w).to_numpy() for w in _WORDS], 1).view(np.uint64))
+                a, b = np.minimum(cls[start], cls[end]), np.maximum(cls[start], cls[end])
+                yield pa.RecordBatch.from_arrays([pa.array(a[a < b]), pa.array(b[a < b])], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
     left, right = (_rows_of(x, len(_WORDS)).view(np.uint64) for x in (a, b))
     return pa.array(unequal(left, right) <= SKETCH - LEAST_EQUAL)

@@ -109,6 +109,23 @@ def test_second_fingerprints(spark, monkeypatch):
         assert found >= 149, group
 
 
+def test_no_link_is_lost_where_more_than_a_group_share_a_second_variant(spark, monkeypatch):
+    """Pairs that aren't like the smallest of their variant, in variants of more than GROUP classes at both levels, and that
+    meet in no other variant."""
+    noise = np.random.default_rng(3)
+    base = noise.integers(0, 1 << 32, simhash.SKETCH).astype(np.uint32)
+    signs = np.tile(base, (60, 1))
+    signs[:, 20:] = noise.integers(0, 1 << 32, (60, simhash.SKETCH - 20))
+    kept = [24, 25, 26, 27, 32, 33, 34, 35, 40, 41, 42, 43]  # four of a family's eight
+    signs[1::2, kept] = signs[::2, kept]
+    words = simhash.sketched(signs)
+    near = simhash.reached(simhash.unequal(words[:, None], words[None]) <= simhash.SKETCH - simhash.LEAST_EQUAL)
+    monkeypatch.setattr(simhash, "GROUP", 10)
+    classes = spark.createDataFrame([(k, row.view(np.int32).tolist()) for k, row in enumerate(signs)], "cls long, signs array<int>")
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.colliding(classes)).collect()}
+    assert [roots.get(k, k) for k in range(60)] == near.tolist()
+
+
 def test_forest_joins_what_all_pairs_join():
     noise = np.random.default_rng(2)
     for n, kinds in ((5, 2), (60, 5), (700, 30), (1500, 2)):
