@@ -112,26 +112,43 @@ class Canon:
         self._reset(1 << 12)
 
     def _reset(self, room: int) -> None:
-        self.ids, self.used = _Ids(self._add), 0
+        self.ids, self.used, self.rows = _Ids(self._add), 0, 0
         self.start, self.count, self.ends = np.zeros(room, np.int64), np.zeros(room, np.int64), np.zeros(room, bool)
         self.kind, self.canonical, self.value, self.capital = np.zeros(room, np.int8), np.zeros(room, np.uint64), np.zeros(room, np.uint64), np.zeros(room, bool)
+        self.new_words, self.new_tokens = ([], []), ([], [], [], [])
 
     def _add(self, word: bytes, key: bytes) -> int:
+        """A row for a word, which is in the columns after settle()."""
         found = tokens_of(word.decode("utf-8", "replace"))
-        row = len(self.ids)
-        if row >= len(self.start):
-            self.start, self.count, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.ends))
-        if self.used + len(found) > len(self.kind):
-            self.kind, self.canonical, self.value, self.capital = (np.concatenate([x, np.zeros(len(x) + len(found), x.dtype)]) for x in (self.kind, self.canonical, self.value, self.capital))
-        self.start[row], self.count[row], self.ends[row] = self.used, len(found), word[-1:] in b".!?:"
+        row = self.ids[key] = len(self.ids)
+        self.new_words[0].append(len(found))
+        self.new_words[1].append(word[-1:] in b".!?:")
+        kinds, canonicals, values, capitals = self.new_tokens
         for kind, value, capital in found:
             h = _hash(value)
             kind = NAME if capital else kind
-            self.kind[self.used], self.canonical[self.used], self.value[self.used], self.capital[self.used] = kind, h if kind == LITERAL else _SLOTS[kind], h, capital
-            self.used += 1
-        self.ids[key] = row
+            kinds.append(kind)
+            canonicals.append(h if kind == LITERAL else _SLOTS[kind])
+            values.append(h)
+            capitals.append(capital)
         return row
 
+    def settle(self) -> None:
+        """Puts the words that were added since into the columns, all at once."""
+        if not self.new_words[0]:
+            return
+        count = np.array(self.new_words[0], np.int64)
+        rows, used = self.rows + len(count), self.used + len(self.new_tokens[0])
+        grown = lambda x, n: x if n <= len(x) else np.concatenate([x, np.zeros(max(len(x), n - len(x)), x.dtype)])
+        self.start, self.count, self.ends = (grown(x, rows) for x in (self.start, self.count, self.ends))
+        self.kind, self.canonical, self.value, self.capital = (grown(x, used) for x in (self.kind, self.canonical, self.value, self.capital))
+        new = slice(self.rows, rows)
+        self.start[new], self.count[new], self.ends[new] = self.used + np.cumsum(count) - count, count, self.new_words[1]
+        for column, values in zip((self.kind, self.canonical, self.value, self.capital), self.new_tokens, strict=True):
+            column[self.used : used] = np.array(values, column.dtype)
+        self.rows, self.used = rows, used
+        self.new_words, self.new_tokens = ([], []), ([], [], [], [])
+
     def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(kind, canonical, value) arrays of a text."""
         return self.many([text])[:3]
@@ -139,8 +156,9 @@ class Canon:
     def beginnings(self, text: bytes) -> np.ndarray:
         """Places of the tokens of a text that are names or begin a sentence."""
         out, n, begins = [], 0, True
-        for word in text.split():
-            row = self.ids[word]
+        rows = [self.ids[word] for word in text.split()]
+        self.settle()
+        for row in rows:
             if begins and self.count[row] and self.capital[self.start[row]]:
                 out.append(n)
             n += int(self.count[row])
@@ -155,6 +173,7 @@ class Canon:
             self._reset(1 << 12)
         n = np.array([len(x) for x in words], np.int64)
         row = np.fromiter(map(self.ids.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
+        self.settle()
         starts = np.concatenate([[0], np.cumsum(n)])
         at, count = self.start[row], self.count[row]
         if not (count == 1).all():
