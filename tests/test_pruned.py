@@ -52,3 +52,15 @@ def test_odd(spark):
     same = v.withColumn("emb", F.array(*[F.lit(1.0)] * 6))
     want = {tuple(r) for r in ranking.top_k(pooled(same, same, strictly_earlier=False), 3).select("probe_id", "individual_id", "ref_id").collect()}
     assert {tuple(r) for r in pruned.nearest(same, same, 3, strictly_earlier=False, tile=4, each=4)[0].select("probe_id", "individual_id", "ref_id").collect()} == want
+
+
+def test_rows_are_sent_by_block_where_nothing_can_be_skipped(spark):
+    noise = np.random.default_rng(3)
+    rows = [(i, i % 7, i % 4, None, [float(x) for x in noise.normal(size=8)]) for i in range(1200)]
+    v = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    found, stats = pruned.nearest(v, v, 5, strictly_earlier=False, tile=4, each=400)
+    assert stats["scored"] > 0.5 * stats["tile_pairs"] > 40_000
+    # a block for each task that sorted a range at least, as there are fewer rows than pruned.ROWS; three rounds
+    assert stats["sent"] <= 3 * 4 * 4
+    want = ranking.top_k(pooled(v, v, strictly_earlier=False), 5).select("probe_id", "individual_id", "score", "ref_id", "rank")
+    assert {tuple(r) for r in found.select(*want.columns).collect()} == {tuple(r) for r in want.collect()}
