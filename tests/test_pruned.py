@@ -64,3 +64,9 @@ def test_rows_are_sent_by_block_where_nothing_can_be_skipped(spark):
     assert stats["sent"] <= 3 * 4 * 4
     want = ranking.top_k(pooled(v, v, strictly_earlier=False), 5).select("probe_id", "individual_id", "score", "ref_id", "rank")
     assert {tuple(r) for r in found.select(*want.columns).collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_curve_keeps_near_places_together():
+    at = np.stack(np.meshgrid(*[np.arange(8)] * pruned.AXES), -1).reshape(-1, pruned.AXES)
+    cells = at[np.argsort(pruned._curve(at))].reshape(-1, 8, pruned.AXES)
+    assert (cells.max(1) - cells.min(1) == 1).all()
