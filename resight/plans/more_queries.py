@@ -379,6 +379,10 @@ def sealed_crops_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- photos and plugged-in models ----------------------------------------------------------------------------------
 
 
+#: Photos of a task, and most tasks.
+PHOTOS, MOST_TASKS = 256, 10_000
+
+
 def _photos(spark: SparkSession, sf_dir: str, name: str = "supplier", key: str = "s_suppkey") -> DataFrame:
     """A PNG for each row: a yellow body as wide as its number says, on a dark ground, with a white label for every third."""
 
@@ -393,7 +397,9 @@ def _photos(spark: SparkSession, sf_dir: str, name: str = "supplier", key: str =
 
         return key.map(one)
 
-    return table(spark, sf_dir, name).select(F.col(key).alias("frame_id"), draw(key).alias("content"))
+    ids = table(spark, sf_dir, name).select(F.col(key).alias("frame_id"))
+    # ids are small and photos are work: a file of ids is many tasks' photos
+    return ids.repartition(min(MOST_TASKS, max(1, -(-ids.count() // PHOTOS))), "frame_id").select("frame_id", draw("frame_id").alias("content"))
 
 
 _SHARE = "round(60.0 * (20 + s_suppkey % 40) / 19200, 6)"
