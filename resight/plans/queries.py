@@ -335,7 +335,7 @@ _BITS = " + ".join(f"bit_count(xor(CAST('0x' || substr(a.phash, {i}, 8) AS BIGIN
 @query(f"WITH {REGISTRY_SQL}, h AS (SELECT DISTINCT cohort, phash FROM registry) SELECT a.cohort, a.phash AS a, b.phash AS b, CAST({_BITS} AS INTEGER) AS dist FROM h a JOIN h b ON a.cohort = b.cohort AND a.phash < b.phash WHERE {_BITS} <= 6")
 def near_dup_pairs_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different hashes; near_dup_members says which frames have them."""
-    return near_dup.near_classes(proxy_registry(spark, sf_dir))
+    return near_dup.near_classes(frames(spark, sf_dir))
 
 
 @query(f"WITH {REGISTRY_SQL}, h AS (SELECT DISTINCT cohort, phash FROM registry) SELECT a.cohort, a.phash AS a, b.phash AS b, CAST({_BITS} AS INTEGER) AS dist FROM h a JOIN h b ON a.cohort = b.cohort AND a.phash < b.phash WHERE {_BITS} <= 6")
@@ -343,7 +343,8 @@ def near_dup_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same pairs from an audit to which frames were added in three parts."""
     import uuid
 
-    r = proxy_registry(spark, sf_dir).select("cohort", "phash", F.pmod(F.xxhash64("frame_id"), F.lit(3)).alias("part"))
+    # read three times
+    r = written(frames(spark, sf_dir).select("cohort", "phash", F.pmod(F.xxhash64("frame_id"), F.lit(3)).alias("part")), "frames")
     name = f"audit_{uuid.uuid4().hex}"
     audit = near_dup.Audit(spark, name, f"{folder(spark)}/{name}", buckets=8)
     for k in range(3):

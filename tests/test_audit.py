@@ -105,3 +105,34 @@ def test_an_audit_keeps_a_row_for_each_first_part(spark, tmp_path):
     audit = near_dup.Audit(spark, "audit_d", f"file://{tmp_path}/audit", buckets=4)
     audit.add(df)
     assert audit._table("keys").count() == (near_dup.MOST + 1) * audit._table("hashes").count()
+
+
+def test_frames_of_the_audit_are_made_once_and_without_recapture_figures(spark, small, monkeypatch):
+    """The audit asks for cohorts and hashes only: frames aren't joined with their individuals' sessions, three times over."""
+    from resight.plans import queries as plans
+
+    def never(*_):
+        raise AssertionError
+
+    made = []
+    whole = plans.frames
+    monkeypatch.setattr(plans, "proxy_registry", never)
+    monkeypatch.setattr(plans, "frames", lambda *a: made.append(1) or whole(*a))
+    found = plans.near_dup_growing(spark, small)
+    assert len(made) == 1 and {tuple(r) for r in found.collect()} == {tuple(r) for r in plans.near_dup_pairs_hamming(spark, small).collect()}
+
+
+@pytest.mark.parametrize("spare", [1, 2, 3, 4])
+def test_short_and_long_keys_find_the_same_pairs(spare):
+    noise = np.random.default_rng(6)
+    base = noise.integers(0, 1 << 62, 60)
+    x = np.unique(np.array([int(b) ^ sum(1 << int(k) for k in set(noise.integers(0, 64, 4))) for b in np.repeat(base, 6)], np.uint64))
+    cuts, first = near_dup._cuts(near_dup.MOST + spare), 0
+    part = (x >> np.uint64(cuts[first][0])) & np.uint64((1 << cuts[first][1]) - 1)
+    found, want = set(), set()
+    for value in np.unique(part):
+        own = x[part == value]
+        found |= {tuple(sorted((int(a) & (1 << 64) - 1, int(b) & (1 << 64) - 1))) for p in near_dup._met(own, first, near_dup.MOST, spare) for a, b in zip(p[0], p[1], strict=True)}
+        agree = lambda d: sum(not (d >> a) & ((1 << n) - 1) for a, n in cuts)
+        want |= {(int(a), int(b)) for a in own for b in own if a < b and (int(a) ^ int(b)).bit_count() <= near_dup.MOST and agree(int(a) ^ int(b)) >= spare}
+    assert found == want and len(found) > 20
