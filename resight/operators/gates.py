@@ -59,6 +59,8 @@ def cross_session_pairs(registry: DataFrame, near_pairs: DataFrame) -> DataFrame
     """Near-duplicate pairs of one individual whose sessions differ: they would leak from gallery to probe."""
     keyed = registry.select("path_rel", "individual_id", S.session_key("date", "session").alias("s"))
     a, b = (keyed.select(F.col("path_rel").alias(x), F.col("individual_id").alias(f"{x}_i"), F.col("s").alias(f"{x}_s")) for x in ("a", "b"))
+    if "same_individual" in near_pairs.columns:  # most pairs are of two, and go before their paths are shuffled
+        near_pairs = near_pairs.filter("same_individual")
     return near_pairs.select("a", "b").hint("merge").join(a, "a").hint("merge").join(b, "b").filter((F.col("a_i") == F.col("b_i")) & (F.col("a_s") != F.col("b_s"))).select("a", "b")
 
 

@@ -359,7 +359,7 @@ def near_dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {REGISTRY_SQL} SELECT a.cohort, CAST({_BITS} AS INTEGER) AS dist, least(a.path_rel, b.path_rel) AS a, greatest(a.path_rel, b.path_rel) AS b, a.individual_id = b.individual_id AS same_individual FROM registry a JOIN registry b ON a.cohort = b.cohort AND a.path_rel < b.path_rel AND a.md5 <> b.md5 WHERE {_BITS} <= 6")
 def near_dup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_pairs(proxy_registry(spark, sf_dir))
+    return near_dup.near_pairs(registry.with_identity(frames(spark, sf_dir)))
 
 
 @query(f"WITH {REGISTRY_SQL} SELECT printf('F%05d', row_number() OVER (ORDER BY cohort, individual_id, date NULLS LAST, path_rel) - 1) AS frame_id, cohort, individual_id, local_id, role, session, date, has_recapture, n_sessions, path_rel, md5, phash FROM registry")
@@ -527,7 +527,7 @@ def gates_split_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {REGISTRY_SQL}, n AS (SELECT cohort, least(a, b) AS a, greatest(a, b) AS b, sa, sb FROM (SELECT a.cohort, a.path_rel AS a, b.path_rel AS b, a.skey AS sa, b.skey AS sb FROM registry a JOIN registry b ON a.cohort = b.cohort AND a.individual_id = b.individual_id AND a.path_rel < b.path_rel AND a.md5 <> b.md5 WHERE {_BITS} <= 6)) SELECT a, b FROM n WHERE sa <> sb")
 def cross_session_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = proxy_registry(spark, sf_dir)
+    r = registry.with_identity(frames(spark, sf_dir))
     return gates.cross_session_pairs(r, near_dup.near_pairs(r))
 
 

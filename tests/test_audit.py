@@ -136,3 +136,30 @@ def test_short_and_long_keys_find_the_same_pairs(spare):
         agree = lambda d: sum(not (d >> a) & ((1 << n) - 1) for a, n in cuts)
         want |= {(int(a), int(b)) for a in own for b in own if a < b and (int(a) ^ int(b)).bit_count() <= near_dup.MOST and agree(int(a) ^ int(b)) >= spare}
     assert found == want and len(found) > 20
+
+
+@pytest.mark.parametrize("name", ["near_dup_report", "cross_session_near_dups"])
+def test_reports_need_no_recapture_figures_and_no_broadcast(spark, small, monkeypatch, name):
+    from resight.plans import queries as plans
+
+    def never(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(plans, "proxy_registry", never)
+    plan = getattr(plans, name)(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "n_sessions" not in plan and plan.count("leftHint=(strategy=merge)") >= 2
+
+
+def test_pairs_of_two_individuals_go_before_their_paths_are_joined(spark):
+    near = spark.createDataFrame([("p", "q", True), ("p", "r", False), ("q", "s", None)], "a string, b string, same_individual boolean")
+    registry = spark.createDataFrame([("p", "i", "1"), ("q", "i", "2"), ("r", "j", "3"), ("s", None, "4")], "path_rel string, individual_id string, session string").selectExpr("*", "CAST(NULL AS STRING) AS date")
+    for pairs in (near, near.drop("same_individual")):
+        assert [tuple(r) for r in gates.cross_session_pairs(registry, pairs).collect()] == [("p", "q")]
+    assert "same_individual" in gates.cross_session_pairs(registry, near)._jdf.queryExecution().analyzed().toString().split("Project [a")[-1]
+
+
+def test_hashes_of_one_frame_are_no_links(spark):
+    rows = [("c", "p1", "00" * 8, "m1", "i"), ("c", "p2", "00" * 8, "m2", "i"), ("c", "p3", "ff" * 8, "m3", "i")]
+    near = near_dup.near_pairs(spark.createDataFrame(rows, "cohort string, path_rel string, phash string, md5 string, individual_id string"))
+    assert [tuple(r) for r in near.collect()] == [("c", 0, "p1", "p2", True)]
+    assert "count" in near._jdf.queryExecution().optimizedPlan().toString()
