@@ -142,7 +142,8 @@ def near_pairs(frames: DataFrame, phash: str = "phash", group: str = "cohort", m
     """
     own = frames.filter(F.length(phash) == 16).select(F.col(group).alias("g"), F.lower(phash).alias("h"), "path_rel", "md5", "individual_id")
     links = near_classes(frames, phash, group, most).select(F.col(group).alias("g"), "a", "b", "dist")
-    links = links.unionByName(own.select("g", F.col("h").alias("a"), F.col("h").alias("b"), F.lit(0).alias("dist")).distinct())
+    shared = own.groupBy("g", "h").count().filter(F.col("count") > 1)  # a hash of one frame is no pair
+    links = links.unionByName(shared.select("g", F.col("h").alias("a"), F.col("h").alias("b"), F.lit(0).alias("dist")))
     left, right = (own.select("g", F.col("h").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("path_rel", "md5", "individual_id")]) for s in ("a", "b"))
     # links and frames may be far more than Spark takes them for before it runs: not through the driver
     both = links.hint("merge").join(left, ["g", "a"]).hint("merge").join(right, ["g", "b"]).filter(F.col("a_md5") != F.col("b_md5")).filter((F.col("a") != F.col("b")) | (F.col("a_path_rel") < F.col("b_path_rel")))
