@@ -57,6 +57,8 @@ def registry_gates(registry: DataFrame, files: DataFrame | None = None, near_pai
 
 def cross_session_pairs(registry: DataFrame, near_pairs: DataFrame) -> DataFrame:
     """Near-duplicate pairs of one individual whose sessions differ: they would leak from gallery to probe."""
+    if "same_session" in near_pairs.columns:  # of near_dup.own_pairs: nothing to look up
+        return near_pairs.filter("same_individual and not same_session").select("a", "b")
     keyed = registry.select("path_rel", "individual_id", S.session_key("date", "session").alias("s"))
     a, b = (keyed.select(F.col("path_rel").alias(x), F.col("individual_id").alias(f"{x}_i"), F.col("s").alias(f"{x}_s")) for x in ("a", "b"))
     if "same_individual" in near_pairs.columns:  # most pairs are of two, and go before their paths are shuffled

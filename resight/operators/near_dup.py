@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from resight.functions import scalars as S
 from resight.scratch import written
 
 MOST = 6
@@ -25,6 +26,8 @@ MOST = 6
 SPARE = ((200_000, 2), (5_000_000, 3), (300_000_000, 4))
 #: Hashes of a bucket that one task sorts at most; larger buckets are joined.
 HEAVY = 1 << 20
+#: Frames of an individual up to which each is held against each; those of larger ones meet by their hashes.
+OWN = 1024
 #: Groups of a cohort up to which others' old keys are left unread.
 FEW = 1000
 
@@ -150,6 +153,33 @@ def near_pairs(frames: DataFrame, phash: str = "phash", group: str = "cohort", m
     return both.select(F.col("g").alias(group), F.col("dist").cast("int").alias("dist"), F.least("a_path_rel", "b_path_rel").alias("a"), F.greatest("a_path_rel", "b_path_rel").alias("b"), (F.col("a_individual_id") == F.col("b_individual_id")).alias("same_individual"))
 
 
+def own_pairs(frames: DataFrame, phash: str = "phash", group: str = "cohort", most: int = MOST) -> DataFrame:
+    """The rows of near_pairs that are of one individual (paths differ), with same_session: whether date, else session, is the same.
+
+    The frames of an individual meet each other without the audit of the whole group; those of an individual of more than OWN
+    frames, which may be any number, are audited with others like it.
+    """
+    hi, lo = hash_halves("h")
+    own = frames.filter(F.length(phash) == 16).select(F.col(group).alias("g"), "individual_id", F.lower(phash).alias("h"), "path_rel", "md5", S.session_key("date", "session").alias("s"))
+    large = written(own.groupBy("g", "individual_id").count().filter(F.col("count") > OWN).select("g", "individual_id"), "large")
+    any_large = not large.isEmpty()
+    number = F.when(F.col("h").rlike("^[0-9a-f]{16}$"), F.shiftleft(hi, 32).bitwiseOR(lo))
+    # a text that is no hash is near its copies only, and needed for that
+    few = (own.join(large, ["g", "individual_id"], "left_anti") if any_large else own).withColumn("x", number).withColumn("h", F.when(F.col("x").isNull(), F.col("h")))
+    left, right = (few.select("g", "individual_id", *[F.col(c).alias(f"{s}_{c}") for c in ("h", "x", "path_rel", "md5", "s")]) for s in ("a", "b"))
+    bits = F.bit_count(F.col("a_x").bitwiseXOR(F.col("b_x")))
+    both = left.hint("merge").join(right, ["g", "individual_id"]).filter((F.col("a_path_rel") < F.col("b_path_rel")) & (F.col("a_md5") != F.col("b_md5")) & F.coalesce(bits <= most, F.col("a_h") == F.col("b_h")))
+    columns = [F.col("g").alias(group), F.col("dist").cast("int").alias("dist"), F.least("a_path_rel", "b_path_rel").alias("a"), F.greatest("a_path_rel", "b_path_rel").alias("b"), F.lit(True).alias("same_individual"), (F.col("a_s") == F.col("b_s")).alias("same_session")]
+    out = both.withColumn("dist", F.coalesce(bits, F.lit(0))).select(columns)
+    if any_large:
+        many = written(own.join(large, ["g", "individual_id"], "left_semi"), "of-large")
+        links = near_classes(many, "h", "g", most).unionByName(many.select("g", F.col("h").alias("a"), F.col("h").alias("b"), F.lit(0).alias("dist")).distinct())
+        left, right = (many.select("g", "individual_id", F.col("h").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("path_rel", "md5", "s")]) for s in ("a", "b"))
+        both = links.hint("merge").join(left, ["g", "a"]).hint("merge").join(right, ["g", "b", "individual_id"]).filter((F.col("a_md5") != F.col("b_md5")) & (F.col("a_path_rel") != F.col("b_path_rel")))
+        out = out.unionByName(both.filter((F.col("a") != F.col("b")) | (F.col("a_path_rel") < F.col("b_path_rel"))).select(columns))
+    return out
+
+
 class Audit:
     """Pairs of near hashes, kept up to date as cohorts come: new hashes meet the old ones, which stay where they are.
 

@@ -163,3 +163,28 @@ def test_hashes_of_one_frame_are_no_links(spark):
     near = near_dup.near_pairs(spark.createDataFrame(rows, "cohort string, path_rel string, phash string, md5 string, individual_id string"))
     assert [tuple(r) for r in near.collect()] == [("c", 0, "p1", "p2", True)]
     assert "count" in near._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("most_own", [1024, 20, 1])
+def test_pairs_of_one_individual_equal_those_of_the_audit(spark, monkeypatch, most_own):
+    monkeypatch.setattr(near_dup, "OWN", most_own)
+    noise = np.random.default_rng(5)
+    rows = [(g, p, h, f"m{i % 40}", None if i % 31 == 0 else f"i{int(noise.integers(0, 5))}", None, f"s{i % 3}") for i, (g, p, h) in enumerate(frames(spark, noise, 300))]
+    rows += [("c0", f"copy{i}", "zz" * 8, f"m{i}", "i1", f"d{i % 2}", None) for i in range(4)]  # no hash, but equal
+    df = spark.createDataFrame(rows, "cohort string, path_rel string, phash string, md5 string, individual_id string, date string, session string")
+    own = near_dup.own_pairs(df)
+    want = {tuple(r) for r in near_dup.near_pairs(df).filter("same_individual").collect()}
+    assert {tuple(r)[:5] for r in own.collect()} == want and own.count() == len(want) > 20
+    bare = [tuple(r) for r in gates.cross_session_pairs(df, near_dup.near_pairs(df)).collect()]
+    found = [tuple(r) for r in gates.cross_session_pairs(df, own).collect()]
+    assert sorted(found) == sorted(bare) and 0 < len(found) < len(want)
+
+
+def test_registry_gates_do_without_the_audit_of_whole_cohorts(spark, small, monkeypatch):
+    from resight.plans import queries as plans
+
+    def never(*_, **__):
+        raise AssertionError
+
+    monkeypatch.setattr(near_dup, "near_classes", never)
+    assert plans.gates_registry(spark, small).count() == 8
