@@ -9,7 +9,8 @@ ties included.
 
 Neighbouring tiles are a block of up to ROWS rows. Blocks have bounds too, and tiles are only looked at where their blocks'
 bound allows it. Rows are sent by block, once to each block that holds a tile to be scored with one of theirs: n * n /
-ROWS rows at most, however small the tiles are.
+ROWS rows at most, however small the tiles are. Of a block only the tiles that are to be scored there are sent, and a probe
+sends nothing on that is below its k-th score so far.
 
 Centres come from a bounded sample by a hash; they decide how much is skipped and not what is found.
 """
@@ -27,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from resight.operators.ranking import top_k
 from resight.operators.scoring import _COLUMNS, DECIMALS, _meet, _tiles, _unit, cosine_block
-from resight.scratch import written
+from resight.scratch import discard, written
 
 #: Rows of a tile, rows for each centre, most centres, rows for each centre that it is learned from, and rounds of that.
 TILE, EACH, MOST, SAMPLE, ROUNDS = 256, 512, 1024, 16, 4
@@ -39,6 +40,8 @@ ROWS = 4096
 BLOCK = 1024
 #: How many tiles each tile of probes meets in the first rounds, and in how many blocks they are looked for.
 FIRST, NEAR = (2, 8), 8
+#: Scores that take as long as one more call to score them.
+CALL = 50_000
 #: What rounding may add to a score, beside its decimals.
 SLACK = 1e-9
 
@@ -144,7 +147,7 @@ def _gathered(measured: DataFrame, floor: DataFrame | None, group: int, label: s
     if floor is None:
         rows = measured.withColumn("floor", F.lit(-2.0))
     else:
-        rows = measured.join(floor, "tile", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+        rows = measured.join(floor.select("tile", "floor"), "tile", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
     lists = rows.groupBy(_block("tile", group).alias("block")).agg(F.collect_list(F.struct("tile", "low", "high", "middle", "radius", "floor")).alias("tiles"))  # group of them
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,19 +239,50 @@ def _by_cell(pairs: DataFrame, group: int) -> DataFrame:
     return pairs.groupBy(_block("p_tile", group).alias("p_block"), _block("r_tile", group).alias("r_block")).agg(F.collect_list(code).alias("codes"))  # group * group of them
 
 
+def _trimmed(both: DataFrame, group: int) -> DataFrame:
+    """r_block, codes, p: of the tiles p of a block those that codes name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                p = batch.column(2)[i].values
+                named = np.isin(p.field("tile").to_numpy() % group, batch.column(1)[i].values.to_numpy() // group)
+                kept = p.take(pa.array(np.flatnonzero(named)))
+                yield pa.RecordBatch.from_arrays([*[batch.column(k)[i : i + 1] for k in (0, 1)], pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept)], names=["r_block", "codes", "p"])
+
+    rows = both.select("r_block", "codes", "p")
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _together(codes: np.ndarray, group: int, tile: int) -> Iterator[tuple[list[int], list[int]]]:
+    """Tiles of probes and those of references that they are scored with, from sorted codes: neighbours at once, with what any
+    of them meets, where that costs less than a call of its own."""
+    those: list[int] = []
+    met: set[int] = set()
+    for some in np.split(codes, np.flatnonzero(np.diff(codes // group)) + 1):
+        own = set((some % group).tolist())
+        both = met | own
+        more = (len(those) + 1) * len(both) - len(those) * len(met) - len(own)
+        if those and more * tile * tile > CALL:
+            yield those, sorted(met)
+            those, both = [], own
+        those, met = [*those, int(some[0] // group)], both
+    yield those, sorted(met)
+
+
 def nearest(
     probes: DataFrame, refs: DataFrame, k: int, payload: str = "emb", frame: str = "frame_id", individual: str = "individual_id", time: str = "tkey",
     strictly_earlier: bool = True, apart: str | None = None, itself: bool = True, tile: int = TILE, each: int = EACH, decimals: int = DECIMALS,
 ) -> tuple[DataFrame, dict[str, int]]:
-    """(probe_id, truth, individual_id, score, ref_id, rank up to k; how many pairs of tiles there are, how many were
+    """(probe_id, truth, individual_id, score, ref_id, rank up to k; how many pairs of tiles there are, how many had to be
     scored, and how many pairs of blocks were sent to score them): cosines, as of scoring.pooled with the same arguments."""
     middles, axes = centres(refs, payload, frame, each)
     group = 1 << max(0, (ROWS // tile).bit_length() - 1)
     order = ("time", "_along") if strictly_earlier else ("_along",)
     sides = [_tiles(dealt(df, middles, axes, payload), frame, individual, time, payload, "_near", apart, tile, name, order) for df, name in ((probes, "probes"), (refs, "refs"))]
     meta = [_measured(t, f"{name}-tiles") for t, name in zip(sides, ("probe", "ref"), strict=True)]
-    rows = [written(t.groupBy(_block("tile", group).alias("block")).agg(F.collect_list(F.struct("tile", *_COLUMNS)).alias("tiles")), f"{name}-rows") for t, name in zip(sides, ("probe", "ref"), strict=True)]
-    side = lambda df, x: df.select(F.col("block").alias(f"{x}_block"), F.col("tiles").alias(x)).hint("shuffle_hash")
+    side = lambda df, x, *more: df.groupBy(_block("tile", group).alias(f"{x}_block")).agg(F.collect_list(F.struct("tile", *_COLUMNS, *more)).alias(x))
+    refs_by_block = written(side(sides[1], "r"), "ref-rows")
     id_type, ref_type, own_type = probes.schema[frame].dataType, refs.schema[frame].dataType, refs.schema[individual].dataType
     schema = f"p_tile long, probe_id {id_type.simpleString()}, truth {own_type.simpleString()}, individual_id {own_type.simpleString()}, score double, ref_id {ref_type.simpleString()}"
     kinds = [to_arrow_type(x) for x in (id_type, own_type, own_type)] + [pa.float64(), to_arrow_type(ref_type)]
@@ -263,26 +297,24 @@ def nearest(
                 for x in (p, r):
                     place.append(np.zeros(group, np.int64))
                     place[-1][x.field("tile").to_numpy() % group] = np.arange(len(x))
-                left, right = place[0][codes // group], place[1][codes % group]
-                # tiles of probes that meet the same tiles meet them at once
-                alike: dict[bytes, list[int]] = {}
-                for some in np.split(np.arange(len(codes)), np.flatnonzero(np.diff(codes // group)) + 1):
-                    alike.setdefault(right[some].tobytes(), []).append(left[some[0]])
                 flat = [r.field(c).flatten() for c in _COLUMNS]
                 stops = np.cumsum(r.field("id").value_lengths().to_numpy())
-                for key, those in alike.items():
-                    own = p.take(pa.array(those))
-                    met = np.frombuffer(key, np.int64)
-                    at = pa.array(np.concatenate([np.arange(stops[t - 1] if t else 0, stops[t]) for t in met]))
+                for those, met in _together(codes, group, tile):
+                    own = p.take(pa.array(place[0][those]))
+                    at = pa.array(np.concatenate([np.arange(stops[t - 1] if t else 0, stops[t]) for t in place[1][met]]))
                     probe = [own.field(c).flatten() for c in _COLUMNS]
+                    last = own.field("least").flatten()
+                    found = pc.index_in(probe[0], value_set=last.field("probe_id"))
+                    least = last.field("score").take(found).fill_null(-np.inf).to_numpy(zero_copy_only=False)
                     numbers = pa.array(np.repeat(own.field("tile").to_numpy(), own.field("id").value_lengths().to_numpy()))
                     probe[1] = pa.StructArray.from_arrays([probe[1], numbers], names=["own", "tile"])
-                    for ids, both, *made in _meet(probe, [c.take(at) for c in flat], cosine_block, strictly_earlier, apart is not None, itself, decimals, k):
+                    for ids, both, *made in _meet(probe, [c.take(at) for c in flat], cosine_block, strictly_earlier, apart is not None, itself, decimals, k, least):
                         columns = [c.cast(t) for c, t in zip((ids, both.field("own"), *made), kinds, strict=True)]
                         yield pa.RecordBatch.from_arrays([both.field("tile"), *columns], names=names)
 
     slack = SLACK + 0.5 * 10.0**-decimals
     state, floor, done, sent, scored = None, None, None, 0, 0
+    least_type = f"array<struct<probe_id: {id_type.simpleString()}, score: double>>"
     right = _gathered(meta[1], None, group, "ref-blocks")
     for count in (*FIRST, None):
         left = _gathered(meta[0], floor, group, "probe-blocks")
@@ -298,16 +330,22 @@ def nearest(
             found = written(_by_cell(pairs, group), "cells")
         counts = found.agg(F.count("*"), F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()
         sent, scored = sent + counts[0], scored + counts[1]
-        both = found.join(side(rows[0], "p"), "p_block").join(side(rows[1], "r"), "r_block")
+        if floor is None:
+            own = sides[0].withColumn("least", F.lit(None).cast(least_type))
+        else:
+            own = sides[0].join(floor.select("tile", "least"), "tile", "left")
+        both = found.join(side(own, "p", "least").hint("shuffle_hash"), "p_block")
+        both = _trimmed(both, group).join(refs_by_block.hint("shuffle_hash"), "r_block")
         made = both.select("codes", "p", "r").mapInArrow(run, schema)
         if state is not None:
             made = made.unionByName(state.drop("rank"))
         best = F.min(F.struct((-F.col("score")).alias("s"), "ref_id"))
         pooled = made.groupBy("p_tile", "probe_id", "truth", "individual_id").agg(best.alias("b")).select("p_tile", "probe_id", "truth", "individual_id", (-F.col("b.s")).alias("score"), F.col("b.ref_id").alias("ref_id"))
-        state = written(top_k(pooled, k), "best")
+        before, state = (found, left, *[x for x in (state, floor) if x is not None]), written(top_k(pooled, k), "best")
         # of probes that have k individuals the last one's score; a tile with one that hasn't has no floor
-        last = state.groupBy("p_tile", "probe_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+        last = state.filter(F.col("rank") == k).groupBy("p_tile").agg(F.collect_list(F.struct("probe_id", "score")).alias("least"), F.min("score").alias("floor"))
         sizes = sides[0].select(F.col("tile").alias("p_tile"), F.size("id").alias("rows"))
-        full = last.groupBy("p_tile").agg(F.count("least").alias("n"), F.min("least").alias("floor")).join(sizes, "p_tile").filter("n = rows")
-        floor = written(full.select(F.col("p_tile").alias("tile"), "floor"), "floor")
+        whole = F.when(F.size("least") == F.col("rows"), F.col("floor"))
+        floor = written(last.join(sizes, "p_tile").select(F.col("p_tile").alias("tile"), whole.alias("floor"), "least"), "floor")
+        discard(*before)
     return state.drop("p_tile"), {"tile_pairs": meta[0].count() * meta[1].count(), "scored": scored, "sent": sent}

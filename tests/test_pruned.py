@@ -70,3 +70,28 @@ def test_curve_keeps_near_places_together():
     at = np.stack(np.meshgrid(*[np.arange(8)] * pruned.AXES), -1).reshape(-1, pruned.AXES)
     cells = at[np.argsort(pruned._curve(at))].reshape(-1, 8, pruned.AXES)
     assert (cells.max(1) - cells.min(1) == 1).all()
+
+
+def test_neighbours_are_scored_at_once_with_all_that_any_meets():
+    codes = np.sort(np.array([p * 8 + r for p, r in ((0, 1), (0, 2), (1, 2), (1, 3), (6, 0))], np.int32))
+    assert list(pruned._together(codes, 8, 16)) == [([0, 1, 6], [0, 1, 2, 3])]
+    assert list(pruned._together(codes, 8, 4096)) == [([0], [1, 2]), ([1], [2, 3]), ([6], [0])]
+
+
+def test_only_named_tiles_are_sent(spark):
+    rows = [(7, [1 * 4 + 0, 1 * 4 + 3, 2 * 4 + 1], [(t, [float(t)]) for t in (8, 9, 10, 11)])]
+    both = spark.createDataFrame(rows, "r_block long, codes array<int>, p array<struct<tile: long, payload: array<double>>>")
+    assert [(r["r_block"], r["codes"], [t["tile"] for t in r["p"]]) for r in pruned._trimmed(both, 4).collect()] == [(7, [4, 7, 9], [9, 10])]
+
+
+def test_scores_below_a_probes_least_go():
+    import pyarrow as pa
+
+    from resight.operators.scoring import _meet, cosine_block
+
+    def side(ids, who, x):
+        return [pa.array(ids), pa.array(who), pa.array([None] * len(ids), pa.int64()), pa.array(x, pa.list_(pa.float64())), pa.array([None] * len(ids), pa.string())]
+
+    p, r = side([1, 2], [0, 0], [[1.0, 0.0], [1.0, 0.0]]), side([3, 4, 5], [0, 1, 2], [[1.0, 0.0], [0.6, 0.8], [0.0, 1.0]])
+    made = [b for b in _meet(p, r, cosine_block, False, False, True, 6, 3, np.array([0.6, -np.inf]))]
+    assert [(a, b) for x in made for a, b in zip(x[0].to_pylist(), x[4].to_pylist(), strict=True)] == [(1, 3), (1, 4), (2, 3), (2, 4), (2, 5)]
